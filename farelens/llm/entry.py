@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import quality_rules, url_filters
+from farelens.llm import decontamination, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op7_decontamination": decontamination.op7_decontamination,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.ORACLE_SQL,
         "op4_quality_rules": quality_rules.ORACLE_SQL,
+        "op7_decontamination": decontamination.ORACLE_SQL,
     }
