@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import decontamination, quality_rules, url_filters
+from farelens.llm import decontamination, language_id, quality_classifier, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
