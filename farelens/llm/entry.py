@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import decontamination, language_id, quality_classifier, quality_rules, url_filters
+from farelens.llm import decontamination, language_id, quality_classifier, quality_rules, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op9_warc": warc.op9_warc,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
