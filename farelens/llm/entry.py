@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import decontamination, language_id, quality_classifier, quality_rules, url_filters, warc
+from farelens.llm import chat_log, decontamination, language_id, quality_classifier, quality_rules, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_chat_format": chat_log.op5_chat_format,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
         "op9_warc": warc.op9_warc,
@@ -26,5 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.ORACLE_SQL,
         "op4_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_chat_format": chat_log.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }

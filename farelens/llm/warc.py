@@ -225,4 +225,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
 
 
-# sha1 is not a DuckDB function, so the query is held against a brute-force version in tests/llm
+ORACLE_SQL = rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, url,
+             regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$', ['site', 'rest']) AS u,
+             regexp_matches(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$') AS absolute FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM top THEN top END AS refers_to,
+       CASE WHEN absolute THEN array_to_string(list_reverse(string_split(split_part(lower(u.site), ':', 1), '.')), ',')
+            || CASE WHEN instr(u.site, ':') > 0 THEN ':' || substr(u.site, instr(u.site, ':') + 1) ELSE '' END || ')' || split_part(u.rest, '#', 1) ELSE url END AS url_key
+FROM m
+"""
