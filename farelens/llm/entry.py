@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import chat_log, decontamination, language_id, quality_classifier, quality_rules, url_filters, warc
+from farelens.llm import chat_log, decontamination, language_id, near_dedup, quality_classifier, quality_rules, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op5_chat_format": chat_log.op5_chat_format,
         "op6_language_id": language_id.op6_language_id,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
