@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import chat_log, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
+from farelens.llm import chat_log, decontamination, html_wrappers, language_id, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_html_extraction": html_wrappers.op2_html_extraction,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_chat_format": chat_log.op5_chat_format,
