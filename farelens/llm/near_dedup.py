@@ -11,8 +11,9 @@ lower-cased (a shorter text's whole sequence is its one shingle). Documents with
    smallest node only (a star). Candidates pass the exact size bound and the collision-corrected
    Jaccard estimate of the sketches, and are then verified on their full sets. Links give components.
 4. Buckets that still hold several components are compared in blocks, across components only, by
-   sketch; a pair that the estimate admits is emitted once, in its first common band, and verified.
-   So no pair that shares a band is lost, while members of one component are never paired again.
+   sketch; members that the estimate admits to a partner stay. Their full sets meet in the same blocks,
+   where intersections are counted exactly and a spanning forest of the links found is kept. So no pair
+   that shares a band is lost, and a block never gives more rows than it has members.
 
 Two sets at the bound share a band with probability 1 - (1 - 0.8 ** 4) ** 32 > 1 - 1e-7; the estimate's
 margin is five standard deviations.
@@ -211,35 +212,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside band buckets, by sketch, block against block.
-
-    ``members``: band, key, i, j, block, nid, component, n_shingles, registers; sorted so that the rows of
-    one (band, key, i, j) follow each other. A group holds two blocks at most.
-    """
-
-    def pairs_of(group: pa.Table) -> pa.RecordBatch | None:
-        band, i, j = group["band"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
-        block, nid, comp, size = (group[c].to_numpy() for c in ("block", "nid", "component", "n_shingles"))
-        registers = _registers(group["registers"].combine_chunks())
-        bands = registers.view(np.uint64)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            others = right[(comp[right] != comp[x]) & ((nid[right] > nid[x]) if i == j else True)]
-            if not len(others):
-                continue
-            first = ((bands[others] == bands[x]) & (bands[x] != _EMPTY_BAND)).argmax(axis=1) == band
-            others = others[first]
-            others = others[admitted(registers[others], registers[x], size[others], np.full(len(others), size[x]), percent)]
-            a.append(np.minimum(nid[others], nid[x]))
-            b.append(np.maximum(nid[others], nid[x]))
-        if not a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def _by_group(process):
+    """Runs ``process`` on each group of rows that agree in band, key, i and j; rows must come grouped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_group: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not len(batch):
@@ -247,21 +224,118 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if open_group and not np.array_equal(last, key[lo]):
-                    if (found := pairs_of(pa.Table.from_batches(open_group))) is not None:
+                if held and not np.array_equal(last, key[lo]):
+                    if (found := process(pa.Table.from_batches(held))) is not None:
                         yield found
-                    open_group = []
-                open_group.append(batch.slice(lo, hi - lo))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
                 last = key[lo]
-        if open_group and (found := pairs_of(pa.Table.from_batches(open_group))) is not None:
+        if held and (found := process(pa.Table.from_batches(held))) is not None:
             yield found
 
-    dealt = members.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return run
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+
+_PLACE = ["band", "key", "i", "j", "block", "nid", "component"]
+
+
+def _active(members: DataFrame, percent: int) -> DataFrame:
+    """Of each block pair the members that the sketches admit to a partner of another component.
+
+    A pair counts in the first band that it shares, so it is looked at in full once. A group holds two
+    blocks of a bucket at most.
+    """
+
+    def process(group: pa.Table) -> pa.RecordBatch | None:
+        band, i, j = group["band"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
+        block, nid, comp, size = (group[c].to_numpy() for c in ("block", "nid", "component", "n_shingles"))
+        registers = _registers(group["registers"].combine_chunks())
+        bands = registers.view(np.uint64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        active = np.zeros(len(nid), bool)
+        for x in left:
+            others = right[(comp[right] != comp[x]) & ((nid[right] > nid[x]) if i == j else True)]
+            if len(others):
+                first = ((bands[others] == bands[x]) & (bands[x] != _EMPTY_BAND)).argmax(axis=1) == band
+                others = others[first]
+                others = others[admitted(registers[others], registers[x], size[others], np.full(len(others), size[x]), percent)]
+                active[others] = True
+                active[x] |= len(others) > 0
+        if not active.any():
+            return None
+        return group.select(_PLACE).filter(pa.array(active)).combine_chunks().to_batches()[0]
+
+    return _grouped(members).mapInArrow(_by_group(process), "band int, key long, i int, j int, block int, nid long, component long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections of a block's sets: shared shingles in many sets by a matrix
+    product, those in a few sets pair by pair."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    if not m:
+        return out
+    grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    common = np.flatnonzero(count > 16)
+    place = np.full(len(grams), -1)
+    place[common] = np.arange(len(common))
+    step = max(1, (1 << 21) // m)
+    at = place[column]
+    for lo in range(0, len(common), step):
+        x = np.zeros((m, min(step, len(common) - lo)), np.float32)
+        here = (at >= lo) & (at < lo + step)
+        x[row[here], at[here] - lo] = 1
+        out += x @ x.T
+    few = (count[column] > 1) & (at < 0)
+    order = np.argsort(column[few], kind="stable")
+    row, column = row[few][order], column[few][order]
+    for gap in range(1, 16):
+        if gap >= len(row):
+            break
+        same = column[gap:] == column[:-gap]
+        np.add.at(out, (row[:-gap][same], row[gap:][same]), 1)
+        np.add.at(out, (row[gap:][same], row[:-gap][same]), 1)
+    return out
+
+
+def _exact(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside blocks, on full sets; of each block a spanning forest."""
+
+    def process(group: pa.Table) -> pa.RecordBatch | None:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        block, nid, comp = (group[c].to_numpy() for c in ("block", "nid", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"].combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        shared = intersections(sets)
+        union = size[:, None] + size[None, :] - shared
+        link = (100 * shared >= percent * union) & (comp[:, None] != comp[None, :]) & (block[:, None] == i) & (block[None, :] == j)
+        parent = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(link), strict=True):
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                parent[p] = q
+                a.append(min(nid[x], nid[y]))
+                b.append(max(nid[x], nid[y]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
+
+    return _grouped(members).mapInArrow(_by_group(process), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, text_key, n_shingles, nid (its set), n_links, component_id."""
+    """One row per document: doc_id, text_key, n_shingles, nid (its set), component_id."""
     spec = "dedup"
     rows = materialize(features(docs, words), f"{spec}-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_key")).alias("m")
@@ -292,18 +366,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = placed.join(open_buckets, ["band", "key"]).join(nodes.select("nid", "n_shingles", "registers"), "nid")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "component", "n_shingles", "registers")
-    across = materialize(_across(rest, percent).distinct(), f"{spec}-across")
-    if not across.isEmpty():
-        more = _verified(across, nodes, docs, words, percent, f"{spec}-across")
-        links = links.union(more)
+    active = materialize(_active(rest, percent), f"{spec}-active")
+    if not active.isEmpty():
+        wanted = active.select("nid").distinct().join(nodes, "nid").select("nid", "node", "rep", "text_key")
+        more = _exact(active.join(materialize(_full_sets(docs, wanted, words), f"{spec}-sets"), "nid"), percent)
+        links = links.union(materialize(more, f"{spec}-links"))
         found = components(links)
 
-    degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("n_links"))
     lowest = found.join(nodes.select("nid", "rep"), "nid").groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = found.join(lowest, "label").join(degree, "nid").select("nid", "component_id", "n_links")
-    named = nodes.select("node", "nid", "rep").join(linked, "nid", "left").select(F.col("node"), "nid", F.when(F.col("n_links").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = found.join(lowest, "label").select("nid", "component_id", F.lit(True).alias("linked"))
+    named = nodes.select("node", "nid", "rep").join(linked, "nid", "left").select("node", "nid", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
     out = rows.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "text_key", "n_shingles", "nid", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", "nid", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -321,4 +395,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
