@@ -1,39 +1,7 @@
-"""Shared-folder helpers: tables that cut lineage and survive lost executors."""
+"""Tables in the shared folder that cut lineage and survive lost executors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from farelens.sources.staging import materialize, new_path, shared_root
 
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (unit tests in local mode) a temporary folder of this
-    process is used; on a cluster the setting has to be present.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _LOCAL_ROOT:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="farelens-"))
-    return _LOCAL_ROOT[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/farelens/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_root"]
