@@ -384,13 +384,24 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
     groups = materialize(near_duplicates(docs, words, percent), "dedup-groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    keep = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_text")
-    joined = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    once = joined.where("_n = 1").select(*docs.columns)
-    if keep.where("_n > 1").isEmpty():
+    key, own, text, n = _free_names(docs, 4)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    keep = kept.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(text)).agg(F.count("*").alias(n))
+    joined = keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(text)))
+    once = joined.where(F.col(n) == 1).select(*docs.columns)
+    if keep.where(F.col(n) > 1).isEmpty():
         return once
-    return once.unionByName(joined.where("_n > 1").dropDuplicates(["_id", "_text"]).select(*docs.columns))
+    return once.unionByName(joined.where(F.col(n) > 1).dropDuplicates([own, text]).select(*docs.columns))
+
+
+def _free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that the frame does not use."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < count:
+        if f"_dedup{k}" not in taken:
+            out.append(f"_dedup{k}")
+        k += 1
+    return out
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

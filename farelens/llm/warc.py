@@ -214,10 +214,10 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.sortWithinPartitions("file", "rank_in_run").mapInArrow(run, f"{_INDEX}, key_range long, capture_rank long")
 
 
-def archive_pages(pages: DataFrame, time_col: str | None = None) -> DataFrame:
+def archive_pages(pages: DataFrame, time_col: str | None = None, file_bytes: int = FILE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Writes ``pages`` as WARC archives, reads them back and returns the ordered capture index."""
-    path = write_archives(pages, time_col=time_col)
-    return merge_runs(materialize(capture_runs(pages.sparkSession, path), "warc-runs"))
+    path = write_archives(pages, time_col=time_col, file_bytes=file_bytes)
+    return merge_runs(materialize(capture_runs(pages.sparkSession, path), "warc-runs"), range_rows)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
