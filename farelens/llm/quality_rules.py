@@ -37,7 +37,7 @@ class RuleLimits:
     #: Of word characters in lines equal to an earlier line.
     max_line_chars: int = 20
     #: Symbols against words.
-    max_symbols: int = 50
+    max_symbols: int = 10
 
 
 def _measure(part: tn.Slice, limits: RuleLimits) -> dict[str, np.ndarray]:
