@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def below(cuts: Column, value: Column) -> Column:
+    """How many entries of an array are below the value.
+
+    The value goes in as a lambda's argument: written inside the inner lambda, a long expression would be
+    evaluated once for every entry.
+    """
+    return F.transform(F.array(value), lambda v: F.size(F.filter(cuts, lambda c: c < v)))[0]
+
+
 def running_sums(counted: DataFrame, value: str, sums: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds, for each s of ``sums``, ``cum_s`` (up to and including) and ``all_s`` in order of a numeric ``value``.
 
@@ -20,7 +29,7 @@ def running_sums(counted: DataFrame, value: str, sums: list[str], ties: tuple[st
     """
     given = counted.where(F.col(value).isNotNull())
     cuts = given.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).scalar()
-    ranged = given.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ranged = given.withColumn("_cuts", cuts).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
     totals = ranged.groupBy("_range").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     whole = Window.partitionBy()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
 from farelens.functions.rand import hash_order, hash_uniform, poisson_one
+from farelens.sources.staging import materialize
 
 BANDS = 8
 MIN_SEGMENT = 4
@@ -119,10 +120,12 @@ def distribution_statistics(trace: DataFrame, real: DataFrame, seed: int, key: s
     order = purpose_order(real)
     placed = lambda df: df.join(F.broadcast(order), "purpose")  # noqa: E731  four rows
     hours = accept_rate_by_hour(real).select("pickup_hour", F.col("accept_rate").alias("real_rate")).join(accept_rate_by_hour(trace), "pickup_hour")
+    # each sample is written once: its running sums are read three times by the statistic's own
+    drawn = [materialize(matched_sample(real.select(key, c), n, seed + k, key), "matched") for k, c in enumerate(("quoted_fare", "eta_min", "purpose"))]
     parts = [
-        _two(matched_sample(real, n, seed, key), sim, "quoted_fare"), _two(matched_sample(real, n, seed + 1, key), sim, "eta_min"),
+        _two(drawn[0], sim, "quoted_fare"), _two(drawn[1], sim, "eta_min"),
         _two(hours.select(F.col("real_rate").alias("r")), hours.select(F.col("accept_rate").alias("r")), "r"),
-        _two(placed(matched_sample(real, n, seed + 2, key)), placed(sim), "rank"),
+        _two(placed(drawn[2]), placed(sim), "rank"),
     ]
     out = None
     for name, part in zip(MARGINALS, parts, strict=True):

@@ -29,7 +29,7 @@ def draw_cells(cell_table: DataFrame, spark, n_riders: int, seed: int, min_trips
     bounds = upper.agg(F.sort_array(F.collect_list(F.struct("hi", "cell_id"))).alias("b")).scalar()  # as many entries as cells
     riders = spark.range(n_riders).select(F.col("id").alias("rider_id"), hash_uniform(f"{seed}:cell", F.col("id")).alias("u"), (F.lit(min_trips) + F.floor(hash_uniform(f"{seed}:k", F.col("id")) * (max_trips - min_trips + 1))).cast("long").alias("k"))
     # how many upper bounds are at or below u gives the cell's place; u < 1 and the last bound is 1
-    place = F.size(F.filter("_b", lambda b: b["hi"] <= F.col("u")))
+    place = F.transform(F.array("u"), lambda u: F.size(F.filter("_b", lambda b: b["hi"] <= u)))[0]
     return riders.withColumn("_b", bounds).select("rider_id", F.element_at("_b", F.least(place + 1, F.size("_b")))["cell_id"].alias("cell_id"), "k")
 
 
