@@ -13,7 +13,7 @@ SQL = registry.oracle_sql()
 
 def canonical(df: pd.DataFrame) -> list[str]:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, (str, bytes)) or hasattr(v, "isoformat"):
             return str(v)
