@@ -57,7 +57,7 @@ def write_traces(spark: SparkSession, out: str, run_id: str, selector: str = "al
     if "logit_baseline" in names:
         baseline = logit.logit_decisions(made, people, logit.fit(logit.training_rows(t, s.seed)), s.seed)
         trace = baseline if trace is None else trace.unionByName(baseline)
-    versions = F.when(F.col("config") == "prompt_v2", "rider_agent.v2").otherwise("rider_agent.v1")
+    versions = F.when(F.col("config") == "prompt_v2", "v2").otherwise("v1")
     tables.write_trace(trace.withColumns({"run_id": F.lit(run_id), "prompt_version": versions, "cost_usd": F.lit(0.0)}), f"{out}/trace")
 
 
