@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
 
+#: The names of the sequence features.
 FEATURES = (
     "accept_rate", "fare_pctl_accepted", "wait_accepted_median", "surge_elasticity", "purpose_commute", "purpose_social", "purpose_airport",
     "action_entropy", "run_accept_mean", "run_accept_max", "surge_accepted_mean", "log_n_decisions",

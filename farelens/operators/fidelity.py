@@ -12,6 +12,7 @@ from farelens.functions import stats as S
 from farelens.functions.rand import hash_order, hash_uniform, poisson_one
 from farelens.sources.staging import materialize
 
+#: Number of surge bands, least segment, the tested marginals, and the published elasticity range.
 BANDS = 8
 MIN_SEGMENT = 4
 MARGINALS = ("accepted_fare", "accepted_wait", "accept_rate_by_hour", "purpose_mix")

@@ -10,28 +10,32 @@ from farelens.functions import exprs as X
 HIGH_SURGE, BAD_WAIT_SLACK = 1.5, 10.0
 
 
-def similarity(e: str, o: str) -> Column:
-    """0.4 for the same purpose, 0.3 for the same origin, 0.3 for the same surge band; in tenths, so that ties are exact."""
-    same = lambda c: F.col(f"{e}.{c}") == F.col(f"{o}.{c}")
-    return (
-        F.when(same("purpose"), 4).otherwise(0) + F.when(same("origin_zone"), 3).otherwise(0)
-        + F.when(X.surge_band(F.col(f"{e}.surge")) == X.surge_band(F.col(f"{o}.surge")), 3).otherwise(0)
-    )
+MATCHES = {"purpose": 4, "origin_zone": 3, "band": 3}  # tenths, so that ties are exact
 
 
-def recall(log: DataFrame, k: int = 5, horizon: int | None = None) -> DataFrame:
+def recall(log: DataFrame, k: int = 5) -> DataFrame:
     """For every decision the ``k`` most similar earlier ones of its rider, the later first on ties.
 
-    A rider's log is kept as one sorted array beside each decision only up to ``horizon`` earlier entries
-    (all if None); the self-join on the rider carries the past entries alone.
+    Similarity is 0.4 for the same purpose, 0.3 for the same origin and 0.3 for the same surge band (given
+    in tenths). An episode that agrees in a set of traits and is not among the last ``k`` that do is
+    outranked by those, so the last ``k`` of each of the eight trait sets hold the answer: eight bounded
+    window frames instead of a join of every decision with its past.
     """
-    past = F.col("e.seq") < F.col("o.seq")
-    if horizon is not None:
-        past = past & (F.col("e.seq") >= F.col("o.seq") - horizon)
-    pairs = log.alias("o").join(log.alias("e"), (F.col("o.rider_id") == F.col("e.rider_id")) & past)
-    scored = pairs.select(F.col("o.rider_id").alias("rider_id"), F.col("o.seq").alias("seq"), F.col("e.seq").alias("episode_seq"), similarity("e", "o").cast("long").alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("rider_id", "seq").orderBy(F.desc("similarity"), F.desc("episode_seq")))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    out = log.withColumn("band", X.surge_band("surge")).select("rider_id", "seq", *MATCHES)
+    found = []
+    for chosen in range(1 << len(MATCHES)):
+        traits = [t for bit, t in enumerate(MATCHES) if chosen >> bit & 1]
+        w = Window.partitionBy("rider_id", *traits).orderBy("seq").rowsBetween(-k, -1)
+        out = out.withColumn(f"_w{chosen}", F.collect_list(F.struct("seq", *MATCHES)).over(w))
+        found.append(f"_w{chosen}")
+
+    def scored(e: Column) -> Column:
+        points = sum((F.when(e[t] == F.col(t), p).otherwise(0) for t, p in MATCHES.items()), F.lit(0))
+        return F.struct(points.cast("long").alias("similarity"), e["seq"].alias("episode_seq"))
+
+    best = F.slice(F.sort_array(F.transform(F.array_distinct(F.flatten(F.array(*found))), scored), asc=False), 1, k)
+    ranked = out.select("rider_id", "seq", F.posexplode(best).alias("at", "e"))
+    return ranked.select("rider_id", "seq", "e.episode_seq", "e.similarity", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def aggregates(log: DataFrame, running: bool = False) -> DataFrame:
