@@ -37,6 +37,7 @@ def test_main_text_leaves_out_what_is_not_the_article():
     (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a\nb"), ("<div>x <nav>menu</nav> y</div>", "x\ny"), ("<article><p>cut off <a href='/x", "cut off"),
     ("<p>5 < 6 and 7 > 2</p>", "5 < 6 and 7 > 2"), ("<script>only</script>", ""), ("<article></article><p>body</p>", "body"), ("<article><p>a</p></article><p>outside</p>", "a"),
     ("<article><p>x&am", "x&am"), ("<ARTICLE><P CLASS=ad>no</P><P>yes</P></ARTICLE>", "yes"), ("<div hidden><p>no</p></div><p>yes</p>", "yes"),
+    ("<header><h1>Site</h1></header><article><div class='post-header'><h1>T</h1></div><header><p>by</p></header><p>x</p></article>", "T\nby\nx"),
 ])
 def test_main_text_of_odd_pages(page, text):
     assert H.main_text(page) == text
