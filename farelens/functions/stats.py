@@ -45,27 +45,27 @@ def value_counts(df: DataFrame, value: str, *weights: Column) -> DataFrame:
 
 def global_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
     """One row ``q0, q1, ...``: exact quantiles with linear interpolation over all rows."""
-    ranked = running_sums(value_counts(df, value), value, ["n"])
+    ranked = running_sums(value_counts(df.select(F.col(value).alias("_v")), "_v"), "_v", ["n"])
     aggs = []
     for k, p in enumerate(probs):
         place = (F.col("all_n") - 1) * F.lit(float(p))  # 0-based; a value covers [cum - n, cum - 1]
         low, high = F.floor(place), F.ceil(place)
         covers = lambda at: (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
-        aggs += [F.max(F.when(covers(low), F.col(value))).alias(f"_l{k}"), F.max(F.when(covers(high), F.col(value))).alias(f"_h{k}"), F.max(place - low).alias(f"_f{k}")]
+        aggs += [F.max(F.when(covers(low), F.col("_v"))).alias(f"_l{k}"), F.max(F.when(covers(high), F.col("_v"))).alias(f"_h{k}"), F.max(place - low).alias(f"_f{k}")]
     got = ranked.agg(*aggs)
     return got.select(*((F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).alias(f"q{k}") for k in range(len(probs))))
 
 
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the average-tie rank over the number of rows."""
-    ranked = running_sums(value_counts(df, value), value, ["n"])
-    rank = ranked.select(value, ((F.col("cum_n") - (F.col("n") - 1) / 2.0) / F.col("all_n")).alias(name))
+    ranked = running_sums(value_counts(df.select(F.col(value).alias("_v")), "_v"), "_v", ["n"])
+    rank = ranked.select(F.col("_v").alias(value), ((F.col("cum_n") - (F.col("n") - 1) / 2.0) / F.col("all_n")).alias(name))
     return df.join(rank, value, "left")
 
 
 def ecdf(market: DataFrame, value: str) -> DataFrame:
     """Distinct market values with the fraction of market rows at or below each."""
-    return running_sums(value_counts(market, value), value, ["n"]).select(value, (F.col("cum_n") / F.col("all_n")).alias("ecdf"))
+    return running_sums(value_counts(market.select(F.col(value).alias("_v")), "_v"), "_v", ["n"]).select(F.col("_v").alias(value), (F.col("cum_n") / F.col("all_n")).alias("ecdf"))
 
 
 def ecdf_lookup(probe: DataFrame, probe_value: str, market: DataFrame, market_value: str, name: str) -> DataFrame:

@@ -79,7 +79,8 @@ def assign_riders(trips: DataFrame, draws: DataFrame, cell_table: DataFrame, clu
     return home.withColumn("step", F.lit("home")).unionByName(near.withColumn("step", F.lit("cluster"))).unionByName(rest.withColumn("step", F.lit("all")))
 
 
-def panel_summary(assigned: DataFrame) -> DataFrame:
-    """One row: riders, trips, and the fewest and most trips of a rider."""
-    per = assigned.groupBy("rider_id").agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("n_riders"), F.sum("n").alias("n_trips"), F.min("n").alias("min_trips"), F.max("n").alias("max_trips"))
+def panel_summary(trips: DataFrame) -> DataFrame:
+    """One row: riders, trips, fewest, median and most trips of a rider, and distinct home zones."""
+    per = trips.groupBy("rider_id").agg(F.count("*").alias("n"), F.mode("pickup_zone", deterministic=True).alias("home_zone"))
+    totals = per.agg(F.count("*").alias("n_riders"), F.sum("n").alias("n_trips"), F.min("n").alias("min_trips"), F.max("n").alias("max_trips"), F.count_distinct("home_zone").alias("n_home_zones"))
+    return totals.withColumn("median_trips", S.global_quantiles(per, "n", [0.5]).scalar())

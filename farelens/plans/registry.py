@@ -139,7 +139,8 @@ n3 AS (SELECT n2.rider_id, need - coalesce(g, 0) AS need FROM n2 LEFT JOIN (SELE
 s3 AS (SELECT rider_id, sum(need) OVER w AS hi, sum(need) OVER w - need AS lo FROM n3 WHERE need > 0 WINDOW w AS (ORDER BY rider_id)),
 t3 AS (SELECT tk, row_number() OVER (ORDER BY substr(md5(concat_ws(':', '{SEED}:all', tk)), 1, 8), tk) AS rn FROM placed WHERE tk NOT IN (SELECT tk FROM home) AND tk NOT IN (SELECT tk FROM near))
 SELECT rider_id, tk, 'home' AS step FROM home UNION ALL SELECT rider_id, tk, 'cluster' FROM near UNION ALL SELECT rider_id, tk, 'all' FROM s3 JOIN t3 ON rn > lo AND rn <= hi"""))
-register("panel_summary", lambda i: panel.panel_summary(i.trips.select("rider_id", "tk")), chain(("trips",), "SELECT count(*) AS n_riders, CAST(sum(n) AS BIGINT) AS n_trips, min(n) AS min_trips, max(n) AS max_trips FROM (SELECT count(*) AS n FROM trips GROUP BY rider_id)"))
+register("panel_summary", lambda i: pick(panel.panel_summary(i.trips), ("n_riders", "n_trips", "min_trips", "max_trips", "n_home_zones"), ("median_trips",)),
+         chain(("riders",), f"SELECT count(*) AS n_riders, CAST(sum(observed_trip_count) AS BIGINT) AS n_trips, min(observed_trip_count) AS min_trips, max(observed_trip_count) AS max_trips, count(DISTINCT home_zone) AS n_home_zones, {r('median(observed_trip_count)')} AS median_trips FROM riders"))
 register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), 16, SEED), None)
 
 _LANE = ("pickup_zone", "dropoff_zone")
@@ -262,6 +263,20 @@ register("bernoulli_redraw", lambda i: pick(screening.bernoulli_redraws(i.split,
     SELECT *, CASE WHEN {u(f'{SEED}:draw', "concat_ws(':', replicate, cell, offer_id)")} < p_accept THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM split, (SELECT unnest(range(1, 11)) AS replicate) WHERE period = 'post') GROUP BY 1, 2, 3"""))
 _SCREEN = ("lift", "se_total", "ci_low", "ci_high", "cuped_ci_low")
 register("screen_rank", lambda i: pick(screening.screen(i.full), ("cell", "rank", "screen_in"), _SCREEN), chain(("screened",), f"SELECT cell, rank, CASE WHEN cuped_var_reduction > 0 THEN cuped_ci_low ELSE ci_low END > 0 AS screen_in, {', '.join(f'{r(c)} AS {c}' for c in _SCREEN)} FROM (SELECT *, lift - {screening.Z_975!r}::DOUBLE * se_total AS ci_low, lift + {screening.Z_975!r}::DOUBLE * se_total AS ci_high, lift - {screening.Z_975!r}::DOUBLE * se_cuped AS cuped_ci_low FROM screened)"))
+register("recommendations", lambda i: screening.recommend(screening.screen(i.full).withColumn("_v", screening.backtest(i.full, i.trips, REPLICATES, SEED).select("verdict").scalar()), F.col("_v")).select("cell", "recommendation"),
+         chain(("screened", "real_demand", "sim_ratio", "sim_boot"), f"""SELECT cell, CASE WHEN contains(cell, 'surge') AND NOT agrees THEN 'veto' WHEN lift - {screening.Z_975!r}::DOUBLE * CASE WHEN cuped_var_reduction > 0 THEN se_cuped ELSE se_total END > 0 THEN 'screen_in' ELSE 'hold' END AS recommendation
+         FROM screened, (SELECT coalesce((SELECT log_ratio FROM sim_ratio) * ln((n_high / n_total::DOUBLE) / (n_low / n_total::DOUBLE)) > 0, FALSE) AS agrees FROM real_demand)"""))
+
+
+def _by_config(i: Inputs) -> DataFrame:
+    trace = decisions.trace_all(i.offers, i.personas, SEED, ("full", "demographics_only", "random_baseline"))
+    per = fidelity.labeled_offers(trace).groupBy("config").agg(F.avg(F.pow(F.col("p_accept") - F.col("label"), 2)).alias("brier"), F.avg(F.col("accepted").cast("double")).alias("accept_rate"))
+    base = per.where("config = 'full'").select("brier").scalar()
+    return per.withColumn("brier_delta_vs_full", F.col("brier") - base)
+
+
+register("brier_by_config", lambda i: pick(_by_config(i), ("config",), ("brier", "accept_rate", "brier_delta_vs_full")), chain(("trace",), f"""SELECT config, {r('b')} AS brier, {r('a')} AS accept_rate, {r("b - max(b) FILTER (WHERE config = 'full') OVER ()")} AS brier_delta_vs_full FROM (
+    SELECT config, avg(pow(p_accept - CASE WHEN is_base THEN 1 ELSE 0 END, 2)) AS b, avg(accepted) AS a FROM trace WHERE is_base OR reject_counterfactual GROUP BY config)"""))
 register("daily_volume", lambda i: screening.daily_volume(i.raw), chain(("raw",), "SELECT strftime(m, '%Y-%m') AS month, n, CAST(floor(n / day(last_day(m))) AS BIGINT) AS daily FROM (SELECT date_trunc('month', req) AS m, count(*) AS n FROM raw GROUP BY 1)"))
 
 

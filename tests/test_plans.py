@@ -23,6 +23,9 @@ def test_build_evaluate_screen_and_gate(spark, folder, tmp_path):
     panel = spark.read.parquet(f"{out}/trips").groupBy("rider_id").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
     assert panel[0] >= 5 and panel[1] <= 40 and panel[2] == 60
     E.build_personas(spark, out, 30, 7)
+    choices = E.simulate(spark, out, 5, 2, 7)
+    assert choices.count() == 5 * 2 * 5 and choices.where("price_mult = 1 AND wait_mult = 1").count() == 10
+    assert E.simulate(spark, out, 10**6, 2, 7).count() == 30 * 2 * 5
     metrics = {r.config: r for r in E.evaluate(spark, out, "run1", "baselines", s).collect()}
     assert set(metrics) == {"logit_baseline", "random_baseline"} and all(0 <= r.discriminator_auc <= 1 and r.n_decisions == 360 for r in metrics.values())
     E.write_traces(spark, out, "run2", "llm", s)
