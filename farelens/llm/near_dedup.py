@@ -44,7 +44,7 @@ BANDS = BUCKETS // ROWS
 _EMPTY = np.uint16(0xFFFF)
 _EMPTY_BAND = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a band bucket that are compared with one block at a time.
-BLOCK = 512
+BLOCK = 256
 
 
 def shingle_sets(part: tn.Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
