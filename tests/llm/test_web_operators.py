@@ -65,6 +65,23 @@ def test_wrapper_tells_template_text_from_slots(spark):
     assert group[:3] == ["()", True, False] and {x[0]: x[3][0][3] is None for x in group[3]} == {"p": True, "h3": False}
 
 
+def test_text_of_one_page_is_not_template(spark):
+    body = "<html><body><div>Portal</div><article><h1>Title {k}</h1><p>para {k}</p>{own}</article></body></html>"
+    own = {3: "<blockquote>quoted once</blockquote>", 5: "<h3>one heading</h3><ul><li>one item</li></ul>", 7: "<blockquote><p>deep quote</p><p>deep quote</p></blockquote>"}
+    given = [(k, "http://one.test/a", body.format(k=k, own=own.get(k, ""))) for k in range(12)]
+    got = {r.page_id: r.text.split("\n")[2:] for r in H.extract(pages(spark, given)).collect()}
+    assert got == {k: [] for k in range(12)} | {3: ["quoted once"], 5: ["one heading", "one item"], 7: ["deep quote", "deep quote"]}
+
+
+def test_constant_text_counts_its_pages():
+    one = [H.page_items(H.parse(p)) for p in ("<p>a</p><p>a</p>", "<p>a</p>", "<p>a</p><h2>b</h2>", "<h2>b</h2>")]
+    out = one[0]
+    for items in one[1:]:
+        out = H.align(out, items)
+    count = {x[0]: x[3][0][3][1] for x in out}
+    assert count == {"p": 3, "h2": 2}
+
+
 def test_extraction_of_odd_rows(spark):
     given = [(1, None, None), (2, "no scheme", ""), (3, "http://a.test/", PAGE), (3, "http://a.test/", PAGE), (None, "http://a.test/", "<p>x</p>"), (4, "http://b.test", "<div>" * 5000 + "deep" + "</div>" * 5000), (5, "http://c.test", "<p>w</p>" * 20000)]
     got = H.extract(pages(spark, given)).collect()
