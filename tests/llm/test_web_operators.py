@@ -43,6 +43,18 @@ def test_main_text_of_odd_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><article>{'<div>' * 70}{'</div>' * 70}<p>more</p></article></div>", "more"),
+    (f"<article>{'<div>' * 70}x<nav>menu</nav><aside><p>see also</p></aside><form>send</form>{'</div>' * 70}y</article>", "x\ny"),
+    (f"<p>out</p>{'<section>' * 3000}<article><p>a</p></article>{'</section>' * 3000}<p>out</p>", "a"),
+    (f"<div class=banner>{'<div>' * 3000}<article><h1>t</h1></article>{'</div>' * 3000}</div>", "t"),
+    (f"<ul>{'<li><ul>' * 500}<li>a<li>b{'</ul>' * 501}c", "a\nb\nc"),
+])
+def test_main_text_at_any_depth(page, text):
+    root = H.parse(page)
+    assert H.main_text(page) == text and H.main_text(page, H.align(H.page_items(root), H.page_items(root)), 2) == text
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_alignment_names_every_item_once(a, b):
