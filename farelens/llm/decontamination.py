@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.llm import textnum as tn
+from farelens.llm.storage import materialize
 from farelens.llm.tables import table
 
 WINDOW = 10
-#: The benchmark is searched in blocks of so many text bytes, which bounds what is broadcast at once.
+#: The benchmark is searched in blocks of so many text bytes; one block is in the driver and broadcast at once.
 BLOCK_BYTES = 1 << 20
 #: Every so many text positions, a suffix position is kept.
 SAMPLE = 8
@@ -198,74 +199,139 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(words.start[first].tolist(), words.end[last].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
-    """The benchmark in blocks of bounded size, each broadcast by itself."""
+_ROW, _HIT = "_passage_row", "_passage_hit"
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The benchmark's items and the number of blocks; if there are several, as a table dealt by ``_block``."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // BLOCK_BYTES))
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r["item_id"], r["text"]) for r in dealt.where(F.col("_block") == k).select("item_id", "text").collect()] for k in range(n)]
+    return (items, 1) if n == 1 else (materialize(items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long")), "benchmark"), n)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, n_hit, the items found (sorted strings) and the removal spans in code points.
+def _collected(items: DataFrame) -> list[tuple[int | None, str | None]]:
+    return [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]
 
-    One pass over the documents for each block of the benchmark, without a shuffle.
+
+def _hit_rows(docs: DataFrame, items: DataFrame, blocks: int, window: int, text_col: str) -> DataFrame:
+    """``_ROW, _HIT, items`` of the rows that any block hits: their hit words and items over all blocks.
+
+    A block's hits are written to the shared folder before the next block is read, so one block is held at a time.
     """
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
-    schema = out.schema
-    for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    given = docs.select(_ROW, F.col(text_col).cast("string").alias("text"))
+    schema = given.select(_ROW, F.array().cast("array<long>").alias(_HIT), F.array().cast("array<string>").alias("items")).schema
+    out = None
+    for number in range(blocks):
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(items.where(F.col("_block") == number)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
             for batch in batches:
                 for part in tn.slices(batch.column(1)):
-                    old = batch.slice(part.lo, len(part))
-                    texts = [part.text(k) for k in range(len(part))]
-                    n_words, hits, items, spans = [], [], [], []
-                    for (n, hit, found), text, had, named in zip(search_shard(texts, phrases), texts, old.column(3).to_pylist(), old.column(4).to_pylist(), strict=True):
-                        hit = np.union1d(hit, np.array(had, np.int64)).astype(np.int64) if had else hit
-                        n_words.append(n)
-                        hits.append(hit)
-                        items.append(sorted(found.union(named)))
-                        spans.append([{"begin": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in _spans(text, hit)])
-                    yield pa.RecordBatch.from_arrays([old.column(0), old.column(1), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=schema.names)
+                    found = search_shard([part.text(k) for k in range(len(part))], phrases)
+                    keep = [k for k, (_, hit, _) in enumerate(found) if len(hit)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(part.lo, len(part)).take(pa.array(keep, pa.int64())), pa.array([found[k][1] for k in keep], pa.list_(pa.int64())), pa.array([sorted(found[k][2]) for k in keep], pa.list_(pa.string()))], names=schema.names
+                    )
 
-        out = out.mapInArrow(run, schema)
-    return out.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "spans")
+        one = materialize(given.mapInArrow(run, schema), "hits")
+        sent.destroy()
+        out = one if out is None else out.unionByName(one)
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  as many lists as blocks at most
+    return materialize(out.groupBy(_ROW).agg(merged(_HIT), merged("items")), "hits")
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_words, n_hit, the items found (sorted strings) and the removal spans in code points.
+
+    One pass over the documents for each block of the benchmark; with one block there is no shuffle.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    listed, blocks = _items(benchmark)
+    if blocks == 1:
+        had = given.withColumns({"hit": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(listed))
+    else:
+        given = materialize(given.withColumn(_ROW, F.monotonically_increasing_id()), "documents")
+        had = given.join(_hit_rows(given, listed, blocks, window, "text"), _ROW, "left").select("doc_id", "text", F.col(_HIT).alias("hit"), "items")
+        sent = None
+    schema = had.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), "hit", "items", F.array().cast("array<struct<begin:long,end:long>>").alias("spans")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = None if sent is None else Phrases(sent.value, window)
+        for batch in batches:
+            for part in tn.slices(batch.column(1)):
+                old = batch.slice(part.lo, len(part))
+                texts = [part.text(k) for k in range(len(part))]
+                if phrases is None:
+                    found = [(len(_words(t)), np.array(hit or (), np.int64), named or ()) for t, hit, named in zip(texts, old.column(2).to_pylist(), old.column(3).to_pylist(), strict=True)]
+                else:
+                    found = search_shard(texts, phrases)
+                spans = [[{"begin": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in _spans(text, hit)] for (_, hit, _), text in zip(found, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([old.column(0), old.column(1), pa.array([n for n, _, _ in found], pa.int64()), pa.array([h for _, h, _ in found], pa.list_(pa.int64())), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=schema.names)
+
+    return had.mapInArrow(run, schema).select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with every benchmark passage cut out of their text; all columns stay.
 
-    A cut brings words together that were apart, so a cut text is searched again until nothing is found.
+    A cut brings words together that were apart, so a cut text is searched again, for the whole benchmark,
+    until nothing is found. With several blocks, a round finds the hits of all of them, cuts their union once
+    and writes the changed texts to the shared folder for the next round: blocks do not change the result.
     """
-    schema = docs.schema
-    for block in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    listed, blocks = _items(benchmark)
+    if blocks == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(_collected(listed))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def until_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(sent.value, window)
             for batch in batches:
                 at = batch.schema.get_field_index(text_col)
                 for part in tn.slices(batch.column(at)):
-                    old = batch.slice(part.lo, len(part))
                     texts = [part.text(k) for k in range(len(part))]
                     open_rows = list(range(len(texts)))
                     while open_rows:
                         found = search_shard([texts[k] for k in open_rows], phrases)
                         open_rows = [k for k, (_, hit, _) in zip(open_rows, found, strict=True) if _cut(texts, k, hit)]
-                    new = [t.decode() if ok else None for t, ok in zip(texts, part.valid, strict=True)]
-                    columns = list(old.columns)
-                    columns[at] = pa.array(new, old.schema.field(at).type)
-                    if chars_col in old.schema.names:
-                        c = old.schema.get_field_index(chars_col)
-                        columns[c] = pa.array([None if t is None else len(t) for t in new], old.schema.field(c).type)
-                    yield pa.RecordBatch.from_arrays(columns, schema=old.schema)
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                    yield _with_texts(batch.slice(part.lo, len(part)), part, texts, text_col, chars_col)
+
+        return docs.mapInArrow(until_clean, docs.schema)
+
+    columns = docs.columns
+    if chars_col in columns:
+        docs = docs.withColumn(chars_col, F.length(F.col(text_col).cast("string")).cast(docs.schema[chars_col].dataType))
+    now, out = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "documents"), None
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in tn.slices(batch.column(at)):
+                old = batch.slice(part.lo, len(part))
+                texts = [part.text(k) for k in range(len(part))]
+                for k, hit in enumerate(old.column(old.num_columns - 1).to_pylist()):
+                    _cut(texts, k, np.array(hit, np.int64))
+                yield _with_texts(old, part, texts, text_col, chars_col)
+
+    while True:
+        hits = _hit_rows(now, listed, blocks, window, text_col).select(_ROW, _HIT)
+        clean = now.join(hits, _ROW, "left_anti").select(*columns)
+        out = clean if out is None else out.unionByName(clean)
+        if hits.isEmpty():
+            return out
+        found = now.join(hits, _ROW).select(*now.columns, _HIT)
+        now = materialize(found.mapInArrow(once, found.schema).drop(_HIT), "cut")
+
+
+def _with_texts(old: pa.RecordBatch, part: tn.Slice, texts: list[bytes], text_col: str, chars_col: str | None) -> pa.RecordBatch:
+    new = [t.decode() if ok else None for t, ok in zip(texts, part.valid, strict=True)]
+    columns, at = list(old.columns), old.schema.get_field_index(text_col)
+    columns[at] = pa.array(new, old.schema.field(at).type)
+    if chars_col in old.schema.names:
+        c = old.schema.get_field_index(chars_col)
+        columns[c] = pa.array([None if t is None else len(t) for t in new], old.schema.field(c).type)
+    return pa.RecordBatch.from_arrays(columns, schema=old.schema)
 
 
 def _cut(texts: list[bytes], k: int, hit: np.ndarray) -> bool:

@@ -170,6 +170,29 @@ def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
     assert sorted(rows(D.find_passages(docs, bench)), key=repr) == whole
 
 
+def test_blocks_do_not_change_what_is_cut(spark, monkeypatch):
+    w = [f"w{k}" for k in range(40)]
+    items = [" ".join(w[:10]), " ".join(w[6:16]), " ".join(w[20:30]), " ".join(w[30:40]), "short one"]
+    texts = ["x " + " ".join(w[:16]) + " y", " ".join([*w[20:25], *w[30:40], *w[25:30], "z"]), " ".join([*w[30:33], *w[20:30], *w[33:40], "z"]), " ".join(["short", *w[6:9], *w[:10], *w[9:16], "one", "z"]), "clean", None, "clean"]
+    docs = spark.createDataFrame([(k, t, 0, "h", "i") for k, t in enumerate(texts)], "doc_id long, text string, n_chars long, _hit string, items string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    order = lambda df: sorted(rows(df), key=repr)
+    whole = order(D.decontaminate(docs, bench))
+    assert [r[1] for r in whole][:3] == ["x  y", " z", " z"]
+    for size in (10, 60):  # about 17 and 3 blocks
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        assert order(D.decontaminate(docs, bench)) == whole
+
+
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    held, most, plain = [], [], D._collected
+    monkeypatch.setattr(D, "_collected", lambda items: held.append(out := plain(items)) or most.append(len(out)) or out)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    bench = spark.createDataFrame([(k, LOREM[k * 5 :]) for k in range(12)], "item_id long, text string")
+    D.find_passages(odd_docs(spark), bench).collect()
+    assert sum(most) == 12 and max(most) < 12
+
+
 def test_decontamination_with_empty_tables(spark):
     docs, bench = odd_docs(spark), spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in D.find_passages(docs, bench).collect()} == {0} and D.find_passages(docs, bench).count() == 13
