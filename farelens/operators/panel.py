@@ -33,6 +33,11 @@ def draw_cells(cell_table: DataFrame, spark, n_riders: int, seed: int, min_trips
     return riders.withColumn("_b", bounds).select("rider_id", F.element_at("_b", F.least(place + 1, F.size("_b")))["cell_id"].alias("cell_id"), "k")
 
 
+def cluster_count(n_riders: int) -> int:
+    """Clusters of cells for a panel: one for eight riders, 16 at least."""
+    return max(16, n_riders // 8)
+
+
 def kmeans_clusters(cell_table: DataFrame, k: int, seed: int) -> DataFrame:
     """``cell_id, cluster``: K-means on standardized cell columns."""
     from pyspark.ml.clustering import KMeans

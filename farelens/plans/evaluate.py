@@ -23,9 +23,9 @@ class Settings:
     seed: int = 7
     replicates: int = 500
     permutations: int = 200
-    clusters: int = 16
+    clusters: int | None = None  # as many as panel.cluster_count gives
     discriminator_folds: int = 5
-    discriminator_trees: int = 20
+    discriminator_trees: int = 100
 
 
 def build_panel(spark: SparkSession, raw: DataFrame, out: str, settings: Settings | None = None) -> None:
@@ -37,7 +37,7 @@ def build_panel(spark: SparkSession, raw: DataFrame, out: str, settings: Setting
     tables.write_table(keyed.drop("rider_id"), f"{out}/usable")
     usable = spark.read.parquet(f"{out}/usable")
     cells = panel.cells(usable)
-    assigned = panel.assign_riders(usable, panel.draw_cells(cells, spark, s.n_riders, s.seed), cells, panel.kmeans_clusters(cells, s.clusters, s.seed), s.seed)
+    assigned = panel.assign_riders(usable, panel.draw_cells(cells, spark, s.n_riders, s.seed), cells, panel.kmeans_clusters(cells, s.clusters or panel.cluster_count(s.n_riders), s.seed), s.seed)
     tables.write_table(usable.join(assigned.select("tk", "rider_id"), "tk"), f"{out}/trips")
     tables.write_table(personas.riders_of(spark.read.parquet(f"{out}/trips")), f"{out}/riders")
 

@@ -141,7 +141,7 @@ t3 AS (SELECT tk, row_number() OVER (ORDER BY substr(md5(concat_ws(':', '{SEED}:
 SELECT rider_id, tk, 'home' AS step FROM home UNION ALL SELECT rider_id, tk, 'cluster' FROM near UNION ALL SELECT rider_id, tk, 'all' FROM s3 JOIN t3 ON rn > lo AND rn <= hi"""))
 register("panel_summary", lambda i: pick(panel.panel_summary(i.trips), ("n_riders", "n_trips", "min_trips", "max_trips", "n_home_zones"), ("median_trips",)),
          chain(("riders",), f"SELECT count(*) AS n_riders, CAST(sum(observed_trip_count) AS BIGINT) AS n_trips, min(observed_trip_count) AS min_trips, max(observed_trip_count) AS max_trips, count(DISTINCT home_zone) AS n_home_zones, {r('median(observed_trip_count)')} AS median_trips FROM riders"))
-register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), 16, SEED), None)
+register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), panel.cluster_count(2000), SEED), None)
 
 _LANE = ("pickup_zone", "dropoff_zone")
 register("lane_price_history", lambda i: pick(lookups.price_history(i.trips), (*_LANE, "scope", "n_trips"), ("market_fare_p50", "market_fare_p90")),
@@ -365,11 +365,10 @@ register("logit_baseline", _logit, None)
 
 
 def _discriminator(i: Inputs) -> DataFrame:
-    columns = [f for f in features.FEATURES if f != "surge_elasticity"]
     order = [F.col("offer_id")]
-    real = features.sequence_features(i.real.withColumn("offer_id", F.col("tk")), i.real, order, slopes=False)
-    sim = features.sequence_features(i.full, i.real, order, slopes=False)
-    scores = fidelity.discriminator(real, sim, columns, folds=3, trees=5)
+    real = features.sequence_features(i.real.withColumn("offer_id", F.col("tk")), i.real, order)
+    sim = features.sequence_features(i.full, i.real, order)
+    scores = fidelity.discriminator(real, sim, list(features.FEATURES), folds=5, trees=100)
     return S.auc(scores.withColumn("label", (~F.col("is_real")).cast("int")), "score", "label").select(six("auc").alias("auc"))
 
 

@@ -6,8 +6,9 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from farelens.operators import features, fidelity, panel
 from farelens.plans import evaluate as E
-from farelens.plans import report
+from farelens.plans import registry, report
 from farelens.sources import tables
 from farelens.sources.views import raw_trips
 from farelens.streaming import decisions as D
@@ -63,3 +64,30 @@ def test_core_works_without_the_optional_part(tmp_path):
     """The entry still imports when the optional subpackage and the pipeline are gone."""
     code = "import shutil, sys; r, t = sys.argv[1:]; shutil.copytree(r + '/farelens', t + '/farelens', ignore=shutil.ignore_patterns('llm', '__pycache__')); shutil.copy(r + '/__spark_entry__.py', t); sys.path.insert(0, t); import __spark_entry__ as e; assert len(e.queries()) > 70 and 'pipeline' not in e.queries() and not any(q.startswith('op') and q[2].isdigit() for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code, ROOT, str(tmp_path)], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"} | {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+
+
+def test_discriminator_query_has_all_features_folds_and_trees(spark, folder, monkeypatch):
+    asked = {}
+
+    def scores(real, sim, columns, folds, trees):
+        asked.update(columns=columns, folds=folds, trees=trees, missing=set(columns) - set(real.columns) & set(sim.columns))
+        return spark.createDataFrame([("a", True, 0.1), ("b", False, 0.9)], "item string, is_real boolean, score double")
+
+    monkeypatch.setattr(fidelity, "discriminator", scores)
+    assert registry.queries()["discriminator_auc"](spark, folder).first().auc == 1.0
+    assert asked == {"columns": list(features.FEATURES), "folds": 5, "trees": 100, "missing": set()}
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("given", "k"), [({}, 50), ({"clusters": 4}, 4), ({"n_riders": 60}, 16)])
+def test_panel_has_a_cluster_for_eight_riders(spark, folder, tmp_path, monkeypatch, given, k):
+    def asked(cells, k, seed):
+        raise Asked(k)
+
+    monkeypatch.setattr(panel, "kmeans_clusters", asked)
+    with pytest.raises(Asked, match=f"^{k}$"):
+        E.build_panel(spark, raw_trips(spark, folder), str(tmp_path), E.Settings(**{"n_riders": 400} | given))
+    assert E.Settings().discriminator_trees == 100
