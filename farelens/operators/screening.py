@@ -97,10 +97,10 @@ def sampling_errors(split: DataFrame) -> DataFrame:
 
 
 def bernoulli_redraws(split: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Per cell, rider and replicate the accept rate of redrawn decisions (post period)."""
+    """Per cell, rider and replicate the four metrics of redrawn decisions (post period)."""
     drawn = split.where("period = 'post'").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     hit = (hash_uniform(f"{seed}:draw", F.concat_ws(":", "replicate", "cell", "offer_id")) < F.col("p_accept")).cast("double")
-    return drawn.withColumn("hit", hit).groupBy("cell", "rider_id", "replicate").agg(F.avg("hit").alias("accept_rate"), F.sum("hit").alias("completed_rides"), F.avg(F.when(F.col("hit") == 1, F.col("quoted_fare"))).alias("mean_fare"))
+    return drawn.withColumn("hit", hit).groupBy("cell", "rider_id", "replicate").agg(F.avg("hit").alias("accept_rate"), F.sum("hit").alias("completed_rides"), F.avg(F.when(F.col("hit") == 1, F.col("quoted_fare"))).alias("mean_fare"), (1.0 - F.avg("hit")).alias("abandonment_rate"))
 
 
 def redraw_errors(split: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -111,14 +111,46 @@ def redraw_errors(split: DataFrame, replicates: int, seed: int) -> DataFrame:
     return per.groupBy("cell").agg(F.sqrt(F.avg("v") / F.count("*")).alias("se_sampling_draws"))
 
 
+def metric_errors(split: DataFrame, deltas: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per cell and metric the sampling error over the riders with both numbers.
+
+    Rates and rides have closed forms; the mean fare, whose number of rides is drawn, has redraws (0 for a
+    rider without any).
+    """
+    n, noise = F.count("*"), F.sum(F.col("p_accept") * (1 - F.col("p_accept")))
+    closed = split.where("period = 'post'").groupBy("cell", "rider_id").agg((noise / F.pow(n, F.lit(2.0))).alias("rate"), noise.alias("rides"))
+    long = closed.select("cell", "rider_id", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col("rides" if m == "completed_rides" else "rate").alias("v")) for m in METRICS if m != "mean_fare"))).alias("m")).select("cell", "rider_id", "m.*")
+    control = long.where("cell = 'control'").select("rider_id", "metric", F.col("v").alias("vc"))
+    exact = long.where("cell <> 'control'").join(control, ["rider_id", "metric"]).select("cell", "rider_id", "metric", (F.col("v") + F.col("vc")).alias("v"))
+    fares = bernoulli_redraws(split, replicates, seed).select("cell", "rider_id", "replicate", "mean_fare")
+    base = fares.where("cell = 'control'").select("rider_id", "replicate", F.col("mean_fare").alias("c"))
+    drawn = fares.where("cell <> 'control'").join(base, ["rider_id", "replicate"]).groupBy("cell", "rider_id").agg(F.coalesce(F.var_pop(F.col("mean_fare") - F.col("c")), F.lit(0.0)).alias("v"))
+    each = exact.unionByName(drawn.select("cell", "rider_id", F.lit("mean_fare").alias("metric"), "v"))
+    valid = deltas.where("delta IS NOT NULL AND covariate IS NOT NULL").select("cell", "rider_id", "metric")
+    return each.join(valid, ["cell", "rider_id", "metric"]).groupBy("cell", "metric").agg(F.sqrt(F.avg("v") / F.count("*")).alias("se_sampling"))
+
+
+def _with_intervals(lifts: DataFrame) -> DataFrame:
+    total = F.sqrt(F.col("se_rider") * F.col("se_rider") + F.col("se_sampling") * F.col("se_sampling"))
+    cuped = F.sqrt(F.col("se_rider_cuped") * F.col("se_rider_cuped") + F.col("se_sampling") * F.col("se_sampling"))
+    out = lifts.withColumns({"se_total": total, "se_cuped": cuped})
+    return out.withColumns({"ci_low": F.col("lift") - Z_975 * F.col("se_total"), "ci_high": F.col("lift") + Z_975 * F.col("se_total"), "cuped_ci_low": F.col("lift") - Z_975 * F.col("se_cuped")})
+
+
+def screen_metrics(trace: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Every cell and metric: lift, sampling and total error, interval and CUPED interval; nulls under five pairs."""
+    split = pre_post_split(with_cells(trace))
+    deltas = paired_deltas(rider_metrics(split))
+    out = _with_intervals(cell_lifts(deltas).join(metric_errors(split, deltas, replicates, seed), ["cell", "metric"], "left"))
+    out = out.withColumn("se_sampling", F.when(F.col("n") >= MIN_PAIRS, F.col("se_sampling")))
+    return out.withColumn("cuped_ci_high", F.col("lift") + Z_975 * F.col("se_cuped"))
+
+
 def screen(trace: DataFrame) -> DataFrame:
     """All cells ranked by lift: total error, intervals and the recommendation."""
     split = pre_post_split(with_cells(trace))
     lifts = cell_lifts(paired_deltas(rider_metrics(split))).where(F.col("metric") == PRIMARY).join(sampling_errors(split), "cell")
-    total = F.sqrt(F.col("se_rider") * F.col("se_rider") + F.col("se_sampling") * F.col("se_sampling"))
-    cuped = F.sqrt(F.col("se_rider_cuped") * F.col("se_rider_cuped") + F.col("se_sampling") * F.col("se_sampling"))
-    out = lifts.withColumns({"se_total": total, "se_cuped": cuped})
-    out = out.withColumns({"ci_low": F.col("lift") - Z_975 * F.col("se_total"), "ci_high": F.col("lift") + Z_975 * F.col("se_total"), "cuped_ci_low": F.col("lift") - Z_975 * F.col("se_cuped")})
+    out = _with_intervals(lifts)
     low = F.when(F.col("cuped_var_reduction") > 0, F.col("cuped_ci_low")).otherwise(F.col("ci_low"))
     out = out.withColumn("screen_in", F.coalesce(low > 0, F.lit(False)))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("lift").desc_nulls_last(), "cell")).cast("long"))  # as many rows as cells

@@ -26,6 +26,7 @@ class Settings:
     clusters: int | None = None  # as many as panel.cluster_count gives
     discriminator_folds: int = 5
     discriminator_trees: int = 100
+    redraws: int = 200
 
 
 def build_panel(spark: SparkSession, raw: DataFrame, out: str, settings: Settings | None = None) -> None:
@@ -70,13 +71,17 @@ def write_traces(spark: SparkSession, out: str, run_id: str, selector: str = "al
     tables.write_trace(trace.withColumns({"run_id": F.lit(run_id), "prompt_version": versions, "cost_usd": F.lit(0.0)}), f"{out}/trace")
 
 
-def score_riders(trace: DataFrame, real: DataFrame, settings: Settings) -> DataFrame:
-    """Out-of-fold discriminator scores (item, is_real, score) of one configuration."""
-    columns = list(features.FEATURES)
+def rider_features(trace: DataFrame, real: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The features of real and of simulated riders of one configuration."""
     order = [hash_uniform(settings.seed, "offer_id"), F.col("offer_id")]
     sim = features.sequence_features(trace, real, order)
     seen = real.join(trace.select("rider_id").distinct(), "rider_id", "left_semi").withColumn("offer_id", F.col("tk"))
-    return fidelity.discriminator(features.sequence_features(seen, real, order), sim, columns, settings.discriminator_folds, settings.discriminator_trees, settings.seed)
+    return features.sequence_features(seen, real, order), sim
+
+
+def score_riders(trace: DataFrame, real: DataFrame, settings: Settings) -> DataFrame:
+    """Out-of-fold discriminator scores (item, is_real, score) of one configuration."""
+    return fidelity.discriminator(*rider_features(trace, real, settings), list(features.FEATURES), settings.discriminator_folds, settings.discriminator_trees, settings.seed)
 
 
 def auc_interval(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -118,23 +123,27 @@ def with_deltas(summary: DataFrame) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, out: str, run_id: str, selector: str = "all", settings: Settings | None = None) -> DataFrame:
-    """Traces -> ``metrics`` (one row per configuration) and ``permutations``; returns the metrics."""
+    """Traces -> ``metrics`` (one row per configuration), ``permutations`` and ``importances``; returns the metrics."""
     s = settings or Settings()
     write_traces(spark, out, run_id, selector, s)
     real = trips.accepted_events(spark.read.parquet(f"{out}/trips"))
-    summary = scores = None
+    summary = scores = gains = None
     for config in decisions.select_configs(selector):  # a handful of named configurations
-        row, scored = config_metrics(tables.read_trace(spark, f"{out}/trace", run_id, config), real, s)
+        trace = tables.read_trace(spark, f"{out}/trace", run_id, config)
+        row, scored = config_metrics(trace, real, s)
+        gain = fidelity.importances(*rider_features(trace, real, s), list(features.FEATURES), s.discriminator_trees, s.seed).withColumn("config", F.lit(config))
+        gains = gain if gains is None else gains.unionByName(gain)
         row, scored = row.withColumn("config", F.lit(config)), scored.withColumn("config", F.lit(config))
         summary = row if summary is None else summary.unionByName(row)
         scores = scored if scores is None else scores.unionByName(scored)
     tables.write_table(with_deltas(summary), f"{out}/metrics")
     tables.write_table(fidelity.permutation_test(scores, s.permutations, s.seed), f"{out}/permutations")
+    tables.write_table(gains, f"{out}/importances")
     return spark.read.parquet(f"{out}/metrics")
 
 
 def screen_run(spark: SparkSession, out: str, run_id: str, config: str = "full", settings: Settings | None = None) -> DataFrame:
-    """A trace -> ranked cells with power, days and recommendation, written as ``screening``."""
+    """A trace -> ranked cells with power, days and recommendation, written as ``screening``; all metrics as ``screening_metrics``."""
     s = settings or Settings()
     trace, t = tables.read_trace(spark, f"{out}/trace", run_id, config), spark.read.parquet(f"{out}/trips")
     ranked = screening.screen(trace)
@@ -142,6 +151,7 @@ def screen_run(spark: SparkSession, out: str, run_id: str, config: str = "full",
     advised = screening.recommend(ranked.withColumn("_verdict", verdict), F.col("_verdict")).drop("_verdict")
     daily = spark.read.parquet(f"{out}/usable").agg(F.floor(F.count("*") / 31).alias("d")).scalar()
     power = screening.power_table(screening.effects_of(ranked, trace), daily).select(F.col("name").alias("cell"), "n_per_arm", "days")
+    tables.write_table(screening.screen_metrics(trace, s.redraws, s.seed), f"{out}/screening_metrics")
     tables.write_table(advised.join(power, "cell", "left"), f"{out}/screening")
     return spark.read.parquet(f"{out}/screening").orderBy("rank")
 

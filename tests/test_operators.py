@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,45 @@ def test_redraws_agree_with_the_closed_form(spark):
     assert b.se_sampling_draws == pytest.approx(a.se_sampling, rel=0.2)
 
 
+def test_all_four_metrics_have_errors_and_intervals(spark):
+    trace = screening_trace(spark, 0.1)
+    by = {r.metric: r for r in screening.screen_metrics(trace, 60, 5).collect()}
+    assert set(by) == set(screening.METRICS) and {r.cell for r in by.values()} == {"price_-20"}
+    for r in by.values():
+        assert r.se_total == pytest.approx((r.se_rider**2 + r.se_sampling**2) ** 0.5)
+        assert r.ci_low <= r.lift <= r.ci_high and r.cuped_ci_low <= r.lift <= r.cuped_ci_high
+        assert (r.se_total > 0) == (r.metric != "mean_fare")  # all fares are equal here
+    top, split = screening.screen(trace).first(), screening.pre_post_split(screening.with_cells(trace))
+    assert (by["accept_rate"].se_total, by["accept_rate"].cuped_ci_low) == pytest.approx((top.se_total, top.cuped_ci_low))
+    assert by["abandonment_rate"].se_sampling == pytest.approx(by["accept_rate"].se_sampling)
+    per = {}
+    for r in screening.bernoulli_redraws(split, 200, 5).collect():
+        per.setdefault((r.cell, r.rider_id), []).append(r.completed_rides)
+    riders = {r for _, r in per}
+    v = [np.var(np.subtract(per["price_-20", r], per["control", r])) for r in riders]
+    assert by["completed_rides"].se_sampling == pytest.approx((np.mean(v) / len(v)) ** 0.5, rel=0.2)
+
+
+def test_mean_fare_error_matches_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(r, f"{c}{k}", m, 1.0, 0.5, rng.uniform(5, 50), 1.1, (r + k) % 2) for r in range(12) for c, m in (("c", 1.0), ("t", 0.8)) for k in range(8)]
+    trace = spark.createDataFrame(rows, "rider_id long, offer_id string, price_mult double, surge_mult double, p_accept double, quoted_fare double, surge double, accepted long")
+    got = screening.screen_metrics(trace, 30, 5).where("metric = 'mean_fare'").first()
+    drawn = {(r.cell, r.rider_id, r.replicate): r.mean_fare for r in screening.bernoulli_redraws(screening.pre_post_split(screening.with_cells(trace)), 30, 5).collect()}
+    v = []
+    for r in range(12):
+        both = [(drawn["price_-20", r, k], drawn["control", r, k]) for k in range(1, 31)]
+        v.append(np.var([a - b for a, b in both if a is not None and b is not None]))
+    assert got.n == 12 and got.se_sampling == pytest.approx((np.mean(v) / 12) ** 0.5)
+
+
+def test_importances_name_the_feature_that_tells_riders_apart(spark):
+    rng = random.Random(2)
+    make = lambda shift: spark.createDataFrame([(k, rng.random(), rng.random() + shift, rng.random()) for k in range(60)], "rider_id long, a double, b double, c double")
+    got = fidelity.importances(make(0), make(2), ["a", "b", "c"], trees=3).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and got[0].feature == "b" and [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
+
+
 def test_few_pairs_give_nulls(spark):
     trace = screening_trace(spark, 0.1, riders=4)
     deltas = screening.paired_deltas(screening.rider_metrics(screening.pre_post_split(screening.with_cells(trace))))
