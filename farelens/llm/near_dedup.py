@@ -10,18 +10,22 @@ lower-cased (a shorter text's whole sequence is its one shingle). Documents with
 3. Bands of 4 registers are hashed; in each band bucket every node is a candidate with the bucket's
    smallest node only (a star). Candidates pass the exact size bound and the collision-corrected
    Jaccard estimate of the sketches, and are then verified on their full sets. Links give components.
-4. Buckets that still hold several components are compared in blocks, across components only, by
-   sketch; members that the estimate admits to a partner stay. Their full sets meet in the same blocks,
-   where intersections are counted exactly and a spanning forest of the links found is kept. So no pair
-   that shares a band is lost, and a block never gives more rows than it has members.
+4. Buckets that still hold several components are compared in groups, across components only, by
+   sketch. A bucket of up to 2 * BLOCK members is one group. Of a larger one, members with MANY_SHINGLES or more
+   meet only those that share a second band with them; smaller sets, and what still is a large bucket after
+   the second band, are cut by set size (sets whose sizes rule the bound out never meet) and then into pairs of
+   blocks. Members that the estimate admits to a partner stay; their full sets meet in the same groups, cut
+   into chunks of CHUNK_BYTES, where intersections are counted exactly and a spanning forest of the links found is kept.
+   So a group never gives more rows than it has members, and its memory has a bound.
 
-Two sets at the bound share a band with probability 1 - (1 - 0.8 ** 4) ** 32 > 1 - 1e-7; the estimate's
-margin is five standard deviations.
+Two sets at the bound share a band with probability 1 - (1 - 0.8 ** 4) ** 32 > 1 - 1e-7, two bands with
+probability > 1 - 2e-6; the estimate's margin is five standard deviations.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is its
 own component; a row whose id is null belongs to its group but never names it (a group of only such rows
-has a null component); rows that repeat get equal rows (``keep_one`` keeps one of them); an empty table
-gives an empty result; extra columns are ignored (``keep_one`` keeps them).
+has a null component); rows that repeat get equal rows (``keep_one`` keeps one of them); ties for the smallest
+set id go to the smaller text hash; a text of any length is one row of its task, its set takes 8 bytes a
+shingle; an empty table gives an empty result; extra columns are ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.llm import textnum as tn
-from farelens.llm.storage import materialize
+from farelens.llm.joins import join_unique
+from farelens.llm.storage import discard, materialize
 from farelens.llm.tables import table
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -43,8 +48,14 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 _EMPTY = np.uint16(0xFFFF)
 _EMPTY_BAND = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Members of a band bucket that are compared with one block at a time.
+#: Members of a large bucket that are compared with one block at a time.
 BLOCK = 256
+#: Sets of so many shingles or more share two bands of their sketches if they meet the bound.
+MANY_SHINGLES = 64
+#: Bytes of full sets that are compared with one chunk at a time; a set is never split.
+CHUNK_BYTES = 8 << 20
+#: Nodes whose sets a task remembers to have made; the memory is emptied when full.
+_MADE = 100_000
 
 
 def shingle_sets(part: tn.Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +128,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``nid, shingles`` of the wanted nodes (nid, node, rep, text_key), made anew from one text of each."""
+def _row_key(id_col: str) -> Column:
+    """The id, or the least number for a null one: together with the text's hash it names a text."""
+    return F.coalesce(F.col(id_col), F.lit(-(2**63)))
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``nid, shingles`` of the wanted nodes (nid, node, rep, text_key), made anew from one text of each.
+
+    ``rows`` are the features of ``docs``; a row that repeats often is found there, so its copies are not
+    moved to one task, and a task makes a node's set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()
         for batch in batches:
+            fresh = []
+            for nid in batch.column(0).to_pylist():
+                fresh.append(nid not in made)
+                if len(made) >= _MADE:
+                    made.clear()
+                made.add(nid)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for part in tn.slices(batch.column(2)):
                 row, grams = shingle_sets(part, words)
                 ends, _, halves = digests(row, grams, len(part))
@@ -130,8 +158,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = pa.array([grams[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, len(part)), sets], names=["nid", "shingles"]).filter(same)
 
-    d = _keyed(docs)
-    near = d.join(wanted.withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("_key")))
+    keys = ["_id", "text_key"]
+    given = _keyed(docs).select(_row_key("doc_id").alias("_id"), "text_key", "text")
+    counts = rows.groupBy(_row_key("doc_id").alias("_id"), "text_key").agg(F.count("*").alias("n"))
+    near = join_unique(given, wanted.select(_row_key("rep").alias("_id"), "text_key", "nid", "node"), keys, counts, rows.count())
     return near.select("nid", "node", "text").mapInArrow(run, "nid long, shingles binary").dropDuplicates(["nid"])
 
 
@@ -170,11 +200,11 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     one = nodes.select(F.col("nid").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
     two = nodes.select(F.col("nid").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
-    both = pairs.join(two, "b").where("nb IS NOT NULL").join(one, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = join_unique(pairs, one, ["a"]).join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rows: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """Of pairs (a, b) those whose full sets meet the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,31 +219,64 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     ids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    sets = materialize(_full_sets(docs, ids.join(nodes, "nid").select("nid", "node", "rep", "text_key"), words), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), f"{name}-links")
+    sets = materialize(_full_sets(docs, ids.join(nodes, "nid").select("nid", "node", "rep", "text_key"), rows, words), f"{name}-sets")
+    both = join_unique(pairs, sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), ["a"]).join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
+    links = materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), f"{name}-links")
+    discard(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """``nid, label`` of every node with a link; the label is the smallest nid that it reaches.
 
-    Each round takes the smallest label among neighbours and then jumps to the label's own label; rounds
-    grow with the logarithm of a component's diameter. Every round is written to the shared folder.
+    In a round every node hooks to its smallest neighbour if that is smaller, chains of hooks are cut by
+    jumps to the end, and links are drawn between the ends that are left. A round leaves at most half of the
+    nodes (only nodes smaller than all their neighbours stay), and jumps take the logarithm of a chain's length. What
+    every step gives is written to the shared folder.
     """
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("nid")).agg(F.least(F.min("b"), F.col("nid")).alias("label")), "labels")
+    edges = materialize(_edges(links), "edges")
+    labels = None
+    while not edges.isEmpty():
+        ends = _ends(edges.groupBy(F.col("high").alias("nid")).agg(F.min("low").alias("label")))
+        left = materialize(_edges(_moved(_moved(edges, ends, "low"), ends, "high").select(F.col("low").alias("a"), F.col("high").alias("b"))), "edges")
+        if labels is None:
+            labels = ends
+        else:
+            new = materialize(_moved(labels, ends, "label").unionByName(ends), "labels")
+            discard(labels, ends)
+            labels = new
+        discard(edges)
+        edges = left
+    if labels is None:
+        return links.select(F.col("a").alias("nid"), F.col("b").alias("label")).limit(0)
+    return labels.unionByName(labels.select(F.col("label").alias("nid"), "label").distinct())
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
+
+
+def _moved(df: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    """``column`` goes to the end of its chain, if it hooks to one."""
+    to = ends.select(F.col("nid").alias(column), F.col("label").alias("_to"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).select(*df.columns)
+
+
+def _ends(hooks: DataFrame) -> DataFrame:
+    """Hooks (nid to a smaller label) with every label moved to the end of its chain, four hooks in a step."""
+    now = materialize(hooks, "labels")
     while True:
-        heard = edges.join(labels.withColumnRenamed("nid", "b"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "nid").select("nid", "label", F.least("label", "heard").alias("lower"))
-        jump = labels.select(F.col("nid").alias("lower"), F.col("label").alias("beyond"))
-        new = materialize(lower.join(jump, "lower", "left").select("nid", F.col("label").alias("was"), F.least("lower", "beyond").alias("label")), "labels")
-        labels = new.select("nid", "label")
-        if new.where("was <> label").isEmpty():
-            return labels
+        twice = _moved(now, now, "label")
+        new = materialize(_moved(twice, twice, "label"), "labels")
+        moving = not new.join(new.select(F.col("nid").alias("label")), "label", "left_semi").isEmpty()
+        discard(now)
+        now = new
+        if not moving:
+            return now
 
 
-def _by_group(process):
-    """Runs ``process`` on each group of rows that agree in band, key, i and j; rows must come grouped."""
+def _by_group(columns: list[str], process):
+    """Runs ``process`` on each group of rows that agree in the columns; rows must come grouped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,62 +284,134 @@ def _by_group(process):
         for batch in batches:
             if not len(batch):
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")], axis=1)
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and not np.array_equal(last, key[lo]):
-                    if (found := process(pa.Table.from_batches(held))) is not None:
-                        yield found
+                    yield from process(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = key[lo]
-        if held and (found := process(pa.Table.from_batches(held))) is not None:
-            yield found
+        if held:
+            yield from process(pa.Table.from_batches(held))
 
     return run
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+def _grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.repartition(*columns).sortWithinPartitions(*columns)
+
+
+#: A group: its band, a second band (or one of the marks below), its key, and two blocks.
+_GROUP = ["band", "band2", "key", "i", "j"]
+_WHOLE, _SMALL = -1, -2
+_PLACE = "band int, band2 int, key long, i int, j int"
+
+
+def _part(band: Column) -> Column:
+    return F.substring(F.col("registers"), band * 2 * ROWS + 1, F.lit(2 * ROWS))
 
 
-_PLACE = ["band", "key", "i", "j", "block", "nid", "component"]
+_NO_PART = bytes([255] * 2 * ROWS)
+
+
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Members of large groups (band, band2, key) dealt to pairs of blocks by set size.
+
+    A class of sizes spans one factor of the bound, so partners are of one class or of neighbours: a class
+    meets itself and the next one (``main`` marks the class itself).
+    """
+    step = float(np.log(100 / percent) * 1.000001) if percent < 100 else 1e-9
+    size_class = F.floor(F.ln("n_shingles") / step).cast("long")
+    both = rows.withColumn("_c", size_class).withColumn("_at", F.explode(F.array(F.col("_c") - 1, F.col("_c")))).withColumn("main", F.col("_c") == F.col("_at"))
+    both = both.withColumn("key", F.xxhash64("key", "_at")).drop("_c", "_at")
+    counts = both.groupBy("band", "band2", "key").agg(F.count("*").alias("_n"), F.count_if("main").alias("_main"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    counts = counts.where("_n > 1 AND _main > 0 AND _low <> _high").select("band", "band2", "key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    dealt = join_unique(both, counts, ["band", "band2", "key"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("nid"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.select("band", "band2", "key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "main", "nid", "component")
+
+
+def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The groups in which members (band, key, n, nid, component) of open buckets are compared."""
+    size = nodes.select("nid", "n_shingles")
+    whole = lambda df, mark: df.select("band", mark.alias("band2"), "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.lit(True).alias("main"), "nid", "component")
+    out = whole(placed.where(F.col("n") <= 2 * BLOCK), F.lit(_WHOLE))
+    large = placed.where(F.col("n") > 2 * BLOCK)
+    if large.isEmpty():
+        return out
+    large = large.join(size, "nid")
+    few = large.where(F.col("n_shingles") < MANY_SHINGLES * 100 / percent).withColumn("band2", F.lit(_SMALL))
+    out = out.unionByName(_in_blocks(materialize(few.select("band", "band2", "key", "nid", "component", "n_shingles"), "dedup-few"), percent))
+    more = large.where(F.col("n_shingles") >= MANY_SHINGLES).join(nodes.select("nid", "registers"), "nid")
+    later = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: (b > F.col("band")) & (_part(b) != F.lit(_NO_PART)))
+    second = more.withColumn("_b", F.explode(later)).select("band", F.col("_b").cast("int").alias("band2"), F.xxhash64("key", "_b", _part(F.col("_b"))).alias("key"), "nid", "component", "n_shingles")
+    second = materialize(second, "dedup-second")
+    keys = ["band", "band2", "key"]
+    counts = second.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    still = join_unique(second, counts.where("n > 1 AND low <> high").select(*keys, F.col("n").alias("members")), keys, counts.select(*keys, "n"))
+    still = materialize(still, "dedup-second")
+    out = out.unionByName(whole(still.where(F.col("members") <= 2 * BLOCK), F.col("band2")))
+    return out.unionByName(_in_blocks(still.where(F.col("members") > 2 * BLOCK).drop("members"), percent))
 
 
 def _active(members: DataFrame, percent: int) -> DataFrame:
-    """Of each block pair the members that the sketches admit to a partner of another component.
+    """Of each group the members that the sketches admit to a partner of another component, in chunks p and q.
 
-    A pair counts in the first band that it shares, so it is looked at in full once. A group holds two
-    blocks of a bucket at most.
+    A pair counts in the first band that it shares (and the second, where the group has one), so it is
+    looked at in full once. Chunks are cut by the bytes of full sets; two of them come together only if a
+    pair is admitted between them.
     """
 
-    def process(group: pa.Table) -> pa.RecordBatch | None:
-        band, i, j = group["band"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
-        block, nid, comp, size = (group[c].to_numpy() for c in ("block", "nid", "component", "n_shingles"))
+    def process(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        band, band2, i, j = (group[c][0].as_py() for c in ("band", "band2", "i", "j"))
+        block, nid, comp, size, main = (group[c].to_numpy() for c in ("block", "nid", "component", "n_shingles", "main"))
         registers = _registers(group["registers"].combine_chunks())
         bands = registers.view(np.uint64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        active = np.zeros(len(nid), bool)
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
-            others = right[(comp[right] != comp[x]) & ((nid[right] > nid[x]) if i == j else True)]
+            others = right[(comp[right] != comp[x]) & (main[right] | main[x]) & ((nid[right] > nid[x]) if i == j else True)]
+            if band2 == _SMALL:
+                others = others[np.minimum(size[others], size[x]) < MANY_SHINGLES]
             if len(others):
-                first = ((bands[others] == bands[x]) & (bands[x] != _EMPTY_BAND)).argmax(axis=1) == band
-                others = others[first]
+                shared = (bands[others] == bands[x]) & (bands[x] != _EMPTY_BAND)
+                here = shared.argmax(axis=1) == band
+                if band2 >= 0:
+                    shared[:, band] = False
+                    here &= shared[:, band2] & (shared.argmax(axis=1) == band2)
+                others = others[here]
                 others = others[admitted(registers[others], registers[x], size[others], np.full(len(others), size[x]), percent)]
-                active[others] = True
-                active[x] |= len(others) > 0
-        if not active.any():
-            return None
-        return group.select(_PLACE).filter(pa.array(active)).combine_chunks().to_batches()[0]
-
-    return _grouped(members).mapInArrow(_by_group(process), "band int, key long, i int, j int, block int, nid long, component long")
+                first.append(np.full(len(others), x))
+                second.append(others)
+        one, two = np.concatenate(first), np.concatenate(second)
+        active = np.unique(np.concatenate((one, two)))
+        if not len(active):
+            return
+        order = active[np.argsort(size[active], kind="stable")]
+        chunk = np.zeros(len(nid), np.int64)
+        number = held = 0
+        for x in order.tolist():
+            if held and held + 8 * size[x] > CHUNK_BYTES:
+                number, held = number + 1, 0
+            held += 8 * size[x]
+            chunk[x] = number
+        low, high = np.minimum(chunk[one], chunk[two]), np.maximum(chunk[one], chunk[two])
+        for p, q in np.unique(np.stack((low, high), axis=1), axis=0).tolist():
+            here = (low == p) & (high == q)
+            rows = np.unique(np.concatenate((one[here], two[here])))
+            got = group.select([*_GROUP, "nid", "component"]).take(pa.array(rows)).combine_chunks()
+            got = got.append_column("p", pa.array(np.full(len(rows), p, np.int32))).append_column("q", pa.array(np.full(len(rows), q, np.int32)))
+            yield from got.select([*_GROUP, "p", "q", "nid", "component"]).to_batches()
+
+    return _grouped(members, _GROUP).mapInArrow(_by_group(_GROUP, process), f"{_PLACE}, p int, q int, nid long, component long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Exact sizes of all intersections of a block's sets: shared shingles in many sets by a matrix
     product, those in a few sets pair by pair."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m), np.int64)
     if not m:
         return out
     grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -290,7 +425,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((m, min(step, len(common) - lo)), np.float32)
         here = (at >= lo) & (at < lo + step)
         x[row[here], at[here] - lo] = 1
-        out += x @ x.T
+        out += (x @ x.T).astype(np.int64)  # at most 2 ** 21 columns, so float32 counts exactly
     few = (count[column] > 1) & (at < 0)
     order = np.argsort(column[few], kind="stable")
     row, column = row[few][order], column[few][order]
@@ -304,16 +439,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components inside blocks, on full sets; of each block a spanning forest."""
+    """Links (a, b) between components inside groups, on full sets; of each group a spanning forest."""
 
-    def process(group: pa.Table) -> pa.RecordBatch | None:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        block, nid, comp = (group[c].to_numpy() for c in ("block", "nid", "component"))
+    def process(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        nid, comp = (group[c].to_numpy() for c in ("nid", "component"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"].combine_chunks()]
         size = np.array([len(x) for x in sets])
         shared = intersections(sets)
         union = size[:, None] + size[None, :] - shared
-        link = (100 * shared >= percent * union) & (comp[:, None] != comp[None, :]) & (block[:, None] == i) & (block[None, :] == j)
+        link = np.triu((100 * shared >= percent * union) & (comp[:, None] != comp[None, :]), 1)
         parent = {c: c for c in comp.tolist()}
 
         def top(c: int) -> int:
@@ -329,9 +463,11 @@ def _exact(members: DataFrame, percent: int) -> DataFrame:
                 parent[p] = q
                 a.append(min(nid[x], nid[y]))
                 b.append(max(nid[x], nid[y]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _grouped(members).mapInArrow(_by_group(process), "a long, b long")
+    columns = [*_GROUP, "p", "q"]
+    return _grouped(members, columns).mapInArrow(_by_group(columns, process), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -347,47 +483,53 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = F.when(F.col("taken").isNull() & F.col("rep").isNotNull(), F.col("rep")).otherwise(F.xxhash64("node"))
     nodes = materialize(nodes.select(named.alias("nid"), "node", "n_shingles", "registers", "rep", "text_key"), f"{spec}-nodes")
 
-    keys = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.cast("int").alias("band"), F.substring(F.col("registers"), b * 2 * ROWS + 1, F.lit(2 * ROWS)).alias("part"))),
-        lambda s: s["part"] != F.lit(bytes([255] * 2 * ROWS)),
-    )
-    bands = nodes.select("nid", F.explode(F.transform(keys, lambda s: F.struct(s["band"].alias("band"), F.xxhash64(s["band"], s["part"]).alias("key")))).alias("k"))
-    bands = bands.select("nid", "k.band", "k.key")
-    buckets = bands.groupBy("band", "key").agg(F.min("nid").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(buckets, ["band", "key"]).select("band", "key", "nid", "lead", "n"), f"{spec}-members")
-
-    star = members.where("nid <> lead").select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct()
-    links = _verified(materialize(_estimated(star, nodes, percent), f"{spec}-star"), nodes, docs, words, percent, f"{spec}-star")
+    every = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: _part(b) != F.lit(_NO_PART))
+    bands = nodes.withColumn("_b", F.explode(every)).select("nid", F.col("_b").cast("int").alias("band"), F.xxhash64("_b", _part(F.col("_b"))).alias("key"))
+    buckets = materialize(bands.groupBy("band", "key").agg(F.min("nid").alias("lead"), F.count("*").alias("n")).where("n > 1"), f"{spec}-buckets")
+    n_nodes = nodes.count()
+    members = materialize(join_unique(bands, buckets, ["band", "key"], buckets, n_nodes * BANDS), f"{spec}-members")
+
+    star = materialize(members.where("nid <> lead").select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct(), f"{spec}-star")
+    admitted_star = materialize(_estimated(star, nodes, percent), f"{spec}-star")
+    links = _verified(admitted_star, nodes, docs, rows, words, percent, f"{spec}-star")
+    discard(star, admitted_star)
     found = components(links)
 
-    placed = members.join(found, "nid", "left").select("band", "key", "n", "nid", F.coalesce("label", "nid").alias("component"))
+    placed = materialize(members.join(found, "nid", "left").select("band", "key", "n", "nid", F.coalesce("label", "nid").alias("component")), f"{spec}-placed")
+    discard(members)
     open_buckets = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = placed.join(open_buckets, ["band", "key"]).join(nodes.select("nid", "n_shingles", "registers"), "nid")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "component", "n_shingles", "registers")
-    active = materialize(_active(rest, percent), f"{spec}-active")
-    if not active.isEmpty():
-        wanted = active.select("nid").distinct().join(nodes, "nid").select("nid", "node", "rep", "text_key")
-        more = _exact(active.join(materialize(_full_sets(docs, wanted, words), f"{spec}-sets"), "nid"), percent)
-        links = links.union(materialize(more, f"{spec}-links"))
-        found = components(links)
+    rest = materialize(join_unique(placed, open_buckets, ["band", "key"], buckets, n_nodes * BANDS), f"{spec}-open")
+    discard(placed, buckets)
+    if not rest.isEmpty():
+        compared = _compared(rest, nodes, percent).join(nodes.select("nid", "n_shingles", "registers"), "nid")
+        active = materialize(_active(compared, percent), f"{spec}-active")
+        if not active.isEmpty():
+            wanted = active.select("nid").distinct().join(nodes, "nid").select("nid", "node", "rep", "text_key")
+            sets = materialize(_full_sets(docs, wanted, rows, words), f"{spec}-sets")
+            links = links.union(materialize(_exact(active.join(sets, "nid"), percent), f"{spec}-links"))
+            discard(sets)
+            found = components(links)
+        discard(active)
+    discard(rest)
 
     lowest = found.join(nodes.select("nid", "rep"), "nid").groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = found.join(lowest, "label").select("nid", "component_id", F.lit(True).alias("linked"))
     named = nodes.select("node", "nid", "rep").join(linked, "nid", "left").select("node", "nid", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "text_key", "n_shingles", "nid", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    given = rows.select("doc_id", "text_key", "n_shingles", "node")
+    # a set that a third of all rows have is a hot key, and empty sets have nothing to be joined with
+    out = join_unique(given.where("n_shingles > 0"), materialize(named, f"{spec}-named"), ["node"]).select("doc_id", "text_key", "n_shingles", "nid", "component_id")
+    return out.unionByName(given.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("nid"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns."""
     groups = materialize(near_duplicates(docs, words, percent), "dedup-groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key, own, text, n = _free_names(docs, 4)
-    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    keep = kept.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(text)).agg(F.count("*").alias(n))
-    joined = keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(text)))
+    own, text, n = _free_names(docs, 3)
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), text: F.xxhash64(F.col("text").cast("string"))})
+    keep = kept.groupBy(_row_key("doc_id").alias(own), F.col("text_key").alias(text)).agg(F.count("*").alias("n"))
+    keep = materialize(keep.withColumnRenamed("n", n), "dedup-keep")
+    joined = join_unique(keyed, keep, [own, text], keep.select(own, text, F.col(n).alias("n")), groups.count())
     once = joined.where(F.col(n) == 1).select(*docs.columns)
     if keep.where(F.col(n) > 1).isEmpty():
         return once

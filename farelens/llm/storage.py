@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from farelens.sources.staging import materialize, new_path, shared_root
+from farelens.sources.staging import discard, materialize, new_path, shared_root
 
-__all__ = ["materialize", "new_path", "shared_root"]
+__all__ = ["discard", "materialize", "new_path", "shared_root"]

@@ -140,6 +140,43 @@ def test_components_of_long_chains(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """The path 0, n, n - 1, ..., 1, on which labels that only walk from neighbour to neighbour take n rounds."""
+    written, plain = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    path = [0, *range(1024, 0, -1)]
+    got = rows(N.components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long")))
+    assert {label for _, label in got} == {0} and len(got) == 1025
+    assert len(written) <= 12
+
+
+def test_large_buckets_grow_in_proportion(spark):
+    """Sets of many shingles that share one band and nothing else are not laid against each other."""
+    rng = np.random.default_rng(3)
+
+    def compared(n):
+        registers = rng.integers(0, 60_000, (n, N.BUCKETS)).astype(np.uint16)
+        registers[:, : N.ROWS] = 7
+        nodes = spark.createDataFrame([(k, 100, r.tobytes()) for k, r in enumerate(registers)], "nid long, n_shingles long, registers binary")
+        placed = nodes.select(F.lit(0).alias("band"), F.lit(5).cast("long").alias("key"), F.lit(n).cast("long").alias("n"), "nid", F.col("nid").alias("component"))
+        return N._compared(placed, nodes, 80).count()
+
+    assert compared(600) == compared(1200) == 0
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_hot_keys_chunks_and_second_bands_lose_nothing(spark, seed, monkeypatch):
+    from farelens.llm import joins
+
+    for module, name, value in ((N, "BLOCK", 4), (N, "MANY_SHINGLES", 20), (N, "CHUNK_BYTES", 900), (joins, "HOT_ROWS", 10), (joins, "HOT_KEYS", 40)):
+        monkeypatch.setattr(module, name, value)
+    docs = list(enumerate([*corpus(seed, 90), *[LOREM * 2] * 30, *[""] * 20]))
+    expected, sets = groups(docs, 4, 80)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(frame, 4).collect()} == {x: (len(sets[x]), x if not sets[x] else expected[x]) for x in expected}
+    assert {r.doc_id for r in N.keep_one(frame, 4).collect()} == {x for x in expected if not sets[x] or expected[x] == x}
+
+
 def best_fit(sizes, sources, clusters, capacity):
     """Looks at every bin: the tightest room that fits, first by arrival at that room."""
     room, at, labels, clock, where = [], [], [], 0, []
