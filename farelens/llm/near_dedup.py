@@ -11,9 +11,10 @@ lower-cased (a shorter text's whole sequence is its one shingle). Documents with
    smallest node only (a star). Candidates pass the exact size bound and the collision-corrected
    Jaccard estimate of the sketches, and are then verified on their full sets. Links give components.
 4. Buckets that still hold several components are compared in groups, across components only, by
-   sketch. A bucket of up to 2 * BLOCK members is one group. Of a larger one, members with MANY_SHINGLES or more
-   meet only those that share a second band with them; smaller sets, and what still is a large bucket after
-   the second band, are cut by set size (sets whose sizes rule the bound out never meet) and then into pairs of
+   sketch. A bucket of up to 2 * BLOCK members is one group. A larger one is dealt to pairs of blocks, where blocks
+   of one component never meet. In a bucket of more than LARGE blocks, members with MANY_SHINGLES or more meet only
+   those that share a second band with them; smaller sets, and what still is large after the second band, are
+   cut by set size first (sets whose sizes rule the bound out never meet), then into pairs of
    blocks. Members that the estimate admits to a partner stay; their full sets meet in the same groups, cut
    into chunks of CHUNK_BYTES, where intersections are counted exactly and a spanning forest of the links found is kept.
    So a group never gives more rows than it has members, and its memory has a bound.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.llm import textnum as tn
@@ -50,6 +51,8 @@ _EMPTY = np.uint16(0xFFFF)
 _EMPTY_BAND = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a large bucket that are compared with one block at a time.
 BLOCK = 256
+#: A bucket of more members than LARGE blocks is cut by a second band instead of into pairs of blocks.
+LARGE = 16
 #: Sets of so many shingles or more share two bands of their sketches if they meet the bound.
 MANY_SHINGLES = 64
 #: Bytes of full sets that are compared with one chunk at a time; a set is never split.
@@ -315,8 +318,8 @@ def _part(band: Column) -> Column:
 _NO_PART = bytes([255] * 2 * ROWS)
 
 
-def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Members of large groups (band, band2, key) dealt to pairs of blocks by set size.
+def _in_classes(rows: DataFrame, percent: int) -> DataFrame:
+    """Members (band, band2, key, nid, component, n_shingles) of very large groups, grouped by set size.
 
     A class of sizes spans one factor of the bound, so partners are of one class or of neighbours: a class
     meets itself and the next one (``main`` marks the class itself).
@@ -324,35 +327,53 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     step = float(np.log(100 / percent) * 1.000001) if percent < 100 else 1e-9
     size_class = F.floor(F.ln("n_shingles") / step).cast("long")
     both = rows.withColumn("_c", size_class).withColumn("_at", F.explode(F.array(F.col("_c") - 1, F.col("_c")))).withColumn("main", F.col("_c") == F.col("_at"))
-    both = both.withColumn("key", F.xxhash64("key", "_at")).drop("_c", "_at")
-    counts = both.groupBy("band", "band2", "key").agg(F.count("*").alias("_n"), F.count_if("main").alias("_main"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    counts = counts.where("_n > 1 AND _main > 0 AND _low <> _high").select("band", "band2", "key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    dealt = join_unique(both, counts, ["band", "band2", "key"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("nid"), "_blocks").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.select("band", "band2", "key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "main", "nid", "component")
+    return both.select("band", "band2", F.xxhash64("key", "_at").alias("key"), "main", "nid", "component")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Members (band, band2, key, main, nid, component) of groups, dealt to pairs of blocks.
+
+    A component of more than BLOCK members has blocks of its own, which never meet each other; all others
+    share blocks.
+    """
+    keys = ["band", "band2", "key"]
+    per = rows.groupBy(*keys, "component").agg(F.count("*").alias("n"), F.count_if("main").alias("mains"))
+    blocks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK).cast("int")).otherwise(0)
+    per = per.withColumn("blocks", blocks).withColumn("before", F.sum("blocks").over(Window.partitionBy(*keys).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.collect_list(F.when(F.col("blocks") > 0, F.struct("component", F.struct(F.coalesce("before", F.lit(0)).cast("int").alias("at"), F.col("blocks").alias("size")))))
+    plan = per.groupBy(*keys).agg(
+        F.count("*").alias("_components"), F.sum("mains").alias("_mains"), F.sum("blocks").cast("int").alias("_large"), F.sum(F.when(F.col("blocks") == 0, F.col("n")).otherwise(0)).alias("_rest"), F.map_from_entries(own).alias("_own")
+    )
+    plan = plan.where("_components > 1 AND _mains > 0").select(*keys, "_large", (F.col("_large") + F.ceil(F.col("_rest") / BLOCK)).cast("int").alias("_all"), "_own")
+    placed = join_unique(rows, plan, keys).withColumn("_o", F.try_element_at("_own", F.col("component"))).drop("_own")
+    block = F.when(F.col("_o").isNotNull(), F.col("_o.at") + F.pmod(F.xxhash64("nid"), F.col("_o.size"))).otherwise(F.col("_large") + F.pmod(F.xxhash64("nid"), F.greatest(F.col("_all") - F.col("_large"), F.lit(1))))
+    others = F.filter(F.sequence(F.lit(0), F.col("_all") - 1), lambda o: F.col("_o").isNull() | (o < F.col("_o.at")) | (o >= F.col("_o.at") + F.col("_o.size")))
+    dealt = placed.withColumn("block", block.cast("int")).withColumn("_other", F.explode(others))
+    return dealt.select(*keys, F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "main", "nid", "component")
 
 
 def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The groups in which members (band, key, n, nid, component) of open buckets are compared."""
-    size = nodes.select("nid", "n_shingles")
-    whole = lambda df, mark: df.select("band", mark.alias("band2"), "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.lit(True).alias("main"), "nid", "component")
-    out = whole(placed.where(F.col("n") <= 2 * BLOCK), F.lit(_WHOLE))
-    large = placed.where(F.col("n") > 2 * BLOCK)
+    whole = lambda df: df.select("band", "band2", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.lit(True).alias("main"), "nid", "component")
+    every = placed.withColumns({"band2": F.lit(_WHOLE), "main": F.lit(True)})
+    out = whole(every.where(F.col("n") <= 2 * BLOCK))
+    out = out.unionByName(_in_blocks(every.where((F.col("n") > 2 * BLOCK) & (F.col("n") <= LARGE * BLOCK)).select("band", "band2", "key", "main", "nid", "component")))
+    large = placed.where(F.col("n") > LARGE * BLOCK)
     if large.isEmpty():
         return out
-    large = large.join(size, "nid")
-    few = large.where(F.col("n_shingles") < MANY_SHINGLES * 100 / percent).withColumn("band2", F.lit(_SMALL))
-    out = out.unionByName(_in_blocks(materialize(few.select("band", "band2", "key", "nid", "component", "n_shingles"), "dedup-few"), percent))
+    large = large.join(nodes.select("nid", "n_shingles"), "nid")
+    few = large.where(F.col("n_shingles") < MANY_SHINGLES * 100 / percent).select("band", F.lit(_SMALL).alias("band2"), "key", "nid", "component", "n_shingles")
+    out = out.unionByName(_in_blocks(materialize(_in_classes(few, percent), "dedup-few")))
     more = large.where(F.col("n_shingles") >= MANY_SHINGLES).join(nodes.select("nid", "registers"), "nid")
     later = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: (b > F.col("band")) & (_part(b) != F.lit(_NO_PART)))
     second = more.withColumn("_b", F.explode(later)).select("band", F.col("_b").cast("int").alias("band2"), F.xxhash64("key", "_b", _part(F.col("_b"))).alias("key"), "nid", "component", "n_shingles")
     second = materialize(second, "dedup-second")
     keys = ["band", "band2", "key"]
     counts = second.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    still = join_unique(second, counts.where("n > 1 AND low <> high").select(*keys, F.col("n").alias("members")), keys, counts.select(*keys, "n"))
-    still = materialize(still, "dedup-second")
-    out = out.unionByName(whole(still.where(F.col("members") <= 2 * BLOCK), F.col("band2")))
-    return out.unionByName(_in_blocks(still.where(F.col("members") > 2 * BLOCK).drop("members"), percent))
+    still = materialize(join_unique(second, counts.where("n > 1 AND low <> high").select(*keys, F.col("n").alias("members")), keys, counts.select(*keys, "n")), "dedup-second")
+    discard(second)
+    out = out.unionByName(whole(still.where(F.col("members") <= 2 * BLOCK)))
+    return out.unionByName(_in_blocks(materialize(_in_classes(still.where(F.col("members") > 2 * BLOCK), percent), "dedup-more")))
 
 
 def _active(members: DataFrame, percent: int) -> DataFrame:

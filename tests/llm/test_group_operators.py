@@ -150,7 +150,7 @@ def test_components_take_few_rounds(spark, monkeypatch):
     assert len(written) <= 12
 
 
-def test_large_buckets_grow_in_proportion(spark):
+def test_large_buckets_grow_in_proportion(spark, monkeypatch):
     """Sets of many shingles that share one band and nothing else are not laid against each other."""
     rng = np.random.default_rng(3)
 
@@ -161,14 +161,27 @@ def test_large_buckets_grow_in_proportion(spark):
         placed = nodes.select(F.lit(0).alias("band"), F.lit(5).cast("long").alias("key"), F.lit(n).cast("long").alias("n"), "nid", F.col("nid").alias("component"))
         return N._compared(placed, nodes, 80).count()
 
-    assert compared(600) == compared(1200) == 0
+    monkeypatch.setattr(N, "BLOCK", 16)
+    assert compared(300) == compared(900) == 0
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """1,000 members of one component and 3 others: the component's blocks meet the others, not each other."""
+    monkeypatch.setattr(N, "BLOCK", 100)
+    rows_in = spark.range(1003).select(F.lit(0).alias("band"), F.lit(-1).alias("band2"), F.lit(5).cast("long").alias("key"), F.lit(True).alias("main"), F.col("id").alias("nid"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).cast("long").alias("component"))
+    got = N._in_blocks(rows_in).collect()
+    assert Counter(r.nid < 1000 for r in got) == {True: 1000, False: 3 * 11}
+    together = {}
+    for r in got:
+        together.setdefault((r.i, r.j), set()).add(r.nid)
+    assert all(any({a, b} <= g for g in together.values()) for a in range(1003) for b in range(1000, 1003))
 
 
 @pytest.mark.parametrize("seed", [7, 8])
 def test_hot_keys_chunks_and_second_bands_lose_nothing(spark, seed, monkeypatch):
     from farelens.llm import joins
 
-    for module, name, value in ((N, "BLOCK", 4), (N, "MANY_SHINGLES", 20), (N, "CHUNK_BYTES", 900), (joins, "HOT_ROWS", 10), (joins, "HOT_KEYS", 40)):
+    for module, name, value in ((N, "BLOCK", 4), (N, "LARGE", 4), (N, "MANY_SHINGLES", 20), (N, "CHUNK_BYTES", 900), (joins, "HOT_ROWS", 10), (joins, "HOT_KEYS", 40)):
         monkeypatch.setattr(module, name, value)
     docs = list(enumerate([*corpus(seed, 90), *[LOREM * 2] * 30, *[""] * 20]))
     expected, sets = groups(docs, 4, 80)
