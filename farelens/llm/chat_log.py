@@ -1,21 +1,27 @@
 """Chat formatting from an event log (operator 5).
 
-A log has one row per event: ``conv_id``, ``message`` (the place of the message it belongs to), ``seq``
-(order of events inside a message), ``kind`` and ``role``, ``text``. Kinds: ``message`` and ``edit`` set
-a message's text, ``delta`` appends to it (streaming), ``regenerate`` empties it for a new answer,
-``delete`` removes the message. Events are folded per (conversation, message) - so a conversation with a
-third of all rows is spread over many tasks - into final messages, which are rendered one by one with
-the template ``<s>[role]\\n`` text ``\\n</s>\\n``. The formatted conversation is its rendered turns in
-order, nothing between.
-
-Inside texts the escape character ``\\`` is put before every control string (``<s>``, ``</s>``,
-``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>`` and the escape itself), so a rendered turn can be read back
-exactly, and no text can open or close a turn. Assistant texts are under the loss mask.
+A log has one row per event: ``conv_id``, ``seq`` (the conversation's own sequence), ``message`` (the place of the
+message in its conversation), ``kind``, ``role`` and ``text``. Kinds: ``message`` and ``edit`` set a message's text, ``delta``
+appends to it (streaming), ``delete`` removes it, ``regenerate`` empties it for a new answer and discards what the
+conversation had after it so far. Folding a conversation in order of its sequence means: an event counts
+unless a later regeneration at an earlier place discards it. So each message's events come together
+first, then the latest regeneration runs through a conversation's places in order, and each message folds what is
+left of its events. The final messages are rendered one by one with the template ``<s>[role]\\n`` text
+``\\n</s>\\n``. The formatted conversation is its rendered turns in order, nothing between.
+
+Inside texts the escape character ``\\`` is put behind the first character of every control string (``<s>``, ``</s>``,
+``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>`` and the escape itself), so no control string stays whole inside a text, a
+rendered turn can be read back exactly, and no text can open or close a turn. Roles are escaped likewise, and ``]`` in them.
+Assistant texts are under the loss mask.
+
+A conversation is one stream of one task, since its digest is one: rows pass it in order, sorted on disk where
+needed, and only running values are held. A message's events are one row.
 
 Defined results: a null text is empty, a null role is the empty role; events without a message row
-still make a message; an unknown kind is an error; equal events in a place are folded in order of
-``seq``, then kind and text; rows of ``conversations`` that share a turn are separate turns in order of
-role and text; extra columns are ignored; an empty log gives no rows.
+still make a message; a message all of whose events are discarded is gone; an unknown kind is an error; equal
+events in a place are folded in order of ``seq``, then kind and text; rows of ``conversations`` that share a turn are
+separate turns in order of role and text; texts of any length are whole; extra columns are ignored; an empty log
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +36,8 @@ from pyspark.sql import functions as F
 
 from farelens.llm.tables import table
 
-#: The strings that steer a model or this template, and the escape.
-CONTROL = r"(\\|</?s>|\[/?INST\]|<</?SYS>>)"
-#: Inside a role every character that these begin or end with is escaped.
-ROLE_CONTROL = r"([\\<\[\]])"
+#: The first characters of the strings that steer a model or this template, and the escape.
+CONTROL = r"(\\|<(?=/?s>)|\[(?=/?INST\])|<(?=</?SYS>>))"
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 LEARNED_ROLE = "assistant"
 _HEAD, _MIDDLE, _TAIL = "<s>[", "]\n", "\n</s>\n"
@@ -44,12 +48,12 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     return conversations.select("conv_id", "turn", "role", "text").withColumn("repeat", F.row_number().over(order)).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("repeat").alias("repeat")).alias("message"),
-        F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages: ``conv_id, message, role, text``, deleted ones left out. Grouped by message, not by conversation."""
+    """Final messages: ``conv_id, message, role, text``, deleted and discarded ones left out."""
     kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null")))))
     event = F.struct("seq", kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "role")
     start = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("gone"))
@@ -61,13 +65,18 @@ def fold_events(events: DataFrame) -> DataFrame:
             (e["kind"] == "delete").alias("gone"),
         )
 
-    grouped = events.groupBy("conv_id", "message").agg(F.aggregate(F.array_sort(F.collect_list(event)), start, step).alias("final"))
-    return grouped.where(~F.col("final.gone")).select("conv_id", "message", F.coalesce("final.role", F.lit("")).alias("role"), F.col("final.text").alias("text"))
+    grouped = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("events"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    earlier = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = grouped.withColumn("cut", F.max("again").over(earlier))  # the latest regeneration at an earlier place
+    live = F.when(F.col("cut").isNull(), F.col("events")).otherwise(F.filter("events", lambda e: e["seq"] > F.col("cut")))
+    grouped = grouped.withColumn("events", live).where(F.size("events") > 0)
+    final = grouped.select("conv_id", "message", F.aggregate("events", start, step).alias("final"))
+    return final.where(~F.col("final.gone")).select("conv_id", "message", F.coalesce("final.role", F.lit("")).alias("role"), F.col("final.text").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """Adds ``formatted`` and the loss mask ``loss_begin, loss_end`` (code points inside ``formatted``, null if none)."""
-    role, text = F.regexp_replace("role", ROLE_CONTROL, r"\\$1"), F.regexp_replace("text", CONTROL, r"\\$1")
+    role, text = F.replace(F.regexp_replace("role", CONTROL, r"$1\\"), F.lit("]"), F.lit("\\]")), F.regexp_replace("text", CONTROL, r"$1\\")
     begin = F.length(role) + len(_HEAD) + len(_MIDDLE)
     learned = F.col("role") == LEARNED_ROLE
     return messages.select(
@@ -147,7 +156,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(role, '([\\<\[\]])', '\\\1', 'g')) + length(regexp_replace(text, '(\\|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1', 'g')) + 12 AS chars FROM c)
+e AS (SELECT *, length(regexp_replace(role, '(\\|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1', 'g')) + length(role) - length(replace(role, ']', '')) + length(regexp_replace(text, '(\\|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1', 'g')) + 12 AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

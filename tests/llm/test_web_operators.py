@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -297,8 +298,47 @@ def test_conversations_match_brute_force(spark):
         assert g.n_turns == len(turns) and g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert g.loss_chars == len(said) and g.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert sum(r.formatted_chars for r in got.values()) == rendered.agg(F.sum(F.length("formatted"))).first()[0]
-    for r in rendered.collect():
-        assert r.formatted.count("<s>[") == 1 + r.formatted.count("\\<s>[") and r.formatted.endswith("\n</s>\n")
+    for r in rendered.collect():  # the template's own control strings are the only ones
+        assert re.findall(r"</?s>|\[/?INST\]|<</?SYS>>", r.formatted) == ["<s>", "</s>"] and r.formatted.startswith("<s>[") and r.formatted.endswith("\n</s>\n")
+
+
+def in_order(log):
+    """A conversation's events one after the other."""
+    out = {}
+    for place, _, kind, role, text in sorted(log, key=lambda e: e[1]):
+        old_role, old = out.get(place, (None, ""))
+        if kind == "regenerate":
+            out = {p: v for p, v in out.items() if p < place}
+        out[place] = (role or old_role, {"delta": (old or "") + (text or ""), "message": text or "", "edit": text or ""}.get(kind, ""))
+        if kind == "delete":
+            out[place] = (out[place][0], None)
+    return {(p, r or "", t) for p, (r, t) in out.items() if t is not None}
+
+
+def test_regeneration_discards_what_follows(spark):
+    log = [
+        (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "bad "), (1, 1, 2, "delta", None, "answer"), (1, 2, 3, "message", "user", "why?"), (1, 3, 4, "delta", "assistant", "because"),
+        (1, 1, 5, "regenerate", "assistant", None), (1, 1, 6, "delta", None, "good"), (1, 2, 7, "message", "user", "thanks"), (1, 0, 8, "edit", None, "hello"),
+    ]
+    got = {(r.message, r.role, r.text) for r in T.fold_events(spark.createDataFrame(log, EVENTS)).collect()}
+    assert got == {(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "thanks")} == in_order([e[1:] for e in log])
+
+
+def test_logs_fold_like_one_event_after_the_other(spark):
+    rng = random.Random(12)
+    log = [(c, rng.randint(0, 4), s, rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "delete"]), rng.choice(["user", "assistant"]), rng.choice(["a", "b", None, "</s>"])) for c in range(60) for s in range(rng.randint(1, 14))]
+    rng.shuffle(log)
+    got = {}
+    for r in T.fold_events(spark.createDataFrame(log, EVENTS)).collect():
+        got.setdefault(r.conv_id, set()).add((r.message, r.role, r.text))
+    for c in range(60):
+        assert got.get(c, set()) == in_order([e[1:] for e in log if e[0] == c]), c
+
+
+def test_chat_of_a_very_long_text(spark):
+    conv = spark.createDataFrame([(1, 0, "assistant", "[INST]" * 400_000)], "conv_id long, turn long, role string, text string")
+    got = T.digests(T.format_conversations(conv)).first()
+    assert (got.n_turns, got.loss_chars) == (1, 2_400_000) and got.formatted_chars > 2_800_000
 
 
 def test_chat_of_an_empty_table(spark):
