@@ -8,13 +8,15 @@ that holds its source or its cluster already. The search starts at the smallest
 goes on through successors until a compatible bin is found; a new bin opens only if there is none.
 
 A residual whose every bin holds a source (or cluster) is marked as closed for it, so the search steps
-over whole residuals; the result is that of looking at each bin in turn. Shards hold about
-``shard_pieces`` pieces whatever the table's size, so no task grows with the data, and a source with a
-third of all rows is spread over all shards.
+over whole residuals; the result is that of looking at each bin of the shard in turn. Shards hold about
+``shard_pieces`` pieces whatever the table's size. A piece's shard is a hash of its row's place in the counted
+table, so equal rows, a source or a cluster with a third of all rows are spread over all shards.
 
 Defined results: a document without words (or null) has no piece and comes back once with a null bin; a
 null source or cluster conflicts with nothing; rows that repeat are pieces of their own and conflict as
-one cluster; an empty table gives an empty result; extra columns are ignored.
+one cluster; pieces of equal length are taken in order of document, piece, source and cluster, and of bins with
+equal room the one that came to it first; a text of any length is cut whole; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,12 +154,12 @@ def pack(docs: DataFrame, size: PackingSize | None = None, cluster: Column | Non
     text = F.col("text").cast("string")
     label = text_cluster(text) if cluster is None else cluster.cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text.isNotNull(), label).alias("cluster"), text.alias("text"))
-    counted = materialize(rows.mapInArrow(_word_counts, "doc_id long, source string, cluster long, n_words long"), "packing-counts")
+    counted = rows.mapInArrow(_word_counts, "doc_id long, source string, cluster long, n_words long")
+    counted = materialize(counted.withColumn("place", F.monotonically_increasing_id()), "packing-counts")
     n = counted.agg(F.coalesce(F.sum(F.ceil(F.col("n_words") / cap)), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-n // size.shard_pieces))
     pieces = counted.where("n_words > 0").select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - 1, F.lit(cap).cast("long"))).alias("piece", "begin"))
-    pieces = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "begin", F.least(F.lit(cap), F.col("n_words") - F.col("begin")).alias("n_words"), "source", "cluster")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    pieces = pieces.select("doc_id", F.col("piece").cast("long").alias("piece"), "begin", F.least(F.lit(cap), F.col("n_words") - F.col("begin")).alias("n_words"), "source", "cluster", F.pmod(F.xxhash64("place", "piece"), F.lit(shards)).alias("shard"))
     schema = "doc_id long, piece long, begin long, n_words long, sequence string, sequence_offset long"
 
     def close(shard: int, group: pa.Table) -> pa.RecordBatch:

@@ -6,14 +6,17 @@ written by Spark's text sink - the record separator CR LF CR LF is the line sepa
 gzip-compressed part files in the shared folder, so any store Spark can write to will do. The archives
 are then read back whole file by whole file (``file_bytes`` bounds a file's text), cut by
 Content-Length, and each file gives a run of index entries sorted by URL key and timestamp. The runs are
-dealt into ranges of the key, and inside each range a loser tree merges them, which yields capture
-histories in global order (range after range, rank after rank).
+dealt into ranges of the key, and inside each range a loser tree merges them; the ranges' sizes then give every
+capture its rank in the global order of capture histories (URL key, timestamp, page).
+
+A response's block is an HTTP message, whose body is the payload; a revisit has the message's head only.
 
 Defined results: a null html is an empty payload, a null URL an empty target; carriage returns and line
 feeds in a URL are percent-encoded in the header; ties for the largest page id are all responses; a null
 page id counts as the smallest; records of under ``revisit_bytes`` are responses; without a timestamp
-column all captures carry ``DEFAULT_TIME``; repeated rows are records of their own; extra columns are
-ignored.
+column all captures carry ``DEFAULT_TIME``; ties of key, time and page are ranked by file and offset; repeated rows are
+records of their own; a payload of any length is one record of one file; an empty table gives an empty index; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farelens.llm.joins import join_unique
 from farelens.llm.storage import materialize, new_path
 from farelens.llm.tables import table
 
@@ -68,24 +72,26 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     time = F.lit(DEFAULT_TIME) if time_col is None else F.coalesce(F.date_format(time_col, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(DEFAULT_TIME))
     url = F.replace(F.replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(page.alias("page_id"), url.alias("url"), time.alias("time"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    # equal payloads: partial sums per task first, so a payload of a third of all pages is no hot spot
     small = pages.select(page.alias("page_id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
-    again = small.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    marked = rows.join(materialize(again, "warc-payloads"), "digest", "left")
+    # partial sums per task first, then a payload of a third of all pages is joined where its rows are
+    shared = materialize(small.groupBy("digest", "bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "warc-payloads")
+    total = small.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("bytes") + 700), F.lit(0)).alias("bytes")).first()
+    again = shared.where(F.col("bytes") >= revisit_bytes).select("digest", "first_id")
+    marked = join_unique(rows, again, ["digest"], shared.select("digest", "n"), total["rows"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     refers = F.when(revisit, F.col("first_id"))
-    block = F.when(revisit, F.lit("")).otherwise(F.col("html"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END))
+    block = F.when(revisit, head).otherwise(F.concat(head, F.col("html")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"), _header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _header("WARC-Record-ID", _uuid(F.col("page_id"), F.col("digest"))), _header("WARC-Date", F.col("time")), _header("WARC-Target-URI", F.col("url")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _header("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _header("WARC-Refers-To", F.when(revisit, _uuid(refers, F.col("digest")))), _header("X-Refers-To-Page", refers.cast("string")),
-        _header("X-Page-ID", F.col("page_id").cast("string")), _header("X-Payload-Length", F.col("bytes").cast("string")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n"), _header("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
+        _header("X-Page-ID", F.col("page_id").cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"), _header("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
     )
-    size = small.agg(F.coalesce(F.sum(F.col("bytes") + 600), F.lit(0)).alias("n")).first()["n"]
-    files = max(1, -(-size // file_bytes))
+    files = max(1, -(-total["bytes"] // file_bytes))
     path = new_path(spark, "warc")
     dealt = marked.select(record.alias("value"), F.xxhash64("page_id", "digest", "url").alias("_deal")).repartition(files, "_deal").select("value")
     dealt.write.option("lineSep", _END).option("compression", "gzip").text(path)
@@ -116,9 +122,11 @@ def _long(value: str | None) -> int | None:
 def _entry(file: str, offset: int, headers: dict[str, str], block: bytes) -> dict:
     url, kind = headers.get("WARC-Target-URI", ""), headers["WARC-Type"]
     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    size = int(headers["X-Payload-Length"])
+    message, _, payload = block.partition(_END.encode())
     if kind == "response":
-        digest, size = hashlib.sha1(block).hexdigest(), len(block)  # noqa: S324 - the format's digest
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)  # noqa: S324 - the format's digest
+    else:
+        size = int(message.rpartition(b"Content-Length: ")[2])
     return {
         "page_id": _long(headers.get("X-Page-ID")), "url": url, "url_key": _surt(url), "timestamp": headers["WARC-Date"], "payload_bytes": size, "payload_digest": digest,
         "record_type": kind, "refers_to": _long(headers.get("X-Refers-To-Page")), "file": file, "record_offset": offset,
@@ -186,7 +194,7 @@ class LoserTree:
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """All entries in global order: ``key_range`` ascending, inside it ``capture_rank`` ascending."""
+    """All entries with ``capture_rank``, their place in the global order (from 0)."""
     n = runs.count()
     ranges = max(1, -(-n // range_rows))
 
@@ -200,7 +208,7 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                 by_run.setdefault(entry["file"], []).append(entry)
         out, rank = [], 0
         for entry in LoserTree([by_run[f] for f in sorted(by_run)], _order):
-            out.append({**{k: v for k, v in entry.items() if k != "rank_in_run"}, "key_range": number, "capture_rank": rank})
+            out.append({**{k: v for k, v in entry.items() if k != "rank_in_run"}, "key_range": number, "rank_in_range": rank})
             rank += 1
             if len(out) == 5000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -208,10 +216,14 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([*list(_arrow_schema())[:-1], ("key_range", pa.int64()), ("capture_rank", pa.int64())])
+    schema = pa.schema([*list(_arrow_schema())[:-1], ("key_range", pa.int64()), ("rank_in_range", pa.int64())])
     # the range is of key, time, page and place, so a URL with a third of all captures is split as well
     dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", F.col("page_id").asc_nulls_first(), "file", "record_offset")
-    return dealt.sortWithinPartitions("file", "rank_in_run").mapInArrow(run, f"{_INDEX}, key_range long, capture_rank long")
+    merged = materialize(dealt.sortWithinPartitions("file", "rank_in_run").mapInArrow(run, f"{_INDEX}, key_range long, rank_in_range long"), "warc-index")
+    sizes = merged.groupBy("key_range").agg(F.count("*").alias("n"))  # as many rows as ranges
+    before = sizes.select("key_range", F.coalesce(F.sum("n").over(Window.orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = merged.join(F.broadcast(before), "key_range").withColumn("capture_rank", F.col("before") + F.col("rank_in_range"))
+    return ranked.drop("rank_in_range", "before")
 
 
 def archive_pages(pages: DataFrame, time_col: str | None = None, file_bytes: int = FILE_BYTES, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -222,7 +234,7 @@ def archive_pages(pages: DataFrame, time_col: str | None = None, file_bytes: int
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_pages(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_rank")
 
 
 ORACLE_SQL = rf"""
@@ -231,10 +243,10 @@ d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html)
              regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$', ['site', 'rest']) AS u,
              regexp_matches(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)(.*)$') AS absolute FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
-SELECT page_id, payload_bytes, payload_digest,
+SELECT *, row_number() OVER (ORDER BY url_key, page_id NULLS FIRST) - 1 AS capture_rank FROM (SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM top THEN top END AS refers_to,
        CASE WHEN absolute THEN array_to_string(list_reverse(string_split(split_part(lower(u.site), ':', 1), '.')), ',')
             || CASE WHEN instr(u.site, ':') > 0 THEN ':' || substr(u.site, instr(u.site, ':') + 1) ELSE '' END || ')' || split_part(u.rest, '#', 1) ELSE url END AS url_key
-FROM m
+FROM m)
 """

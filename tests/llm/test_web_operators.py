@@ -257,11 +257,25 @@ def test_warc_round_trip(spark):
         expected.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", top if again else None))
     key = lambda x: tuple(map(repr, x))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(expected, key=key)
-    ordered = sorted(got, key=lambda r: (r.key_range, r.capture_rank))
+    ordered = sorted(got, key=lambda r: r.capture_rank)
+    assert [r.capture_rank for r in ordered] == list(range(len(given)))
     keys = [(r.url_key, r.timestamp, r.page_id is not None, r.page_id or 0) for r in ordered]
     assert keys == sorted(keys) and len({r.key_range for r in got}) > 1 and len({r.file for r in got}) > 1
 
 
+def test_warc_records_are_http_messages_and_hot_payloads_stay(spark, monkeypatch):
+    from farelens.llm import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    hot, long = "h" * 1500, "é" * 1_500_000
+    given = [*((k, "http://x.test/", hot) for k in range(30)), *((k, "http://x.test/", "") for k in range(30, 50)), (50, "http://x.test/long", long), (51, "http://x.test/long", long)]
+    path = W.write_archives(pages(spark, given))
+    read = [x for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() for x in W.parse_archive(bytes(r.content))]
+    assert len(read) == 52 and all(b.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"].startswith("application/http") for _, h, b in read)
+    by = {int(h["X-Page-ID"]): (h, b.partition(b"\r\n\r\n")[2].decode()) for _, h, b in read}
+    assert by[29][1] == hot and by[51][1] == long and by[50][1] == by[3][1] == "" and by[3][0]["X-Refers-To-Page"] == "29" and by[35][0]["WARC-Type"] == "response"
+
+
 def test_warc_of_an_empty_table(spark):
     assert rows(W.archive_pages(pages(spark, [(1, "u", "h")]).limit(0))) == []
 
