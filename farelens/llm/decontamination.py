@@ -9,8 +9,9 @@ backwards through the tree's ranks, all at once and sharing common suffixes, occ
 sampled suffix positions, and overlapping ones are merged into removal spans.
 
 Defined results: a null text has no words, no hits and stays null; an item without words is skipped;
-an item whose id is null counts for hits but is not listed; repeated rows get equal rows; with an empty
-benchmark nothing is hit; extra columns are ignored (``decontaminate`` keeps them).
+an item whose id is null counts for hits but is not listed; repeated rows get equal rows; a passage of several
+items counts for all of them; a text of any length is searched whole, in its task's shard; with an empty
+benchmark nothing is hit; an empty table gives an empty result; extra columns are ignored (``decontaminate`` keeps them).
 """
 
 from __future__ import annotations

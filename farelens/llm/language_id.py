@@ -7,13 +7,15 @@ a floor. The language with the highest sum wins; its score is the posterior shar
 
 Fitting reads a bounded sample of labelled rows (``fit_rows`` per language, those with the smallest
 hash; a documented parameter). Counts are taken with Spark aggregations; what is collected is the
-``max_words`` most frequent words and ``max_grams`` n-grams of each length for each language (at most
-``MAX_LANGUAGES`` languages), so the broadcast model has a fixed bound whatever the input. Words beyond
-it are not lost: they go the n-gram way.
+``max_words`` most frequent words and ``max_grams`` n-grams of each length for each language, fewer for each where there are so many
+languages that ``model_entries`` in all would not do. So the broadcast model has a fixed bound whatever the
+input, and no language is left out; more than ``model_entries / 100`` labels are an error. Words beyond the model are
+not lost: they go the n-gram way.
 
 Defined results: null text or a text without a letter is ``und`` with score 0; ties go to the
-alphabetically first language; without any labelled row every text is ``und``; repeated rows get equal
-rows; extra columns are ignored (``keep_identified`` keeps them).
+alphabetically first language; without any labelled row every text is ``und``; a text of any length is scored whole;
+repeated rows get equal rows; an empty table gives an empty result; extra columns are ignored (``keep_identified``
+keeps them).
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from farelens.llm.tables import table
 
-MAX_LANGUAGES = 256
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 #: Unseen words whose scores a task remembers; the memory is emptied when full.
@@ -45,6 +46,12 @@ class LanguageModelSize:
     max_grams: int = 4000
     max_gram: int = 4
     smoothing: float = 0.5
+    model_entries: int = 1_200_000
+
+    def shared(self, languages: int) -> tuple[int, int]:
+        """Words and n-grams of each length that each of so many languages may have."""
+        part = min(1.0, self.model_entries / (max(1, languages) * (self.max_words + self.max_gram * self.max_grams)))
+        return max(1, int(self.max_words * part)), max(1, int(self.max_grams * part))
 
 
 @dataclass
@@ -60,17 +67,20 @@ def row_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def _sample(docs: DataFrame, size: LanguageModelSize) -> DataFrame:
-    """At most ``fit_rows`` labelled texts per language, by smallest hash; the text travels only for those."""
+def _sample(docs: DataFrame, size: LanguageModelSize) -> tuple[DataFrame, int]:
+    """At most ``fit_rows`` labelled texts per language, by smallest hash, and the number of languages; the text travels only for those."""
     keyed = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id").alias("_h"))
-    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    most = size.model_entries // 100
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages; model_entries is {size.model_entries}")
     if not counts:
-        return keyed.limit(0)
+        return keyed.select("lang", "text").limit(0), 0
     # a hash bound lets through about 1.5 times the wanted rows, the window then takes exactly the wanted number
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * size.fit_rows / n + 100 / n))) for k, n in counts.items()))
     near = keyed.where((F.col("_h") / F.lit(2.0**64) + 0.5) <= share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", F.crc32("text")))
-    return near.withColumn("_r", rank).where(F.col("_r") <= size.fit_rows).select("lang", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"), "text"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= size.fit_rows).select("lang", "text"), len(counts)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +113,15 @@ def _grams(longest: int):
 def fit(docs: DataFrame, size: LanguageModelSize | None = None) -> LanguageModel:
     """Fits on the labelled rows of ``docs`` (doc_id, text, lang)."""
     size = size or LanguageModelSize()
-    words = _sample(docs, size).mapInArrow(_word_counts, "lang string, gram string, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
+    sample, n_languages = _sample(docs, size)
+    max_words, max_grams = size.shared(n_languages)
+    words = sample.mapInArrow(_word_counts, "lang string, gram string, k long").groupBy("lang", "gram").agg(F.sum("k").alias("k"))
     grams = words.mapInArrow(_grams(size.max_gram), "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     counted = words.select("lang", F.lit(0).alias("n"), "gram", "k").unionByName(grams)
     within = Window.partitionBy("lang", "n")
     top = F.row_number().over(within.orderBy(F.desc("k"), "gram"))
     wanted = counted.withColumn("total", F.sum("k").over(within)).withColumn("r", top)
-    rows = wanted.where(F.col("r") <= F.when(F.col("n") == 0, size.max_words).otherwise(size.max_grams)).select("lang", "n", "gram", "k", "total").collect()
+    rows = wanted.where(F.col("r") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("lang", "n", "gram", "k", "total").collect()
     languages = sorted({r["lang"] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
     total = np.ones((size.max_gram + 1, len(languages)))

@@ -11,9 +11,10 @@ Fitting reads a bounded sample: at most ``fit_rows`` labelled rows of each class
 smallest hash (a documented parameter), so the broadcast is ``2 * fit_rows * dimensions`` floats.
 
 Defined results: a null or empty text is scored like any other (by its size term); without any labelled
-row the score is 0.5; a repeated row gets an equal row; extra columns are ignored (``keep_good`` keeps
+row, or where none of a text's terms is known, the score is 0.5; a repeated row gets an equal row; extra columns are ignored (``keep_good`` keeps
 them); labels that are null or given twice for a document: null ones are left out, of several the
-lowest counts.
+lowest counts; of several texts under one labelled id the one with the least hash is learned from; of equally near
+neighbours any may vote; a text of any length is one row of terms; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,10 +71,12 @@ class Classifier:
         share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) * len(good)
         k = min(self.neighbours, len(good))
         for at in range(0, len(terms), self.block):
-            found = _unit((terms[at : at + self.block] * self.weight) @ self.projection) @ self.vectors.T
+            place = (terms[at : at + self.block] * self.weight) @ self.projection
+            found = _unit(place) @ self.vectors.T
             near = np.argpartition(found, len(good) - k, axis=1)[:, len(good) - k :]
             vote = np.maximum(np.take_along_axis(found, near, axis=1), 1e-6) ** 4 * share[near]
-            out[at : at + self.block] = (vote * good[near]).sum(axis=1) / vote.sum(axis=1)
+            share_of_good = (vote * good[near]).sum(axis=1) / vote.sum(axis=1)
+            out[at : at + self.block] = np.where((place * place).sum(axis=1) > 1e-18, share_of_good, 0.5)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -89,8 +92,8 @@ def _shape_hashes(part: tn.Slice, words: tn.Words) -> np.ndarray:
     fresh[words.start] = True
     place = np.cumsum(fresh)
     value = np.where(fresh, kind.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    rank = np.minimum(place - place[words.start][np.searchsorted(words.start, np.arange(len(kind)), side="right") - 1], 12) if len(words) else place
-    value *= np.uint64(9) ** np.where(fresh, rank, 0).clip(0, 12).astype(np.uint64)
+    rank = place - place[words.start][np.maximum(np.searchsorted(words.start, np.arange(len(kind)), side="right") - 1, 0)]
+    value *= np.uint64(0x9FB21C651E98DF25) ** np.where(fresh, rank, 0).clip(0).astype(np.uint64)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     return tn.mix64(total[words.end] - total[words.start])
 
@@ -131,7 +134,8 @@ def _sample(docs: DataFrame, labels: DataFrame, size: ClassifierSize) -> DataFra
     share = F.when(F.col("quality") == 0, F.lit(1.5 * size.fit_rows / max(1, counts.get(0, 1)) + 0.01)).otherwise(F.lit(1.5 * size.fit_rows / max(1, counts.get(1, 1)) + 0.01))
     near = marked.where("quality IN (0, 1)").where(F.col("_h") / F.lit(2.0**64) + 0.5 <= share)
     chosen = near.withColumn("_r", rank).where(F.col("_r") <= size.fit_rows).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # 2 * fit_rows ids at most
+    near = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * fit_rows ids at most
+    return near.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: ClassifierSize | None = None) -> Classifier:

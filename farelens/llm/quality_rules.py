@@ -6,7 +6,8 @@ window is taken with numpy, and the characters inside windows that occur twice o
 measure is over its limit.
 
 Defined results: a null or empty text has zero counts and fails the base rule (fewer than
-``min_words`` words); a repeated row is judged like the first; extra input columns are ignored.
+``min_words`` words); a repeated row is judged like the first; a text of any length is measured whole; of equal
+lines or n-grams all count, of lines all but the first; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,12 +3,15 @@
 A rule is a regular expression over ``host + path`` with the literal tokens any match must contain.
 Each rule is filed under its rarest literal token, rarity being counted over the URLs themselves; a
 URL's own tokens fetch candidate rules from that index and only the candidates' expressions run.
-The index is a map built from the rule list - a parameter, not data - and reaches the rows as an
-uncorrelated scalar subquery, so the URL table is scanned without a shuffle.
+The index is an array of buckets: a token's hash says in which bucket its rules stand, so a lookup costs the
+same for any number of rules. It is built from the rule list - a parameter of at most MAX_RULES rules, not data - and
+reaches the rows as an uncorrelated scalar subquery, so the URL table is scanned without a shuffle. A rule goes
+under one token, and only tokens of the rules are counted.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 allowed; of several fitting rules the longest rule text wins, site rules before pattern rules, ties
-go to the alphabetically first; repeated rows get equal rows; extra columns are ignored.
+go to the alphabetically first; a URL of any length is tokenised whole; repeated rows get equal rows; an empty
+table gives an empty result; without rules everything is allowed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from farelens.llm.tables import table
 
 #: Rules are parameters of bounded number; a longer list is refused rather than broadcast.
 MAX_RULES = 100_000
+#: Tokens in one bucket of the index, about.
+BUCKET_TOKENS = 4
 
 
 @dataclass(frozen=True)
@@ -81,16 +86,20 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, id_col: st
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col).cast("string")).alias("host"), url_path(F.col(url_col).cast("string")).alias("path"))
     urls = urls.withColumn("_tokens", _tokens(F.col("host"), F.col("path")))
-    # "_" stands for "no rules", so that the map below is never built from nothing
-    listed = spark.createDataFrame([(r.text, r.verdict, r.kind, r.pattern, list(r.tokens)) for r in rules] or [("", "allow", "pattern", "$.", ["_"])], "rule string, verdict string, kind string, pattern string, tokens array<string>")
-    vocabulary = F.array(*(F.lit(t) for t in sorted({t for r in rules for t in r.tokens})))
-    seen = urls.select(F.explode(F.array_intersect("_tokens", vocabulary)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    filed = listed.select("*", F.explode("tokens").alias("token")).join(seen, "token", "left").groupBy("rule", "verdict", "kind", "pattern")
+    listed = spark.createDataFrame([(r.text, r.verdict, r.kind, r.pattern, list(r.tokens)) for r in rules], "rule string, verdict string, kind string, pattern string, tokens array<string>")
+    every = listed.select("rule", "verdict", "kind", "pattern", F.explode("tokens").alias("token"))
+    vocabulary = F.broadcast(every.select("token").distinct())  # MAX_RULES rules' tokens
+    seen = urls.select(F.explode("_tokens").alias("token")).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
+    filed = every.join(seen, "token", "left").groupBy("rule", "verdict", "kind", "pattern")
     filed = filed.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-    entry = F.struct((F.col("kind") == "pattern").cast("int").alias("later"), (-F.length("rule")).alias("short"), "rule", "verdict", "pattern")
-    index = filed.groupBy(F.col("rarest.token").alias("token")).agg(F.sort_array(F.collect_list(entry)).alias("rules"))
-    index = index.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")).scalar()
-    found = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.element_at("_index", t), F.array().cast("array<struct<later:int,short:int,rule:string,verdict:string,pattern:string>>"))))
+    entry = F.struct((F.col("kind") == "pattern").cast("int").alias("later"), (-F.length("rule")).alias("short"), "rule", "verdict", "pattern", F.col("rarest.token").alias("token"))
+    buckets = max(1, len(rules) // BUCKET_TOKENS)
+    bucket = lambda token: F.pmod(F.xxhash64(token), F.lit(buckets))
+    filed = filed.select(bucket(F.col("rarest.token")).alias("bucket"), entry.alias("rule")).groupBy("bucket").agg(F.collect_list("rule").alias("rules"))
+    filled = spark.range(buckets).select(F.col("id").alias("bucket")).join(filed, "bucket", "left")
+    index = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "rules"))), lambda x: x["rules"]).alias("index")).scalar()
+    fetched = F.transform("_tokens", lambda t: F.filter(F.element_at("_index", (bucket(t) + 1).cast("int")), lambda r: r["token"] == t))
+    found = F.flatten(F.filter(fetched, lambda rules: rules.isNotNull()))
     urls = urls.withColumn("_index", index).withColumn("_candidates", F.array_sort(found))
     fits = F.filter("_candidates", lambda c: F.regexp_like(F.concat("host", "path"), c["pattern"]))
     urls = urls.withColumn("_fit", F.try_element_at(fits, F.lit(1)))

@@ -243,6 +243,12 @@ def test_packing_of_odd_rows(spark):
     assert rows(P.pack(docs.limit(0), size)) == []
 
 
+def test_equal_rows_go_to_all_shards(spark):
+    docs = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same few words").alias("text"), F.lit("s").alias("source"))
+    shards = Counter(r.sequence.partition("-")[0] for r in P.pack(docs).collect())
+    assert len(shards) == 5 and max(shards.values()) < 9000
+
+
 def test_bins_hold_no_source_or_cluster_twice(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = P.pack(docs).where("sequence IS NOT NULL").join(docs.select("doc_id", "source", P.text_cluster(F.col("text")).alias("cluster")), "doc_id")

@@ -1,6 +1,7 @@
 """Quality rules, language identification, quality classifier and decontamination."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -92,6 +93,43 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns and {3, 4, 5}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def _naive_language(model, text):
+    """Words in the table by their own entry, else the longest n-gram from left to right; sums of log frequencies."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    total = [0.0] * len(model.languages)
+    for w in words:
+        picks = [model.words[w]] if w in model.words else []
+        rest = "" if picks else f"<{w}>"
+        while rest:
+            n = next((n for n in range(len(model.grams), 0, -1) if len(rest) >= n and rest[:n] in model.grams[n - 1]), 0)
+            picks.append(model.grams[n - 1][rest[:n]] if n else model.floor)
+            rest = rest[n or 1 :]
+        for p in picks:
+            total = [a + float(b) for a, b in zip(total, p, strict=True)]
+    best = max(range(len(total)), key=lambda k: (total[k], -k))
+    return model.languages[best], 1 / sum(math.exp(max(-700, t - total[best])) for t in total)
+
+
+def test_language_matches_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "123 ..."), (-3, "zzq xx the"), (-4, "tion " * 50_000)], "doc_id long, text string"))
+    model = L.fit(L.training_rows(spark.read.parquet(f"{folder}/documents.parquet")), L.LanguageModelSize(max_words=300, max_grams=200))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in L.identify(docs, model).collect():
+        lang, score = _naive_language(model, texts[r.doc_id])
+        assert (r.lang_pred, pytest.approx(r.score, abs=1e-9)) == (lang, score), r.doc_id
+
+
+def test_no_language_is_dropped_from_a_bounded_model(spark):
+    rows_in = [(k, f"word{k % 40:02d}x alpha{k % 40:02d}", f"l{k % 40:02d}") for k in range(400)]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, lang string")
+    model = L.fit(docs, L.LanguageModelSize(model_entries=4000))
+    assert len(model.languages) == 40 and sum(map(len, [model.words, *model.grams])) <= 4000
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(docs, L.LanguageModelSize(model_entries=3900))
+
+
 def test_language_without_training_rows_is_unknown(spark):
     docs = _train(spark)
     assert {r.lang_pred for r in L.identify(docs, L.fit(docs.limit(0))).collect()} == {"und"}
@@ -119,6 +157,36 @@ def test_quality_is_found_on_held_out_rows(spark):
     assert got and all((r.score >= 0.3) == (r.quality == 1) for r in got)
 
 
+def test_quality_votes_match_all_cosines(spark):
+    docs, labels = _quality_tables(spark)
+    model = C.fit(docs, C.training_rows(labels))
+    texts = [r.text for r in docs.orderBy("doc_id").collect()] + ["", "One more TEXT!! " * 500]
+    share = {c: 0.5 / sum(model.labels == c) * len(model.labels) for c in (0, 1)}
+    got = [r.score for r in C.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        terms = C.term_rows(next(tn.slices(pa.array([text]))))[0].astype(float)
+        v = (terms * model.weight) @ model.projection.astype(float)
+        if not v.any():
+            assert score == 0.5
+            continue
+        cosines = sorted(((float(v @ u) / max(float(np.sqrt(v @ v)), 1e-12), int(y)) for u, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)[: model.neighbours]
+        votes = [(max(c, 1e-6) ** 4 * share[y], y) for c, y in cosines]
+        assert score == pytest.approx(sum(w for w, y in votes if y == 1) / sum(w for w, _ in votes), abs=0.02)
+
+
+def test_shapes_of_long_words_differ_anywhere():
+    part = next(tn.slices(pa.array(["a1" * 20, "a1" * 19 + "aA", "a1" * 20])))
+    a, b, c = C._shape_hashes(part, tn.Words(part)).tolist()
+    assert a == c != b
+
+
+def test_fit_takes_the_same_text_of_a_repeated_id(spark):
+    docs, labels = _quality_tables(spark)
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    models = [C.fit(d, labels) for d in (twice, twice.repartition(7).orderBy(F.desc("text")))]
+    assert np.array_equal(models[0].labels, models[1].labels) and np.allclose(models[0].weight, models[1].weight)
+
+
 def test_quality_scores_of_odd_rows(spark):
     docs, labels = _quality_tables(spark)
     model = C.fit(docs, labels.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (1, 1, 0)], labels.schema)))

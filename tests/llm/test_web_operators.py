@@ -226,6 +226,14 @@ def test_url_filter_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_many_rules_cost_no_more_candidates(spark):
+    rules = [*U.default_rules(), *(U.site_rule(f"site{k}.test/p{k}/", "block") for k in range(3000))]
+    long = "http://site7.test/p7/" + "x/" * 50_000
+    got = {r.page_id: r for r in U.filter_urls(pages(spark, [(1, "http://a.site2999.test/p2999/x", None), (2, "http://site1.test/p2/", None), (3, "http://example.com/de/", None), (4, long, None)]), rules).collect()}
+    assert {k: (r.rule, r.verdict) for k, r in got.items()} == {1: ("site2999.test/p2999/", "block"), 2: (None, "allow"), 3: ("example.com/de/", "block"), 4: ("site7.test/p7/", "block")}
+    assert all(r.n_candidates <= 6 for r in got.values())
+
+
 def test_url_filter_parameters(spark):
     p = pages(spark, [(1, "http://a.net/", None), (None, "http://a.net/", None)])
     assert [r.verdict for r in U.filter_urls(p, []).collect()] == ["allow", "allow"]
