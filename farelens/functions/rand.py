@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,27 @@ def hash_order(seed: int | str, *keys: Column | str) -> Column:
     return (hash_uniform(seed, *keys) * 4294967296.0).cast("long")
 
 
+def dealt_out(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores or shuffle partitions: before each row becomes hundreds."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def replicate_weights(df: DataFrame, replicates: int, seed: int | str, *keys: Column | str) -> DataFrame:
+    """Each row once for every bootstrap replicate (``replicate`` from 1) that draws it, with the number of draws ``w``.
+
+    One md5 of (seed, block of eight replicates, keys) gives eight uniform numbers of 16 bits. Rows that a replicate
+    does not draw are left out before anything is shuffled.
+    """
+    joined = F.concat_ws(":", F.lit(str(seed)), "_block", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    blocks = dealt_out(df, *keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8)))).withColumn("_h", F.md5(joined.cast("binary")))
+    blocks = blocks.withColumns({f"_p{k}": F.conv(F.substring("_h", at, n), 16, 10).cast("long") for k, (at, n) in enumerate(((1, 12), (13, 12), (25, 8)))}).drop("_h")
+    u = [F.shiftright(p, shift).bitwiseAND(F.lit(65535)) / F.lit(65536.0) for p, shifts in (("_p0", (32, 16, 0)), ("_p1", (32, 16, 0)), ("_p2", (16, 0))) for shift in shifts]
+    draws = F.array(*(F.struct(F.lit(k).alias("at"), poisson_one(x).alias("w")) for k, x in enumerate(u, 1)))
+    drawn = blocks.withColumn("_drawn", F.explode(draws)).select(*df.columns, (F.col("_block") * 8 + F.col("_drawn.at")).cast("int").alias("replicate"), F.col("_drawn.w").alias("w"))
+    return drawn.where((F.col("w") > 0) & (F.col("replicate") <= replicates))
+
+
 def poisson_one(u: Column) -> Column:
     """The Poisson(1) count of a uniform number: weights of a bootstrap replicate, cut at 7."""
     total, term, out = 0.0, 0.36787944117144233, F.lit(7)

@@ -112,7 +112,18 @@ def right_closed_bin(value: Column, edges: list[Column]) -> Column:
     return out
 
 
-def grouped_running(counted: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
-    """Adds ``cum_n`` and ``all_n`` per group; ``counted`` has one row per group and value."""
-    w = Window.partitionBy(*keys)
-    return counted.withColumn("cum_n", F.sum(n).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all_n", F.sum(n).over(w))
+def grouped_running(counted: DataFrame, keys: list[str], value: str, *sums: str) -> DataFrame:
+    """Adds ``cum_s`` and ``all_s`` per group for each s of ``sums``; ``counted`` has one row per group and value.
+
+    As in ``running_sums`` a group is cut into ranges of its values, here at quantiles of all groups' values,
+    so a group with most of the rows is spread over RANGES tasks.
+    """
+    cuts = counted.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).scalar()
+    ranged = counted.withColumn("_cuts", cuts).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows of a group at most
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+    totals = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums), *(F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select("*", *(F.sum(s).over(inside).alias(f"_i_{s}") for s in sums)).join(totals, [*keys, "_range"])
+    return summed.select(*counted.columns, *((F.col(f"_b_{s}") + F.col(f"_i_{s}")).alias(f"cum_{s}") for s in sums), *(F.col(f"all_{s}") for s in sums))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
+from farelens.functions import stats as S
 
 #: Dollars per million tokens (input, output) by provider.
 PRICES = {"anthropic": (3.0, 15.0), "openai": (0.15, 0.6)}
@@ -118,13 +120,29 @@ def cost_per_thousand(cost: Column, n: Column) -> Column:
     return F.when(n > 0, cost / n * 1000.0).otherwise(0.0)
 
 
-def complete(requests: DataFrame, backend: Callable[[str], str], retries: int = 3) -> DataFrame:
-    """Answers (key, prompt) rows through a pluggable backend, batch by batch on the executors."""
+def latency_percentiles(decisions: DataFrame, latency: str, *keys: str) -> DataFrame:
+    """Exact median and 95th percentile of a latency, by configuration or other keys of few values."""
+    counted = decisions.where(F.col(latency).isNotNull()).groupBy(*keys, F.col(latency).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    ranked = S.grouped_running(counted, list(keys), "_v", "n")
+    covers = lambda at: (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
+    aggs = []
+    for name, p in (("latency_p50", 0.5), ("latency_p95", 0.95)):
+        place = (F.col("all_n") - 1) * F.lit(p)
+        low, part = F.floor(place), place - F.floor(place)
+        one, two = F.max(F.when(covers(low), F.col("_v"))), F.max(F.when(covers(F.ceil(place)), F.col("_v")))
+        aggs.append((one + (two - one) * F.max(part)).alias(name))
+    return ranked.groupBy(*keys).agg(F.max("all_n").alias("n"), *aggs)
+
+
+def complete(requests: DataFrame, backend: Callable[[str], str], retries: int = 3, backoff: float = 1.0) -> DataFrame:
+    """Answers (key, prompt) rows through a pluggable backend, batch by batch on the executors, with each answer's
+    latency. A lost connection is tried again after ``backoff`` seconds, twice as long each time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = []
+            answers, took = [], []
             for prompt in batch["prompt"]:
+                began = time.perf_counter()
                 for attempt in range(retries + 1):
                     try:
                         answers.append(backend(prompt))
@@ -132,6 +150,8 @@ def complete(requests: DataFrame, backend: Callable[[str], str], retries: int =
                     except ConnectionError:
                         if attempt == retries:
                             raise
-            yield pd.DataFrame({"key": batch["key"], "text": answers})
+                        time.sleep(backoff * 2**attempt)
+                took.append(1000 * (time.perf_counter() - began))
+            yield pd.DataFrame({"key": batch["key"], "text": answers, "latency_ms": took})
 
-    return requests.select("key", "prompt").mapInPandas(run, "key string, text string")
+    return requests.select("key", "prompt").mapInPandas(run, "key string, text string, latency_ms double")

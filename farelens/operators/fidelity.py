@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
-from farelens.functions.rand import hash_order, hash_uniform, poisson_one
+from farelens.functions.rand import dealt_out, hash_order, hash_uniform, replicate_weights
 from farelens.sources.staging import materialize
 
 #: Number of surge bands, least segment, the tested marginals, and the published elasticity range.
 BANDS = 8
 MIN_SEGMENT = 4
 MARGINALS = ("accepted_fare", "accepted_wait", "accept_rate_by_hour", "purpose_mix")
+_DRAWN = ("accepted_fare", "accepted_wait", "purpose_mix")
 ALPHA = 0.05 / len(MARGINALS)
 ELASTICITY_RANGE = (-0.6, -0.4)
+#: Sample size up to which the KS p-value counts paths.
+EXACT_KS = 10_000
 
 
 def labeled_offers(trace: DataFrame) -> DataFrame:
@@ -86,28 +90,20 @@ def accept_rate_by_hour(trace: DataFrame) -> DataFrame:
     return trace.groupBy("pickup_hour").agg(F.avg(F.col("accepted").cast("double")).alias("accept_rate"), F.count("*").alias("n"))
 
 
-def _two(real: DataFrame, sim: DataFrame, value: str) -> DataFrame:
-    both = real.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("s")).unionByName(sim.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("s")))
-    d = S.ks_statistic(both, "v", F.col("s") == 1).scalar()
-    sizes = both.agg(F.count_if(F.col("s") == 1).alias("n_real"), F.count_if(F.col("s") == 0).alias("n_sim"))
-    enough = (F.col("n_real") >= 5) & (F.col("n_sim") >= 5)
-    return sizes.withColumn("_d", d).select(F.when(enough, F.col("_d")).alias("statistic"), "n_real", "n_sim")
-
-
 def ks_p_value(d: float | None, n: int, m: int) -> float | None:
-    """Two-sided p-value: the exact lattice-path count for small samples, else Kolmogorov's series."""
+    """Two-sided p-value: the share of lattice paths that reach the distance, exact up to EXACT_KS values in a
+    sample; Kolmogorov's series beyond, where both agree to three digits."""
     if d is None:
         return None
-    if max(n, m) <= 200:
-        inside, bound = [0.0] * (m + 1), d - 1e-12
+    if max(n, m) <= EXACT_KS:
+        i = np.arange(n + 1)
+        inside, bound = np.zeros(n + 1), d - 1e-12  # of the points (i, s - i) of one diagonal: the share of paths that stay inside
         inside[0] = 1.0
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if i == j == 0:
-                    continue
-                ways = (inside[j] * i / (i + j) if i else 0.0) + (inside[j - 1] * j / (i + j) if j else 0.0)
-                inside[j] = ways if abs(i / n - j / m) < bound else 0.0
-        return min(1.0, max(0.0, 1.0 - inside[m]))
+        for s in range(1, n + m + 1):
+            j = s - i
+            inside = np.concatenate(([0.0], inside[:-1])) * (i / s) + inside * (np.maximum(j, 0) / s)
+            inside[(j < 0) | (j > m) | (np.abs(i / n - j / m) >= bound)] = 0.0
+        return float(min(1.0, max(0.0, 1.0 - inside[n])))
     x = d * math.sqrt(n * m / (n + m))
     if x < 1e-6:
         return 1.0
@@ -115,24 +111,32 @@ def ks_p_value(d: float | None, n: int, m: int) -> float | None:
 
 
 def distribution_statistics(trace: DataFrame, real: DataFrame, seed: int, key: str = "tk") -> DataFrame:
-    """The four marginals' KS statistics and sample sizes."""
-    sim = trace.where("accepted = 1")
-    n = sim.agg(F.count("*").alias("n")).scalar()
-    order = purpose_order(real)
+    """The four marginals' KS statistics and sample sizes.
+
+    Of the three marginals over rows as many real ones as simulated ones are taken, by smallest hash of the
+    marginal's own seed; hashes are uniform, so rows are numbered inside equal ranges of them. All marginals are
+    counted in one pass (marginal, value) and ranked together.
+    """
+    sim, order = trace.where("accepted = 1"), purpose_order(real)
     placed = lambda df: df.join(F.broadcast(order), "purpose")  # noqa: E731  four rows
+    values = lambda: [F.col(c).cast("double") for c in ("quoted_fare", "eta_min", "rank")]
+    n_sim = sim.agg(F.count("*").alias("n")).scalar()
+    drawn = placed(real).select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("marginal"), v.alias("v"), hash_order(seed + k, key).alias("hash")) for k, (m, v) in enumerate(zip(_DRAWN, values(), strict=True))))).alias("x")).select(key, "x.*")
+    drawn = drawn.withColumn("_range", F.floor(F.col("hash") / F.lit(float(2**32 // S.RANGES))).cast("int"))
+    sizes = drawn.groupBy("marginal", "_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("marginal").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("marginal", "_range").orderBy("hash", key))
+    taken = drawn.withColumn("_k", place).join(F.broadcast(sizes), ["marginal", "_range"]).withColumn("_want", n_sim).where(F.col("_k") + F.col("_before") <= F.col("_want"))
+    simulated = placed(sim).select(F.explode(F.array(*(F.struct(F.lit(m).alias("marginal"), v.alias("v")) for m, v in zip(_DRAWN, values(), strict=True)))).alias("x")).select("x.*")
     hours = accept_rate_by_hour(real).select("pickup_hour", F.col("accept_rate").alias("real_rate")).join(accept_rate_by_hour(trace), "pickup_hour")
-    # each sample is written once: its running sums are read three times by the statistic's own
-    drawn = [materialize(matched_sample(real.select(key, c), n, seed + k, key), "matched") for k, c in enumerate(("quoted_fare", "eta_min", "purpose"))]
-    parts = [
-        _two(drawn[0], sim, "quoted_fare"), _two(drawn[1], sim, "eta_min"),
-        _two(hours.select(F.col("real_rate").alias("r")), hours.select(F.col("accept_rate").alias("r")), "r"),
-        _two(placed(drawn[2]), placed(sim), "rank"),
-    ]
-    out = None
-    for name, part in zip(MARGINALS, parts, strict=True):
-        one = part.select(F.lit(name).alias("marginal"), "statistic", "n_real", "n_sim")
-        out = one if out is None else out.unionByName(one)
-    return out
+    hours = hours.select(F.explode(F.array(F.struct(F.col("real_rate").alias("v"), F.lit(1).alias("s")), F.struct(F.col("accept_rate").alias("v"), F.lit(0).alias("s")))).alias("x")).select(F.lit("accept_rate_by_hour").alias("marginal"), "x.*")
+    both = taken.select("marginal", "v", F.lit(1).alias("s")).unionByName(simulated.withColumn("s", F.lit(0))).unionByName(hours).where("v IS NOT NULL")
+    counted = materialize(both.groupBy("marginal", "v").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b")), "marginals")
+    ranked = S.grouped_running(counted, ["marginal"], "v", "a", "b")
+    distance = F.abs(F.try_divide("cum_a", "all_a") - F.try_divide("cum_b", "all_b"))
+    per = ranked.groupBy("marginal").agg(F.max(distance).alias("d"), F.max("all_a").alias("n_real"), F.max("all_b").alias("n_sim"))
+    every = trace.sparkSession.createDataFrame([(m,) for m in MARGINALS], "marginal string").join(per, "marginal", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_real", "n_sim")})
+    return every.select("marginal", F.when((F.col("n_real") >= 5) & (F.col("n_sim") >= 5), F.col("d")).alias("statistic"), "n_real", "n_sim")
 
 
 def distribution_tests(trace: DataFrame, real: DataFrame, seed: int, key: str = "tk") -> DataFrame:
@@ -168,9 +172,8 @@ def elasticity_replicates(trace: DataFrame, replicates: int, seed: int, key: str
     edges = S.global_quantiles(trace, "surge", [k / BANDS for k in range(BANDS + 1)])
     placed = trace.select(key, "surge", "accepted").withColumn("_e", edges.select(F.array(*(f"q{k}" for k in range(BANDS + 1)))).scalar())
     band = F.greatest(F.lit(1), F.least(F.lit(BANDS), F.size(F.filter("_e", lambda e: e < F.col("surge")))))
-    drawn = placed.withColumn("band", band).drop("_e").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_one(hash_uniform(f"{seed}:boot", F.concat_ws(":", "replicate", key)))
-    sums = drawn.withColumn("w", w).groupBy("replicate", "band").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("surge")).alias("s"), F.sum(F.col("w") * F.col("accepted")).alias("k"))
+    drawn = replicate_weights(placed.withColumn("band", band).drop("_e"), replicates, f"{seed}:boot", key)
+    sums = drawn.groupBy("replicate", "band").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("surge")).alias("s"), F.sum(F.col("w") * F.col("accepted")).alias("k"))
     pts = sums.where("n > 0").select("replicate", F.ln(F.col("s") / F.col("n")).alias("x"), F.ln(S.laplace_rate(F.col("k"), F.col("n"))).alias("y"))
     per = pts.groupBy("replicate").agg(F.regr_slope("y", "x").alias("slope"), F.count("*").alias("n"), F.countDistinct(F.round(F.col("x") * 1000.0)).alias("k"))
     return per.where("n >= 3 AND k >= 3").select(F.col("replicate").cast("long").alias("replicate"), "slope")
@@ -193,15 +196,20 @@ def permutation_test(scores: DataFrame, permutations: int, seed: int) -> DataFra
     (pair, permutation) groups, so all pairs and permutations are one plan.
     """
     names = scores.select("config").distinct()
-    pairs = names.alias("a").join(names.alias("b"), F.col("a.config") < F.col("b.config")).select(F.col("a.config").alias("config_a"), F.col("b.config").alias("config_b"))
-    sim, real = scores.where("NOT is_real"), scores.where("is_real")
-    pooled = pairs.join(sim, (F.col("config") == F.col("config_a")) | (F.col("config") == F.col("config_b"))).select("config_a", "config_b", F.concat_ws("/", "config", "item").alias("item"), "score", (F.col("config") == F.col("config_a")).alias("first"))
-    reals = pairs.join(real, F.col("config") == F.col("config_a")).select("config_a", "config_b", "score")
+    # a configuration's pairs as one array (configurations are a handful), so that scores meet them without a join of all with all
+    others = F.filter(F.transform("_names", lambda n: F.struct(F.least("config", n).alias("config_a"), F.greatest("config", n).alias("config_b"))), lambda p: p["config_a"] < p["config_b"])
+    paired = scores.withColumn("_names", names.agg(F.collect_set("config")).scalar()).withColumn("_p", F.explode(others)).select("config", "item", "is_real", "score", "_p.*")
+    pooled = paired.where("NOT is_real").select("config_a", "config_b", F.concat_ws("/", "config", "item").alias("item"), "score", (F.col("config") == F.col("config_a")).alias("first"))
+    reals = paired.where("is_real AND config = config_a").select("config_a", "config_b", "score")
     group = ["config_a", "config_b", "perm"]
     perms = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm")  # 0 is as observed
     n_a = F.sum(F.col("first").cast("int")).over(Window.partitionBy("config_a", "config_b"))
-    dealt = pooled.withColumn("n_a", n_a).select("config_a", "config_b", "item", "score", "first", "n_a", perms)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(hash_uniform(f"{seed}:perm", F.concat_ws(":", "perm", "item")), "item"))
+    # one hash deals an item in four permutations; rows are dealt to all cores before they are multiplied
+    blocks = dealt_out(pooled.withColumn("n_a", n_a), "item").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(permutations // 4))))
+    blocks = blocks.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{seed}:perm"), "_block", "item").cast("binary")))
+    four = F.array(*(F.struct((F.col("_block") * 4 + k).alias("perm"), F.substring("_h", 8 * k + 1, 8).alias("place")) for k in range(4)))
+    dealt = blocks.select("config_a", "config_b", "item", "score", "first", "n_a", F.explode(four).alias("_p")).select("config_a", "config_b", "item", "score", "first", "n_a", "_p.*").where(F.col("perm") <= permutations)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("place", "item"))
     dealt = dealt.withColumn("in_a", F.when(F.col("perm") == 0, F.col("first")).otherwise(rank <= F.col("n_a")))
     every = dealt.select(*group, "score", F.col("in_a").cast("int").alias("a"), (~F.col("in_a")).cast("int").alias("b"), F.lit(0).alias("r"))
     every = every.unionByName(reals.select("config_a", "config_b", perms, "score", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("r")))
@@ -228,7 +236,9 @@ def discriminator(real: DataFrame, sim: DataFrame, columns: list[str], folds: in
         model = _classifier(trees, seed).fit(data.where(F.col("fold") != k))
         one = model.transform(data.where(F.col("fold") == k)).select("item", (F.col("label") == 0).alias("is_real"), vector_to_array("probability")[1].alias("score"))
         out = one if out is None else out.unionByName(one)
-    return out
+    scores = materialize(out, "scores")
+    data.unpersist()
+    return scores
 
 
 def importances(real: DataFrame, sim: DataFrame, columns: list[str], trees: int = 10, seed: int = 7) -> DataFrame:

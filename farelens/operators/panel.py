@@ -10,6 +10,7 @@ from farelens.functions.rand import hash_order, hash_uniform
 
 CELL = ["pickup_zone", "pickup_hour", "is_weekend", "miles_bucket"]
 MIN_TRIPS, MAX_TRIPS = 5, 40
+DRAW_BUCKETS = 4096
 
 
 def cells(trips: DataFrame) -> DataFrame:
@@ -26,11 +27,11 @@ def draw_cells(cell_table: DataFrame, spark, n_riders: int, seed: int, min_trips
     """Per rider a cell drawn by volume (inverse distribution function) and a number of trips."""
     w = Window.orderBy("cell_id")
     upper = cell_table.select("cell_id", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
-    bounds = upper.agg(F.sort_array(F.collect_list(F.struct("hi", "cell_id"))).alias("b")).scalar()  # as many entries as cells
+    # a cell stands in every bucket of [0, 1) that it reaches into, so a rider looks at the cells of one bucket
+    place = lambda x: F.floor(F.col(x) * DRAW_BUCKETS).cast("int")
+    bounds = upper.withColumn("bucket", F.explode(F.sequence(place("lo"), F.least(place("hi"), F.lit(DRAW_BUCKETS - 1)))))  # cells + DRAW_BUCKETS rows at most
     riders = spark.range(n_riders).select(F.col("id").alias("rider_id"), hash_uniform(f"{seed}:cell", F.col("id")).alias("u"), (F.lit(min_trips) + F.floor(hash_uniform(f"{seed}:k", F.col("id")) * (max_trips - min_trips + 1))).cast("long").alias("k"))
-    # how many upper bounds are at or below u gives the cell's place; u < 1 and the last bound is 1
-    place = F.transform(F.array("u"), lambda u: F.size(F.filter("_b", lambda b: b["hi"] <= u)))[0]
-    return riders.withColumn("_b", bounds).select("rider_id", F.element_at("_b", F.least(place + 1, F.size("_b")))["cell_id"].alias("cell_id"), "k")
+    return riders.withColumn("bucket", place("u")).join(bounds, "bucket").where("lo <= u AND u < hi").select("rider_id", "cell_id", "k")
 
 
 def cluster_count(n_riders: int) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
-from farelens.functions.rand import hash_uniform, poisson_one
+from farelens.functions.rand import hash_uniform, replicate_weights
 
 #: Intervention cells as (name, price multiplier, surge multiplier); control changes nothing.
 CONTROL = ("control", 1.0, 1.0)
@@ -83,9 +83,11 @@ def rider_bootstrap(deltas: DataFrame, replicates: int, seed: int) -> DataFrame:
 
     A replicate weighs riders with hash-Poisson counts; the explode meets a partial sum at once.
     """
-    valid = deltas.where("delta IS NOT NULL AND covariate IS NOT NULL").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_one(hash_uniform(f"{seed}:riders", F.concat_ws(":", "replicate", "rider_id")))
-    per = valid.withColumn("w", w).groupBy("cell", "metric", "replicate").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("n")).where("n > 0").withColumn("lift", F.col("s") / F.col("n"))
+    valid = deltas.where("delta IS NOT NULL AND covariate IS NOT NULL")
+    # a rider's deltas come together first, so that a replicate draws the rider once for all cells and metrics
+    riders = valid.groupBy("rider_id").agg(F.collect_list(F.struct("cell", "metric", "delta")).alias("_d"))  # cells x metrics at most
+    drawn = replicate_weights(riders, replicates, f"{seed}:riders", "rider_id").withColumn("_d", F.explode("_d")).select("replicate", "w", "_d.*")
+    per = drawn.groupBy("cell", "metric", "replicate").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("n")).withColumn("lift", F.col("s") / F.col("n"))
     return per.groupBy("cell", "metric").agg(F.stddev_pop("lift").alias("se_rider_boot"), F.percentile("lift", F.lit(0.025)).alias("lo"), F.percentile("lift", F.lit(0.975)).alias("hi"))
 
 
@@ -219,9 +221,8 @@ def demand_replicates(trace: DataFrame, replicates: int, seed: int, dedup: bool
 
     Riders' band sums come first, so replicates multiply riders and not decisions.
     """
-    per = trace.groupBy("rider_id").agg(*_band_sums(trace, high, low, F.lit(1))).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_one(hash_uniform(f"{seed}:backtest", F.concat_ws(":", "replicate", "rider_id")))
-    w = F.least(w, F.lit(1)) if dedup else w
+    per = replicate_weights(trace.groupBy("rider_id").agg(*_band_sums(trace, high, low, F.lit(1))), replicates, f"{seed}:backtest", "rider_id")
+    w = F.least("w", F.lit(1)) if dedup else F.col("w")
     sums = per.withColumn("w", w).groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n_high", "n_low", "k_high", "k_low")))
     plain = simulated_demand(trace, high, low).select("log_ratio").scalar()
     return sums.withColumn("_p", plain).select(F.col("replicate").cast("long").alias("replicate"), F.when((F.col("n_high") > 0) & (F.col("n_low") > 0), _log_ratio()).otherwise(F.col("_p")).alias("log_ratio"))

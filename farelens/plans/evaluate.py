@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import stats as S
-from farelens.functions.rand import hash_uniform
+from farelens.functions.rand import hash_uniform, replicate_weights
 from farelens.operators import agent_io, decisions, features, fidelity, logit, offers, panel, personas, screening, trips
 from farelens.sources import tables
 
@@ -30,8 +30,9 @@ class Settings:
 
 
 def build_panel(spark: SparkSession, raw: DataFrame, out: str, settings: Settings | None = None) -> None:
-    """Raw trips -> ``trips`` and ``riders`` tables: cells, clusters, draws and allocation."""
+    """Raw trips -> ``trips`` and ``riders`` tables (cells, clusters, draws and allocation), and the ``daily`` volume of raw trips."""
     s = settings or Settings()
+    tables.write_table(screening.daily_volume(raw), f"{out}/daily")
     keyed = trips.clean_trips(raw)
     if keyed.count() < s.n_riders * panel.MIN_TRIPS:
         raise ValueError(f"too few usable trips for {s.n_riders} riders")
@@ -86,11 +87,7 @@ def score_riders(trace: DataFrame, real: DataFrame, settings: Settings) -> DataF
 
 def auc_interval(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
     """One row: AUC and the percentile interval of bootstrap replicates (hash-Poisson weights)."""
-    from farelens.functions.rand import poisson_one
-
-    drawn = scores.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_one(hash_uniform(f"{seed}:auc", F.concat_ws(":", "replicate", "item")))
-    g = drawn.withColumn("w", w).groupBy("replicate", "score").agg(F.sum(F.when(F.col("is_real"), F.col("w")).otherwise(0)).alias("r"), F.sum(F.when(~F.col("is_real"), F.col("w")).otherwise(0)).alias("s"))
+    g = replicate_weights(scores, replicates, f"{seed}:auc", "item").groupBy("replicate", "score").agg(F.sum(F.when(F.col("is_real"), F.col("w")).otherwise(0)).alias("r"), F.sum(F.when(~F.col("is_real"), F.col("w")).otherwise(0)).alias("s"))
     below = F.sum("r").over(Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("r") / 2.0
     per = g.withColumn("below", below).groupBy("replicate").agg(F.try_divide(F.sum(F.col("s") * F.col("below")), F.sum("s") * F.sum("r")).alias("auc"))
     point = S.auc(scores.withColumn("label", (~F.col("is_real")).cast("int")), "score", "label")
@@ -100,7 +97,7 @@ def auc_interval(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 def config_metrics(trace: DataFrame, real: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """One summary row of a configuration's trace, and its discriminator scores."""
-    scores = score_riders(trace, real, settings).cache()
+    scores = score_riders(trace, real, settings)
     auc = auc_interval(scores, settings.replicates, settings.seed)
     mechanism = fidelity.elasticity_report(trace, settings.replicates, settings.seed)
     brier = fidelity.brier(fidelity.labeled_offers(trace)).select("brier")
@@ -123,7 +120,7 @@ def with_deltas(summary: DataFrame) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, out: str, run_id: str, selector: str = "all", settings: Settings | None = None) -> DataFrame:
-    """Traces -> ``metrics`` (one row per configuration), ``permutations`` and ``importances``; returns the metrics."""
+    """Traces -> ``metrics`` (one row per configuration), ``permutations`` and ``importances`` of a run; returns the metrics."""
     s = settings or Settings()
     write_traces(spark, out, run_id, selector, s)
     real = trips.accepted_events(spark.read.parquet(f"{out}/trips"))
@@ -136,10 +133,10 @@ def evaluate(spark: SparkSession, out: str, run_id: str, selector: str = "all",
         row, scored = row.withColumn("config", F.lit(config)), scored.withColumn("config", F.lit(config))
         summary = row if summary is None else summary.unionByName(row)
         scores = scored if scores is None else scores.unionByName(scored)
-    tables.write_table(with_deltas(summary), f"{out}/metrics")
-    tables.write_table(fidelity.permutation_test(scores, s.permutations, s.seed), f"{out}/permutations")
-    tables.write_table(gains, f"{out}/importances")
-    return spark.read.parquet(f"{out}/metrics")
+    tables.write_run(with_deltas(summary), f"{out}/metrics", run_id)
+    tables.write_run(fidelity.permutation_test(scores, s.permutations, s.seed), f"{out}/permutations", run_id)
+    tables.write_run(gains, f"{out}/importances", run_id)
+    return tables.read_run(spark, f"{out}/metrics", run_id)
 
 
 def screen_run(spark: SparkSession, out: str, run_id: str, config: str = "full", settings: Settings | None = None) -> DataFrame:
@@ -149,16 +146,18 @@ def screen_run(spark: SparkSession, out: str, run_id: str, config: str = "full",
     ranked = screening.screen(trace)
     verdict = screening.backtest(trace, t, s.replicates, s.seed).select("verdict").scalar()
     advised = screening.recommend(ranked.withColumn("_verdict", verdict), F.col("_verdict")).drop("_verdict")
-    daily = spark.read.parquet(f"{out}/usable").agg(F.floor(F.count("*") / 31).alias("d")).scalar()
+    daily = spark.read.parquet(f"{out}/daily").agg(F.max("daily").alias("d")).scalar()
     power = screening.power_table(screening.effects_of(ranked, trace), daily).select(F.col("name").alias("cell"), "n_per_arm", "days")
-    tables.write_table(screening.screen_metrics(trace, s.redraws, s.seed), f"{out}/screening_metrics")
-    tables.write_table(advised.join(power, "cell", "left"), f"{out}/screening")
-    return spark.read.parquet(f"{out}/screening").orderBy("rank")
+    tables.write_run(screening.screen_metrics(trace, s.redraws, s.seed), f"{out}/screening_metrics", run_id)
+    tables.write_run(advised.join(power, "cell", "left"), f"{out}/screening", run_id)
+    return tables.read_run(spark, f"{out}/screening", run_id).orderBy("rank")
 
 
-def gate(spark: SparkSession, out: str, baselines: DataFrame) -> tuple[int, DataFrame]:
-    """Exit code 0 (passed), 1 (failed) or 2 (nothing to check) and the checks."""
-    metrics = spark.read.parquet(f"{out}/metrics").where("config = 'full'").select("discriminator_auc", "ks_passed", "elasticity_sign")
+def gate(spark: SparkSession, out: str, baselines: DataFrame, run_id: str | None = None) -> tuple[int, DataFrame]:
+    """Exit code 0 (passed), 1 (failed) or 2 (nothing to check) and the checks of a run, by default the last by name."""
+    every = tables.read_run(spark, f"{out}/metrics")
+    last = every.agg(F.max("run_id")).scalar() if run_id is None else F.lit(run_id)
+    metrics = every.withColumn("_last", last).where("run_id = _last AND config = 'full'").select("discriminator_auc", "ks_passed", "elasticity_sign")
     checks = screening.gate_checks(metrics, baselines)
     passed = [r["passed"] for r in checks.collect()]
     return (2 if not passed else 0 if all(passed) else 1), checks

@@ -10,6 +10,12 @@ def u(seed: str, *keys: str) -> str:
     return f"(CAST(('0x' || substr(md5(concat_ws(':', {joined})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
+def u16(seed: str, replicate: str, *keys: str) -> str:
+    """The uniform number of a replicate: four digits of a hash that eight replicates share."""
+    joined = ", ".join((f"'{seed}'", f"({replicate} - 1) // 8", *keys))
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', {joined})), CAST(1 + 4 * (({replicate} - 1) % 8) AS INT), 4)) AS BIGINT) / 65536.0::DOUBLE)"
+
+
 def r(x: str, digits: int = 6) -> str:
     return f"(round(({x}) * {10**digits}::DOUBLE) / {10**digits}::DOUBLE)"
 
@@ -88,7 +94,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN pickup_hour <= 5 THEN 'night' WHEN pickup_hour <= 11 THEN 'morning' WHEN pickup_hour <= 16 THEN 'midday' ELSE 'evening' END AS time_of_day, {r('l.miles / 12.0::DOUBLE * 60.0::DOUBLE', 1)} AS transit_alt_minutes, price_mult, surge_mult
         FROM bases b, grid JOIN lane l ON TRUE WHERE b.pickup_zone = l.pickup_zone AND b.dropoff_zone = l.dropoff_zone)"""),
     "shown": (("offers", "personas"), f"SELECT o.*, {r('eta_min', 1)} AS eta_shown, price_sensitivity, wait_tolerance_minutes, income_bracket, loyalty_tier, has_transit_alternative FROM offers o JOIN personas p ON o.rider_id = p.rider_id"),
-    "probs": (("shown",), f"SELECT 'full' AS config, *, {rule('price_sensitivity', 'wait_tolerance_minutes')} AS p FROM shown UNION ALL SELECT 'demographics_only' AS config, *, {rule('0.5::DOUBLE', '5.0::DOUBLE')} AS p FROM shown"),
+    "probs": (("shown",), f"SELECT unnest(['full', 'prompt_v2', 'no_memory', 'no_tools']) AS config, *, {rule('price_sensitivity', 'wait_tolerance_minutes')} AS p FROM shown UNION ALL SELECT 'demographics_only' AS config, *, {rule('0.5::DOUBLE', '5.0::DOUBLE')} AS p FROM shown"),
     "ruled": (("probs",), f"""SELECT * EXCLUDE (p), action, confidence, {r('quoted_fare * (1.0::DOUBLE + 0.8::DOUBLE * greatest(p - 0.5::DOUBLE, 0.0::DOUBLE))', 2)} AS reservation_fare, CASE WHEN action = 'accept' THEN confidence ELSE 1.0::DOUBLE - confidence END AS p_accept FROM (
         SELECT *, CASE WHEN p >= 0.6 THEN 'accept' WHEN surge > 1.5 AND p >= 0.35 THEN 'wait_for_better' WHEN transit_alt_minutes < eta_shown AND surge > 1.2 THEN 'switch_mode' ELSE 'reject' END AS action, {r('2.0::DOUBLE * abs(p - 0.5::DOUBLE)', 3)} AS confidence FROM probs)"""),
     "randomized": (("shown",), f"""SELECT 'random_baseline' AS config, *, (['accept', 'reject', 'wait_for_better', 'switch_mode'])[CAST(floor({u(f'{SEED}:action', 'offer_id')} * 4) AS BIGINT) + 1] AS action, {u(f'{SEED}:confidence', 'offer_id')} AS confidence,
@@ -135,9 +141,9 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 _RATIO = "ln(((k_high + 0.5::DOUBLE) / (n_high + 1.0::DOUBLE)) / ((k_low + 0.5::DOUBLE) / (n_low + 1.0::DOUBLE)))"
 STEPS["sim_ratio"] = (("sim_demand",), f"SELECT n_high, n_low, CASE WHEN n_high >= 5 AND n_low >= 5 THEN {_RATIO} END AS log_ratio FROM sim_demand")
 STEPS["sim_boot"] = (("base_trace", "sim_ratio"), f"""SELECT replicate, CASE WHEN n_high > 0 AND n_low > 0 THEN {_RATIO} ELSE (SELECT log_ratio FROM sim_ratio) END AS log_ratio FROM (
-    SELECT replicate, sum(w * a) AS n_high, sum(w * b) AS n_low, sum(w * c) AS k_high, sum(w * d) AS k_low FROM (SELECT *, {poisson(u(f'{SEED}:backtest', "concat_ws(':', replicate, rider_id)"))} AS w FROM (
+    SELECT replicate, sum(w * a) AS n_high, sum(w * b) AS n_low, sum(w * c) AS k_high, sum(w * d) AS k_low FROM (SELECT *, {poisson(u16(f'{SEED}:backtest', 'replicate', 'rider_id'))} AS w FROM (
     SELECT rider_id, count(*) FILTER (WHERE {band('surge', 2.0, 3.0)}) AS a, count(*) FILTER (WHERE {band('surge', 1.0, 1.2)}) AS b, coalesce(sum(accepted) FILTER (WHERE {band('surge', 2.0, 3.0)}), 0) AS c,
-    coalesce(sum(accepted) FILTER (WHERE {band('surge', 1.0, 1.2)}), 0) AS d FROM base_trace GROUP BY rider_id), (SELECT unnest(range(1, 101)) AS replicate)) GROUP BY replicate)""")
+    coalesce(sum(accepted) FILTER (WHERE {band('surge', 1.0, 1.2)}), 0) AS d FROM base_trace GROUP BY rider_id), (SELECT unnest(range(1, 1001)) AS replicate)) GROUP BY replicate)""")
 
 
 def chain(needs: tuple[str, ...], select: str) -> str:

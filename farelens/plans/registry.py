@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
 from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, trips
-from farelens.plans.oracle import SEED, chain, clip, poisson, purpose, r, rounded, u
+from farelens.plans.oracle import SEED, chain, clip, poisson, purpose, r, rounded, u, u16
 from farelens.sources import views
 from farelens.sources.staging import staged
 from farelens.sources.tables import table
 from farelens.streaming import decisions as streaming
 
 TRIPS_PER_RIDER = 4
-REPLICATES = 100
+#: The reference's counts: elasticity and screening replicates, redraws, permutations, riders of a panel.
+REPLICATES, SCREEN_REPLICATES, REDRAWS, PERMUTATIONS, PANEL = 500, 1000, 200, 200, 2000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -113,15 +114,15 @@ register("sample_riders", lambda i: personas.sample_riders(personas.riders_of(i.
 
 _CELL_SQL = "SELECT (row_number() OVER (ORDER BY pickup_zone, pickup_hour, is_weekend, miles_bucket) - 1)::BIGINT AS cell_id, pickup_zone, pickup_hour, is_weekend, miles_bucket, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS prob FROM trips GROUP BY pickup_zone, pickup_hour, is_weekend, miles_bucket"
 register("cell_volume", lambda i: pick(panel.cells(i.trips), ("cell_id", *panel.CELL, "n"), ("prob",)), chain(("trips",), f"SELECT cell_id, pickup_zone, pickup_hour, is_weekend, miles_bucket, n, {r('prob')} AS prob FROM ({_CELL_SQL})"))
-_DRAWS = f"""draws AS (SELECT d.id AS rider_id, c.cell_id, c.pickup_zone AS zone, (5 + CAST(floor({u(f'{SEED}:k', 'd.id')} * 36) AS BIGINT))::BIGINT AS k FROM (SELECT unnest(range(100)) AS id) d
+_DRAWS = f"""draws AS (SELECT d.id AS rider_id, c.cell_id, c.pickup_zone AS zone, (5 + CAST(floor({u(f'{SEED}:k', 'd.id')} * 36) AS BIGINT))::BIGINT AS k FROM (SELECT unnest(range({PANEL})) AS id) d
     JOIN (SELECT *, coalesce(lag(hi) OVER (ORDER BY cell_id), 0) AS lo FROM (SELECT *, sum(n) OVER (ORDER BY cell_id) / sum(n) OVER ()::DOUBLE AS hi FROM cells)) c ON {u(f'{SEED}:cell', 'd.id')} >= lo AND {u(f'{SEED}:cell', 'd.id')} < hi)"""
-register("weighted_cell_draw", lambda i: panel.draw_cells(panel.cells(i.trips), i.spark, 100, SEED), chain(("trips",), "SELECT 1").replace("\nSELECT 1", f",\ncells AS ({_CELL_SQL}),\n{_DRAWS}\nSELECT rider_id, cell_id, k FROM draws"))
+register("weighted_cell_draw", lambda i: panel.draw_cells(panel.cells(i.trips), i.spark, PANEL, SEED), chain(("trips",), "SELECT 1").replace("\nSELECT 1", f",\ncells AS ({_CELL_SQL}),\n{_DRAWS}\nSELECT rider_id, cell_id, k FROM draws"))
 
 
 def _allocated(i: Inputs) -> DataFrame:
     t, c = i.trips, panel.cells(i.trips)
     by_zone = c.select("cell_id", F.col("pickup_zone").alias("cluster"))
-    return panel.assign_riders(t, panel.draw_cells(c, i.spark, 100, SEED), c, by_zone, SEED)
+    return panel.assign_riders(t, panel.draw_cells(c, i.spark, PANEL, SEED), c, by_zone, SEED)
 
 
 register("panel_allocation", _allocated, chain(("trips",), "SELECT 1").replace("\nSELECT 1", f""",
@@ -141,7 +142,7 @@ t3 AS (SELECT tk, row_number() OVER (ORDER BY substr(md5(concat_ws(':', '{SEED}:
 SELECT rider_id, tk, 'home' AS step FROM home UNION ALL SELECT rider_id, tk, 'cluster' FROM near UNION ALL SELECT rider_id, tk, 'all' FROM s3 JOIN t3 ON rn > lo AND rn <= hi"""))
 register("panel_summary", lambda i: pick(panel.panel_summary(i.trips), ("n_riders", "n_trips", "min_trips", "max_trips", "n_home_zones"), ("median_trips",)),
          chain(("riders",), f"SELECT count(*) AS n_riders, CAST(sum(observed_trip_count) AS BIGINT) AS n_trips, min(observed_trip_count) AS min_trips, max(observed_trip_count) AS max_trips, count(DISTINCT home_zone) AS n_home_zones, {r('median(observed_trip_count)')} AS median_trips FROM riders"))
-register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), panel.cluster_count(2000), SEED), None)
+register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), panel.cluster_count(PANEL), SEED), None)
 
 _LANE = ("pickup_zone", "dropoff_zone")
 register("lane_price_history", lambda i: pick(lookups.price_history(i.trips), (*_LANE, "scope", "n_trips"), ("market_fare_p50", "market_fare_p90")),
@@ -178,7 +179,7 @@ for _name, _config, _build in (
     ("random_decisions", "random_baseline", lambda i: decisions.random_decisions(i.offers, i.personas, SEED)),
 ):
     register(_name, lambda i, b=_build: pick(b(i), _DECISION, _DECISION_D), rounded(("trace",), "trace", _DECISION, _DECISION_D, f"WHERE config = '{_config}'"))
-register("trace_by_config", lambda i: pick(decisions.trace_all(i.offers, i.personas, SEED, ("full", "demographics_only", "random_baseline")).groupBy("config", "action").agg(F.count("*").alias("n"), F.avg("p_accept").alias("mean_p"), F.avg("reservation_fare").alias("mean_fare")), ("config", "action", "n"), ("mean_p", "mean_fare")),
+register("trace_by_config", lambda i: pick(decisions.trace_all(i.offers, i.personas, SEED).groupBy("config", "action").agg(F.count("*").alias("n"), F.avg("p_accept").alias("mean_p"), F.avg("reservation_fare").alias("mean_fare")), ("config", "action", "n"), ("mean_p", "mean_fare")),
          chain(("trace",), f"SELECT config, action, count(*) AS n, {r('avg(p_accept)')} AS mean_p, {r('avg(reservation_fare)')} AS mean_fare FROM trace GROUP BY config, action"))
 register("persona_pruning", lambda i: i.personas.select(*decisions.DEMOGRAPHICS), chain(("personas",), "SELECT rider_id, home_zone, work_zone, income_bracket, loyalty_tier, observed_trip_count FROM personas"))
 
@@ -223,8 +224,13 @@ register("surge_bands", lambda i: pick(fidelity.surge_bands(i.full), ("band", "n
 _SLOPE = "CASE WHEN count(*) >= 3 AND count(DISTINCT round(ln(mean_surge) * 1000)) >= 3 THEN regr_slope(ln(rate), ln(mean_surge)) END"
 register("surge_elasticity", lambda i: pick(fidelity.surge_elasticity(i.full), (), ("elasticity",)), chain(("bands",), f"SELECT {r(_SLOPE)} AS elasticity FROM bands"))
 register("elasticity_bootstrap", lambda i: pick(fidelity.elasticity_replicates(i.full, REPLICATES, SEED), ("replicate",), ("slope",)), chain(("banded",), f"""SELECT replicate, {r('regr_slope(y, x)')} AS slope FROM (SELECT replicate, ln(s / n) AS x, ln((k + 0.5::DOUBLE) / (n + 1.0::DOUBLE)) AS y FROM (
-    SELECT replicate, band, sum(w)::DOUBLE AS n, sum(w * surge) AS s, sum(w * accepted)::DOUBLE AS k FROM (SELECT *, {poisson(u(f'{SEED}:boot', "concat_ws(':', replicate, offer_id)"))} AS w FROM banded, (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate)) GROUP BY 1, 2) WHERE n > 0)
+    SELECT replicate, band, sum(w)::DOUBLE AS n, sum(w * surge) AS s, sum(w * accepted)::DOUBLE AS k FROM (SELECT *, {poisson(u16(f'{SEED}:boot', 'replicate', 'offer_id'))} AS w FROM banded, (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate)) GROUP BY 1, 2) WHERE n > 0)
     GROUP BY replicate HAVING count(*) >= 3 AND count(DISTINCT round(x * 1000)) >= 3"""))
+_REPORT = ("elasticity", "ci_low", "ci_high")
+register("elasticity_report", lambda i: pick(fidelity.elasticity_report(i.full, REPLICATES, SEED), ("sign_pass", "magnitude_pass", "verdict"), _REPORT), chain(("bands",), f"""SELECT sign_pass, magnitude_pass, CASE WHEN sign_pass AND magnitude_pass THEN 'PASS' ELSE 'FAIL' END AS verdict, {', '.join(f'{r(c)} AS {c}' for c in _REPORT)} FROM (
+    SELECT *, coalesce(elasticity < 0, FALSE) AS sign_pass, coalesce(ci_low <= {fidelity.ELASTICITY_RANGE[1]} AND ci_high >= {fidelity.ELASTICITY_RANGE[0]}, FALSE) AS magnitude_pass FROM
+    (SELECT {_SLOPE} AS elasticity FROM bands), (SELECT quantile_cont(slope, 0.025) AS ci_low, quantile_cont(slope, 0.975) AS ci_high FROM ({_SQL["elasticity_bootstrap"].replace(r("regr_slope(y, x)"), "regr_slope(y, x)")})))"""))
+register("distribution_tests", lambda i: pick(fidelity.distribution_tests(i.full, i.real, SEED), ("marginal", "passed"), ("statistic", "p_value", "bonferroni_alpha")), None)
 register("action_entropy", lambda i: pick(features.action_entropy(i.log), ("rider_id",), ("action_entropy",)), rounded(("entropy",), "entropy", ("rider_id",), ("action_entropy",)))
 register("run_lengths", lambda i: pick(features.run_lengths(i.log, ["seq"]), ("rider_id",), ("run_accept_mean", "run_accept_max")), rounded(("runs",), "runs", ("rider_id",), ("run_accept_mean", "run_accept_max")))
 register("fare_ecdf", lambda i: pick(features.fare_percentiles(i.log, i.real), ("offer_id",), ("fare_pctl",)), chain(("log", "real"), f"SELECT offer_id, {r('(SELECT count(*) FROM real WHERE real.quoted_fare <= log.quoted_fare) / (SELECT count(*) FROM real)::DOUBLE')} AS fare_pctl FROM log"))
@@ -237,39 +243,41 @@ register("auc_rank", lambda i: pick(S.auc(fidelity.labeled_offers(i.full), "p_ac
 
 
 def _scores(i: Inputs) -> DataFrame:
-    """Riders' accept rates under three configurations against riders' real tip rates, as stand-in scores."""
-    trace = decisions.trace_all(i.offers, i.personas, SEED, ("full", "demographics_only", "random_baseline"))
+    """Riders' accept rates under the six configurations without a fitted model against riders' real tip rates, as stand-in scores."""
+    trace = decisions.trace_all(i.offers, i.personas, SEED)
     sim = trace.groupBy("config", "rider_id").agg(F.avg("accepted").alias("score")).select("config", F.col("rider_id").cast("string").alias("item"), F.lit(False).alias("is_real"), six("score").alias("score"))
-    real = personas.rider_stats(i.trips).select(F.explode(F.array(*(F.lit(c) for c in ("full", "demographics_only", "random_baseline")))).alias("config"), F.col("rider_id").cast("string").alias("item"), F.lit(True).alias("is_real"), six("tip_rate").alias("score"))
+    real = personas.rider_stats(i.trips).select(F.explode(F.array(*(F.lit(c) for c in (*decisions.RULE_CONFIGS, "random_baseline")))).alias("config"), F.col("rider_id").cast("string").alias("item"), F.lit(True).alias("is_real"), six("tip_rate").alias("score"))
     return sim.unionByName(real)
 
 
-register("permutation_test", lambda i: pick(fidelity.permutation_test(_scores(i), 20, SEED), ("config_a", "config_b"), ("auc_difference", "p_value")), chain(("trace", "stats"), f"""SELECT config_a, config_b, {r('max(o)')} AS auc_difference, {r('(count(*) FILTER (WHERE perm > 0 AND d >= o) + 1) / 21.0::DOUBLE')} AS p_value FROM (
+register("permutation_test", lambda i: pick(fidelity.permutation_test(_scores(i), PERMUTATIONS, SEED), ("config_a", "config_b"), ("auc_difference", "p_value")), chain(("trace", "stats"), f"""SELECT config_a, config_b, {r('max(o)')} AS auc_difference, {r(f'(count(*) FILTER (WHERE perm > 0 AND d >= o) + 1) / {PERMUTATIONS + 1}.0::DOUBLE')} AS p_value FROM (
     SELECT *, max(d) FILTER (WHERE perm = 0) OVER (PARTITION BY config_a, config_b) AS o FROM (SELECT config_a, config_b, perm, {r('abs(avg(f) FILTER (WHERE in_a) - avg(f) FILTER (WHERE NOT in_a))', 9)} AS d FROM (
-    SELECT x.*, perm, CASE WHEN perm = 0 THEN first ELSE row_number() OVER (PARTITION BY config_a, config_b, perm ORDER BY {u(f'{SEED}:perm', "concat_ws(':', perm, item)")}, item) <= sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY config_a, config_b, perm) END AS in_a FROM (
+    SELECT x.*, perm, CASE WHEN perm = 0 THEN first ELSE row_number() OVER (PARTITION BY config_a, config_b, perm ORDER BY substr(md5(concat_ws(':', '{SEED}:perm', perm // 4, item)), CAST(1 + 8 * (perm % 4) AS INT), 8), item) <= sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY config_a, config_b, perm) END AS in_a FROM (
     SELECT a.config AS config_a, b.config AS config_b, s.config || '/' || s.rider_id AS item, s.config = a.config AS first, f.f FROM (SELECT DISTINCT config FROM trace) a JOIN (SELECT DISTINCT config FROM trace) b ON a.config < b.config
     JOIN (SELECT config, rider_id, {r('avg(accepted)')} AS score FROM trace GROUP BY config, rider_id) s ON s.config IN (a.config, b.config)
-    JOIN (SELECT v, (SELECT count(*) FILTER (WHERE t < v) + count(*) FILTER (WHERE t = v) / 2.0::DOUBLE FROM (SELECT {r('tip_rate')} AS t FROM stats)) / (SELECT count(*) FROM stats)::DOUBLE AS f FROM (SELECT DISTINCT {r('score')} AS v FROM (SELECT avg(accepted) AS score FROM trace GROUP BY config, rider_id))) f ON f.v = s.score) x, (SELECT unnest(range(0, 21)) AS perm)) GROUP BY 1, 2, 3)) GROUP BY 1, 2"""))
+    JOIN (SELECT v, (SELECT count(*) FILTER (WHERE t < v) + count(*) FILTER (WHERE t = v) / 2.0::DOUBLE FROM (SELECT {r('tip_rate')} AS t FROM stats)) / (SELECT count(*) FROM stats)::DOUBLE AS f FROM (SELECT DISTINCT {r('score')} AS v FROM (SELECT avg(accepted) AS score FROM trace GROUP BY config, rider_id))) f ON f.v = s.score) x, (SELECT unnest(range(0, {PERMUTATIONS + 1})) AS perm)) GROUP BY 1, 2, 3)) GROUP BY 1, 2"""))
 
 register("pre_post_split", lambda i: i.split.select("cell", "offer_id", "period"), chain(("split",), "SELECT cell, offer_id, period FROM split"))
 register("cell_metrics", lambda i: pick(screening.rider_metrics(i.split), ("cell", "period", "rider_id"), screening.METRICS), rounded(("metrics",), "metrics", ("cell", "period", "rider_id"), screening.METRICS))
 register("paired_deltas", lambda i: pick(i.deltas, ("cell", "rider_id", "metric"), ("delta", "covariate")), rounded(("deltas",), "deltas", ("cell", "rider_id", "metric"), ("delta", "covariate")))
 _LIFT = ("lift", "se_rider", "theta", "cuped_var_reduction", "se_rider_cuped")
 register("cuped_lifts", lambda i: pick(screening.cell_lifts(i.deltas), ("cell", "metric", "n"), _LIFT), chain(("lifts",), f"SELECT cell, metric, n, {', '.join(f'CASE WHEN n >= 5 THEN {r(c)} END AS {c}' for c in _LIFT)} FROM lifts"))
-register("rider_bootstrap_se", lambda i: pick(screening.rider_bootstrap(i.deltas, REPLICATES, SEED), ("cell", "metric"), ("se_rider_boot", "lo", "hi")), chain(("deltas",), f"""SELECT cell, metric, {r('stddev_pop(l)')} AS se_rider_boot, {r('quantile_cont(l, 0.025)')} AS lo, {r('quantile_cont(l, 0.975)')} AS hi FROM (SELECT cell, metric, replicate, sum(w * delta) / sum(w) AS l FROM (
-    SELECT *, {poisson(u(f'{SEED}:riders', "concat_ws(':', replicate, rider_id)"))} AS w FROM deltas, (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate) WHERE delta IS NOT NULL AND covariate IS NOT NULL) GROUP BY 1, 2, 3 HAVING sum(w) > 0) GROUP BY 1, 2"""))
+register("rider_bootstrap_se", lambda i: pick(screening.rider_bootstrap(i.deltas, SCREEN_REPLICATES, SEED), ("cell", "metric"), ("se_rider_boot", "lo", "hi")), chain(("deltas",), f"""SELECT cell, metric, {r('stddev_pop(l)')} AS se_rider_boot, {r('quantile_cont(l, 0.025)')} AS lo, {r('quantile_cont(l, 0.975)')} AS hi FROM (SELECT cell, metric, replicate, sum(w * delta) / sum(w) AS l FROM (
+    SELECT *, {poisson(u16(f'{SEED}:riders', 'replicate', 'rider_id'))} AS w FROM deltas, (SELECT unnest(range(1, {SCREEN_REPLICATES + 1})) AS replicate) WHERE delta IS NOT NULL AND covariate IS NOT NULL) GROUP BY 1, 2, 3 HAVING sum(w) > 0) GROUP BY 1, 2"""))
 register("sampling_errors", lambda i: pick(screening.sampling_errors(i.split), ("cell",), ("se_sampling",)), rounded(("noise",), "noise", ("cell",), ("se_sampling",)))
-register("bernoulli_redraw", lambda i: pick(screening.bernoulli_redraws(i.split, 10, SEED), ("cell", "rider_id", "replicate"), ("accept_rate", "completed_rides", "mean_fare")), chain(("split",), f"""SELECT cell, rider_id, replicate::INT AS replicate, {r('avg(hit)')} AS accept_rate, {r('sum(hit)')} AS completed_rides, {r('avg(quoted_fare) FILTER (WHERE hit = 1)')} AS mean_fare FROM (
-    SELECT *, CASE WHEN {u(f'{SEED}:draw', "concat_ws(':', replicate, cell, offer_id)")} < p_accept THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM split, (SELECT unnest(range(1, 11)) AS replicate) WHERE period = 'post') GROUP BY 1, 2, 3"""))
+_DRAWN = ("accept_rate", "completed_rides", "mean_fare", "abandonment_rate")
+register("bernoulli_redraw", lambda i: pick(screening.bernoulli_redraws(i.split, REDRAWS, SEED).groupBy("cell", "replicate").agg(*(F.sum(c).alias(c) for c in _DRAWN)), ("cell", "replicate"), _DRAWN), chain(("split",), f"""SELECT cell, replicate::INT AS replicate, {', '.join(f'{r(f"sum({c})")} AS {c}' for c in _DRAWN)} FROM (
+    SELECT cell, rider_id, replicate, avg(hit) AS accept_rate, sum(hit) AS completed_rides, avg(quoted_fare) FILTER (WHERE hit = 1) AS mean_fare, 1.0::DOUBLE - avg(hit) AS abandonment_rate FROM (
+    SELECT *, CASE WHEN {u(f'{SEED}:draw', "concat_ws(':', replicate, cell, offer_id)")} < p_accept THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM split, (SELECT unnest(range(1, {REDRAWS + 1})) AS replicate) WHERE period = 'post') GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
 _SCREEN = ("lift", "se_total", "ci_low", "ci_high", "cuped_ci_low")
 register("screen_rank", lambda i: pick(screening.screen(i.full), ("cell", "rank", "screen_in"), _SCREEN), chain(("screened",), f"SELECT cell, rank, CASE WHEN cuped_var_reduction > 0 THEN cuped_ci_low ELSE ci_low END > 0 AS screen_in, {', '.join(f'{r(c)} AS {c}' for c in _SCREEN)} FROM (SELECT *, lift - {screening.Z_975!r}::DOUBLE * se_total AS ci_low, lift + {screening.Z_975!r}::DOUBLE * se_total AS ci_high, lift - {screening.Z_975!r}::DOUBLE * se_cuped AS cuped_ci_low FROM screened)"))
-register("recommendations", lambda i: screening.recommend(screening.screen(i.full).withColumn("_v", screening.backtest(i.full, i.trips, REPLICATES, SEED).select("verdict").scalar()), F.col("_v")).select("cell", "recommendation"),
+register("recommendations", lambda i: screening.recommend(screening.screen(i.full).withColumn("_v", screening.backtest(i.full, i.trips, SCREEN_REPLICATES, SEED).select("verdict").scalar()), F.col("_v")).select("cell", "recommendation"),
          chain(("screened", "real_demand", "sim_ratio", "sim_boot"), f"""SELECT cell, CASE WHEN contains(cell, 'surge') AND NOT agrees THEN 'veto' WHEN lift - {screening.Z_975!r}::DOUBLE * CASE WHEN cuped_var_reduction > 0 THEN se_cuped ELSE se_total END > 0 THEN 'screen_in' ELSE 'hold' END AS recommendation
          FROM screened, (SELECT coalesce((SELECT log_ratio FROM sim_ratio) * ln((n_high / n_total::DOUBLE) / (n_low / n_total::DOUBLE)) > 0, FALSE) AS agrees FROM real_demand)"""))
 
 
 def _by_config(i: Inputs) -> DataFrame:
-    trace = decisions.trace_all(i.offers, i.personas, SEED, ("full", "demographics_only", "random_baseline"))
+    trace = decisions.trace_all(i.offers, i.personas, SEED)
     per = fidelity.labeled_offers(trace).groupBy("config").agg(F.avg(F.pow(F.col("p_accept") - F.col("label"), 2)).alias("brier"), F.avg(F.col("accepted").cast("double")).alias("accept_rate"))
     base = per.where("config = 'full'").select("brier").scalar()
     return per.withColumn("brier_delta_vs_full", F.col("brier") - base)
@@ -290,20 +298,21 @@ register("power_table", lambda i: pick(_effects(i), ("name", "n_per_arm"), ("p0"
     SELECT cell AS name, {clip('c', 1e-6, 1 - 1e-6)} AS p0, {clip('c + lift', 1e-6, 1 - 1e-6)} AS p1 FROM screened, (SELECT avg(accepted) AS c FROM base_trace WHERE price_mult = 1 AND surge_mult = 1))), (SELECT max(CAST(floor(n / day(last_day(m))) AS BIGINT)) AS daily FROM (SELECT date_trunc('month', req) AS m, count(*) AS n FROM raw GROUP BY 1))"""))
 register("backtest_real", lambda i: pick(screening.real_demand(i.trips), ("n_total", "n_high", "n_low"), ("share_high", "share_low", "log_ratio")), chain(("real_demand",), f"SELECT n_total, n_high, n_low, {r('n_high / n_total::DOUBLE')} AS share_high, {r('n_low / n_total::DOUBLE')} AS share_low, {r('ln((n_high / n_total::DOUBLE) / (n_low / n_total::DOUBLE))')} AS log_ratio FROM real_demand"))
 register("backtest_sim", lambda i: pick(screening.simulated_demand(i.full), ("n_high", "n_low"), ("log_ratio",)), rounded(("sim_ratio",), "sim_ratio", ("n_high", "n_low"), ("log_ratio",)))
-register("backtest_verdict", lambda i: pick(screening.backtest(i.full, i.trips, REPLICATES, SEED), ("direction_agrees", "ci_covers_real", "verdict"), ("real", "sim", "ci_low", "ci_high", "signed_error")), chain(("real_demand", "sim_ratio", "sim_boot"), f"""SELECT direction_agrees, ci_covers_real, CASE WHEN direction_agrees AND ci_covers_real THEN 'PASS' WHEN direction_agrees THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, {', '.join(f'{r(c)} AS {c}' for c in ('real', 'sim', 'ci_low', 'ci_high', 'signed_error'))} FROM (
+register("backtest_verdict", lambda i: pick(screening.backtest(i.full, i.trips, SCREEN_REPLICATES, SEED), ("direction_agrees", "ci_covers_real", "verdict"), ("real", "sim", "ci_low", "ci_high", "signed_error")), chain(("real_demand", "sim_ratio", "sim_boot"), f"""SELECT direction_agrees, ci_covers_real, CASE WHEN direction_agrees AND ci_covers_real THEN 'PASS' WHEN direction_agrees THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, {', '.join(f'{r(c)} AS {c}' for c in ('real', 'sim', 'ci_low', 'ci_high', 'signed_error'))} FROM (
     SELECT *, sim - real AS signed_error, coalesce(sim * real > 0, FALSE) AS direction_agrees, coalesce(real BETWEEN ci_low AND ci_high, FALSE) AS ci_covers_real FROM (SELECT ln((n_high / n_total::DOUBLE) / (n_low / n_total::DOUBLE)) AS real FROM real_demand), (SELECT log_ratio AS sim FROM sim_ratio), (SELECT quantile_cont(log_ratio, 0.025) AS ci_low, quantile_cont(log_ratio, 0.975) AS ci_high FROM sim_boot))"""))
 
 
 def _gate(i: Inputs) -> DataFrame:
-    auc = S.auc(fidelity.labeled_offers(i.full), "p_accept", "label").scalar()
+    """The run's own figures against the published ones: all riders' discriminator, the four KS tests, the slope's sign."""
+    metrics = fidelity.distribution_tests(i.full, i.real, SEED).agg(F.count_if("passed").cast("int").alias("ks_passed"))
     slope = fidelity.surge_elasticity(i.full).scalar()
-    metrics = i.spark.range(1).select(auc.alias("discriminator_auc"), F.lit(3).alias("ks_passed"), F.when(slope < 0, "negative").otherwise("positive").alias("elasticity_sign"))
-    base = i.spark.createDataFrame([(0.6, 0.2, 2, "negative")], "discriminator_auc double, discriminator_auc_tolerance double, min_ks_marginals_passed int, elasticity_sign string")
-    return screening.gate_checks(metrics, base)
+    metrics = metrics.withColumns({"discriminator_auc": _discriminator(i).scalar(), "elasticity_sign": F.when(slope < 0, "negative").otherwise("positive")})
+    return screening.gate_checks(metrics, i.spark.createDataFrame([GATE], "discriminator_auc double, discriminator_auc_tolerance double, min_ks_marginals_passed int, elasticity_sign string"))
 
 
-register("gate_checks", _gate, chain(("labeled", "bands"), f"""SELECT 'discriminator AUC' AS "check", abs(auc - 0.6) <= 0.2 AS passed FROM (SELECT (sum(CASE WHEN label = 1 THEN k ELSE 0.0::DOUBLE END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label)::DOUBLE * sum(1 - label)) AS auc FROM (SELECT label, rank() OVER (ORDER BY p_accept) + (count(*) OVER (PARTITION BY p_accept) - 1) / 2.0::DOUBLE AS k FROM labeled))
-    UNION ALL SELECT 'KS marginals passed', TRUE UNION ALL SELECT 'elasticity sign', {_SLOPE} < 0 FROM bands"""))
+#: The published baseline of the gate.
+GATE = (1.0, 0.02, 2, "negative")
+register("gate_checks", _gate, None)
 
 _BAND = "least(round_even(surge * 2.0::DOUBLE, 0) / 2.0::DOUBLE, 5.0::DOUBLE)"
 register("memory_recall_topk", lambda i: memory.recall(i.log), chain(("log",), f"""SELECT rider_id, seq, episode_seq, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY rider_id, seq ORDER BY similarity DESC, episode_seq DESC) AS rank FROM (SELECT o.rider_id, o.seq, e.seq AS episode_seq,
@@ -317,16 +326,27 @@ def _conversations(i: Inputs) -> DataFrame:
     return table(i.spark, i.folder, "conversations")
 
 
-def _cache(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    keyed = _conversations(i).where("role = 'user'").select(F.sha2(F.concat_ws(":", "conv_id", "turn").cast("binary"), 256).alias("key"), F.col("text").alias("response_json"), F.col("turn").alias("created_at"), "conv_id")
-    return keyed.where("conv_id % 3 = 0").drop("conv_id"), keyed
+def _cache(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests are all messages, the cache holds those up to turn 1, and new answers those from turn 1 on."""
+    keyed = _conversations(i).select(F.sha2(F.concat_ws(":", "conv_id", "turn").cast("binary"), 256).alias("key"), F.col("text").alias("response_json"), F.col("turn").alias("created_at"))
+    new = keyed.where("created_at >= 1").select("key", F.concat(F.lit("new:"), "response_json").alias("response_json"), (F.col("created_at") + 100).alias("created_at"))
+    return keyed.where("created_at <= 1"), keyed, new
 
 
-_KEYED = "(SELECT sha256(concat_ws(':', conv_id, turn)) AS key, text AS response_json, turn AS created_at, conv_id FROM conversations WHERE role = 'user')"
-register("cache_upsert", lambda i: agent_io.cache_upsert(_cache(i)[0], _cache(i)[1].where("conv_id % 2 = 0").select("key", F.concat(F.lit("new:"), "response_json").alias("response_json"), (F.col("created_at") + 100).alias("created_at"))),
-         f"SELECT key, CASE WHEN conv_id % 2 = 0 THEN 'new:' || response_json ELSE response_json END AS response_json, CASE WHEN conv_id % 2 = 0 THEN created_at + 100 ELSE created_at END AS created_at FROM {_KEYED} WHERE conv_id % 2 = 0 OR conv_id % 3 = 0")
-register("cache_misses", lambda i: agent_io.cache_misses(_cache(i)[1].select("key"), _cache(i)[0]), f"SELECT key FROM {_KEYED} WHERE conv_id % 3 <> 0")
-register("cache_hits", lambda i: agent_io.cache_hits(_cache(i)[1].select("key"), _cache(i)[0]), f"SELECT key, response_json FROM {_KEYED} WHERE conv_id % 3 = 0")
+_KEYED = "(SELECT sha256(concat_ws(':', conv_id, turn)) AS key, text AS response_json, turn AS created_at FROM conversations)"
+register("cache_upsert", lambda i: agent_io.cache_upsert(_cache(i)[0], _cache(i)[2]), f"SELECT key, CASE WHEN created_at >= 1 THEN 'new:' || response_json ELSE response_json END AS response_json, CASE WHEN created_at >= 1 THEN created_at + 100 ELSE created_at END AS created_at FROM {_KEYED}")
+register("cache_misses", lambda i: agent_io.cache_misses(_cache(i)[1].select("key"), _cache(i)[0]), f"SELECT key FROM {_KEYED} WHERE created_at > 1")
+register("cache_hits", lambda i: agent_io.cache_hits(_cache(i)[1].select("key"), _cache(i)[0]), f"SELECT key, response_json FROM {_KEYED} WHERE created_at <= 1")
+
+
+def _pauses(i: Inputs) -> DataFrame:
+    """A rider's time between two decisions, as the latency of the second."""
+    before = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("rider_id").orderBy("seq"))
+    return i.log.select("action", ((F.unix_micros(F.col("ts").cast("timestamp")) - before) / 1000.0).alias("latency_ms"))
+
+
+register("latency_percentiles", lambda i: pick(agent_io.latency_percentiles(_pauses(i), "latency_ms", "action"), ("action", "n"), ("latency_p50", "latency_p95"), 3),
+         chain(("log",), f"SELECT action, count(*) AS n, {r('quantile_cont(ms, 0.5)', 3)} AS latency_p50, {r('quantile_cont(ms, 0.95)', 3)} AS latency_p95 FROM (SELECT action, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY rider_id ORDER BY seq)) / 1000.0::DOUBLE AS ms FROM log) WHERE ms IS NOT NULL GROUP BY action"))
 register("token_cost", lambda i: pick(agent_io.token_cost(_conversations(i)), ("conv_id", "input_tokens", "output_tokens"), ("cost_usd",)), f"SELECT conv_id, i AS input_tokens, o AS output_tokens, {r('(i * 3.0::DOUBLE + o * 15.0::DOUBLE) / 1000000.0::DOUBLE')} AS cost_usd FROM (SELECT conv_id, CAST(coalesce(sum(t) FILTER (WHERE role <> 'assistant'), 0) AS BIGINT) AS i, CAST(coalesce(sum(t) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS o FROM (SELECT *, greatest(1, length(text) // 4) AS t FROM conversations) GROUP BY conv_id)")
 _P, _M, _O = "'{\"rider_id\":' || rider_id || '}'", "'{\"seq\":' || seq || '}'", "'{\"offer_id\":' || offer_id || ',\"purpose\":\"' || purpose || '\"}'"
 register("prompt_render", lambda i: i.log.select("offer_id", agent_io.render_prompt(agent_io.PROMPT, agent_io.canonical_json("rider_id"), agent_io.canonical_json("seq"), agent_io.canonical_json("purpose", "offer_id")).alias("prompt")).withColumns({"key": agent_io.cache_key("prompt"), "offer_json": agent_io.fenced_json("prompt", 2)}),
@@ -364,15 +384,18 @@ register("logit_training_rows", lambda i: pick(logit.training_rows(i.trips, SEED
 register("logit_baseline", _logit, None)
 
 
-def _discriminator(i: Inputs) -> DataFrame:
+def _rider_features(i: Inputs) -> tuple[DataFrame, DataFrame]:
     order = [F.col("offer_id")]
-    real = features.sequence_features(i.real.withColumn("offer_id", F.col("tk")), i.real, order)
-    sim = features.sequence_features(i.full, i.real, order)
-    scores = fidelity.discriminator(real, sim, list(features.FEATURES), folds=5, trees=100)
+    return features.sequence_features(i.real.withColumn("offer_id", F.col("tk")), i.real, order), features.sequence_features(i.full, i.real, order)
+
+
+def _discriminator(i: Inputs) -> DataFrame:
+    scores = fidelity.discriminator(*_rider_features(i), list(features.FEATURES), folds=5, trees=100)
     return S.auc(scores.withColumn("label", (~F.col("is_real")).cast("int")), "score", "label").select(six("auc").alias("auc"))
 
 
 register("discriminator_auc", _discriminator, None)
+register("discriminator_importances", lambda i: fidelity.importances(*_rider_features(i), list(features.FEATURES), trees=100), None)
 
 
 def queries() -> dict[str, Query]:

@@ -40,8 +40,19 @@ def read_personas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trace(trace: DataFrame, path: str) -> None:
-    """Decision traces, one folder per run and configuration."""
-    trace.write.mode("overwrite").partitionBy(*TRACE_KEYS).parquet(path)
+    """Decision traces, one folder per run and configuration; only folders that the trace has are replaced."""
+    trace.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*TRACE_KEYS).parquet(path)
+
+
+def write_run(df: DataFrame, path: str, run_id: str) -> None:
+    """A run's results, in a folder of their own beside those of other runs."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """The results of one run, or of all of them; the run is the last column and always text."""
+    df = spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+    return df if run_id is None else df.where(F.col("run_id") == run_id)
 
 
 def read_trace(spark: SparkSession, path: str, run_id: str | None = None, config: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
+from farelens.functions import rand
 from farelens.functions import stats as S
 from farelens.functions.rand import hash_uniform
 from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, trips
@@ -60,6 +61,42 @@ def test_ks_p_values():
     assert fidelity.ks_p_value(0.2, 1000, 1000) < 1e-6
 
 
+def _paths(d, n, m):
+    """Every order of two samples, by steps: the share that reaches the distance."""
+    at = {(0, 0): 1}
+    for s in range(1, n + m + 1):
+        new = {}
+        for (i, j), k in at.items():
+            for x, y in ((i + 1, j), (i, j + 1)):
+                if x <= n and y <= m and abs(x / n - y / m) < d - 1e-12:
+                    new[x, y] = new.get((x, y), 0) + k
+        at = new
+    return 1 - at.get((n, m), 0) / math.comb(n + m, n)
+
+
+@pytest.mark.parametrize(("d", "n", "m"), [(0.5, 7, 5), (0.3, 30, 20), (0.1, 201, 201), (0.12, 300, 150)])
+def test_ks_p_value_counts_paths_at_any_size(d, n, m):
+    assert fidelity.ks_p_value(d, n, m) == pytest.approx(_paths(d, n, m), abs=1e-9)
+
+
+def test_ks_p_value_does_not_jump():
+    assert fidelity.ks_p_value(0.02, 10_000, 10_000) == pytest.approx(fidelity.ks_p_value(0.02, 10_001, 10_001), abs=1e-3)
+
+
+def test_grouped_running_sums_of_a_hot_group(spark):
+    rows = [("hot", v, 1 + v % 3, 1) for v in range(500)] + [("small", 7, 2, 5), ("small", 3, 1, 1)]
+    got = {(r.g, r.v): (r.cum_n, r.all_n, r.cum_k) for r in S.grouped_running(spark.createDataFrame(rows, "g string, v long, n long, k long"), ["g"], "v", "n", "k").collect()}
+    for g, v, *_ in rows:
+        assert got[g, v] == (sum(n for h, w, n, _ in rows if h == g and w <= v), sum(n for h, _, n, _ in rows if h == g), sum(k for h, w, _, k in rows if h == g and w <= v))
+
+
+def test_replicate_weights_are_poisson(spark):
+    got = rand.replicate_weights(spark.range(400), 50, "t", "id")
+    assert got.columns == ["id", "replicate", "w"]
+    n, w, least, most = got.agg(F.count("*"), F.sum("w"), F.min("replicate"), F.max("replicate")).first()
+    assert abs(w / 20_000 - 1) < 0.03 and abs(n / 20_000 - (1 - math.exp(-1))) < 0.02 and (least, most) == (1, 50)
+
+
 def test_surge_bands_round_half_to_even(spark):
     got = [r[0] for r in numbers(spark, [1.0, 1.25, 1.75, 2.3, 9]).select(X.surge_band("v")).collect()]
     assert got == [1.0, 1.0, 2.0, 2.5, 5.0]

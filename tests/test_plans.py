@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from farelens.operators import features, fidelity, panel
+from farelens.operators import features, fidelity, panel, screening
 from farelens.plans import evaluate as E
 from farelens.plans import registry, report
 from farelens.sources import tables
@@ -30,7 +30,13 @@ def test_build_evaluate_screen_and_gate(spark, folder, tmp_path):
     metrics = {r.config: r for r in E.evaluate(spark, out, "run1", "baselines", s).collect()}
     assert set(metrics) == {"logit_baseline", "random_baseline"} and all(0 <= r.discriminator_auc <= 1 and r.n_decisions == 360 for r in metrics.values())
     E.write_traces(spark, out, "run2", "llm", s)
-    assert tables.list_runs(spark, f"{out}/trace").count() == 5
+    runs = [tuple(r) for r in tables.list_runs(spark, f"{out}/trace").collect()]  # a second run leaves the first one's traces
+    assert len(runs) == 7 and {c for r, c in runs if r == "run1"} == set(metrics)
+    E.write_traces(spark, out, "run2", "baselines", s)
+    assert tables.list_runs(spark, f"{out}/trace").count() == 9
+    tables.write_run(tables.read_run(spark, f"{out}/metrics", "run1").drop("run_id"), f"{out}/metrics", "run3")
+    assert {tuple(r) for r in tables.read_run(spark, f"{out}/metrics").select("run_id", "config").collect()} == {(r, c) for r in ("run1", "run3") for c in metrics}
+    assert tables.read_run(spark, f"{out}/permutations", "run1").count() == 1
     ranked = E.screen_run(spark, out, "run2", settings=s)
     assert [r["rank"] for r in ranked.collect()] == [1, 2, 3, 4, 5]
     assert "| cell |" in report.screening_report("run2", ranked) and "AUC differences" in report.fidelity_report("run1", spark.read.parquet(f"{out}/metrics"), spark.read.parquet(f"{out}/permutations"))
@@ -38,6 +44,11 @@ def test_build_evaluate_screen_and_gate(spark, folder, tmp_path):
     assert E.gate(spark, out, base)[0] == 2  # there is no "full" row among the baselines
 
 
+def test_days_are_those_of_the_month(spark):
+    raw = spark.range(290).select(F.expr("timestamp'2024-02-01' + make_dt_interval(0, int(id * 2))").cast("timestamp_ntz").alias("request_datetime"))
+    assert [tuple(r) for r in screening.daily_volume(raw).collect()] == [("2024-02", 290, 10)]
+
+
 def test_figure_series(spark, folder):
     from farelens.plans.registry import Inputs
 
@@ -78,6 +89,17 @@ def test_discriminator_query_has_all_features_folds_and_trees(spark, folder, mon
     assert asked == {"columns": list(features.FEATURES), "folds": 5, "trees": 100, "missing": set()}
 
 
+def test_gate_query_judges_computed_figures(spark, folder, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry, "_discriminator", lambda i: spark.createDataFrame([(0.99,)], "auc double"))
+    monkeypatch.setattr(fidelity, "distribution_tests", lambda *a: asked.append(a) or spark.createDataFrame([("a", True), ("b", True), ("c", False)], "marginal string, passed boolean"))
+    run = lambda: {r["check"]: r.passed for r in registry.queries()["gate_checks"](spark, folder).collect()}
+    assert run() == {"discriminator AUC": True, "KS marginals passed": True, "elasticity sign": True} and len(asked) == 1
+    monkeypatch.setattr(registry, "_discriminator", lambda i: spark.createDataFrame([(0.9,)], "auc double"))
+    monkeypatch.setattr(fidelity, "distribution_tests", lambda *a: spark.createDataFrame([("a", True), ("b", False)], "marginal string, passed boolean"))
+    assert run() == {"discriminator AUC": False, "KS marginals passed": False, "elasticity sign": True}
+
+
 class Asked(Exception):
     pass
 
