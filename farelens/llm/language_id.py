@@ -31,12 +31,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from farelens.llm import textnum as tn
 from farelens.llm.tables import table
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 #: Unseen words whose scores a task remembers; the memory is emptied when full.
-_MEMO = 200_000
+_MEMO = 50_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
         for lang, words in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "gram", "k"])
+        del found
+        tn.release()
 
 
 def _grams(longest: int):
@@ -106,6 +109,8 @@ def _grams(longest: int):
                         counts[padded[at : at + n]] += k
             for (lang, n), counts in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "gram", "k"])
+            del found
+            tn.release()
 
     return run
 
@@ -137,7 +142,10 @@ def fit(docs: DataFrame, size: LanguageModelSize | None = None) -> LanguageModel
 
 
 class _Scorer:
-    """Words and n-grams numbered as rows of one matrix of log frequencies; a text is the sum of its rows."""
+    """Words and n-grams numbered as rows of one matrix of log frequencies; a text is the sum of its rows.
+
+    It is made once and sent to the tasks, which is a fraction of a table of small arrays.
+    """
 
     def __init__(self, model: LanguageModel):
         self.languages = model.languages
@@ -194,26 +202,30 @@ class _Scorer:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text; only the text decides. One pass, no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(_Scorer(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(sent.value)
+        scorer = sent.value
         for batch in batches:
             got = [scorer.text(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "lang_pred", "score"])
+            tn.release()
+        scorer.memo.clear()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents whose text is in one of the model's languages with ``least_score`` at least; all columns stay."""
-    sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    sent, schema = docs.sparkSession.sparkContext.broadcast(_Scorer(model)), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(sent.value)
+        scorer = sent.value
         for batch in batches:
             got = [scorer.text(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in got], pa.bool_()))
+            tn.release()
+        scorer.memo.clear()
 
     return docs.mapInArrow(run, schema)
 

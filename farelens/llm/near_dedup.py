@@ -295,8 +295,11 @@ def _by_group(columns: list[str], process):
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = key[lo]
+            tn.release()
         if held:
             yield from process(pa.Table.from_batches(held))
+        held = []
+        tn.release()
 
     return run
 

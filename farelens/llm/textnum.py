@@ -7,13 +7,14 @@ bytes and splitting code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of rows taken together; bounds the memory of a worker whatever the rows' lengths.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -22,6 +23,14 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Hands freed memory back to the machine, since a Python worker lives on between tasks with all it ever took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every output bit depends on every input bit."""
     x = x ^ (x >> _U(32))
@@ -85,6 +94,7 @@ def slices(column: pa.Array) -> Iterator[Slice]:
         at = bounds[lo : hi + 1]
         yield Slice(data[at[0] : at[-1]], at - at[0], valid[lo:hi], lo)
         lo = hi
+    release()
 
 
 class Words:
