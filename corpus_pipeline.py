@@ -6,7 +6,9 @@ tables of ``sf_dir`` (bounded samples of their learnable rows), so a stage's ver
 not depend on what earlier stages removed.
 
 The near-duplicate stage takes shingles of five words at a similarity of 0.8. Null texts have no
-language and go in stage two; rows that repeat are copies and go in stage three.
+language and go in stage two; rows that repeat are copies and go in stage three; of a group's documents the one
+with the smallest id stays. Texts are taken whole, whatever their length. Empty tables give empty stages: without
+labels every document scores 0.5 and stays, without a labelled language all go, without a benchmark nothing is cut.
 """
 
 from __future__ import annotations
