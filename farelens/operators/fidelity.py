@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
 from farelens.functions.rand import dealt_out, hash_order, hash_uniform, replicate_weights
-from farelens.sources.staging import materialize
+from farelens.sources.staging import discard, materialize
 
 #: Number of surge bands, least segment, the tested marginals, and the published elasticity range.
 BANDS = 8
@@ -228,24 +230,30 @@ def discriminator(real: DataFrame, sim: DataFrame, columns: list[str], folds: in
 
     Folds are by hash of the item; rows: item, is_real, score.
     """
+    from pyspark import inheritable_thread_target
     from pyspark.ml.functions import vector_to_array
 
-    data = _told_apart(real, sim, columns).withColumn("fold", F.floor(hash_uniform(f"{seed}:fold", "item") * folds).cast("int")).cache()
-    out = None
-    for k in range(folds):
+    rows = _told_apart(real, sim, columns)
+    data = _assembled(rows, columns).withColumn("fold", F.floor(hash_uniform(f"{seed}:fold", "item") * folds).cast("int"))
+
+    def fold(k: int) -> DataFrame:
         model = _classifier(trees, seed).fit(data.where(F.col("fold") != k))
-        one = model.transform(data.where(F.col("fold") == k)).select("item", (F.col("label") == 0).alias("is_real"), vector_to_array("probability")[1].alias("score"))
-        out = one if out is None else out.unionByName(one)
+        return model.transform(data.where(F.col("fold") == k)).select("item", (F.col("label") == 0).alias("is_real"), vector_to_array("probability")[1].alias("score"))
+
+    # a fit is a long row of short jobs, so the folds' fits run side by side
+    with ThreadPool(folds) as pool:
+        fitted = pool.map(inheritable_thread_target(real.sparkSession)(fold), range(folds))
+    out = reduce(DataFrame.unionByName, fitted)
     scores = materialize(out, "scores")
-    data.unpersist()
+    discard(rows)
     return scores
 
 
 def importances(real: DataFrame, sim: DataFrame, columns: list[str], trees: int = 10, seed: int = 7) -> DataFrame:
     """rank, feature, importance: shares of gain in a final model fitted on all riders, falling."""
-    data = _told_apart(real, sim, columns).cache()
-    gains = _classifier(trees, seed).fit(data).featureImportances.toArray().tolist()
-    data.unpersist()
+    rows = _told_apart(real, sim, columns)
+    gains = _classifier(trees, seed).fit(_assembled(rows, columns)).featureImportances.toArray().tolist()
+    discard(rows)
     ranked = sorted(zip(columns, gains, strict=True), key=lambda x: -x[1])
     return real.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(ranked, 1)], "rank long, feature string, importance double")
 
@@ -257,7 +265,13 @@ def _classifier(trees: int, seed: int):
 
 
 def _told_apart(real: DataFrame, sim: DataFrame, columns: list[str]) -> DataFrame:
+    """item, label and features of all riders as a table: each of a fit's many jobs reads it in as many tasks as
+    its size asks for, where the plan behind it would bring a task for every partition of its shuffles."""
+    both = real.select(F.concat(F.lit("real:"), "rider_id").alias("item"), F.lit(0.0).alias("label"), *columns).unionByName(sim.select(F.concat(F.lit("sim:"), "rider_id").alias("item"), F.lit(1.0).alias("label"), *columns))
+    return materialize(both, "told-apart")
+
+
+def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    both = real.select(F.concat(F.lit("real:"), "rider_id").alias("item"), F.lit(0.0).alias("label"), *columns).unionByName(sim.select(F.concat(F.lit("sim:"), "rider_id").alias("item"), F.lit(1.0).alias("label"), *columns))
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(both).select("item", "label", "features")
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select("item", "label", "features")
