@@ -10,7 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Ranges of a global order: as many as the cluster runs tasks, within these bounds.
+RANGES, MOST_RANGES = 64, 1024
+
+
+def ranges_of(df: DataFrame) -> int:
+    return max(RANGES, min(MOST_RANGES, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def cut_points(df: DataFrame, value: str) -> Column:
+    """The bounds of a value's ranges, approximate quantiles of it."""
+    k = ranges_of(df)
+    return df.agg(F.percentile_approx(value, [i / k for i in range(1, k)], 20 * k).alias("c")).scalar()
 
 
 def below(cuts: Column, value: Column) -> Column:
@@ -28,10 +39,9 @@ def running_sums(counted: DataFrame, value: str, sums: list[str], ties: tuple[st
     ``counted`` has one row per value, or per value and ``ties``. Rows whose value is null are dropped.
     """
     given = counted.where(F.col(value).isNotNull())
-    cuts = given.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).scalar()
-    ranged = given.withColumn("_cuts", cuts).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
+    ranged = given.withColumn("_cuts", cut_points(given, value)).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
     totals = ranged.groupBy("_range").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # MOST_RANGES rows at most
     whole = Window.partitionBy()
     totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums), *(F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums))
     inside = Window.partitionBy("_range").orderBy(value, *ties).rowsBetween(Window.unboundedPreceding, 0)
@@ -116,12 +126,11 @@ def grouped_running(counted: DataFrame, keys: list[str], value: str, *sums: str)
     """Adds ``cum_s`` and ``all_s`` per group for each s of ``sums``; ``counted`` has one row per group and value.
 
     As in ``running_sums`` a group is cut into ranges of its values, here at quantiles of all groups' values,
-    so a group with most of the rows is spread over RANGES tasks.
+    so a group with most of the rows is spread over as many tasks.
     """
-    cuts = counted.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("c")).scalar()
-    ranged = counted.withColumn("_cuts", cuts).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
+    ranged = counted.withColumn("_cuts", cut_points(counted, value)).withColumn("_range", below(F.col("_cuts"), F.col(value))).drop("_cuts")
     whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows of a group at most
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # MOST_RANGES rows of a group at most
     totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     totals = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums), *(F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums))
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
@@ -56,17 +56,26 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
+def plain_object(text: Column | str) -> Column:
+    """What follows the first brace, where a JSON object begins there; else null. Readers ignore what follows an object."""
+    rest = F.regexp_extract(X.col(text), r"(?s)(\{.*)", 1)
+    return F.when(F.try_parse_json(rest).isNotNull(), rest)
+
+
 def parse_decisions(outputs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``decision`` (struct, null if it breaks a rule) and ``error``.
 
-    Finding the first object needs a scanner, which is a small vectorized function; validation is columns.
+    An object at the first brace is read in the JVM. Only texts whose first brace opens something else go
+    to a scanner, a small vectorized function; validation is columns.
     """
 
     @F.pandas_udf("string")
     def scan(s: pd.Series) -> pd.Series:
         return s.map(_first_object)
 
-    out = outputs.withColumn("_json", scan(F.col(text))).withColumn("decision", F.from_json("_json", DECISION))
+    plain = outputs.withColumn("_plain", plain_object(text))
+    found = plain.withColumn("_json", F.coalesce("_plain", scan(F.when(F.col("_plain").isNull(), F.col(text))))).drop("_plain")
+    out = found.withColumn("decision", F.from_json("_json", DECISION))
     known = F.array(*(F.lit(f.split()[0]) for f in DECISION.split(", ")))
     d = lambda f: F.col(f"decision.{f}")
     error = (
@@ -99,6 +108,17 @@ def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new")
 
 
+def cache_put(new: DataFrame, path: str) -> None:
+    """Adds responses (key, response_json, created_at) to a stored cache; nothing that is there is written again."""
+    new.select("key", "response_json", "created_at").write.mode("append").parquet(path)
+
+
+def cache_get(spark: SparkSession, path: str) -> DataFrame:
+    """A stored cache with one row per key: of several responses the newest, of equally new ones the last by text."""
+    order = Window.partitionBy("key").orderBy(F.desc("created_at"), F.desc("response_json"))
+    return spark.read.parquet(path).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key", "response_json"), "key")
 

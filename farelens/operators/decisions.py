@@ -43,10 +43,17 @@ def accept_probability(action: Column | str, confidence: Column | str) -> Column
     return F.when(X.col(action) == "accept", X.col(confidence)).otherwise(1.0 - X.col(confidence))
 
 
+def with_persona(offers: DataFrame, personas: DataFrame, *traits: str) -> DataFrame:
+    """Offers with their rider's traits; an offer whose rider has no persona is an error."""
+    known = personas.select("rider_id", *traits, F.lit(True).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit("no persona for rider "), F.coalesce(F.col("rider_id").cast("string"), F.lit("null"))))
+    return offers.join(known, "rider_id", "left").where(F.when(F.col("_known").isNull(), missing.cast("boolean")).otherwise(F.lit(True))).drop("_known")
+
+
 def _trace(offers: DataFrame, personas: DataFrame, config: str, columns: dict[str, Column], p_accept: Column | None = None) -> DataFrame:
     """Offers with their decision; the trace keeps the unrounded wait."""
     kept = offers.withColumn("eta_raw", F.col("eta_min"))
-    joined = as_shown(kept).join(personas.select("rider_id", "price_sensitivity", "wait_tolerance_minutes", "income_bracket", "loyalty_tier", "has_transit_alternative"), "rider_id")
+    joined = with_persona(as_shown(kept), personas, "price_sensitivity", "wait_tolerance_minutes", "income_bracket", "loyalty_tier", "has_transit_alternative")
     decided = joined.withColumns(columns)
     decided = decided.withColumn("p_accept", accept_probability("action", "confidence") if p_accept is None else p_accept)
     return decided.withColumn("accepted", (F.col("action") == "accept").cast("long")).withColumn("config", F.lit(config)).withColumn("eta_min", F.col("eta_raw")).drop("eta_raw", "p")
@@ -72,7 +79,7 @@ def statistical_decisions(offers: DataFrame, personas: DataFrame, seed: int) ->
     """Simulated choices: a Bernoulli draw from the trait logit."""
     tol = F.col("wait_tolerance_minutes")
     p = X.logistic(2.0 - 2.5 * F.col("price_sensitivity") * (F.col("price_mult") - 1.0) - 1.5 * (F.col("offered_wait_min") - tol) / F.greatest(tol, F.lit(1.0)))
-    joined = offers.join(personas.select("rider_id", "price_sensitivity", "wait_tolerance_minutes"), "rider_id")
+    joined = with_persona(offers, personas, "price_sensitivity", "wait_tolerance_minutes")
     return joined.withColumn("p", p).withColumn("accepted", hash_uniform(f"{seed}:choice", F.concat_ws(":", "tk", "variant")) < F.col("p")).withColumn("decision_mode", F.lit("statistical"))
 
 

@@ -41,26 +41,30 @@ def fare_percentiles(events: DataFrame, market: DataFrame) -> DataFrame:
 def surge_slopes(events: DataFrame) -> DataFrame:
     """Per rider the logistic slope of acceptance on ln surge (nearly unpenalized); 0 where it is undefined.
 
-    Riders are independent and short, so each is one small Newton iteration in numpy.
+    Decisions at one surge are alike to the fit, so they are counted first, map-side: a group has a row for each surge
+    that its rider has met, however many decisions the rider has. A Newton iteration in numpy follows.
+    Rows without surge or decision don't count.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.log(np.maximum(pdf["surge"].to_numpy(float), 1.0)), pdf["accepted"].to_numpy(float)
+        met = pdf[pdf["surge"].notna() & (pdf["n"] > 0)]
+        x, n, k = np.log(np.maximum(met["surge"].to_numpy(float), 1.0)), met["n"].to_numpy(float), met["k"].to_numpy(float)
         slope = 0.0
-        if len(x) >= 4 and len(np.unique(np.round(x, 3))) >= 2 and y.std() > 0:
+        if n.sum() >= 4 and len(np.unique(np.round(x, 3))) >= 2 and 0 < k.sum() < n.sum():
             b = np.zeros(2)
             m = np.stack([np.ones_like(x), x], axis=1)
             for _ in range(50):
                 p = 1.0 / (1.0 + np.exp(-np.clip(m @ b, -30, 30)))
-                h = (m * (p * (1 - p))[:, None]).T @ m + np.diag([1e-9, 1e-6])
-                step = np.linalg.solve(h, m.T @ (y - p) - np.array([0.0, 1e-6]) * b)
+                h = (m * (n * p * (1 - p))[:, None]).T @ m + np.diag([1e-9, 1e-6])
+                step = np.linalg.solve(h, m.T @ (k - n * p) - np.array([0.0, 1e-6]) * b)
                 b += np.clip(step, -5, 5)
                 if np.abs(step).max() < 1e-8:
                     break
             slope = float(b[1])
         return pd.DataFrame({"rider_id": [pdf["rider_id"].iloc[0]], "surge_elasticity": [slope]})
 
-    return events.select("rider_id", "surge", "accepted").groupBy("rider_id").applyInPandas(fit, "rider_id long, surge_elasticity double")
+    counted = events.groupBy("rider_id", "surge").agg(F.count("accepted").alias("n"), F.coalesce(F.sum("accepted"), F.lit(0)).alias("k"))
+    return counted.groupBy("rider_id").applyInPandas(fit, "rider_id long, surge_elasticity double")
 
 
 def sequence_features(events: DataFrame, market: DataFrame, order: list[Column | str], slopes: bool = True) -> DataFrame:

@@ -124,7 +124,7 @@ def distribution_statistics(trace: DataFrame, real: DataFrame, seed: int, key: s
     values = lambda: [F.col(c).cast("double") for c in ("quoted_fare", "eta_min", "rank")]
     n_sim = sim.agg(F.count("*").alias("n")).scalar()
     drawn = placed(real).select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("marginal"), v.alias("v"), hash_order(seed + k, key).alias("hash")) for k, (m, v) in enumerate(zip(_DRAWN, values(), strict=True))))).alias("x")).select(key, "x.*")
-    drawn = drawn.withColumn("_range", F.floor(F.col("hash") / F.lit(float(2**32 // S.RANGES))).cast("int"))
+    drawn = drawn.withColumn("_range", F.floor(F.col("hash") / F.lit(float(2**32 // S.ranges_of(real)))).cast("int"))
     sizes = drawn.groupBy("marginal", "_range").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("marginal").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("marginal", "_range").orderBy("hash", key))

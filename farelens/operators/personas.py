@@ -99,6 +99,14 @@ def persona_violations(personas: DataFrame) -> DataFrame:
     return violations(personas, "rider_id", ok)
 
 
+def checked_personas(personas: DataFrame) -> DataFrame:
+    """The personas as they are; one that breaks a constraint is an error that names rider and field."""
+    bad = persona_violations(personas).orderBy("rider_id", "field").limit(5).collect()
+    if bad:
+        raise ValueError("personas break constraints: " + ", ".join(f"{b['field']} of rider {b['rider_id']}" for b in bad))
+    return personas
+
+
 def violations(df: DataFrame, key: str, ok: dict) -> DataFrame:
     """``key, field`` for every constraint that is false or null."""
     broken = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(None)).otherwise(F.lit(k)) for k, c in ok.items())), lambda x: x.isNotNull())

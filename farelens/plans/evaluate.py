@@ -51,7 +51,7 @@ def build_personas(spark: SparkSession, out: str, n: int, seed: int) -> None:
 
 def simulate(spark: SparkSession, out: str, n_personas: int, trips_per_persona: int, seed: int) -> DataFrame:
     """Price and wait choices of sampled personas -> ``simulated_choices``; asking for more personas than there are takes all."""
-    t, people = spark.read.parquet(f"{out}/trips"), tables.read_personas(spark, f"{out}/personas")
+    t, people = spark.read.parquet(f"{out}/trips"), personas.checked_personas(tables.read_personas(spark, f"{out}/personas"))
     chosen = personas.sample_riders(people, n_personas, seed)
     made = offers.simulation_offers(t.join(chosen.select("rider_id"), "rider_id", "left_semi"), trips_per_persona, seed)
     tables.write_table(decisions.statistical_decisions(made, chosen, seed), f"{out}/simulated_choices")
@@ -61,7 +61,7 @@ def simulate(spark: SparkSession, out: str, n_personas: int, trips_per_persona:
 def write_traces(spark: SparkSession, out: str, run_id: str, selector: str = "all", settings: Settings | None = None) -> None:
     """Decisions of the selected configurations into the partitioned trace table."""
     s = settings or Settings()
-    t, people = spark.read.parquet(f"{out}/trips"), tables.read_personas(spark, f"{out}/personas")
+    t, people = spark.read.parquet(f"{out}/trips"), personas.checked_personas(tables.read_personas(spark, f"{out}/personas"))
     made = offers.evaluation_offers(t, s.trips_per_rider, s.seed, people)
     names = decisions.select_configs(selector)
     trace = decisions.trace_all(made, people, s.seed, tuple(n for n in names if n != "logit_baseline")) if names != ("logit_baseline",) else None

@@ -285,6 +285,57 @@ def test_decisions_parse_repair_and_fall_back(spark):
     assert final[0] == ("accept", True, 12.5) and final[4] == ("accept", True, 12.5) and final[3] == ("reject", False, 20.0)
 
 
+def test_objects_are_found_with_and_without_the_scanner(spark):
+    good = '{"action": "accept", "reasoning": "a } in \\u00e9", "confidence": 0.9, "reservation_fare": 12.5, "tools_called": ["x"]}'
+    texts = [good, " \n" + good + " and more {", "```json\n" + good + "\n```\n" + good.replace("accept", "reject"), "{", "{}", "[1] {x} " + good, good[:-1], "{{" + good + "}}", "", None, '{"a": NaN} ' + good, good + good]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    got = {r.k: (r.decision, r.error) for r in agent_io.parse_decisions(df).collect()}
+    for k, t in enumerate(texts):
+        found = agent_io._first_object(t)
+        again = agent_io.parse_decisions(spark.createDataFrame([(found,)], "text string")).first()
+        assert got[k] == (again.decision, again.error), t
+    plain = {r.k for r in df.where(agent_io.plain_object("text").isNotNull()).collect()}
+    assert {0, 1, 2, 4, 11} <= plain and not plain & {3, 5, 6, 7, 8, 9}
+
+
+def test_stored_cache_keeps_the_newest(spark, tmp_path):
+    columns = "key string, response_json string, created_at double"
+    agent_io.cache_put(spark.createDataFrame([("a", "1", 1.0), ("b", "1", 1.0)], columns), f"{tmp_path}/c")
+    agent_io.cache_put(spark.createDataFrame([("a", "2", 2.0), ("b", "0", 0.5), ("c", "9", 1.0)], columns), f"{tmp_path}/c")
+    assert {(r.key, r.response_json) for r in agent_io.cache_get(spark, f"{tmp_path}/c").collect()} == {("a", "2"), ("b", "1"), ("c", "9")}
+    asked = spark.createDataFrame([("a",), ("z",)], "key string")
+    assert [r.key for r in agent_io.cache_misses(asked, agent_io.cache_get(spark, f"{tmp_path}/c")).collect()] == ["z"]
+
+
+def test_an_offer_without_persona_is_an_error(inputs):
+    some = inputs.personas.where("rider_id % 2 = 0")
+    for decide in (lambda: decisions.rule_decisions(inputs.offers, some), lambda: decisions.random_decisions(inputs.offers, some, 7)):
+        with pytest.raises(Exception, match="no persona for rider"):
+            decide().count()
+    assert decisions.rule_decisions(inputs.offers, inputs.personas).count() == inputs.offers.count()
+
+
+def test_broken_personas_are_not_loaded(inputs):
+    assert personas.checked_personas(inputs.personas).count() == inputs.personas.count()
+    with pytest.raises(ValueError, match="price_sensitivity of rider"):
+        personas.checked_personas(inputs.personas.withColumn("price_sensitivity", F.lit(1.5)))
+
+
+def test_slopes_rest_on_counts(spark):
+    rows = [(1, s, int(i % 4 < c)) for s, c in ((1.0, 3), (1.5, 2), (2.0, 1)) for i in range(400)] + [(2, 1.2, 1)] * 9 + [(3, None, 1), (3, 1.0, None)]
+    got = {r.rider_id: r.surge_elasticity for r in features.surge_slopes(spark.createDataFrame(rows, "rider_id long, surge double, accepted long")).collect()}
+    x, y = np.log([r[1] for r in rows[:1200]]), np.array([r[2] for r in rows[:1200]], float)
+    grid = [(abs(np.sum(y - p)) + abs(np.sum((y - p) * x)), b) for b in np.linspace(-4, -2, 201) for a in np.linspace(0.9, 1.5, 121) for p in [1 / (1 + np.exp(-a - b * x))]]
+    assert got[1] == pytest.approx(min(grid)[1], abs=0.03) and got[2] == got[3] == 0.0
+
+
+def test_ranges_follow_the_cluster_within_bounds(spark, monkeypatch):
+    df = numbers(spark, range(1, 300))
+    assert S.ranges_of(df) == S.RANGES
+    monkeypatch.setattr(S, "RANGES", 200)
+    assert S.global_quantiles(df, "v", [0.5]).first()[0] == 150.0
+
+
 def test_backend_is_called_per_prompt_and_retried(spark):
     got = agent_io.complete(spark.createDataFrame([("a", "x"), ("b", "yy")], "key string, prompt string"), lambda p: p * 2)
     assert sorted((r.key, r.text) for r in got.collect()) == [("a", "xx"), ("b", "yyyy")]

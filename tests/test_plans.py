@@ -40,6 +40,9 @@ def test_build_evaluate_screen_and_gate(spark, folder, tmp_path):
     ranked = E.screen_run(spark, out, "run2", settings=s)
     assert [r["rank"] for r in ranked.collect()] == [1, 2, 3, 4, 5]
     assert "| cell |" in report.screening_report("run2", ranked) and "AUC differences" in report.fidelity_report("run1", spark.read.parquet(f"{out}/metrics"), spark.read.parquet(f"{out}/permutations"))
+    text = report.fidelity_report("run1", tables.read_run(spark, f"{out}/metrics", "run1"), tables.read_run(spark, f"{out}/permutations", "run1"), tables.read_run(spark, f"{out}/importances", "run1"))
+    assert all(f"## {t}" in text for t in ("Ablations", "AUC differences", "What tells riders apart")) and text.count("_baseline | ") >= 2 + 2 + 2 * 8
+    assert "## All metrics" in report.screening_report("run2", ranked, tables.read_run(spark, f"{out}/screening_metrics", "run2"))
     base = spark.createDataFrame([(1.0, 1.0, 0, "negative")], "discriminator_auc double, discriminator_auc_tolerance double, min_ks_marginals_passed int, elasticity_sign string")
     assert E.gate(spark, out, base)[0] == 2  # there is no "full" row among the baselines
 
@@ -49,11 +52,19 @@ def test_days_are_those_of_the_month(spark):
     assert [tuple(r) for r in screening.daily_volume(raw).collect()] == [("2024-02", 290, 10)]
 
 
+def test_a_long_table_says_what_it_leaves_out(spark):
+    assert report.markdown_table(spark.range(5), 3).endswith("| 2 |\n\n2 more rows are not shown.") and "more rows" not in report.markdown_table(spark.range(3), 3)
+
+
 def test_figure_series(spark, folder):
     from farelens.plans.registry import Inputs
 
     i = Inputs(spark, folder)
-    assert all(df.count() > 0 for df in report.figure_series(i.full, i.real).values())
+    gains = spark.createDataFrame([(k, f"f{k}", 1.0 / k) for k in range(1, 13)], "rank long, feature string, importance double")
+    metrics = spark.createDataFrame([("full", 0.0), ("no_tools", 0.1)], "config string, brier_delta_vs_full double")
+    series = report.figure_series(i.full, i.real, metrics, gains)
+    assert set(series) == {"calibration", "fare_ecdf", "elasticity", "importances", "ablations"} and all(df.count() > 0 for df in series.values())
+    assert series["importances"].count() == 8 and [r.config for r in series["ablations"].collect()] == ["no_tools"]
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
