@@ -13,8 +13,8 @@ smallest hash (a documented parameter), so the broadcast is ``2 * fit_rows * dim
 Defined results: a null or empty text is scored like any other (by its size term); without any labelled
 row, or where none of a text's terms is known, the score is 0.5; a repeated row gets an equal row; extra columns are ignored (``keep_good`` keeps
 them); labels that are null or given twice for a document: null ones are left out, of several the
-lowest counts; of several texts under one labelled id the one with the least hash is learned from; of equally near
-neighbours any may vote; a text of any length is one row of terms; an empty table gives an empty result.
+lowest counts; of several texts under one labelled id the one with the least hash is learned from; neighbours
+as near as the last that votes share the places left among them; a text of any length is one row of terms; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from farelens.llm.tables import table
 #: Hashed terms of each kind: words, shapes, and single terms for repeats and size.
 _WORD_TERMS, _SHAPE_TERMS, _EXTRA_TERMS = 512, 480, 32
 TERMS = _WORD_TERMS + _SHAPE_TERMS + _EXTRA_TERMS
+#: Cosines that differ by no more are equal.
+TIE = 1e-6
 
 _CLASS = np.full(256, 5, np.uint8)  # other signs
 _CLASS[97:123] = _CLASS[128:] = 1  # lower-case and beyond ASCII
@@ -74,12 +76,25 @@ class Classifier:
             place = (terms[at : at + self.block] * self.weight) @ self.projection
             found = _unit(place) @ self.vectors.T
             near = np.argpartition(found, len(good) - k, axis=1)[:, len(good) - k :]
-            vote = np.maximum(np.take_along_axis(found, near, axis=1), 1e-6) ** 4 * share[near]
+            cosine = np.take_along_axis(found, near, axis=1)
+            vote = np.maximum(cosine, 1e-6) ** 4 * share[near]
             share_of_good = (vote * good[near]).sum(axis=1) / vote.sum(axis=1)
+            last = cosine.min(axis=1, keepdims=True)
+            tied = np.flatnonzero((found >= last - TIE).sum(axis=1) > k)
+            if len(tied):
+                share_of_good[tied] = _tied_votes(found[tied], last[tied], k, good, share)
             out[at : at + self.block] = np.where((place * place).sum(axis=1) > 1e-18, share_of_good, 0.5)
         return np.clip(out, 0.0, 1.0)
 
 
+def _tied_votes(found: np.ndarray, last: np.ndarray, k: int, good: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The good's share of votes where more than k neighbours are as near as the k-th: those share the places that are left."""
+    sure, level = found > last + TIE, np.abs(found - last) <= TIE
+    places = (k - sure.sum(axis=1, keepdims=True)) / level.sum(axis=1, keepdims=True)
+    vote = np.maximum(found, 1e-6) ** 4 * share * np.where(sure, 1.0, np.where(level, places, 0.0))
+    return (vote * good).sum(axis=1) / vote.sum(axis=1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 

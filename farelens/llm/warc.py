@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.llm.joins import join_unique
-from farelens.llm.storage import materialize, new_path
+from farelens.sources.staging import materialize, new_path
 from farelens.llm.tables import table
 
 REVISIT_BYTES = 1000

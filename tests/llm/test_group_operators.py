@@ -123,6 +123,30 @@ def test_sketch_estimates_the_similarity():
         assert abs(float(got) - true) < 0.2
 
 
+@pytest.mark.parametrize("shared,more", [(1, 0), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16), (128, 32), (400, 100)])
+def test_sets_at_the_bound_share_a_band_at_any_size(shared, more):
+    pairs, found, twice = 2000, 0, 0
+    rng = np.random.default_rng(shared)
+    for _ in range(4):
+        grams = rng.integers(0, 2**64, (pairs // 4, shared + more), np.uint64)
+        left = rng.integers(0, more + 1, (pairs // 4, 1))  # how many of the shingles beside the shared ones the first set has
+        place = np.arange(shared + more)
+        has = np.stack([place < shared + left, (place < shared) | (place >= shared + left)])
+        sets = [[g[h] for g, h in zip(grams, side, strict=True)] for side in has]
+        regs = []
+        for side in sets:
+            row = np.repeat(np.arange(len(side)), [len(s) for s in side])
+            regs.append(N.sketches(row, np.concatenate(side), len(side)))
+        sizes = [np.array([len(s) for s in side]) for side in sets]
+        bands = [r.view(np.uint64) for r in regs]
+        same = ((bands[0] == bands[1]) & (bands[0] != N._EMPTY_BAND)).sum(axis=1)
+        good = N.admitted(regs[0], regs[1], sizes[0], sizes[1], 80)
+        found += int(((same >= 1) & good).sum())
+        twice += int(((same >= 2) & good).sum())
+    assert found == pairs
+    assert shared + more < N.MANY_SHINGLES or twice == pairs
+
+
 def test_intersections_are_exact():
     rng = random.Random(6)
     sets = [np.array(sorted(rng.sample(range(400), rng.randint(0, 120))), np.uint64) for _ in range(50)]

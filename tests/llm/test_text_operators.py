@@ -174,6 +174,17 @@ def test_quality_votes_match_all_cosines(spark):
         assert score == pytest.approx(sum(w for w, y in votes if y == 1) / sum(w for w, _ in votes), abs=0.02)
 
 
+def test_equally_near_neighbours_share_the_votes():
+    vectors, labels = np.array([[1, 0]] + [[0.8, 0.6]] * 4 + [[0, 1]], np.float32), np.array([1, 1, 0, 0, 0, 0])
+    found = []
+    for order in ([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [2, 1, 0, 5, 3, 4]):
+        model = C.Classifier(np.ones(2, np.float32), np.eye(2, dtype=np.float32), vectors[order], labels[order], 3, 8)
+        found.append(model.score(np.array([[2.0, 0.0]], np.float32))[0])
+    good, bad = 0.5 / 2 * 6, 0.5 / 4 * 6  # a vote of either class; two places are left for four equal neighbours
+    weight = 0.8**4 * 2 / 4
+    assert found == pytest.approx([(good + weight * good) / (good + weight * good + 3 * weight * bad)] * 3)
+
+
 def test_shapes_of_long_words_differ_anywhere():
     part = next(tn.slices(pa.array(["a1" * 20, "a1" * 19 + "aA", "a1" * 20])))
     a, b, c = C._shape_hashes(part, tn.Words(part)).tolist()
