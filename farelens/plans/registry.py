@@ -107,8 +107,28 @@ _COUNTS = tuple(f"income_{b}" for b in ("low", "middle", "upper_middle", "high")
 register("persona_summary", lambda i: pick(personas.persona_summary(i.personas), ("n", *_COUNTS), ("transit_share", "median_sensitivity", "median_tolerance", "median_fare")),
          chain(("personas",), "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {'income_bracket' if c.startswith('income') else 'loyalty_tier'} = '{c.split('_', 1)[1]}') AS {c}" for c in _COUNTS)
                + f", {r('avg(CASE WHEN has_transit_alternative THEN 1.0 ELSE 0.0 END)')} AS transit_share, {r('median(price_sensitivity)')} AS median_sensitivity, {r('median(wait_tolerance_minutes)')} AS median_tolerance, {r('median(median_fare_paid)')} AS median_fare FROM personas"))
-register("persona_violations", lambda i: personas.persona_violations(i.personas.withColumn("price_sensitivity", F.when(F.col("rider_id") % 10 == 0, 1.5).otherwise(F.col("price_sensitivity")))),
-         chain(("personas",), "SELECT rider_id, 'price_sensitivity' AS field FROM personas WHERE rider_id % 10 = 0"))
+
+
+def _broken(df: DataFrame, place: str, n: int, faults: dict[str, tuple[str, str]]) -> DataFrame:
+    """Breaks the k-th rule in the rows whose ``place`` modulo ``n`` is k; rows beyond the rules stay as they are."""
+    return df.withColumns({c: F.when(F.col(place) % n == k, F.expr(bad).cast(df.schema[c].dataType)).otherwise(F.col(c)) for k, (c, bad) in enumerate(faults.values())})
+
+
+def _faults_sql(faults: dict[str, tuple[str, str]]) -> str:
+    return "(VALUES " + ", ".join(f"({k}, '{field}')" for k, field in enumerate(faults)) + ") f(k, field)"
+
+
+_PERSONA_FAULTS = {
+    "rider_id": ("rider_id", "-1 - rider_id"), "home_zone": ("home_zone", "0"), "work_zone": ("work_zone", "NULL"), "trip_purpose_mix": ("commute", "commute + 1"), "price_sensitivity": ("price_sensitivity", "1.5"),
+    "wait_tolerance_minutes": ("wait_tolerance_minutes", "0"), "income_bracket": ("income_bracket", "'unknown'"), "loyalty_tier": ("loyalty_tier", "NULL"), "observed_trip_count": ("observed_trip_count", "0"),
+    "median_fare_paid": ("median_fare_paid", "-0.01"), "median_wait_experienced": ("median_wait_experienced", "-1"),
+}
+_OFFER_FAULTS = {
+    "origin_zone": ("origin_zone", "0"), "dest_zone": ("dest_zone", "-1"), "trip_purpose": ("purpose", "'leisure'"), "quoted_fare": ("quoted_fare", "0.004"), "surge_multiplier": ("surge", "0.99"), "eta_minutes": ("eta_min", "0.02"),
+    "eta_framing": ("eta_framing", "NULL"), "discount_pct": ("discount_pct", "100.1"), "time_of_day": ("time_of_day", "'dusk'"), "transit_alt_minutes": ("transit_alt_minutes", "-0.5"),
+}
+register("persona_violations", lambda i: personas.persona_violations(_broken(i.personas, "rider_id", 13, _PERSONA_FAULTS)),
+         chain(("personas",), f"SELECT CASE WHEN field = 'rider_id' THEN -1 - rider_id ELSE rider_id END AS rider_id, field FROM personas JOIN {_faults_sql(_PERSONA_FAULTS)} ON rider_id % 13 = k"))
 register("work_zone_mode", lambda i: personas.riders_of(i.trips), chain(("riders",), "SELECT * FROM riders"))
 register("sample_riders", lambda i: personas.sample_riders(personas.riders_of(i.trips), 50, SEED).select("rider_id"), chain(("riders",), f"SELECT rider_id FROM riders ORDER BY {u(str(SEED), 'rider_id')}, rider_id LIMIT 50"))
 
@@ -164,7 +184,8 @@ register("sample_trips_per_rider", lambda i: offers.sample_trips(i.trips, TRIPS_
 _OFFER = ("offer_id", "origin_zone", "dest_zone", "purpose", "pickup_hour", "eta_framing", "time_of_day", "weather", "is_base", "reject_counterfactual")
 _OFFER_D = ("quoted_fare", "surge", "eta_min", "discount_pct", "transit_alt_minutes", "price_mult", "surge_mult")
 register("offer_grid", lambda i: pick(offers.evaluation_offers(i.trips, TRIPS_PER_RIDER, SEED), _OFFER, _OFFER_D), rounded(("offers",), "offers", _OFFER, _OFFER_D))
-register("offer_violations", lambda i: offers.offer_violations(i.offers.withColumn("eta_min", F.when(F.col("pickup_hour") == 3, 0.02).otherwise(F.col("eta_min")))), chain(("offers",), "SELECT offer_id, 'eta_minutes' AS field FROM offers WHERE pickup_hour = 3"))
+register("offer_violations", lambda i: offers.offer_violations(_broken(i.offers, "pickup_hour", 12, _OFFER_FAULTS)),
+         chain(("offers",), f"SELECT offer_id, field FROM offers JOIN {_faults_sql(_OFFER_FAULTS)} ON pickup_hour % 12 = k"))
 _CHOICE = ("rider_id", "tk", "accepted")
 register("simulate_offers", lambda i: pick(offers.simulation_offers(i.trips, TRIPS_PER_RIDER, SEED), ("rider_id", "tk"), ("price_mult", "wait_mult", "offered_fare", "offered_wait_min")),
          chain(("bases", "simgrid"), f"SELECT rider_id, tk, {r('price_mult')} AS price_mult, {r('wait_mult')} AS wait_mult, {r('fare_paid * price_mult')} AS offered_fare, {r('wait_secs / 60.0::DOUBLE * wait_mult')} AS offered_wait_min FROM bases CROSS JOIN simgrid"))
