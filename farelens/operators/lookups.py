@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
+from farelens.sources.staging import materialize
 
 MIN_LANE_TRIPS, MIN_ZONE_TRIPS = 20, 100
 LANE = ["pickup_zone", "dropoff_zone"]
@@ -50,11 +51,12 @@ def rider_price_history(trips: DataFrame) -> DataFrame:
         F.struct(F.lit("origin_zone").alias("scope"), F.col("pickup_zone").alias("z1"), F.lit(0).cast("long").alias("z2"), "fare_paid"),
         F.struct(F.lit("citywide").alias("scope"), F.lit(0).cast("long").alias("z1"), F.lit(0).cast("long").alias("z2"), "fare_paid"),
     )).alias("m")).select("rider_id", "m.*").groupBy("rider_id", "scope", "z1", "z2").agg(F.median("fare_paid").alias("rider_median_fare"))
-    mine = asked.join(own, ["rider_id", "scope", "z1", "z2"])
+    # read three times from here on, so it is written once
+    mine = materialize(asked.join(own, ["rider_id", "scope", "z1", "z2"]), "rider-medians")
     # ECDF inside each scope: market rows and probes in one ordered running count
     counted = market.groupBy("scope", "z1", "z2", "fare_paid").agg(F.count("*").alias("n")).withColumnRenamed("fare_paid", "v")
     probes = mine.select("scope", "z1", "z2", F.col("rider_median_fare").alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
-    both = counted.unionByName(probes).groupBy("scope", "z1", "z2", "v").agg(F.sum("n").alias("n"))
+    both = materialize(counted.unionByName(probes).groupBy("scope", "z1", "z2", "v").agg(F.sum("n").alias("n")), "scope-fares")
     found = S.grouped_running(both, ["scope", "z1", "z2"], "v", "n").select("scope", "z1", "z2", F.col("v").alias("rider_median_fare"), (F.col("cum_n") / F.col("all_n")).alias("rider_fare_percentile"))
     return mine.join(found, ["scope", "z1", "z2", "rider_median_fare"]).select("rider_id", *LANE, "scope", "rider_median_fare", "rider_fare_percentile")
 
