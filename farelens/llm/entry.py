@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import chat_log, decontamination, html_wrappers, language_id, near_dedup, packing, quality_classifier, quality_rules, url_filters, warc
+from farelens.llm import chat_log, decontamination, fill_in_middle, html_wrappers, language_id, near_dedup, packing, quality_classifier, quality_rules, target_sampling, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op12_target_sampling": target_sampling.op12_target_sampling,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
@@ -33,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat_log.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op12_target_sampling": target_sampling.ORACLE_SQL,
+        "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
