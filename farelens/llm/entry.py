@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import chat_log, decontamination, fill_in_middle, html_wrappers, language_id, near_dedup, packing, quality_classifier, quality_rules, target_sampling, url_filters, warc
+from farelens.llm import chat_log, decontamination, fill_in_middle, html_wrappers, language_id, near_dedup, packing, personal_data, quality_classifier, quality_rules, target_sampling, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_personal_data": personal_data.op11_personal_data,
         "op12_target_sampling": target_sampling.op12_target_sampling,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }

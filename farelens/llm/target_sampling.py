@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farelens.llm.tables import table
-from farelens.sources.staging import discard, materialize
+from farelens.sources.staging import materialize
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,12 +50,13 @@ def _words(text: Column) -> Column:
 
 def _grams(words: Column, most: int) -> Column:
     """All runs of one to ``most`` words, each joined by one space."""
-    runs = [words]
-    for n in range(2, most + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        joined = F.transform(starts, lambda k, n=n: F.array_join(F.slice(words, k, n), " "))
-        runs.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return reduce(F.concat, runs) if len(runs) > 1 else words
+
+    def runs(n: int) -> Column:
+        # later words beside earlier ones: an array for each place in the run, so that no run is sliced out of the whole text
+        shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - (n - 1), F.lit(0))) for k in range(n)]
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), shifted)
+
+    return reduce(F.concat, [words, *(runs(n) for n in range(2, most + 1))])
 
 
 def features(docs: DataFrame, rules: SamplingRules, text_col: str = "text", *kept: Column | str) -> DataFrame:
