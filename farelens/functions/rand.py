@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many equal rows a cell's draws are looked up in its distribution function, entry by entry; beyond, the function is
+#: inverted by its expansion in the normal quantile, which there is within a few hundredths of a row.
+LISTED = 32
+#: Rational approximation of the normal quantile (centre numerator and denominator, tail numerator and denominator, where the tail begins).
+QUANTILE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+TAIL = 0.02425
+
 
 def hash_uniform(seed: int | str, *keys: Column | str) -> Column:
     """A number in [0, 1) from the first 32 bits of md5(seed:key:key...). Keys are integers or strings."""
@@ -38,11 +50,65 @@ def replicate_weights(df: DataFrame, replicates: int, seed: int | str, *keys: Co
     return drawn.where((F.col("w") > 0) & (F.col("replicate") <= replicates))
 
 
-def poisson_one(u: Column) -> Column:
-    """The Poisson(1) count of a uniform number: weights of a bootstrap replicate, cut at 7."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(7)
+def normal_quantile(u: Column) -> Column:
+    """The standard normal value below which a share ``u`` (above 0, below 1) lies."""
+
+    def polynomial(x: Column, parts: tuple[float, ...]) -> Column:
+        out = F.lit(parts[0])
+        for c in parts[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    centre, under, top, bottom = QUANTILE
+    q = u - 0.5
+    tail = lambda p: polynomial(F.sqrt(-2.0 * F.ln(p)), top) / polynomial(F.sqrt(-2.0 * F.ln(p)), bottom)
+    return F.when(u < TAIL, tail(u)).when(u > 1.0 - TAIL, -tail(1.0 - u)).otherwise(q * polynomial(q * q, centre) / polynomial(q * q, under))
+
+
+def _distribution(m: Column, chance: float | None) -> Column:
+    """The distribution function of a cell of ``m`` rows at 0, 1, 2...: of Poisson(m), or of binomial(m, chance)."""
+    last = F.ceil(m + 12.0 * F.sqrt(m) + 12.0).cast("int") if chance is None else m.cast("int")
+    first = F.exp(-m.cast("double")) if chance is None else F.pow(F.lit(1.0 - chance), m)
+    ratio = (lambda k: m / k) if chance is None else (lambda k: (m - k + 1) / k * (chance / (1.0 - chance)))
+    start = F.struct(first.alias("p"), F.array(first).alias("c"))
+    step = lambda a, k: F.struct((a["p"] * ratio(k)).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * ratio(k))).alias("c"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["c"])
+
+
+def _expanded(m: Column, u: Column, chance: float | None) -> Column:
+    """The same count for a large cell: mean, deviation, skewness and excess in the normal quantile, to the nearest whole number."""
+    z = normal_quantile(u)
+    mean, variance, skew, excess = (m, m, 1.0, 1.0) if chance is None else (m * chance, m * (chance * (1.0 - chance)), 1.0 - 2.0 * chance, 1.0 - 6.0 * chance * (1.0 - chance))
+    third = (z * z * z - 3.0 * z) * (excess / 24.0) - (2.0 * z * z * z - 5.0 * z) * (skew * skew / 36.0)
+    k = F.floor(mean + F.sqrt(variance) * z + (z * z - 1.0) * (skew / 6.0) + third / F.sqrt(variance) + 0.5).cast("long")
+    return F.greatest(k, F.lit(0)) if chance is None else F.least(F.greatest(k, F.lit(0)), m)
+
+
+def cell_draws(cells: DataFrame, m: str, replicates: int, seed: int | str, *keys: Column | str, chance: float | None = None) -> DataFrame:
+    """Bootstrap of ``m`` equal rows at once: each cell once for every replicate (``replicate`` from 1) that draws from it.
+
+    ``w`` is how often the cell's rows are drawn together: a Poisson(m) count, the sum of m counts of Poisson(1), or with
+    ``chance`` how many of the rows are drawn, a binomial(m, chance) count. Either is its distribution function's inverse at a hash
+    of (seed, replicate, keys), so the work follows distinct cells x replicates and not rows. One md5 serves four
+    replicates. A count may be 0.
+    """
+    joined = F.concat_ws(":", F.lit(str(seed)), "_block", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    listed = cells.withColumn("_c", F.when(F.col(m).between(2 if chance is None else 1, LISTED), _distribution(F.col(m), chance)))
+    blocks = dealt_out(listed, *keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_h", F.md5(joined.cast("binary")))
+    four = F.array(*(F.struct(F.lit(k + 1).alias("at"), F.substring("_h", 8 * k + 1, 8).alias("digits")) for k in range(4)))
+    each = blocks.withColumn("_d", F.explode(four)).withColumn("replicate", (F.col("_block") * 4 + F.col("_d.at")).cast("int")).where(F.col("replicate") <= replicates)
+    each = each.withColumn("_u", (F.conv("_d.digits", 16, 10).cast("double") + 0.5) / 4294967296.0)
+    below = F.size(F.filter("_c", lambda c: c < F.col("_u"))).cast("long")
+    listed_count = below if chance is None else F.least(below, F.col(m))
+    w = F.when(F.col("_c").isNotNull(), listed_count).when(F.col(m) == 1, poisson_one(F.col("_u"), 13).cast("long")).otherwise(_expanded(F.col(m), F.col("_u"), chance))
+    return each.select(*cells.columns, "replicate", w.alias("w"))
+
+
+def poisson_one(u: Column, last: int = 7) -> Column:
+    """The Poisson(1) count of a uniform number: weights of a bootstrap replicate, cut at ``last``."""
+    total, term, out = 0.0, 0.36787944117144233, F.lit(last)
     steps = []
-    for k in range(7):
+    for k in range(last):
         total += term
         steps.append((k, total))
         term /= k + 1

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
-from farelens.functions.rand import dealt_out, hash_order, hash_uniform, replicate_weights
+from farelens.functions.rand import cell_draws, dealt_out, hash_order
+from farelens.operators import boosting
 from farelens.sources.staging import discard, materialize
 
 #: Number of surge bands, least segment, the tested marginals, and the published elasticity range.
@@ -166,15 +166,16 @@ def surge_elasticity(trace: DataFrame) -> DataFrame:
     return S.log_log_slope(surge_bands(trace), "mean_surge", "rate", "elasticity")
 
 
-def elasticity_replicates(trace: DataFrame, replicates: int, seed: int, key: str = "offer_id") -> DataFrame:
-    """The slope of each bootstrap replicate: rows weighted by hash-Poisson counts, fixed bands.
+def elasticity_replicates(trace: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The slope of each bootstrap replicate: fixed bands, rows drawn with Poisson counts.
 
-    Rows are first reduced to (replicate, band) sums map-side; what is shuffled is replicates x bands.
+    Decisions of one band, surge (to a millionth) and outcome are alike to the slope, so they are counted once and drawn together.
     """
     edges = S.global_quantiles(trace, "surge", [k / BANDS for k in range(BANDS + 1)])
-    placed = trace.select(key, "surge", "accepted").withColumn("_e", edges.select(F.array(*(f"q{k}" for k in range(BANDS + 1)))).scalar())
+    placed = trace.select("surge", "accepted").withColumn("_e", edges.select(F.array(*(f"q{k}" for k in range(BANDS + 1)))).scalar())
     band = F.greatest(F.lit(1), F.least(F.lit(BANDS), F.size(F.filter("_e", lambda e: e < F.col("surge")))))
-    drawn = replicate_weights(placed.withColumn("band", band).drop("_e"), replicates, f"{seed}:boot", key)
+    cells = placed.groupBy(band.alias("band"), F.round(F.col("surge") * 1e6).cast("long").alias("at"), F.col("accepted").cast("long").alias("accepted")).agg(F.count("*").alias("m"), F.avg("surge").alias("surge"))
+    drawn = cell_draws(cells, "m", replicates, f"{seed}:boot", "band", "at", "accepted")
     sums = drawn.groupBy("replicate", "band").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("surge")).alias("s"), F.sum(F.col("w") * F.col("accepted")).alias("k"))
     pts = sums.where("n > 0").select("replicate", F.ln(F.col("s") / F.col("n")).alias("x"), F.ln(S.laplace_rate(F.col("k"), F.col("n"))).alias("y"))
     per = pts.groupBy("replicate").agg(F.regr_slope("y", "x").alias("slope"), F.count("*").alias("n"), F.countDistinct(F.round(F.col("x") * 1000.0)).alias("k"))
@@ -190,88 +191,148 @@ def elasticity_report(trace: DataFrame, replicates: int, seed: int) -> DataFrame
     return row.withColumn("verdict", F.when(F.col("sign_pass") & F.col("magnitude_pass"), "PASS").otherwise("FAIL"))
 
 
+#: Bits of a permutation's hash that one pass of the selection counts.
+DIGITS = (8, 12, 12)
+
+
 def permutation_test(scores: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Pairs of configurations with the AUC difference and its permutation p-value.
 
-    ``scores``: config, item, is_real, score. Real scores are those of the pair's first configuration.
-    A permutation deals pooled simulated items by hash; its AUCs come from rank sums inside
-    (pair, permutation) groups, so all pairs and permutations are one plan.
+    ``scores``: config, item, is_real, score. Real scores are those of the pair's first configuration. A permutation deals the
+    pair's simulated items by hash: the n with the lowest hashes (item on ties) take the first configuration's place.
+
+    An item's real scores below it do not change between permutations, so every score is ranked once per
+    configuration of reals, and a permutation's AUC is a sum over the items below its n-th hash. That hash is selected by its
+    bits, all pairs and permutations at once: counts and sums per leading digit find the digit that holds
+    the n-th, those per next digit the next, until it is exact. Nothing is sorted within a permutation; a
+    table of the selection holds configurations x permutations x digits rows at most, whatever the number of items.
     """
-    names = scores.select("config").distinct()
-    # a configuration's pairs as one array (configurations are a handful), so that scores meet them without a join of all with all
-    others = F.filter(F.transform("_names", lambda n: F.struct(F.least("config", n).alias("config_a"), F.greatest("config", n).alias("config_b"))), lambda p: p["config_a"] < p["config_b"])
-    paired = scores.withColumn("_names", names.agg(F.collect_set("config")).scalar()).withColumn("_p", F.explode(others)).select("config", "item", "is_real", "score", "_p.*")
-    pooled = paired.where("NOT is_real").select("config_a", "config_b", F.concat_ws("/", "config", "item").alias("item"), "score", (F.col("config") == F.col("config_a")).alias("first"))
-    reals = paired.where("is_real AND config = config_a").select("config_a", "config_b", "score")
-    group = ["config_a", "config_b", "perm"]
-    perms = F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm")  # 0 is as observed
-    n_a = F.sum(F.col("first").cast("int")).over(Window.partitionBy("config_a", "config_b"))
-    # one hash deals an item in four permutations; rows are dealt to all cores before they are multiplied
-    blocks = dealt_out(pooled.withColumn("n_a", n_a), "item").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(permutations // 4))))
+    scores = materialize(scores.select("config", "item", "is_real", "score"), "permutation-scores")  # read five times
+    names = sorted(r["config"] for r in scores.select("config").distinct().collect())  # a handful of named configurations
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    spark = scores.sparkSession
+    schema = "config_a string, config_b string, auc_difference double, p_value double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    # twice the number of real scores below (ties one half), for each configuration of reals that a simulated item can meet
+    values = scores.groupBy("config", "score").agg(F.count_if("is_real").alias("r"), F.count_if(~F.col("is_real")).alias("s"))
+    first = F.explode(F.when(F.col("s") > 0, F.array(*(F.lit(n) for n in names))).otherwise(F.array("config"))).alias("config_a")
+    met = values.select(first, "config", "score", "r").select("config_a", "score", F.when(F.col("config") == F.col("config_a"), F.col("r")).otherwise(0).alias("r"))
+    ranked = S.grouped_running(materialize(met.groupBy("config_a", "score").agg(F.sum("r").alias("r")), "met-scores"), ["config_a"], "score", "r")
+    below = ranked.groupBy("score").pivot("config_a", names).agg(F.max(2 * F.col("cum_r") - F.col("r")))
+    below = below.select("score", F.array(*(F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in names)).alias("below"))
+    sims = materialize(scores.where("NOT is_real").select("config", F.concat_ws("/", "config", "item").alias("item"), "score").join(below, "score", "left").select("config", "item", "below"), "permuted")
+    sizes = {r["config"]: (r["sims"], r["reals"]) for r in scores.groupBy("config").agg(F.count_if(~F.col("is_real")).alias("sims"), F.count_if("is_real").alias("reals")).collect()}
+    # how many items the first configuration of a pair has, and what a permutation's sum is compared with
+    plain = spark.createDataFrame([(a, b, names.index(a), *(sizes[a][0], sizes[b][0], sizes[a][1])) for a, b in pairs], "config_a string, config_b string, a int, n_a long, n_b long, n_r long")
+    totals = sims.groupBy("config").agg(F.array(*(F.sum(F.col("below")[k]) for k in range(len(names)))).alias("total"))
+    of = lambda side: totals.select(F.col("config").alias(f"config_{side}"), F.col("total").alias(f"_{side}"))
+    plain = plain.join(F.broadcast(of("a")), "config_a", "left").join(F.broadcast(of("b")), "config_b", "left")
+    at = lambda c: F.coalesce(F.element_at(c, F.col("a") + 1), F.lit(0))
+    plain = plain.select("config_a", "config_b", "a", "n_a", "n_b", "n_r", at("_a").alias("sum_a"), at("_b").alias("sum_b"))
+    dealt = _dealt(sims, permutations, seed)
+    chosen = None
+    for level, bits in enumerate(DIGITS):
+        shift = sum(DIGITS[level + 1 :])
+        digit = F.shiftright("h", shift).bitwiseAND((1 << bits) - 1)
+        if chosen is None:  # the first digit of all items, once per configuration; pairs add two configurations up
+            count = dealt.groupBy("config", "perm", digit.alias("digit")).agg(F.count("*").alias("n"), *(F.sum(F.col("below")[k]).alias(f"_{k}") for k in range(len(names))))
+            count = materialize(count.select("config", "perm", "digit", "n", F.array(*(f"_{k}" for k in range(len(names)))).alias("sums")), "permuted-digits")
+            sides = plain.select("config_a", "config_b", "a", F.explode(F.array("config_a", "config_b")).alias("config"))
+            per = count.join(F.broadcast(sides), "config").groupBy("config_a", "config_b", "perm", "digit").agg(F.sum("n").alias("n"), F.sum(F.element_at("sums", F.col("a") + 1)).alias("s"))
+            want = per.join(F.broadcast(plain.select("config_a", "config_b", F.col("n_a").alias("k"))), ["config_a", "config_b"]).withColumns({"prefix": F.lit(0).cast("long"), "taken": F.lit(0).cast("long")})
+        else:  # only items whose leading digits are those of the n-th
+            sides = chosen.select("config_a", "config_b", "perm", "prefix", "k", "taken", "a", F.explode(F.array("config_a", "config_b")).alias("config"))
+            met = dealt.withColumn("prefix", F.shiftright("h", shift + bits)).join(F.broadcast(sides), ["config", "perm", "prefix"])
+            want = met.groupBy("config_a", "config_b", "perm", "prefix", "k", "taken", digit.alias("digit")).agg(F.count("*").alias("n"), F.sum(F.element_at("below", F.col("a") + 1)).alias("s"))
+        upto = Window.partitionBy("config_a", "config_b", "perm").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)  # a row for each digit
+        cut = want.withColumns({"_n": F.sum("n").over(upto), "_s": F.sum("s").over(upto)}).where((F.col("_n") >= F.col("k")) & (F.col("_n") - F.col("n") < F.col("k")))
+        cut = cut.select("config_a", "config_b", "perm", (F.shiftleft("prefix", bits) + F.col("digit")).alias("prefix"), (F.col("k") - (F.col("_n") - F.col("n"))).alias("k"), (F.col("taken") + F.col("_s") - F.col("s")).alias("taken"), "n", "s")
+        chosen = materialize(cut.join(F.broadcast(plain.select("config_a", "config_b", "a")), ["config_a", "config_b"]), "permuted-cut")
+    # items of the very hash of the n-th: all of them, or the first by name where several share it
+    whole = chosen.where("k = n").select("config_a", "config_b", "perm", (F.col("taken") + F.col("s")).alias("sum"))
+    sides = chosen.where("k < n").select("config_a", "config_b", "perm", F.col("prefix").alias("h"), "k", "taken", "a", F.explode(F.array("config_a", "config_b")).alias("config"))
+    shared = dealt.join(F.broadcast(sides), ["config", "perm", "h"]).withColumn("_k", F.row_number().over(Window.partitionBy("config_a", "config_b", "perm").orderBy("item"))).where("_k <= k")
+    shared = shared.groupBy("config_a", "config_b", "perm").agg((F.max("taken") + F.sum(F.element_at("below", F.col("a") + 1))).alias("sum"))
+    sums = whole.unionByName(shared).unionByName(plain.select("config_a", "config_b", F.lit(0).alias("perm"), F.col("sum_a").alias("sum")))
+    every = sums.join(F.broadcast(plain), ["config_a", "config_b"])
+    mean = lambda s, n: F.try_divide(s, 2.0 * F.col(n) * F.col("n_r"))
+    diff = F.round(F.abs(mean(F.col("sum"), "n_a") - mean(F.col("sum_a") + F.col("sum_b") - F.col("sum"), "n_b")) * 1e9) / 1e9
+    observed = F.max(F.when(F.col("perm") == 0, F.col("diff"))).over(Window.partitionBy("config_a", "config_b"))  # a row for each permutation
+    judged = every.withColumn("diff", diff).withColumn("observed", observed).groupBy("config_a", "config_b")
+    return judged.agg(F.max("observed").alias("auc_difference"), ((F.count_if((F.col("perm") > 0) & (F.col("diff") >= F.col("observed"))) + 1) / F.lit(permutations + 1.0)).alias("p_value"))
+
+
+def _dealt(sims: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Every item with its 32-bit hash ``h`` in each permutation from 1; one md5 serves four permutations."""
+    blocks = dealt_out(sims, "item").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(permutations // 4))))
     blocks = blocks.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{seed}:perm"), "_block", "item").cast("binary")))
     four = F.array(*(F.struct((F.col("_block") * 4 + k).alias("perm"), F.substring("_h", 8 * k + 1, 8).alias("place")) for k in range(4)))
-    dealt = blocks.select("config_a", "config_b", "item", "score", "first", "n_a", F.explode(four).alias("_p")).select("config_a", "config_b", "item", "score", "first", "n_a", "_p.*").where(F.col("perm") <= permutations)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("place", "item"))
-    dealt = dealt.withColumn("in_a", F.when(F.col("perm") == 0, F.col("first")).otherwise(rank <= F.col("n_a")))
-    every = dealt.select(*group, "score", F.col("in_a").cast("int").alias("a"), (~F.col("in_a")).cast("int").alias("b"), F.lit(0).alias("r"))
-    every = every.unionByName(reals.select("config_a", "config_b", perms, "score", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("r")))
-    g = every.groupBy(*group, "score").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("r").alias("r"))
-    w = Window.partitionBy(*group)
-    below = F.sum("r").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("r") / 2.0  # real scores below, ties one half
-    sums = g.withColumn("below", below).groupBy(*group).agg(F.sum(F.col("a") * F.col("below")).alias("ua"), F.sum(F.col("b") * F.col("below")).alias("ub"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum("r").alias("nr"))
-    diff = F.abs(F.try_divide(F.col("ua"), F.col("na") * F.col("nr")) - F.try_divide(F.col("ub"), F.col("nb") * F.col("nr")))
-    sums = sums.withColumn("diff", F.round(diff * 1e9) / 1e9)
-    observed = F.max(F.when(F.col("perm") == 0, F.col("diff"))).over(Window.partitionBy("config_a", "config_b"))
-    return sums.withColumn("observed", observed).groupBy("config_a", "config_b").agg(F.max("observed").alias("auc_difference"), ((F.count_if((F.col("perm") > 0) & (F.col("diff") >= F.col("observed"))) + 1) / F.lit(permutations + 1.0)).alias("p_value"))
-
-
-def discriminator(real: DataFrame, sim: DataFrame, columns: list[str], folds: int = 5, trees: int = 10, seed: int = 7) -> DataFrame:
-    """Out-of-fold scores of a gradient-boosted classifier that tells simulated riders from real ones.
-
-    Folds are by hash of the item; rows: item, is_real, score.
-    """
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.functions import vector_to_array
+    each = blocks.select("config", "item", "below", F.explode(four).alias("_p")).where(F.col("_p.perm").between(1, permutations))
+    return each.select("config", "item", "below", "_p.perm", F.conv("_p.place", 16, 10).cast("long").alias("h"))
 
-    rows = _told_apart(real, sim, columns)
-    data = _assembled(rows, columns).withColumn("fold", F.floor(hash_uniform(f"{seed}:fold", "item") * folds).cast("int"))
 
-    def fold(k: int) -> DataFrame:
-        model = _classifier(trees, seed).fit(data.where(F.col("fold") != k))
-        return model.transform(data.where(F.col("fold") == k)).select("item", (F.col("label") == 0).alias("is_real"), vector_to_array("probability")[1].alias("score"))
+def discriminate(real: DataFrame, sim: DataFrame, columns: list[str], folds: int = 5, trees: int = 100, seed: int = 7, final: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """A gradient-boosted classifier that tells simulated riders from real ones: out-of-fold scores (item, is_real,
+    score) and, from a model of all riders, the shares of gain (rank, feature, importance)."""
+    scores, shares = discriminate_all({"": (real, sim)}, columns, folds, trees, seed, final)
+    return scores.drop("config"), None if shares is None else shares.drop("config")
 
-    # a fit is a long row of short jobs, so the folds' fits run side by side
-    with ThreadPool(folds) as pool:
-        fitted = pool.map(inheritable_thread_target(real.sparkSession)(fold), range(folds))
-    out = reduce(DataFrame.unionByName, fitted)
-    scores = materialize(out, "scores")
-    discard(rows)
-    return scores
 
+def discriminate_all(features: dict[str, tuple[DataFrame, DataFrame]], columns: list[str], folds: int = 5, trees: int = 100, seed: int = 7, final: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """``discriminate`` for several configurations (name -> real and simulated riders' features), with a column ``config``.
 
-def importances(real: DataFrame, sim: DataFrame, columns: list[str], trees: int = 10, seed: int = 7) -> DataFrame:
-    """rank, feature, importance: shares of gain in a final model fitted on all riders, falling."""
-    rows = _told_apart(real, sim, columns)
-    gains = _classifier(trees, seed).fit(_assembled(rows, columns)).featureImportances.toArray().tolist()
-    discard(rows)
-    ranked = sorted(zip(columns, gains, strict=True), key=lambda x: -x[1])
-    return real.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(ranked, 1)], "rank long, feature string, importance double")
+    Folds are equal in size. All configurations' and folds' models grow in the same passes over the riders (``boosting.fit``).
+    """
+    rules, names = boosting.BoosterRules(trees=trees, seed=seed), list(features)
+    placed = []
+    for part, (real, sim) in enumerate(features.values()):
+        rows = _told_apart(real, sim, columns)
+        placed.append((rows, boosting.binned(rows, columns, rules, "item", "label").withColumn("part", F.lit(part))))
+    both = reduce(DataFrame.unionByName, (p for _, p in placed))
+    table = materialize(boosting.with_folds(both, "item", folds, seed).withColumn("h", hash_order(f"{seed}:row", "item")), "binned")
+    discard(*(rows for rows, _ in placed))
+    models = boosting.fit(table, len(columns), folds, rules, final)
+    named = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("part") + 1)
+    scored = boosting.out_of_fold(table, models, "part", "item", "label") if folds else table.select("part", "item", "label", F.lit(0.5).alias("score"))
+    scores = materialize(scored.select(named.alias("config"), "item", (F.col("label") == 0).alias("is_real"), "score"), "scores")
+    discard(table)
+    if not final:
+        return scores, None
+    out = []
+    for model in (m for m in models if m.fold == boosting.ALL):
+        gains = boosting.gains(model, columns)
+        total = sum(gains.values())
+        out += [(names[model.part], k, c, g / total if total else 0.0) for k, (c, g) in enumerate(sorted(gains.items(), key=lambda x: -x[1]), 1)]
+    return scores, scores.sparkSession.createDataFrame(out, "config string, rank long, feature string, importance double")
 
 
-def _classifier(trees: int, seed: int):
-    from pyspark.ml.classification import GBTClassifier
+def discriminator(real: DataFrame, sim: DataFrame, columns: list[str], folds: int = 5, trees: int = 100, seed: int = 7) -> DataFrame:
+    """Out-of-fold scores alone: item, is_real, score."""
+    return discriminate(real, sim, columns, folds, trees, seed, final=False)[0]
 
-    return GBTClassifier(maxIter=trees, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
 
+def importances(real: DataFrame, sim: DataFrame, columns: list[str], trees: int = 100, seed: int = 7) -> DataFrame:
+    """rank, feature, importance of a model of all riders alone, falling."""
+    return discriminate(real, sim, columns, 0, trees, seed)[1]
 
-def _told_apart(real: DataFrame, sim: DataFrame, columns: list[str]) -> DataFrame:
-    """item, label and features of all riders as a table: each of a fit's many jobs reads it in as many tasks as
-    its size asks for, where the plan behind it would bring a task for every partition of its shuffles."""
-    both = real.select(F.concat(F.lit("real:"), "rider_id").alias("item"), F.lit(0.0).alias("label"), *columns).unionByName(sim.select(F.concat(F.lit("sim:"), "rider_id").alias("item"), F.lit(1.0).alias("label"), *columns))
-    return materialize(both, "told-apart")
 
+def auc_interval(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """One row: the AUC of (item, is_real, score) and the percentile interval of bootstrap replicates.
+
+    Riders of one score (to a millionth) and side are drawn together; a replicate's scores are ordered in ranges, so no task
+    holds a replicate.
+    """
+    cells = scores.groupBy("is_real", F.round(F.col("score") * 1e6).cast("long").alias("at")).agg(F.count("*").alias("m"))
+    side = lambda real: F.sum(F.when(F.col("is_real") == real, F.col("w")).otherwise(0))
+    drawn = cell_draws(cells, "m", replicates, f"{seed}:auc", F.col("is_real").cast("int"), "at").groupBy("replicate", "at").agg(side(True).alias("r"), side(False).alias("s"))
+    ranked = S.grouped_running(materialize(drawn, "replicates"), ["replicate"], "at", "r", "s")
+    per = ranked.groupBy("replicate").agg(F.try_divide(F.sum(F.col("s") * (F.col("cum_r") - F.col("r") / 2.0)), F.max("all_s") * F.max("all_r")).alias("auc"))
+    point = S.auc(scores.withColumn("label", (~F.col("is_real")).cast("int")), "score", "label")
+    return per.agg(F.percentile("auc", F.lit(0.025)).alias("auc_ci_low"), F.percentile("auc", F.lit(0.975)).alias("auc_ci_high")).withColumn("auc", point.scalar())
 
-def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select("item", "label", "features")
+def _told_apart(real: DataFrame, sim: DataFrame, columns: list[str]) -> DataFrame:
+    """item, label and features of all riders as a table."""
+    both = real.select(F.concat(F.lit("real:"), "rider_id").alias("item"), F.lit(0.0).alias("label"), *columns).unionByName(sim.select(F.concat(F.lit("sim:"), "rider_id").alias("item"), F.lit(1.0).alias("label"), *columns))
+    return materialize(both, "told-apart")

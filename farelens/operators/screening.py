@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
-from farelens.functions.rand import hash_uniform, replicate_weights
+from farelens.functions.rand import cell_draws, hash_uniform
 
 #: Intervention cells as (name, price multiplier, surge multiplier); control changes nothing.
 CONTROL = ("control", 1.0, 1.0)
@@ -81,13 +81,12 @@ def cell_lifts(deltas: DataFrame) -> DataFrame:
 def rider_bootstrap(deltas: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Per cell and metric the standard deviation and percentile interval of replicate lifts.
 
-    A replicate weighs riders with hash-Poisson counts; the explode meets a partial sum at once.
+    Riders of one delta (to a millionth) are alike to a cell's lift and are drawn together, with a Poisson count.
     """
     valid = deltas.where("delta IS NOT NULL AND covariate IS NOT NULL")
-    # a rider's deltas come together first, so that a replicate draws the rider once for all cells and metrics
-    riders = valid.groupBy("rider_id").agg(F.collect_list(F.struct("cell", "metric", "delta")).alias("_d"))  # cells x metrics at most
-    drawn = replicate_weights(riders, replicates, f"{seed}:riders", "rider_id").withColumn("_d", F.explode("_d")).select("replicate", "w", "_d.*")
-    per = drawn.groupBy("cell", "metric", "replicate").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("n")).withColumn("lift", F.col("s") / F.col("n"))
+    alike = valid.groupBy("cell", "metric", F.round(F.col("delta") * 1e6).cast("long").alias("at")).agg(F.count("*").alias("m"), F.avg("delta").alias("delta"))
+    drawn = cell_draws(alike, "m", replicates, f"{seed}:riders", "cell", "metric", "at")
+    per = drawn.groupBy("cell", "metric", "replicate").agg(F.sum(F.col("w") * F.col("delta")).alias("s"), F.sum("w").alias("n")).where("n > 0").withColumn("lift", F.col("s") / F.col("n"))
     return per.groupBy("cell", "metric").agg(F.stddev_pop("lift").alias("se_rider_boot"), F.percentile("lift", F.lit(0.025)).alias("lo"), F.percentile("lift", F.lit(0.975)).alias("hi"))
 
 
@@ -216,16 +215,21 @@ def simulated_demand(trace: DataFrame, high: tuple = HIGH_BAND, low: tuple = LOW
     return s.select("n_high", "n_low", F.when((F.col("n_high") >= 5) & (F.col("n_low") >= 5), _log_ratio()).alias("log_ratio"))
 
 
+#: The chance that a bootstrap of riders draws a given rider at all.
+DRAWN_AT_ALL = 1.0 - 0.36787944117144233
+
+
 def demand_replicates(trace: DataFrame, replicates: int, seed: int, dedup: bool = False, high: tuple = HIGH_BAND, low: tuple = LOW_BAND) -> DataFrame:
     """Rider bootstrap of the simulated log ratio. ``dedup`` counts a drawn rider once, however often drawn.
 
-    Riders' band sums come first, so replicates multiply riders and not decisions.
+    Riders of equal band sums are counted first and drawn together: with a Poisson count, or where a rider counts once with a binomial one.
     """
-    per = replicate_weights(trace.groupBy("rider_id").agg(*_band_sums(trace, high, low, F.lit(1))), replicates, f"{seed}:backtest", "rider_id")
-    w = F.least("w", F.lit(1)) if dedup else F.col("w")
-    sums = per.withColumn("w", w).groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n_high", "n_low", "k_high", "k_low")))
+    sums = ("n_high", "n_low", "k_high", "k_low")
+    alike = trace.groupBy("rider_id").agg(*_band_sums(trace, high, low, F.lit(1))).groupBy(*sums).agg(F.count("*").alias("m"))
+    drawn = cell_draws(alike, "m", replicates, f"{seed}:backtest", *sums, chance=DRAWN_AT_ALL if dedup else None)
+    totals = drawn.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in sums))
     plain = simulated_demand(trace, high, low).select("log_ratio").scalar()
-    return sums.withColumn("_p", plain).select(F.col("replicate").cast("long").alias("replicate"), F.when((F.col("n_high") > 0) & (F.col("n_low") > 0), _log_ratio()).otherwise(F.col("_p")).alias("log_ratio"))
+    return totals.withColumn("_p", plain).select(F.col("replicate").cast("long").alias("replicate"), F.when((F.col("n_high") > 0) & (F.col("n_low") > 0), _log_ratio()).otherwise(F.col("_p")).alias("log_ratio"))
 
 
 def backtest(trace: DataFrame, trips: DataFrame, replicates: int, seed: int, dedup: bool = False) -> DataFrame:

@@ -6,14 +6,15 @@ Each step reads the tables the step before it wrote, so a step can be run again
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.functions import stats as S
-from farelens.functions.rand import hash_uniform, replicate_weights
+from farelens.functions.rand import hash_uniform
 from farelens.operators import agent_io, decisions, features, fidelity, logit, offers, panel, personas, screening, trips
 from farelens.sources import tables
+from farelens.sources.staging import discard
 
 
 @dataclass(frozen=True)
@@ -80,25 +81,9 @@ def rider_features(trace: DataFrame, real: DataFrame, settings: Settings) -> tup
     return features.sequence_features(seen, real, order), sim
 
 
-def score_riders(trace: DataFrame, real: DataFrame, settings: Settings) -> DataFrame:
-    """Out-of-fold discriminator scores (item, is_real, score) of one configuration."""
-    return fidelity.discriminator(*rider_features(trace, real, settings), list(features.FEATURES), settings.discriminator_folds, settings.discriminator_trees, settings.seed)
-
-
-def auc_interval(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """One row: AUC and the percentile interval of bootstrap replicates (hash-Poisson weights)."""
-    g = replicate_weights(scores, replicates, f"{seed}:auc", "item").groupBy("replicate", "score").agg(F.sum(F.when(F.col("is_real"), F.col("w")).otherwise(0)).alias("r"), F.sum(F.when(~F.col("is_real"), F.col("w")).otherwise(0)).alias("s"))
-    below = F.sum("r").over(Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("r") / 2.0
-    per = g.withColumn("below", below).groupBy("replicate").agg(F.try_divide(F.sum(F.col("s") * F.col("below")), F.sum("s") * F.sum("r")).alias("auc"))
-    point = S.auc(scores.withColumn("label", (~F.col("is_real")).cast("int")), "score", "label")
-    ci = per.agg(F.percentile("auc", F.lit(0.025)).alias("auc_ci_low"), F.percentile("auc", F.lit(0.975)).alias("auc_ci_high"))
-    return ci.withColumn("auc", point.scalar())
-
-
-def config_metrics(trace: DataFrame, real: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """One summary row of a configuration's trace, and its discriminator scores."""
-    scores = score_riders(trace, real, settings)
-    auc = auc_interval(scores, settings.replicates, settings.seed)
+def config_metrics(trace: DataFrame, real: DataFrame, scores: DataFrame, settings: Settings) -> DataFrame:
+    """One summary row of a configuration's trace and its discriminator scores."""
+    auc = fidelity.auc_interval(scores, settings.replicates, settings.seed)
     mechanism = fidelity.elasticity_report(trace, settings.replicates, settings.seed)
     brier = fidelity.brier(fidelity.labeled_offers(trace)).select("brier")
     tests = fidelity.distribution_tests(trace, real, settings.seed)
@@ -110,7 +95,7 @@ def config_metrics(trace: DataFrame, real: DataFrame, settings: Settings) -> tup
     return row.select(
         F.col("auc").alias("discriminator_auc"), "auc_ci_low", "auc_ci_high", "brier", "ks_passed", F.col("mechanism.elasticity").alias("elasticity"), F.col("mechanism.ci_low").alias("elasticity_ci_low"), F.col("mechanism.ci_high").alias("elasticity_ci_high"),
         F.when(F.col("mechanism.elasticity") < 0, "negative").otherwise("positive").alias("elasticity_sign"), F.col("mechanism.verdict").alias("elasticity_verdict"), "cost_per_1k", "n_decisions",
-    ), scores
+    )
 
 
 def with_deltas(summary: DataFrame) -> DataFrame:
@@ -124,18 +109,14 @@ def evaluate(spark: SparkSession, out: str, run_id: str, selector: str = "all",
     s = settings or Settings()
     write_traces(spark, out, run_id, selector, s)
     real = trips.accepted_events(spark.read.parquet(f"{out}/trips"))
-    summary = scores = gains = None
-    for config in decisions.select_configs(selector):  # a handful of named configurations
-        trace = tables.read_trace(spark, f"{out}/trace", run_id, config)
-        row, scored = config_metrics(trace, real, s)
-        gain = fidelity.importances(*rider_features(trace, real, s), list(features.FEATURES), s.discriminator_trees, s.seed).withColumn("config", F.lit(config))
-        gains = gain if gains is None else gains.unionByName(gain)
-        row, scored = row.withColumn("config", F.lit(config)), scored.withColumn("config", F.lit(config))
-        summary = row if summary is None else summary.unionByName(row)
-        scores = scored if scores is None else scores.unionByName(scored)
-    tables.write_run(with_deltas(summary), f"{out}/metrics", run_id)
+    traces = {config: tables.read_trace(spark, f"{out}/trace", run_id, config) for config in decisions.select_configs(selector)}  # a handful of named configurations
+    told = {config: rider_features(trace, real, s) for config, trace in traces.items()}
+    scores, gains = fidelity.discriminate_all(told, list(features.FEATURES), s.discriminator_folds, s.discriminator_trees, s.seed)
+    rows = [config_metrics(trace, real, scores.where(F.col("config") == config).drop("config"), s).withColumn("config", F.lit(config)) for config, trace in traces.items()]
+    tables.write_run(with_deltas(reduce(DataFrame.unionByName, rows)), f"{out}/metrics", run_id)
     tables.write_run(fidelity.permutation_test(scores, s.permutations, s.seed), f"{out}/permutations", run_id)
     tables.write_run(gains, f"{out}/importances", run_id)
+    discard(scores)
     return tables.read_run(spark, f"{out}/metrics", run_id)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from farelens.functions.rand import LISTED, QUANTILE, TAIL
+
 SEED = 7
 
 
@@ -10,10 +12,36 @@ def u(seed: str, *keys: str) -> str:
     return f"(CAST(('0x' || substr(md5(concat_ws(':', {joined})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-def u16(seed: str, replicate: str, *keys: str) -> str:
-    """The uniform number of a replicate: four digits of a hash that eight replicates share."""
-    joined = ", ".join((f"'{seed}'", f"({replicate} - 1) // 8", *keys))
-    return f"(CAST(('0x' || substr(md5(concat_ws(':', {joined})), CAST(1 + 4 * (({replicate} - 1) % 8) AS INT), 4)) AS BIGINT) / 65536.0::DOUBLE)"
+def u32(seed: str, replicate: str, *keys: str) -> str:
+    """The uniform number of a replicate: eight digits of a hash that four replicates share."""
+    joined = ", ".join((f"'{seed}'", f"({replicate} - 1) // 4", *keys))
+    return f"((CAST(('0x' || substr(md5(concat_ws(':', {joined})), CAST(1 + 8 * (({replicate} - 1) % 4) AS INT), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def horner(x: str, parts: tuple[float, ...]) -> str:
+    out = f"{parts[0]!r}::DOUBLE"
+    for c in parts[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def quantile(u: str) -> str:
+    """The standard normal quantile of a column named ``u``."""
+    centre, under, top, bottom = QUANTILE
+    tail = lambda p: f"({horner(f'sqrt(-2.0::DOUBLE * ln({p}))', top)} / {horner(f'sqrt(-2.0::DOUBLE * ln({p}))', bottom)})"
+    q = f"({u} - 0.5::DOUBLE)"
+    return f"CASE WHEN {u} < {TAIL} THEN {tail(u)} WHEN {u} > {1.0 - TAIL} THEN -{tail(f'(1.0::DOUBLE - {u})')} ELSE {q} * {horner(f'({q} * {q})', centre)} / {horner(f'({q} * {q})', under)} END"
+
+
+def drawn_cells(cells: str, replicates: int, seed: str, keys: tuple[str, ...]) -> str:
+    """Each cell (with ``m`` equal rows) and replicate with the Poisson(m) count ``w``.
+
+    Small cells count the entries of a distribution function below their uniform number; the function comes from the closed form of its
+    terms. Large ones use the expansion in the normal quantile.
+    """
+    return f"""(SELECT * EXCLUDE (u, z, cdf), CASE WHEN m <= {LISTED} THEN len(list_filter(cdf, lambda c: c < u)) ELSE greatest(0, CAST(floor(m + sqrt(m::DOUBLE) * z + (z * z - 1.0::DOUBLE) / 6.0::DOUBLE + ((z * z * z - 3.0::DOUBLE * z) / 24.0::DOUBLE - (2.0::DOUBLE * z * z * z - 5.0::DOUBLE * z) / 36.0::DOUBLE) / sqrt(m::DOUBLE) + 0.5::DOUBLE) AS BIGINT)) END AS w FROM (
+        SELECT *, {quantile('u')} AS z FROM (SELECT c.*, replicate, {u32(seed, 'replicate', *keys)} AS u FROM {cells} c, (SELECT unnest(range(1, {replicates + 1})) AS replicate))) LEFT JOIN (
+        SELECT m AS dm, list(p ORDER BY k) AS cdf FROM (SELECT m, k, sum(exp(k * ln(m::DOUBLE) - m - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY m ORDER BY k) AS p FROM (SELECT DISTINCT m FROM {cells} WHERE m <= {LISTED}), LATERAL (SELECT unnest(range(0, CAST(ceil(m + 12 * sqrt(m::DOUBLE) + 12) AS BIGINT) + 1)) AS k)) GROUP BY m) ON dm = m)"""
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -32,15 +60,6 @@ def logistic(x: str) -> str:
     return f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-({x}))))"
 
 
-def poisson(x: str) -> str:
-    total, term, out = 0.0, 0.36787944117144233, ""
-    for k in range(7):
-        total += term
-        out += f" WHEN {x} < {total!r}::DOUBLE THEN {k}"
-        term /= k + 1
-    return f"CASE{out} ELSE 7 END"
-
-
 def band(c: str, lo: float, hi: float) -> str:
     return f"({c} >= {lo} AND {c} < {hi})"
 
@@ -140,10 +159,12 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 
 _RATIO = "ln(((k_high + 0.5::DOUBLE) / (n_high + 1.0::DOUBLE)) / ((k_low + 0.5::DOUBLE) / (n_low + 1.0::DOUBLE)))"
 STEPS["sim_ratio"] = (("sim_demand",), f"SELECT n_high, n_low, CASE WHEN n_high >= 5 AND n_low >= 5 THEN {_RATIO} END AS log_ratio FROM sim_demand")
-STEPS["sim_boot"] = (("base_trace", "sim_ratio"), f"""SELECT replicate, CASE WHEN n_high > 0 AND n_low > 0 THEN {_RATIO} ELSE (SELECT log_ratio FROM sim_ratio) END AS log_ratio FROM (
-    SELECT replicate, sum(w * a) AS n_high, sum(w * b) AS n_low, sum(w * c) AS k_high, sum(w * d) AS k_low FROM (SELECT *, {poisson(u16(f'{SEED}:backtest', 'replicate', 'rider_id'))} AS w FROM (
-    SELECT rider_id, count(*) FILTER (WHERE {band('surge', 2.0, 3.0)}) AS a, count(*) FILTER (WHERE {band('surge', 1.0, 1.2)}) AS b, coalesce(sum(accepted) FILTER (WHERE {band('surge', 2.0, 3.0)}), 0) AS c,
-    coalesce(sum(accepted) FILTER (WHERE {band('surge', 1.0, 1.2)}), 0) AS d FROM base_trace GROUP BY rider_id), (SELECT unnest(range(1, 1001)) AS replicate)) GROUP BY replicate)""")
+STEPS["alike_riders"] = (("base_trace",), f"""SELECT n_high, n_low, k_high, k_low, count(*) AS m FROM (SELECT rider_id, count(*) FILTER (WHERE {band('surge', 2.0, 3.0)}) AS n_high, count(*) FILTER (WHERE {band('surge', 1.0, 1.2)}) AS n_low,
+    CAST(coalesce(sum(accepted) FILTER (WHERE {band('surge', 2.0, 3.0)}), 0) AS BIGINT) AS k_high, CAST(coalesce(sum(accepted) FILTER (WHERE {band('surge', 1.0, 1.2)}), 0) AS BIGINT) AS k_low FROM base_trace GROUP BY rider_id) GROUP BY 1, 2, 3, 4""")
+STEPS["sim_boot"] = (("alike_riders", "sim_ratio"), f"""SELECT replicate, CASE WHEN n_high > 0 AND n_low > 0 THEN {_RATIO} ELSE (SELECT log_ratio FROM sim_ratio) END AS log_ratio FROM (
+    SELECT replicate, sum(w * n_high) AS n_high, sum(w * n_low) AS n_low, sum(w * k_high) AS k_high, sum(w * k_low) AS k_low FROM {drawn_cells('alike_riders', 1000, f'{SEED}:backtest', ('n_high', 'n_low', 'k_high', 'k_low'))} GROUP BY replicate)""")
+STEPS["alike_decisions"] = (("banded",), "SELECT band, CAST(round(surge * 1000000) AS BIGINT) AS micro, accepted, count(*) AS m, avg(surge) AS surge FROM banded GROUP BY 1, 2, 3")
+STEPS["alike_deltas"] = (("deltas",), "SELECT cell, metric, CAST(round(delta * 1000000) AS BIGINT) AS micro, count(*) AS m, avg(delta) AS delta FROM deltas WHERE delta IS NOT NULL AND covariate IS NOT NULL GROUP BY 1, 2, 3")
 
 
 def chain(needs: tuple[str, ...], select: str) -> str:

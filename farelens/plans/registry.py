@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
 from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, trips
-from farelens.plans.oracle import SEED, chain, clip, poisson, purpose, r, rounded, u, u16
+from farelens.plans.oracle import SEED, chain, clip, drawn_cells, purpose, r, rounded, u
 from farelens.sources import views
 from farelens.sources.staging import staged
 from farelens.sources.tables import table
@@ -244,11 +244,11 @@ register("purpose_order", lambda i: fidelity.purpose_order(i.real), chain(("real
 register("surge_bands", lambda i: pick(fidelity.surge_bands(i.full), ("band", "n"), ("mean_surge", "rate")), rounded(("bands",), "bands", ("band", "n"), ("mean_surge", "rate")))
 _SLOPE = "CASE WHEN count(*) >= 3 AND count(DISTINCT round(ln(mean_surge) * 1000)) >= 3 THEN regr_slope(ln(rate), ln(mean_surge)) END"
 register("surge_elasticity", lambda i: pick(fidelity.surge_elasticity(i.full), (), ("elasticity",)), chain(("bands",), f"SELECT {r(_SLOPE)} AS elasticity FROM bands"))
-register("elasticity_bootstrap", lambda i: pick(fidelity.elasticity_replicates(i.full, REPLICATES, SEED), ("replicate",), ("slope",)), chain(("banded",), f"""SELECT replicate, {r('regr_slope(y, x)')} AS slope FROM (SELECT replicate, ln(s / n) AS x, ln((k + 0.5::DOUBLE) / (n + 1.0::DOUBLE)) AS y FROM (
-    SELECT replicate, band, sum(w)::DOUBLE AS n, sum(w * surge) AS s, sum(w * accepted)::DOUBLE AS k FROM (SELECT *, {poisson(u16(f'{SEED}:boot', 'replicate', 'offer_id'))} AS w FROM banded, (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate)) GROUP BY 1, 2) WHERE n > 0)
+register("elasticity_bootstrap", lambda i: pick(fidelity.elasticity_replicates(i.full, REPLICATES, SEED), ("replicate",), ("slope",)), chain(("alike_decisions",), f"""SELECT replicate, {r('regr_slope(y, x)')} AS slope FROM (SELECT replicate, ln(s / n) AS x, ln((k + 0.5::DOUBLE) / (n + 1.0::DOUBLE)) AS y FROM (
+    SELECT replicate, band, sum(w)::DOUBLE AS n, sum(w * surge) AS s, sum(w * accepted)::DOUBLE AS k FROM {drawn_cells('alike_decisions', REPLICATES, f'{SEED}:boot', ('band', 'micro', 'accepted'))} GROUP BY 1, 2) WHERE n > 0)
     GROUP BY replicate HAVING count(*) >= 3 AND count(DISTINCT round(x * 1000)) >= 3"""))
 _REPORT = ("elasticity", "ci_low", "ci_high")
-register("elasticity_report", lambda i: pick(fidelity.elasticity_report(i.full, REPLICATES, SEED), ("sign_pass", "magnitude_pass", "verdict"), _REPORT), chain(("bands",), f"""SELECT sign_pass, magnitude_pass, CASE WHEN sign_pass AND magnitude_pass THEN 'PASS' ELSE 'FAIL' END AS verdict, {', '.join(f'{r(c)} AS {c}' for c in _REPORT)} FROM (
+register("elasticity_report", lambda i: pick(fidelity.elasticity_report(i.full, REPLICATES, SEED), ("sign_pass", "magnitude_pass", "verdict"), _REPORT), chain(("bands", "alike_decisions"), f"""SELECT sign_pass, magnitude_pass, CASE WHEN sign_pass AND magnitude_pass THEN 'PASS' ELSE 'FAIL' END AS verdict, {', '.join(f'{r(c)} AS {c}' for c in _REPORT)} FROM (
     SELECT *, coalesce(elasticity < 0, FALSE) AS sign_pass, coalesce(ci_low <= {fidelity.ELASTICITY_RANGE[1]} AND ci_high >= {fidelity.ELASTICITY_RANGE[0]}, FALSE) AS magnitude_pass FROM
     (SELECT {_SLOPE} AS elasticity FROM bands), (SELECT quantile_cont(slope, 0.025) AS ci_low, quantile_cont(slope, 0.975) AS ci_high FROM ({_SQL["elasticity_bootstrap"].replace(r("regr_slope(y, x)"), "regr_slope(y, x)")})))"""))
 register("distribution_tests", lambda i: pick(fidelity.distribution_tests(i.full, i.real, SEED), ("marginal", "passed"), ("statistic", "p_value", "bonferroni_alpha")), None)
@@ -283,8 +283,8 @@ register("cell_metrics", lambda i: pick(screening.rider_metrics(i.split), ("cell
 register("paired_deltas", lambda i: pick(i.deltas, ("cell", "rider_id", "metric"), ("delta", "covariate")), rounded(("deltas",), "deltas", ("cell", "rider_id", "metric"), ("delta", "covariate")))
 _LIFT = ("lift", "se_rider", "theta", "cuped_var_reduction", "se_rider_cuped")
 register("cuped_lifts", lambda i: pick(screening.cell_lifts(i.deltas), ("cell", "metric", "n"), _LIFT), chain(("lifts",), f"SELECT cell, metric, n, {', '.join(f'CASE WHEN n >= 5 THEN {r(c)} END AS {c}' for c in _LIFT)} FROM lifts"))
-register("rider_bootstrap_se", lambda i: pick(screening.rider_bootstrap(i.deltas, SCREEN_REPLICATES, SEED), ("cell", "metric"), ("se_rider_boot", "lo", "hi")), chain(("deltas",), f"""SELECT cell, metric, {r('stddev_pop(l)')} AS se_rider_boot, {r('quantile_cont(l, 0.025)')} AS lo, {r('quantile_cont(l, 0.975)')} AS hi FROM (SELECT cell, metric, replicate, sum(w * delta) / sum(w) AS l FROM (
-    SELECT *, {poisson(u16(f'{SEED}:riders', 'replicate', 'rider_id'))} AS w FROM deltas, (SELECT unnest(range(1, {SCREEN_REPLICATES + 1})) AS replicate) WHERE delta IS NOT NULL AND covariate IS NOT NULL) GROUP BY 1, 2, 3 HAVING sum(w) > 0) GROUP BY 1, 2"""))
+register("rider_bootstrap_se", lambda i: pick(screening.rider_bootstrap(i.deltas, SCREEN_REPLICATES, SEED), ("cell", "metric"), ("se_rider_boot", "lo", "hi")), chain(("alike_deltas",), f"""SELECT cell, metric, {r('stddev_pop(l)')} AS se_rider_boot, {r('quantile_cont(l, 0.025)')} AS lo, {r('quantile_cont(l, 0.975)')} AS hi FROM (
+    SELECT cell, metric, replicate, sum(w * delta) / sum(w) AS l FROM {drawn_cells('alike_deltas', SCREEN_REPLICATES, f'{SEED}:riders', ('cell', 'metric', 'micro'))} GROUP BY 1, 2, 3 HAVING sum(w) > 0) GROUP BY 1, 2"""))
 register("sampling_errors", lambda i: pick(screening.sampling_errors(i.split), ("cell",), ("se_sampling",)), rounded(("noise",), "noise", ("cell",), ("se_sampling",)))
 _DRAWN = ("accept_rate", "completed_rides", "mean_fare", "abandonment_rate")
 register("bernoulli_redraw", lambda i: pick(screening.bernoulli_redraws(i.split, REDRAWS, SEED).groupBy("cell", "replicate").agg(*(F.sum(c).alias(c) for c in _DRAWN)), ("cell", "replicate"), _DRAWN), chain(("split",), f"""SELECT cell, replicate::INT AS replicate, {', '.join(f'{r(f"sum({c})")} AS {c}' for c in _DRAWN)} FROM (
