@@ -75,7 +75,7 @@ def _probabilities(model: LogitModel, features: list[Column]) -> list[Column]:
 
 def logit_decisions(offers: DataFrame, personas: DataFrame, model: LogitModel, seed: int) -> DataFrame:
     """Trace of the logit baseline: categorical draws by hash, P(accept), reservation fare by bisection."""
-    from farelens.operators.decisions import _trace
+    from farelens.operators.decisions import _trace, with_persona
 
     median = F.greatest(F.col("median_fare_paid"), F.lit(1e-6))
     transit = F.when(F.col("transit_alt_minutes") <= 0, F.col("eta_min") * 2.0).otherwise(F.col("transit_alt_minutes"))
@@ -98,7 +98,7 @@ def logit_decisions(offers: DataFrame, personas: DataFrame, model: LogitModel, s
         return F.struct(F.when(keeps, mid).otherwise(state["lo"]).alias("lo"), F.when(keeps, state["hi"]).otherwise(mid).alias("hi"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), F.greatest(F.col("quoted_fare") * 10.0, F.lit(1.0)).alias("hi")), halve)["lo"]
-    with_median = offers.join(personas.select("rider_id", "median_fare_paid"), "rider_id")
+    with_median = with_persona(offers, personas, "median_fare_paid")
     columns = {"action": action, "confidence": F.greatest(*p), "reservation_fare": X.rounded(found, 2)}
     out = _trace(with_median, personas, "logit_baseline", columns, p[accept])
     fixed = F.when((F.col("action") == "accept") & (F.col("reservation_fare") < F.col("quoted_fare")), F.col("quoted_fare")).otherwise(F.col("reservation_fare"))

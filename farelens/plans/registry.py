@@ -12,13 +12,13 @@ from farelens.functions import stats as S
 from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, trips
 from farelens.plans.oracle import SEED, chain, clip, drawn_cells, purpose, r, rounded, u
 from farelens.sources import views
-from farelens.sources.staging import staged
+from farelens.sources.staging import materialize, staged
 from farelens.sources.tables import table
 from farelens.streaming import decisions as streaming
 
 TRIPS_PER_RIDER = 4
-#: The reference's counts: elasticity and screening replicates, redraws, permutations, riders of a panel.
-REPLICATES, SCREEN_REPLICATES, REDRAWS, PERMUTATIONS, PANEL = 500, 1000, 200, 200, 2000
+#: The reference's counts: elasticity and screening replicates, redraws, permutations, riders of a panel, replicates of an AUC.
+REPLICATES, SCREEN_REPLICATES, REDRAWS, PERMUTATIONS, PANEL, INTERVAL = 500, 1000, 200, 200, 2000, 200
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -417,6 +417,25 @@ def _discriminator(i: Inputs) -> DataFrame:
 
 register("discriminator_auc", _discriminator, None)
 register("discriminator_importances", lambda i: fidelity.importances(*_rider_features(i), list(features.FEATURES), trees=100), None)
+register("discriminator_interval", lambda i: pick(fidelity.auc_interval(fidelity.discriminator(*_rider_features(i), list(features.FEATURES), folds=5, trees=100), INTERVAL, SEED), (), ("auc", "auc_ci_low", "auc_ci_high")), None)
+
+
+def _traces(i: Inputs) -> dict[str, DataFrame]:
+    """The trace of each of the seven configurations."""
+    fitted = lambda: logit.logit_decisions(i.offers, i.personas, logit.fit(logit.training_rows(i.trips, SEED)), SEED)
+    return {c: fitted() if c == "logit_baseline" else decisions.trace_all(i.offers, i.personas, SEED, (c,)) for c in decisions.CONFIGS}
+
+
+def _matrix(i: Inputs) -> DataFrame:
+    """All 21 pairs of configurations by the discriminator's own scores."""
+    order, real = [F.col("offer_id")], i.real
+    ours = materialize(features.sequence_features(real.withColumn("offer_id", F.col("tk")), real, order), "real-features")
+    told = {c: (ours, features.sequence_features(trace, real, order)) for c, trace in _traces(i).items()}
+    scores, _ = fidelity.discriminate_all(told, list(features.FEATURES), folds=5, trees=100, final=False)
+    return pick(fidelity.permutation_test(scores, PERMUTATIONS, SEED), ("config_a", "config_b"), ("auc_difference", "p_value"))
+
+
+register("permutation_matrix", _matrix, None)
 
 
 def queries() -> dict[str, Query]:
