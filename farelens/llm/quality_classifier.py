@@ -146,7 +146,9 @@ def _sample(docs: DataFrame, labels: DataFrame, size: ClassifierSize) -> DataFra
     marked = marked.withColumn("_h", F.xxhash64("doc_id"))
     rank = F.row_number().over(Window.partitionBy("quality").orderBy("_h", "doc_id"))
     counts = {r["quality"]: r["n"] for r in marked.where("quality IN (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("quality") == 0, F.lit(1.5 * size.fit_rows / max(1, counts.get(0, 1)) + 0.01)).otherwise(F.lit(1.5 * size.fit_rows / max(1, counts.get(1, 1)) + 0.01))
+    # a hash bound lets through about 1.5 times the wanted rows, the window then takes exactly the wanted number
+    bound = lambda label: F.lit((1.5 * size.fit_rows + 100) / max(1, counts.get(label, 1)))
+    share = F.when(F.col("quality") == 0, bound(0)).otherwise(bound(1))
     near = marked.where("quality IN (0, 1)").where(F.col("_h") / F.lit(2.0**64) + 0.5 <= share)
     chosen = near.withColumn("_r", rank).where(F.col("_r") <= size.fit_rows).select("doc_id", "quality")
     near = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * fit_rows ids at most

@@ -71,7 +71,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     time = F.lit(DEFAULT_TIME) if time_col is None else F.coalesce(F.date_format(time_col, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(DEFAULT_TIME))
     url = F.replace(F.replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(page.alias("page_id"), url.alias("url"), time.alias("time"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    rows = pages.select(page.alias("page_id"), url.alias("url"), time.alias("time"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("_place"))
     small = pages.select(page.alias("page_id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
     # partial sums per task first, then a payload of a third of all pages is joined where its rows are
     shared = materialize(small.groupBy("digest", "bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "warc-payloads")
@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     )
     files = max(1, -(-total["bytes"] // file_bytes))
     path = new_path(spark, "warc")
-    dealt = marked.select(record.alias("value"), F.xxhash64("page_id", "digest", "url").alias("_deal")).repartition(files, "_deal").select("value")
+    dealt = marked.select(record.alias("value"), F.xxhash64("_place", "page_id").alias("_deal")).repartition(files, "_deal").select("value")
     dealt.write.option("lineSep", _END).option("compression", "gzip").text(path)
     return path
 

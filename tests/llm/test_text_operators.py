@@ -302,3 +302,13 @@ def test_short_texts_have_no_windows(text):
     part = next(tn.slices(pa.array([text], pa.string())))
     w = tn.Words(part)
     assert len(tn.windows(w.hashes(), w.row, 5)[0]) == 0
+
+
+def test_the_classifiers_sample_window_is_bounded(spark):
+    """Of 60,000 labelled rows of a class, little more than the wanted rows reach the window that picks them."""
+    labels = spark.range(120_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    size = C.ClassifierSize(fit_rows=300)
+    chosen = C._sample(labels.select("doc_id", F.lit("some text").alias("text")), labels, size)
+    assert {r["quality"]: r["count"] for r in chosen.groupBy("quality").count().collect()} == {0: 300, 1: 300}
+    hashes = labels.withColumn("_h", F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5)
+    assert all(r["count"] < 2 * size.fit_rows for r in hashes.where(F.col("_h") <= (1.5 * 300 + 100) / 60_000).groupBy("quality").count().collect())

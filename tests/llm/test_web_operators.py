@@ -365,3 +365,12 @@ def test_chat_of_a_very_long_text(spark):
 
 def test_chat_of_an_empty_table(spark):
     assert rows(T.digests(T.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))) == []
+
+
+def test_equal_rows_are_dealt_to_all_archives(spark):
+    """One page that stands in the table 40,000 times, beside others."""
+    p = spark.range(40_000).select(F.lit(7).cast("long").alias("page_id"), F.lit("http://a.test/").alias("url"), F.lit("y" * 1200).alias("html"))
+    p = p.unionByName(spark.range(100).select((F.col("id") + 10).alias("page_id"), F.lit("http://b.test/").alias("url"), F.concat(F.lit("z"), F.col("id").cast("string")).alias("html")))
+    path = W.write_archives(p, file_bytes=1 << 20)
+    per_file = [r.n for r in spark.read.option("lineSep", "\r\n\r\n").text(path).where("value LIKE 'WARC/1.1%'").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_file) > 20 and sum(per_file) == 40_100 and max(per_file) < 1.3 * 40_100 / len(per_file)
