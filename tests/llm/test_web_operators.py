@@ -374,3 +374,83 @@ def test_equal_rows_are_dealt_to_all_archives(spark):
     path = W.write_archives(p, file_bytes=1 << 20)
     per_file = [r.n for r in spark.read.option("lineSep", "\r\n\r\n").text(path).where("value LIKE 'WARC/1.1%'").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert len(per_file) > 20 and sum(per_file) == 40_100 and max(per_file) < 1.3 * 40_100 / len(per_file)
+
+
+class _PlainReader(HTMLParser):
+    """The contract's kinds of page read by the standard parser: the article's blocks, nothing of what stands around it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.inside, self.skipped = [], [], 0, 0
+
+    def flush(self):
+        joined = " ".join("".join(self.text).split())
+        if joined:
+            self.blocks.append(joined)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "nav", "aside", "form", "footer"):
+            self.skipped += 1
+        elif tag == "article":
+            self.inside += 1
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag in ("p", "h1", "h2", "h3", "div", "ul", "li", "section") and self.inside:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "nav", "aside", "form", "footer"):
+            self.skipped -= 1
+        elif tag in ("article", "p", "h1", "h2", "h3", "div", "ul", "li", "section") and self.inside:
+            self.flush()
+            self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.text.append(data)
+
+
+def test_given_pages_match_a_plain_reader(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in H.extract(given).collect()}
+    for r in given.collect():
+        reader = _PlainReader()
+        reader.feed(r.html)
+        reader.flush()
+        assert got[r.page_id] == "\n".join(reader.blocks)
+
+
+def test_the_wrapper_alone_finds_the_text_of_given_pages(spark):
+    """With every telling name of the given pages replaced by a neutral one, the slots decide, and the text stays the same."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    neutral = F.replace(F.col("html"), F.lit('<div class="ad">'), F.lit('<div class="k4">'))
+    for tag, name in (("nav", "k1"), ("article", "k2"), ("footer", "k3")):
+        neutral = F.replace(F.replace(neutral, F.lit(f"<{tag}>"), F.lit(f'<div class="{name}">')), F.lit(f"</{tag}>"), F.lit("</div>"))
+    # hosts of a page or two differ in too little: all pages of a small table count as one site
+    one_site = given.withColumn("url", F.lit("http://site.test/"))
+    want = {r.page_id: r.text for r in H.extract(one_site).collect()}
+    got = {r.page_id: r.text for r in H.extract(one_site.withColumn("html", neutral)).collect()}
+    blind = {r.page_id: H.main_text(r.html) for r in one_site.withColumn("html", neutral).collect()}
+    assert got == want and all(blind[k] != want[k] for k in want)
+
+
+@pytest.mark.parametrize("part", ['<p class="share price">Share price rose {k}</p>', '<section class="related-work">Earlier work {k} is here</section>', '<div class="login">He logged in {k} times</div>'])
+def test_weak_role_words_cut_no_article_text(spark, part):
+    page = "<html><body><nav><a href=x>n</a></nav><article><h1>T{k}</h1><p>Body text {k} of it</p>%s</article></body></html>" % part
+    for many in (1, 12):
+        got = [r.text for r in H.extract(pages(spark, [(k, "http://a.test/", page.format(k=k)) for k in range(many)])).collect()]
+        assert all(len(t.split("\n")) == 3 for t in got)
+
+
+def test_weak_role_words_leave_menus_and_template_out(spark):
+    page = '<article><h1>T{k}</h1><p>text {k}</p><div class="related"><ul><li><a href=a>one {k}</a></li><li><a href=b>two</a></li></ul></div><div class="comments"><p>nice {k}</p></div><div class="share">Share this</div></article>'
+    got = H.extract(pages(spark, [(k, "http://a.test/", page.format(k=k)) for k in range(12)])).collect()
+    assert {r.text for r in got} == {f"T{k}\ntext {k}" for k in range(12)}
+
+
+def test_a_teaser_beside_the_main_part_is_not_the_text(spark):
+    page = "<html><body><article><p>teaser</p></article><main><h1>T{k}</h1><p>long main text {k} of the page</p></main></body></html>"
+    for many in (1, 12):
+        got = H.extract(pages(spark, [(k, "http://a.test/", page.format(k=k)) for k in range(many)])).collect()
+        assert {r.text for r in got} == {f"T{k}\nlong main text {k} of the page" for k in range(many)}
