@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
+from farelens.sources.staging import delete
 
 #: Dollars per million tokens (input, output) by provider.
 PRICES = {"anthropic": (3.0, 15.0), "openai": (0.15, 0.6)}
@@ -108,15 +111,71 @@ def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new")
 
 
+#: Folders of a stored cache; a key is in one of them.
+CACHE_PARTS = 64
+_STORED = "key string, response_json string, created_at double, put string, part long"
+
+
+def _part(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CACHE_PARTS)).alias("part")
+
+
 def cache_put(new: DataFrame, path: str) -> None:
-    """Adds responses (key, response_json, created_at) to a stored cache; nothing that is there is written again."""
-    new.select("key", "response_json", "created_at").write.mode("append").parquet(path)
+    """Adds responses (key, response_json, created_at) to a stored cache; nothing that is there is written again.
+
+    A put has a folder of its own, so puts that run side by side lose nothing. In it, rows go into folders by a hash of their key,
+    sorted by it, with a Bloom filter of the keys in every file.
+    """
+    rows = new.select("key", "response_json", F.col("created_at").cast("double").alias("created_at"), _part("key"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", "key")
+    dealt.write.mode("append").partitionBy("part").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{path}/put={uuid.uuid4().hex}")
+
+
+def _newest(stored: DataFrame) -> DataFrame:
+    newest = stored.groupBy("key").agg(F.max(F.struct("created_at", "response_json")).alias("_n"))
+    return newest.select("key", "_n.response_json", "_n.created_at")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(path)
 
 
 def cache_get(spark: SparkSession, path: str) -> DataFrame:
     """A stored cache with one row per key: of several responses the newest, of equally new ones the last by text."""
-    order = Window.partitionBy("key").orderBy(F.desc("created_at"), F.desc("response_json"))
-    return spark.read.parquet(path).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return _newest(_stored(spark, path))
+
+
+def cache_point(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The cached response of one key, if there is one: the key's folder alone is opened."""
+    part = spark.range(1).select(_part(F.lit(key))).first()["part"]
+    return _newest(_stored(spark, path).where((F.col("part") == part) & (F.col("key") == key)))
+
+
+def cache_lookup(requests: DataFrame, path: str) -> DataFrame:
+    """Requests (key and more) with their cached response, null where there is none.
+
+    Only the requests' folders are opened (the join prunes them at run time), and of the stored rows only those of
+    requested keys are compared.
+    """
+    keys = requests.select("key").where("key IS NOT NULL").distinct().withColumn("part", _part("key"))
+    found = _newest(_stored(requests.sparkSession, path).join(keys, ["part", "key"], "left_semi"))
+    return requests.join(found, "key", "left")
+
+
+def cache_compact(spark: SparkSession, path: str) -> list[str]:
+    """Writes the newest response of each key as one put and returns the folders of the puts that are no longer needed.
+
+    The new files stand beside the old ones, whose rows they repeat, so readers and puts may go on meanwhile;
+    ``cache_vacuum`` deletes the old ones when no reader that began before is left.
+    """
+    puts = sorted({re.match(r".*/put=[^/]+", file)[0] for file in _stored(spark, path).inputFiles()})  # names only; a put that ends from here on is kept
+    cache_put(_newest(spark.read.schema(_STORED).option("basePath", path).parquet(*puts)), path)
+    return puts
+
+
+def cache_vacuum(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        delete(spark, folder)
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:

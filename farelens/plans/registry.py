@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from farelens.functions import exprs as X
 from farelens.functions import stats as S
-from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, trips
+from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, tool_rounds, trips
 from farelens.plans.oracle import SEED, chain, clip, drawn_cells, purpose, r, rounded, u
 from farelens.sources import views
-from farelens.sources.staging import materialize, staged
+from farelens.sources.staging import materialize, new_path, staged
 from farelens.sources.tables import table
 from farelens.streaming import decisions as streaming
 
@@ -360,6 +360,19 @@ register("cache_misses", lambda i: agent_io.cache_misses(_cache(i)[1].select("ke
 register("cache_hits", lambda i: agent_io.cache_hits(_cache(i)[1].select("key"), _cache(i)[0]), f"SELECT key, response_json FROM {_KEYED} WHERE created_at <= 1")
 
 
+def _stored_lookup(i: Inputs) -> DataFrame:
+    """All requests against a cache at rest: two puts and a compaction between them."""
+    cached, asked, new = _cache(i)
+    path = new_path(i.spark, "cache")
+    agent_io.cache_put(cached, path)
+    agent_io.cache_vacuum(i.spark, agent_io.cache_compact(i.spark, path))
+    agent_io.cache_put(new, path)
+    return agent_io.cache_lookup(asked.select("key"), path).select("key", "response_json")
+
+
+register("cache_lookup", _stored_lookup, f"SELECT key, CASE WHEN created_at >= 1 THEN 'new:' || response_json ELSE response_json END AS response_json FROM {_KEYED}")
+
+
 def _pauses(i: Inputs) -> DataFrame:
     """A rider's time between two decisions, as the latency of the second."""
     before = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("rider_id").orderBy("seq"))
@@ -382,6 +395,48 @@ def _outputs(i: Inputs) -> DataFrame:
 
 register("decision_parse", lambda i: agent_io.parse_decisions(_outputs(i)).select("offer_id", "error", F.col("decision.action").alias("action"), F.col("decision.reservation_fare").alias("reservation_fare")),
          chain(("log",), "SELECT offer_id, error, CASE WHEN error IS NULL THEN action END AS action, CASE WHEN error IS NULL THEN (offer_id % 11)::DOUBLE END AS reservation_fare FROM (SELECT *, CASE WHEN offer_id % 5 = 2 THEN 'no JSON object found in output' WHEN offer_id % 7 > 5 THEN 'confidence' END AS error FROM log)"))
+def _script(i: Inputs) -> DataFrame:
+    """Written answers for every event: decisions at once, after one round or two, calls without end, broken outputs, mended or not."""
+    k = F.col("offer_id") % 6
+    body = F.concat(F.lit('{"action": "'), "action", F.lit('", "reasoning": "fine", "confidence": 0.5, "reservation_fare": '), (F.col("offer_id") % 11).cast("string"), F.lit(', "tools_called": []}'))
+    lane = F.create_map(F.lit("origin_zone"), F.col("origin_zone"), F.lit("dest_zone"), (F.col("offer_id") * 7 % 25 + 1).cast("long"))
+    hour = F.create_map(F.lit("origin_zone"), F.col("origin_zone"), F.lit("hour"), (F.col("offer_id") % 24).cast("long"))
+    call = lambda name, arguments: F.struct(F.lit("c").alias("id"), F.lit(name).alias("name"), arguments.alias("arguments"))
+    price, eta, transit = call("check_price_history", lane), call("check_eta_reliability", hour), call("check_transit_alternative", lane)
+    none = F.array().cast(tool_rounds.CALLS)
+    steps = {
+        "0": (F.when(k == 0, body).otherwise("let me see"), F.when(k == 1, F.array(price)).when(k == 2, F.array(price, eta)).when(k == 3, F.array(eta)).otherwise(none)),
+        "1": (F.when(k == 1, body).otherwise("more"), F.when(k.isin(2, 3), F.array(transit)).otherwise(none)),
+        "2": (F.when(k == 2, body).otherwise("and more"), F.when(k == 3, F.array(price)).otherwise(none)),
+        tool_rounds.REPAIR: (F.when(k == 4, "still {no} decision").otherwise(body), none),
+    }
+    rows = F.array(*(F.struct(F.lit(step).alias("step"), content.alias("content"), calls.cast(tool_rounds.CALLS).alias("calls")) for step, (content, calls) in steps.items()))
+    return i.log.select("offer_id", F.explode(rows).alias("r")).select("offer_id", "r.*")
+
+
+def _tool_log(i: Inputs) -> DataFrame:
+    lanes = ["pickup_zone", "dropoff_zone"]
+    price = pick(lookups.price_history(i.trips), (*lanes, "scope", "n_trips"), ("market_fare_p50",), 2)
+    eta = pick(lookups.eta_reliability(i.trips), ("pickup_zone", "pickup_hour", "scope", "n_trips"), ("wait_p50_minutes",), 2)
+    transit = lookups.transit_alternative(i.trips, lookups.all_lanes(i.trips))
+    lane = {"origin_zone": "pickup_zone", "dest_zone": "dropoff_zone"}
+    tools = {"check_price_history": (price, lane), "check_eta_reliability": (eta, {"origin_zone": "pickup_zone", "hour": "pickup_hour"}), "check_transit_alternative": (transit, lane)}
+    log = tool_rounds.converse(i.log, agent_io.canonical_json("offer_id", "purpose"), tools, tool_rounds.scripted(_script(i)), logged_at=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    seen = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "tool"), lambda m: m["content"]), ";")
+    return log.select("offer_id", "action", "confidence", "reservation_fare", "prompt_version", F.array_join("tools_called", ",").alias("tools_called"), "parse_ok", F.date_format("logged_at", "yyyy-MM-dd").alias("logged_on"), F.size("messages").cast("long").alias("n_messages"), seen.alias("results"))
+
+
+_SEEN = {
+    "price": """'{"result":{"market_fare_p50":' || coalesce(CAST(round(p.market_fare_p50 * 100) / 100 AS VARCHAR), 'null') || ',"n_trips":' || coalesce(CAST(p.n_trips AS VARCHAR), 'null') || ',"scope":' || coalesce('"' || p.scope || '"', 'null') || '},"tool":"check_price_history"}'""",
+    "eta": """'{"result":{"n_trips":' || coalesce(CAST(e.n_trips AS VARCHAR), 'null') || ',"scope":' || coalesce('"' || e.scope || '"', 'null') || ',"wait_p50_minutes":' || coalesce(CAST(round(e.wait_p50_minutes * 100) / 100 AS VARCHAR), 'null') || '},"tool":"check_eta_reliability"}'""",
+    "transit": """'{"result":{"n_trips":' || coalesce(CAST(t.n_trips AS VARCHAR), 'null') || ',"transit_cost":' || coalesce(CAST(t.transit_cost AS VARCHAR), 'null') || ',"transit_minutes":' || coalesce(CAST(t.transit_minutes AS VARCHAR), 'null') || '},"tool":"check_transit_alternative"}'""",
+}
+register("tool_rounds", _tool_log, chain(("log",), f"""SELECT offer_id, CASE WHEN k = 4 THEN 'reject' ELSE action END AS action, CASE WHEN k = 4 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN k = 4 THEN round(quoted_fare * 100) / 100 ELSE (offer_id % 11)::DOUBLE END AS reservation_fare,
+    'v1' AS prompt_version, CASE k WHEN 1 THEN 'check_price_history' WHEN 2 THEN 'check_price_history,check_eta_reliability,check_transit_alternative' WHEN 3 THEN 'check_eta_reliability,check_transit_alternative' ELSE '' END AS tools_called, k <> 4 AS parse_ok, '2024-01-01' AS logged_on,
+    (CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 7 ELSE 3 END)::BIGINT AS n_messages,
+    CASE k WHEN 1 THEN {_SEEN['price']} WHEN 2 THEN {_SEEN['price']} || ';' || {_SEEN['eta']} || ';' || {_SEEN['transit']} WHEN 3 THEN {_SEEN['eta']} || ';' || {_SEEN['transit']} ELSE '' END AS results
+    FROM (SELECT *, offer_id % 6 AS k, offer_id * 7 % 25 + 1 AS dz, offer_id % 24 AS hr FROM log) l LEFT JOIN ({_SQL['lane_price_history']}) p ON p.pickup_zone = l.origin_zone AND p.dropoff_zone = l.dz
+    LEFT JOIN ({_SQL['eta_reliability']}) e ON e.pickup_zone = l.origin_zone AND e.pickup_hour = l.hr LEFT JOIN ({_SQL['transit_alternative']}) t ON t.pickup_zone = l.origin_zone AND t.dropoff_zone = l.dz"""))
 register("parquet_row_count", lambda i: table(i.spark, i.folder, "lineitem").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem")
 
 

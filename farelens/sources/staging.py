@@ -45,9 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialize`` wrote, once nothing that is still to run reads them."""
     for df in tables:
-        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df._staged_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def staged(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
