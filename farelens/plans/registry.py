@@ -15,6 +15,7 @@ from farelens.sources import views
 from farelens.sources.staging import materialize, new_path, staged
 from farelens.sources.tables import table
 from farelens.streaming import decisions as streaming
+from farelens.streaming import memory as streaming_memory
 
 TRIPS_PER_RIDER = 4
 #: The reference's counts: elasticity and screening replicates, redraws, permutations, riders of a panel, replicates of an AUC.
@@ -343,6 +344,23 @@ register("memory_aggregates", lambda i: memory.aggregates(i.log), chain(("log",)
 register("memory_running", lambda i: memory.aggregates(i.log, running=True), chain(("log",), f"SELECT rider_id, seq, {_AGG} FROM log WINDOW w AS (PARTITION BY rider_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
 
 
+def _remembered(i: Inputs) -> DataFrame:
+    """The event files as a stream through riders' memory, drained into a table."""
+    schema = table(i.spark, i.folder, "events").schema
+    i.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = streaming.event_stream(i.spark, i.folder, schema)
+    decided = views.decisions_of(events).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return streaming.drain(i.spark, streaming_memory.remember(decided, late="3650 days"), new_path(i.spark, "memory-checkpoint"), new_path(i.spark, "memory"))
+
+
+def _remembered_recall(i: Inputs) -> DataFrame:
+    return _remembered(i).select("rider_id", "seq", F.posexplode("recalled").alias("at", "e")).select("rider_id", "seq", "e.episode_seq", "e.similarity", (F.col("at") + 1).cast("long").alias("rank"))
+
+
+register("memory_stream_recall", _remembered_recall, _SQL["memory_recall_topk"])
+register("memory_stream_running", lambda i: _remembered(i).drop("recalled", "offer_id"), _SQL["memory_running"])
+
+
 def _conversations(i: Inputs) -> DataFrame:
     return table(i.spark, i.folder, "conversations")
 

@@ -34,12 +34,16 @@ def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
 
 def decision_log(spark: SparkSession, folder: str) -> DataFrame:
     """Each rider's decisions in order, with realized outcomes for some of them."""
-    e = table(spark, folder, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    seq = F.row_number().over(Window.partitionBy("rider_id").orderBy("ts", "offer_id"))
+    return decisions_of(table(spark, folder, "events")).withColumn("seq", seq.cast("long"))
+
+
+def decisions_of(e: DataFrame) -> DataFrame:
+    """Events as decisions, in no order yet; a stream of events will do."""
     action = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "click", "wait_for_better").when(F.col("event_type") == "view", "switch_mode").otherwise("reject")
     purpose = F.element_at(F.array(*(F.lit(p) for p in ("commute", "social", "errand", "airport"))), (F.col("event_id") % 4 + 1).cast("int"))
     out = e.select(
-        F.col("user_id").cast("long").alias("rider_id"), F.col("event_id").cast("long").alias("offer_id"), "ts", seq.cast("long").alias("seq"), action.alias("action"), purpose.alias("purpose"),
+        F.col("user_id").cast("long").alias("rider_id"), F.col("event_id").cast("long").alias("offer_id"), "ts", action.alias("action"), purpose.alias("purpose"),
         (F.col("event_id") % 25 + 1).cast("long").alias("origin_zone"), (F.round(F.col("value") * 100) / 100).alias("quoted_fare"),
         (1 + (F.col("event_id") % 13) / 8.0).alias("surge"), ((F.col("event_id") * 7 % 200) / 10.0).alias("eta_min"),
     )

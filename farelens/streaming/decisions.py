@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
     """A stream of the event files of a folder, with an event time that watermarks accept."""
     given = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     return given.withColumn("event_time", F.col("ts").cast("timestamp"))
