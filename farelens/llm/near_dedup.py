@@ -13,8 +13,8 @@ lower-cased (a shorter text's whole sequence is its one shingle). Documents with
 4. Buckets that still hold several components are compared in groups, across components only, by
    sketch. A bucket of up to 2 * BLOCK members is one group. A larger one is dealt to pairs of blocks, where blocks
    of one component never meet. In a bucket of more than LARGE blocks, members with MANY_SHINGLES or more meet only
-   those that share a second band with them; smaller sets, and what still is large after the second band, are
-   cut by set size first (sets whose sizes rule the bound out never meet), then into pairs of
+   those that share a second band with them, and smaller sets those that share one of their rarest shingles, which no link
+   lacks; what still is large after that is cut by set size first (sets whose sizes rule the bound out never meet), then into pairs of
    blocks. Members that the estimate admits to a partner stay; their full sets meet in the same groups, cut
    into chunks of CHUNK_BYTES, where intersections are counted exactly and a spanning forest of the links found is kept.
    So a group never gives more rows than it has members, and its memory has a bound.
@@ -31,7 +31,7 @@ shingle; an empty table gives an empty result; extra columns are ignored (``keep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -355,8 +355,33 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return dealt.select(*keys, F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "main", "nid", "component")
 
 
-def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The groups in which members (band, key, n, nid, component) of open buckets are compared."""
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """nid, shingle: of every set (nid, shingles) its rarest shingles, as many as two sets at the bound cannot both lack.
+
+    Ordered by how many of the sets hold a shingle, two sets of which each shares ``percent`` of its own shingles with the other have one in
+    common among the first size - ceil(percent * size / 100) + 1 of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            if each:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in each]), pa.int64()), pa.array(np.concatenate(each), pa.int64())], names=["nid", "shingle"])
+
+    each = materialize(sets.select("nid", "shingles").mapInArrow(run, "nid long, shingle long"), "dedup-shingles")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    often = join_unique(each, counts.withColumnRenamed("n", "often"), ["shingle"], counts)
+    # a set here has fewer than MANY_SHINGLES * 100 / percent shingles
+    ordered = often.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("_s"))
+    wanted = F.size("_s") - F.ceil(F.size("_s") * percent / 100).cast("int") + 1
+    return ordered.select("nid", F.explode(F.slice("_s", F.lit(1), wanted)).alias("_e")).select("nid", "_e.shingle")
+
+
+def _compared(placed: DataFrame, nodes: DataFrame, percent: int, full_sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The groups in which members (band, key, n, nid, component) of open buckets are compared.
+
+    ``full_sets`` gives the sets (nid, shingles) of some nodes; it is asked for small sets of very large buckets only.
+    """
     whole = lambda df: df.select("band", "band2", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.lit(True).alias("main"), "nid", "component")
     every = placed.withColumns({"band2": F.lit(_WHOLE), "main": F.lit(True)})
     out = whole(every.where(F.col("n") <= 2 * BLOCK))
@@ -364,19 +389,28 @@ def _compared(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     large = placed.where(F.col("n") > LARGE * BLOCK)
     if large.isEmpty():
         return out
-    large = large.join(nodes.select("nid", "n_shingles"), "nid")
-    few = large.where(F.col("n_shingles") < MANY_SHINGLES * 100 / percent).select("band", F.lit(_SMALL).alias("band2"), "key", "nid", "component", "n_shingles")
-    out = out.unionByName(_in_blocks(materialize(_in_classes(few, percent), "dedup-few")))
+    large = materialize(large.join(nodes.select("nid", "n_shingles"), "nid"), "dedup-large")
+
+    def cut(second: DataFrame, name: str) -> DataFrame:
+        """Groups of a second key: those of several components, whole or in pairs of blocks."""
+        second = materialize(second, name)
+        keys = ["band", "band2", "key"]
+        counts = second.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        still = materialize(join_unique(second, counts.where("n > 1 AND low <> high").select(*keys, F.col("n").alias("members")), keys, counts.select(*keys, "n")), name)
+        discard(second)
+        return whole(still.where(F.col("members") <= 2 * BLOCK)).unionByName(_in_blocks(materialize(_in_classes(still.where(F.col("members") > 2 * BLOCK), percent), f"{name}-classes")))
+
+    few = large.where(F.col("n_shingles") < MANY_SHINGLES * 100 / percent)
+    if not few.isEmpty():
+        sets = materialize(full_sets(few.select("nid").distinct()), "dedup-few-sets")
+        rare = materialize(_rare_shingles(sets, percent), "dedup-rare")
+        discard(sets)
+        shared = few.join(rare, "nid").select("band", F.lit(_SMALL).alias("band2"), F.xxhash64("key", "shingle").alias("key"), "nid", "component", "n_shingles")
+        out = out.unionByName(cut(shared, "dedup-few"))
     more = large.where(F.col("n_shingles") >= MANY_SHINGLES).join(nodes.select("nid", "registers"), "nid")
     later = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: (b > F.col("band")) & (_part(b) != F.lit(_NO_PART)))
     second = more.withColumn("_b", F.explode(later)).select("band", F.col("_b").cast("int").alias("band2"), F.xxhash64("key", "_b", _part(F.col("_b"))).alias("key"), "nid", "component", "n_shingles")
-    second = materialize(second, "dedup-second")
-    keys = ["band", "band2", "key"]
-    counts = second.groupBy(*keys).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    still = materialize(join_unique(second, counts.where("n > 1 AND low <> high").select(*keys, F.col("n").alias("members")), keys, counts.select(*keys, "n")), "dedup-second")
-    discard(second)
-    out = out.unionByName(whole(still.where(F.col("members") <= 2 * BLOCK)))
-    return out.unionByName(_in_blocks(materialize(_in_classes(still.where(F.col("members") > 2 * BLOCK), percent), "dedup-more")))
+    return out.unionByName(cut(second, "dedup-second"))
 
 
 def _active(members: DataFrame, percent: int) -> DataFrame:
@@ -525,7 +559,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = materialize(join_unique(placed, open_buckets, ["band", "key"], buckets, n_nodes * BANDS), f"{spec}-open")
     discard(placed, buckets)
     if not rest.isEmpty():
-        compared = _compared(rest, nodes, percent).join(nodes.select("nid", "n_shingles", "registers"), "nid")
+        full = lambda wanted: _full_sets(docs, wanted.join(nodes, "nid").select("nid", "node", "rep", "text_key"), rows, words)
+        compared = _compared(rest, nodes, percent, full).join(nodes.select("nid", "n_shingles", "registers"), "nid")
         active = materialize(_active(compared, percent), f"{spec}-active")
         if not active.isEmpty():
             wanted = active.select("nid").distinct().join(nodes, "nid").select("nid", "node", "rep", "text_key")

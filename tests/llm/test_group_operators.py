@@ -1,5 +1,6 @@
 """Near-duplicates, packing and the pipeline."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -189,6 +190,51 @@ def test_large_buckets_grow_in_proportion(spark, monkeypatch):
     assert compared(300) == compared(900) == 0
 
 
+def test_large_buckets_of_small_sets_grow_in_proportion(spark, monkeypatch):
+    """300, 900 and 2,700 sets of 20 shingles in one bucket: half of them have one shingle in common, and pairs at the bound are among them."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "LARGE", 4)
+    rng = np.random.default_rng(4)
+
+    def compared(n):
+        made = [np.sort(rng.integers(1, 2**62, 20)) for _ in range(n)]
+        for x in made[: n // 2]:
+            x[0] = 5  # all of these share a band by it
+        for k in range(0, 20, 2):
+            made[k + 1] = np.sort(np.concatenate((made[k][2:], rng.integers(1, 2**62, 2))))  # 18 of 22 shared
+        nodes = spark.createDataFrame([(k, 20, bytes(256)) for k in range(n)], "nid long, n_shingles long, registers binary")
+        sets = spark.createDataFrame([(k, x.astype(np.int64).tobytes()) for k, x in enumerate(made)], "nid long, shingles binary")
+        placed = nodes.select(F.lit(0).alias("band"), F.lit(5).cast("long").alias("key"), F.lit(n).cast("long").alias("n"), "nid", F.col("nid").alias("component"))
+        got = N._compared(placed, nodes, 80, lambda wanted: wanted.join(sets, "nid")).collect()
+        together = {}
+        for r in got:
+            together.setdefault((r.band, r.band2, r.key, r.i, r.j), set()).add(r.nid)
+        assert all(any({k, k + 1} <= g for g in together.values()) for k in range(0, 20, 2))
+        return len(got)
+
+    sizes = [compared(n) for n in (300, 900, 2700)]
+    assert sizes[2] <= 10 * sizes[0] and sizes[2] < 1000
+
+
+def test_rare_shingles_are_shared_at_the_bound(spark):
+    rng = random.Random(2)
+    common, pairs = list(range(1000, 1040)), []
+    for k in range(60):
+        size = rng.randint(1, 79)
+        x = rng.sample(common, min(size // 2, 40)) + [rng.randrange(10**6, 10**9) for _ in range(size - min(size // 2, 40))]
+        gone = int(len(x) * 0.2 / 1.8)  # swapped for others: intersection over union stays at the bound or above
+        pairs.append((set(x), set(x[gone:]) | {rng.randrange(10**6, 10**9) for _ in range(gone)}))
+    sets = [s for p in pairs for s in p]
+    frame = spark.createDataFrame([(k, np.array(sorted(s), np.int64).tobytes()) for k, s in enumerate(sets)], "nid long, shingles binary")
+    rare = {}
+    for r in N._rare_shingles(frame, 80).collect():
+        rare.setdefault(r.nid, set()).add(r.shingle)
+    for k, (x, y) in enumerate(pairs):
+        if 100 * len(x & y) >= 80 * len(x | y):
+            assert rare[2 * k] & rare[2 * k + 1]
+    assert all(len(v) <= len(sets[k]) - math.ceil(0.8 * len(sets[k])) + 1 for k, v in rare.items())
+
+
 def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
     """1,000 members of one component and 3 others: the component's blocks meet the others, not each other."""
     monkeypatch.setattr(N, "BLOCK", 100)
