@@ -49,6 +49,20 @@ def running_sums(counted: DataFrame, value: str, sums: list[str], ties: tuple[st
     return summed.select(*counted.columns, *((F.col(f"_b_{s}") + F.col(f"_i_{s}")).alias(f"cum_{s}") for s in sums), *(F.col(f"all_{s}") for s in sums))
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...], name: str) -> DataFrame:
+    """Adds the 1-based place of every row inside its key, by a 32-bit hash ``order`` and ``ties``.
+
+    Hashes are uniform, so a key is cut into equal ranges of them: rows are numbered inside each (key, range) and the sizes of the ranges
+    before are added. A key with a third of all rows is as many tasks as there are ranges.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(float(2**32 // ranges_of(df)))).cast("int"))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sizes = sizes.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, *ties))
+    return ranged.withColumn("_place", place).join(sizes, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def value_counts(df: DataFrame, value: str, *weights: Column) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), *weights)
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farelens.functions import stats as S
@@ -195,14 +195,8 @@ def binned(rows: DataFrame, columns: list[str], rules: BoosterRules, *kept: str)
 
 def with_folds(rows: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     """Adds ``fold``: the rows of a part are numbered by a hash of their key, range by range, and dealt in turn, so folds differ by one row at most."""
-    ordered = rows.withColumn("_order", hash_order(f"{seed}:fold", key))
-    ranges = F.floor(F.col("_order") / F.lit(float(2**32 // S.ranges_of(rows)))).cast("int")
-    ordered = ordered.withColumn("_range", ranges)
-    sizes = ordered.groupBy("part", "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("part").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    place = F.row_number().over(Window.partitionBy("part", "_range").orderBy("_order", key))
-    numbered = ordered.withColumn("_place", place).join(F.broadcast(sizes.select("part", "_range", before.alias("_before"))), ["part", "_range"])
-    return numbered.select(*rows.columns, ((F.col("_before") + F.col("_place") - 1) % max(folds, 1)).cast("int").alias("fold"))
+    placed = S.numbered(rows.withColumn("_order", hash_order(f"{seed}:fold", key)), ["part"], "_order", (key,), "_place")
+    return placed.select(*rows.columns, ((F.col("_place") - 1) % max(folds, 1)).cast("int").alias("fold"))
 
 
 def _blocks(table: DataFrame, n_columns: int, rules: BoosterRules) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelens.functions import stats as S
 from farelens.functions.rand import hash_order, hash_uniform
+from farelens.sources.staging import materialize
 
 CELL = ["pickup_zone", "pickup_hour", "is_weekend", "miles_bucket"]
 MIN_TRIPS, MAX_TRIPS = 5, 40
@@ -39,23 +42,76 @@ def cluster_count(n_riders: int) -> int:
     return max(16, n_riders // 8)
 
 
-def kmeans_clusters(cell_table: DataFrame, k: int, seed: int) -> DataFrame:
-    """``cell_id, cluster``: K-means on standardized cell columns."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centres: each the best of a few cells drawn by their squared distance to the centres so far."""
+    trials = 2 + int(np.log(k))
+    centres = [x[rng.integers(len(x))]]
+    near = ((x - centres[0]) ** 2).sum(axis=1)
+    for _ in range(1, min(k, len(x))):
+        total = near.sum()
+        picks = np.searchsorted(np.cumsum(near), rng.random(trials) * total) if total > 0 else rng.integers(0, len(x), trials)
+        picks = np.minimum(picks, len(x) - 1)
+        after = np.minimum(near, ((x[None, :, :] - x[picks][:, None, :]) ** 2).sum(axis=2))
+        best = int(after.sum(axis=1).argmin())
+        centres.append(x[picks[best]])
+        near = after[best]
+    return np.array(centres)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+
+def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 300, tolerance: float = 1e-4) -> tuple[float, np.ndarray]:
+    """(inertia, cluster of each row) of one start. An empty cluster moves to the row farthest from its centre."""
+    centres, least = _plus_plus(x, k, rng), tolerance * float(x.var(axis=0).mean())
+    for _ in range(rounds):
+        d = _distances(x, centres)
+        cluster = d.argmin(axis=1)
+        sizes = np.bincount(cluster, minlength=len(centres))
+        new = np.stack([np.bincount(cluster, weights=x[:, c], minlength=len(centres)) for c in range(x.shape[1])], axis=1)
+        empty = np.flatnonzero(sizes == 0)
+        new = new / np.maximum(sizes, 1)[:, None]
+        if len(empty):
+            new[empty] = x[np.argsort(-d[np.arange(len(x)), cluster], kind="stable")[: len(empty)]]
+        moved = float(((new - centres) ** 2).sum())
+        centres = new
+        if moved <= least:
+            break
+    d = _distances(x, centres)
+    return float(d.min(axis=1).sum()), d.argmin(axis=1)
+
+
+def kmeans_clusters(cell_table: DataFrame, k: int, seed: int, starts: int = 10) -> DataFrame:
+    """``cell_id, cluster``: K-means on standardized cell columns, the best of several starts by inertia.
+
+    Cells are a bounded table (zones x hours x 2 x 5), so a start is one task's work and all starts are one job.
+    """
+    schema = "start int, inertia double, cell_id long, cluster long"
+
+    def one_start(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        x = pdf[CELL].to_numpy(float)
+        deviation = x.std(axis=0)
+        start = int(pdf["start"].iloc[0])
+        inertia, cluster = lloyd((x - x.mean(axis=0)) / np.where(deviation > 0, deviation, 1.0), k, np.random.default_rng([seed, start]))
+        return pd.DataFrame({"start": start, "inertia": inertia, "cell_id": pdf["cell_id"], "cluster": cluster})
 
-    vectors = VectorAssembler(inputCols=CELL, outputCol="raw").transform(cell_table)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
-    return KMeans(k=k, seed=seed).fit(scaled).transform(scaled).select("cell_id", F.col("prediction").cast("long").alias("cluster"))
+    dealt = cell_table.select("cell_id", *CELL, F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
+    tried = materialize(dealt.groupBy("start").applyInPandas(one_start, schema), "kmeans-starts")
+    best = tried.agg(F.min(F.struct(F.round("inertia", 9).alias("inertia"), "start")).alias("b")).select("b.start").scalar()
+    return tried.withColumn("_best", best).where(F.col("start") == F.col("_best")).select("cell_id", "cluster")
 
 
 def _serve(pool: DataFrame, demand: DataFrame, keys: list[str], seed: int, step: str) -> DataFrame:
-    """``rider_id, tk``: inside each key, trips in hash order meet riders' demands laid end to end."""
-    trips = pool.select("tk", *keys, F.row_number().over(Window.partitionBy(*keys).orderBy(hash_uniform(f"{seed}:{step}", "tk"), "tk")).alias("rn"))
-    w = Window.partitionBy(*keys).orderBy("rider_id").rowsBetween(Window.unboundedPreceding, 0)
-    spans = demand.where("need > 0").withColumn("hi", F.sum("need").over(w)).withColumn("lo", F.col("hi") - F.col("need"))
+    """``rider_id, tk``: inside each key, trips in hash order meet riders' demands laid end to end.
+
+    Both sides are numbered range by range, so a cell with a third of all trips is no single task.
+    """
+    trips = S.numbered(pool.select("tk", *keys, hash_order(f"{seed}:{step}", "tk").alias("_order")), keys, "_order", ("tk",), "rn").select("tk", *keys, "rn")
+    spans = S.grouped_running(demand.where("need > 0").select(*keys, "rider_id", "need"), keys, "rider_id", "need")
     # each demand becomes its trip numbers, so the meeting is an equi-join
-    wanted = spans.select("rider_id", *keys, F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("rn"))
+    wanted = spans.select("rider_id", *keys, F.explode(F.sequence(F.col("cum_need") - F.col("need") + 1, F.col("cum_need"))).alias("rn"))
     return wanted.join(trips, [*keys, "rn"]).select("rider_id", "tk")
 
 
@@ -75,11 +131,11 @@ def _left(demand: DataFrame, served: DataFrame) -> DataFrame:
 def assign_riders(trips: DataFrame, draws: DataFrame, cell_table: DataFrame, clusters: DataFrame, seed: int) -> DataFrame:
     """``rider_id, tk, step``: each trip is used once at most and each rider gets ``k`` trips, from the
     home cell first, then from its cluster of cells, then from anywhere."""
-    placed = trips.select("tk", *CELL).join(cell_table.select("cell_id", *CELL), CELL).join(clusters, "cell_id").select("tk", "cell_id", "cluster")
-    demand = draws.join(clusters, "cell_id").select("rider_id", "cell_id", "cluster", F.col("k").alias("need"))
-    home = _serve(placed, demand, ["cell_id"], seed, "home")
+    placed = materialize(trips.select("tk", *CELL).join(cell_table.select("cell_id", *CELL), CELL).join(clusters, "cell_id").select("tk", "cell_id", "cluster"), "placed-trips")
+    demand = materialize(draws.join(clusters, "cell_id").select("rider_id", "cell_id", "cluster", F.col("k").alias("need")), "demand")
+    home = materialize(_serve(placed, demand, ["cell_id"], seed, "home"), "home-trips")
     free, demand = placed.join(home, "tk", "left_anti"), _left(demand, home)
-    near = _serve(free, demand, ["cluster"], seed, "cluster")
+    near = materialize(_serve(free, demand, ["cluster"], seed, "cluster"), "cluster-trips")
     free, demand = free.join(near, "tk", "left_anti"), _left(demand, near)
     rest = _serve_all(free, demand, seed)
     return home.withColumn("step", F.lit("home")).unionByName(near.withColumn("step", F.lit("cluster"))).unionByName(rest.withColumn("step", F.lit("all")))

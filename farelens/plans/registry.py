@@ -161,6 +161,7 @@ n3 AS (SELECT n2.rider_id, need - coalesce(g, 0) AS need FROM n2 LEFT JOIN (SELE
 s3 AS (SELECT rider_id, sum(need) OVER w AS hi, sum(need) OVER w - need AS lo FROM n3 WHERE need > 0 WINDOW w AS (ORDER BY rider_id)),
 t3 AS (SELECT tk, row_number() OVER (ORDER BY substr(md5(concat_ws(':', '{SEED}:all', tk)), 1, 8), tk) AS rn FROM placed WHERE tk NOT IN (SELECT tk FROM home) AND tk NOT IN (SELECT tk FROM near))
 SELECT rider_id, tk, 'home' AS step FROM home UNION ALL SELECT rider_id, tk, 'cluster' FROM near UNION ALL SELECT rider_id, tk, 'all' FROM s3 JOIN t3 ON rn > lo AND rn <= hi"""))
+register("panel_assigned", lambda i: panel.assign_riders(i.trips, panel.draw_cells(panel.cells(i.trips), i.spark, PANEL, SEED), panel.cells(i.trips), panel.kmeans_clusters(panel.cells(i.trips), panel.cluster_count(PANEL), SEED), SEED), None)
 register("panel_summary", lambda i: pick(panel.panel_summary(i.trips), ("n_riders", "n_trips", "min_trips", "max_trips", "n_home_zones"), ("median_trips",)),
          chain(("riders",), f"SELECT count(*) AS n_riders, CAST(sum(observed_trip_count) AS BIGINT) AS n_trips, min(observed_trip_count) AS min_trips, max(observed_trip_count) AS max_trips, count(DISTINCT home_zone) AS n_home_zones, {r('median(observed_trip_count)')} AS median_trips FROM riders"))
 register("kmeans_cells", lambda i: panel.kmeans_clusters(panel.cells(i.trips), panel.cluster_count(PANEL), SEED), None)
