@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farelens.sources.staging import materialize
+
 #: Ranges of a global order: as many as the cluster runs tasks, within these bounds.
 RANGES, MOST_RANGES = 64, 1024
 
@@ -80,6 +82,33 @@ def global_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame
     return got.select(*((F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).alias(f"q{k}") for k in range(len(probs))))
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """keys, n and one column per quantile: exact, with linear interpolation, for all groups at once.
+
+    Selection instead of a sort or a buffer of a group's distinct values: rows are counted per group and range of the value (summed
+    map-side), the counts tell in which range each wanted place falls, and only the values of those ranges are looked
+    at. Ranges are cut at quantiles of all rows, so a group of most rows has most ranges to itself. Null values
+    do not count, and a group of only such rows has no row; null keys are groups, too.
+    """
+    k = [f"_k{i}" for i in range(len(keys))]
+    given = df.select(*(F.struct(F.col(c).isNull().alias("z"), F.col(c).alias("v")).alias(i) for i, c in zip(k, keys, strict=True)), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ranged = given.withColumn("_cuts", cut_points(given, "_v")).withColumn("_range", below(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")), F.col("_v"))).drop("_cuts")
+    group = Window.partitionBy(*k)
+    counts = ranged.groupBy(*k, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})  # a group's ranges
+    place = lambda p: (F.col("_all") - 1) * F.lit(float(p))
+    ends = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(high).alias("high"), (F.ceil(place(p)) if high else F.floor(place(p))).alias("at"), (place(p) - F.floor(place(p))).alias("part")) for i, p in enumerate(quantiles.values()) for high in (False, True)))
+    wanted = counts.withColumn("_e", F.explode(ends)).where((F.col("_e.at") < F.col("_upto")) & (F.col("_e.at") >= F.col("_upto") - F.col("_n")))
+    wanted = materialize(wanted.select(*k, "_range", "_all", "_e.q", "_e.high", "_e.part", (F.col("_e.at") - (F.col("_upto") - F.col("_n"))).alias("_at")), "wanted-places")
+    near = ranged.join(wanted.select(*k, "_range").distinct(), [*k, "_range"], "left_semi").groupBy(*k, "_range", "_v").agg(F.count("*").alias("_m"))
+    near = near.withColumn("_cum", F.sum("_m").over(Window.partitionBy(*k, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = near.join(wanted, [*k, "_range"]).where((F.col("_at") < F.col("_cum")) & (F.col("_at") >= F.col("_cum") - F.col("_m")))
+    one = lambda i, high: F.max(F.when((F.col("q") == i) & (F.col("high") == high), F.col("_v")))
+    part = lambda i: F.max(F.when(F.col("q") == i, F.col("part")))
+    out = hit.groupBy(*k).agg(F.max("_all").alias("n"), *((one(i, False) + (one(i, True) - one(i, False)) * part(i)).alias(name) for i, name in enumerate(quantiles)))
+    return out.select(*(F.col(f"{i}.v").alias(c) for i, c in zip(k, keys, strict=True)), "n", *quantiles)
+
+
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds the average-tie rank over the number of rows."""
     ranked = running_sums(value_counts(df.select(F.col(value).alias("_v")), "_v"), "_v", ["n"])

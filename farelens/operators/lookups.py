@@ -13,19 +13,29 @@ MIN_LANE_TRIPS, MIN_ZONE_TRIPS = 20, 100
 LANE = ["pickup_zone", "dropoff_zone"]
 
 
-def _fares(trips: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    return trips.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), F.median("fare_paid").alias(f"{prefix}_p50"), F.percentile("fare_paid", F.lit(0.9)).alias(f"{prefix}_p90"))
+def _levels(trips: DataFrame, value: str, quantiles: dict[str, float], **levels: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Quantiles of a value at several levels, each a grouping by up to two columns: name -> its columns, ``name_n`` and ``name_q``.
+
+    Every trip counts once per level, so all levels are one selection over (level, column, column).
+    """
+    key = lambda columns, k: F.col(columns[k]).cast("long") if len(columns) > k else F.lit(0).cast("long")
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("level"), key(columns, 0).alias("k0"), key(columns, 1).alias("k1")) for name, columns in levels.items()))).alias("l")
+    found = materialize(S.grouped_quantiles(trips.select(value, each).select(value, "l.*"), ["level", "k0", "k1"], value, quantiles), "level-quantiles")
+    out = {}
+    for name, columns in levels.items():
+        out[name] = found.where(F.col("level") == name).select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(columns)), F.col("n").alias(f"{name}_n"), *(F.col(q).alias(f"{name}_{q}") for q in quantiles))
+    return out
 
 
 def price_history(trips: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
     """Per lane: the scope with enough trips, and the fare's median and ninth decile there."""
-    lane = _fares(trips, LANE, "lane")
+    at = _levels(trips, "fare_paid", {"p50": 0.5, "p90": 0.9}, lane=("pickup_zone", "dropoff_zone"), zone=("pickup_zone",), city=())
+    lane, city = at["lane"], at["city"]
     asked = lane if lanes is None else lanes.select(*LANE).distinct().join(lane, LANE, "left")
-    city = S.global_quantiles(trips, "fare_paid", [0.5, 0.9])
     n = F.coalesce("lane_n", F.lit(0))
     scope = F.when(n >= MIN_LANE_TRIPS, "lane").when(F.coalesce("zone_n", F.lit(0)) >= MIN_ZONE_TRIPS, "origin_zone").otherwise("citywide")
     # the city's row is one row of two numbers
-    joined = asked.join(_fares(trips, ["pickup_zone"], "zone"), "pickup_zone", "left").withColumn("scope", scope).withColumn("city_p50", city.select("q0").scalar()).withColumn("city_p90", city.select("q1").scalar())
+    joined = asked.join(at["zone"], "pickup_zone", "left").withColumn("scope", scope).withColumns({c: city.select(c).scalar() for c in ("city_p50", "city_p90")})
     pick = lambda p: F.when(F.col("scope") == "lane", F.col(f"lane_{p}")).when(F.col("scope") == "origin_zone", F.col(f"zone_{p}")).otherwise(F.col(f"city_{p}"))
     return joined.select(*LANE, "scope", n.alias("n_trips"), pick("p50").alias("market_fare_p50"), pick("p90").alias("market_fare_p90"))
 
@@ -64,10 +74,9 @@ def rider_price_history(trips: DataFrame) -> DataFrame:
 def eta_reliability(trips: DataFrame) -> DataFrame:
     """Per pickup zone and hour: scope with enough trips, and the wait's median and ninth decile in minutes."""
 
-    def waits(keys: list[str], prefix: str) -> DataFrame:
-        return trips.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_n"), (F.median("wait_secs") / 60.0).alias(f"{prefix}_p50"), (F.percentile("wait_secs", F.lit(0.9)) / 60.0).alias(f"{prefix}_p90"))
-
-    joined = waits(["pickup_zone", "pickup_hour"], "hour").join(waits(["pickup_zone"], "zone"), "pickup_zone")
+    at = _levels(trips, "wait_secs", {"p50": 0.5, "p90": 0.9}, hour=("pickup_zone", "pickup_hour"), zone=("pickup_zone",))
+    joined = at["hour"].join(at["zone"], "pickup_zone")
+    joined = joined.withColumns({c: F.col(c) / 60.0 for c in ("hour_p50", "hour_p90", "zone_p50", "zone_p90")})
     fine = F.col("hour_n") >= MIN_ZONE_TRIPS
     return joined.select(
         "pickup_zone", "pickup_hour", F.when(fine, "zone_hour").otherwise("origin_zone").alias("scope"), F.col("hour_n").alias("n_trips"),
@@ -76,8 +85,8 @@ def eta_reliability(trips: DataFrame) -> DataFrame:
 
 
 def _median_miles(trips: DataFrame, lanes: DataFrame) -> DataFrame:
-    lane = trips.groupBy(*LANE).agg(F.median("trip_miles").alias("lane_miles"), F.count("*").alias("n_trips"))
-    zone = trips.groupBy("pickup_zone").agg(F.median("trip_miles").alias("zone_miles"))
+    at = _levels(trips, "trip_miles", {"miles": 0.5}, lane=("pickup_zone", "dropoff_zone"), zone=("pickup_zone",))
+    lane, zone = at["lane"].withColumnRenamed("lane_n", "n_trips"), at["zone"]
     return lanes.join(lane, LANE, "left").join(zone, "pickup_zone", "left").withColumn("miles", F.coalesce("lane_miles", "zone_miles"))
 
 

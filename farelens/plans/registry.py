@@ -11,7 +11,7 @@ from farelens.functions import exprs as X
 from farelens.functions import stats as S
 from farelens.operators import agent_io, decisions, features, fidelity, logit, lookups, memory, offers, panel, personas, screening, tool_rounds, trips
 from farelens.plans.oracle import SEED, chain, clip, drawn_cells, purpose, r, rounded, u
-from farelens.sources import views
+from farelens.sources import arrival, views
 from farelens.sources.staging import materialize, new_path, staged
 from farelens.sources.tables import table
 from farelens.streaming import decisions as streaming
@@ -456,7 +456,7 @@ register("tool_rounds", _tool_log, chain(("log",), f"""SELECT offer_id, CASE WHE
     CASE k WHEN 1 THEN {_SEEN['price']} WHEN 2 THEN {_SEEN['price']} || ';' || {_SEEN['eta']} || ';' || {_SEEN['transit']} WHEN 3 THEN {_SEEN['eta']} || ';' || {_SEEN['transit']} ELSE '' END AS results
     FROM (SELECT *, offer_id % 6 AS k, offer_id * 7 % 25 + 1 AS dz, offer_id % 24 AS hr FROM log) l LEFT JOIN ({_SQL['lane_price_history']}) p ON p.pickup_zone = l.origin_zone AND p.dropoff_zone = l.dz
     LEFT JOIN ({_SQL['eta_reliability']}) e ON e.pickup_zone = l.origin_zone AND e.pickup_hour = l.hr LEFT JOIN ({_SQL['transit_alternative']}) t ON t.pickup_zone = l.origin_zone AND t.dropoff_zone = l.dz"""))
-register("parquet_row_count", lambda i: table(i.spark, i.folder, "lineitem").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem")
+register("parquet_row_count", lambda i: arrival.footer_rows(i.spark, f"{i.folder}/lineitem.parquet").agg(F.sum("rows").alias("n")), "SELECT count(*) AS n FROM lineitem")
 
 
 def _daily(i: Inputs) -> DataFrame:
