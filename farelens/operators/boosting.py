@@ -195,8 +195,8 @@ def binned(rows: DataFrame, columns: list[str], rules: BoosterRules, *kept: str)
 
 def with_folds(rows: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     """Adds ``fold``: the rows of a part are numbered by a hash of their key, range by range, and dealt in turn, so folds differ by one row at most."""
-    placed = S.numbered(rows.withColumn("_order", hash_order(f"{seed}:fold", key)), ["part"], "_order", (key,), "_place")
-    return placed.select(*rows.columns, ((F.col("_place") - 1) % max(folds, 1)).cast("int").alias("fold"))
+    placed = S.numbered(rows.withColumn("_order", hash_order(f"{seed}:fold", key)), ["part"], "_order", (key,), "_number")
+    return placed.select(*rows.columns, ((F.col("_number") - 1) % max(folds, 1)).cast("int").alias("fold"))
 
 
 def _blocks(table: DataFrame, n_columns: int, rules: BoosterRules) -> DataFrame:

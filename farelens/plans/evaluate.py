@@ -70,7 +70,7 @@ def write_traces(spark: SparkSession, out: str, run_id: str, selector: str = "al
         baseline = logit.logit_decisions(made, people, logit.fit(logit.training_rows(t, s.seed)), s.seed)
         trace = baseline if trace is None else trace.unionByName(baseline)
     versions = F.when(F.col("config") == "prompt_v2", "v2").otherwise("v1")
-    tables.write_trace(trace.withColumns({"run_id": F.lit(run_id), "prompt_version": versions, "cost_usd": F.lit(0.0)}), f"{out}/trace")
+    tables.write_trace(decisions.timed(trace).withColumns({"run_id": F.lit(run_id), "prompt_version": versions, "cost_usd": F.lit(0.0)}), f"{out}/trace")
 
 
 def rider_features(trace: DataFrame, real: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -85,16 +85,22 @@ def config_metrics(trace: DataFrame, real: DataFrame, scores: DataFrame, setting
     """One summary row of a configuration's trace and its discriminator scores."""
     auc = fidelity.auc_interval(scores, settings.replicates, settings.seed)
     mechanism = fidelity.elasticity_report(trace, settings.replicates, settings.seed)
-    brier = fidelity.brier(fidelity.labeled_offers(trace)).select("brier")
-    tests = fidelity.distribution_tests(trace, real, settings.seed)
+    labeled = fidelity.labeled_offers(trace)
+    brier = fidelity.brier(labeled).select("brier")
+    segments = fidelity.brier_by_segment(labeled).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("segment", "brier")))).alias("m"))  # nine segments
+    tests = fidelity.distribution_tests(trace, real, settings.seed)  # four rows
+    marginals = tests.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("marginal", F.struct("statistic", "p_value", "passed").alias("test"))))).alias("m"))
+    took = agent_io.latency_percentiles(trace, "latency_s", "config").select(F.struct("latency_p50", "latency_p95").alias("l"))
     cost = trace.agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost"))
     row = auc.withColumns({
         "brier": brier.scalar(), "ks_passed": tests.agg(F.count_if("passed")).scalar(), "mechanism": mechanism.select(F.struct("elasticity", "ci_low", "ci_high", "sign_pass", "verdict")).scalar(),
-        "n_decisions": cost.select("n").scalar(), "cost_per_1k": cost.select(agent_io.cost_per_thousand(F.col("cost"), F.col("n"))).scalar(),
+        "brier_by_segment": segments.scalar(), "ks_marginals": marginals.scalar(), "latency": took.scalar(),
+        "n_decisions": cost.select("n").scalar(), "cost_usd": cost.select("cost").scalar(), "cost_per_1k": cost.select(agent_io.cost_per_thousand(F.col("cost"), F.col("n"))).scalar(),
     })
     return row.select(
         F.col("auc").alias("discriminator_auc"), "auc_ci_low", "auc_ci_high", "brier", "ks_passed", F.col("mechanism.elasticity").alias("elasticity"), F.col("mechanism.ci_low").alias("elasticity_ci_low"), F.col("mechanism.ci_high").alias("elasticity_ci_high"),
-        F.when(F.col("mechanism.elasticity") < 0, "negative").otherwise("positive").alias("elasticity_sign"), F.col("mechanism.verdict").alias("elasticity_verdict"), "cost_per_1k", "n_decisions",
+        F.when(F.col("mechanism.elasticity") < 0, "negative").otherwise("positive").alias("elasticity_sign"), F.col("mechanism.verdict").alias("elasticity_verdict"), "cost_usd", "cost_per_1k", "n_decisions",
+        F.col("latency.latency_p50").alias("latency_p50"), F.col("latency.latency_p95").alias("latency_p95"), "brier_by_segment", "ks_marginals",
     )
 
 
@@ -116,6 +122,7 @@ def evaluate(spark: SparkSession, out: str, run_id: str, selector: str = "all",
     tables.write_run(with_deltas(reduce(DataFrame.unionByName, rows)), f"{out}/metrics", run_id)
     tables.write_run(fidelity.permutation_test(scores, s.permutations, s.seed), f"{out}/permutations", run_id)
     tables.write_run(gains, f"{out}/importances", run_id)
+    tables.write_metrics_document(tables.read_run(spark, f"{out}/metrics", run_id), f"{out}/metrics_document/{run_id}", s.seed)
     discard(scores)
     return tables.read_run(spark, f"{out}/metrics", run_id)
 

@@ -34,6 +34,7 @@ def fidelity_report(run_id: str, metrics: DataFrame, permutations: DataFrame, im
 
     ``metrics`` with differences to the ``full`` configuration give a section of ablations.
     """
+    metrics = metrics.select(*(c for c, kind in metrics.dtypes if not kind.startswith(("map", "struct", "array"))))
     deltas = [c for c in metrics.columns if c.endswith("_delta_vs_full")]
     out = f"# Fidelity of {run_id}\n\n{markdown_table(metrics.drop(*deltas).orderBy('config'))}\n"
     out += _section("Ablations", ablations(metrics) if deltas else None)
@@ -58,6 +59,7 @@ def top_importances(importances: DataFrame, n: int = 8) -> DataFrame:
 
 def ablations(metrics: DataFrame) -> DataFrame:
     """What each configuration loses or gains against the full one."""
+    metrics = metrics.select(*(c for c, kind in metrics.dtypes if not kind.startswith(("map", "struct", "array"))))
     deltas = [c for c in metrics.columns if c.endswith("_delta_vs_full")]
     return metrics.where("config <> 'full'").select("config", *deltas).orderBy("config")
 

@@ -56,8 +56,9 @@ def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataF
 
 
 def read_trace(spark: SparkSession, path: str, run_id: str | None = None, config: str | None = None) -> DataFrame:
-    """A trace; run and configuration prune folders."""
+    """A trace; run and configuration prune folders and are always text."""
     df = spark.read.parquet(path)
+    df = df.withColumns({name: F.col(name).cast("string") for name in TRACE_KEYS})
     for name, value in zip(TRACE_KEYS, (run_id, config), strict=True):
         df = df if value is None else df.where(F.col(name) == value)
     return df
@@ -74,3 +75,17 @@ def read_json_document(spark: SparkSession, path: str, schema: str | None = None
 
 def write_json_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_metrics_document(metrics: DataFrame, path: str, seed: int, provider: str = "offline") -> None:
+    """A run's metrics as one nested JSON document: run_id, provider, seed and an object for each configuration."""
+    figures = F.struct(*(c for c in metrics.columns if c not in ("run_id", "config")))
+    configs = F.map_from_entries(F.collect_list(F.struct("config", figures.alias("figures"))))
+    document = metrics.groupBy("run_id").agg(configs.alias("configs"))  # a run has a handful of configurations
+    text = F.to_json(F.struct("run_id", F.lit(provider).alias("provider"), F.lit(seed).alias("seed"), "configs"), {"ignoreNullFields": "false"})
+    document.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metrics_document(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, provider, seed and ``configs``, a map of each configuration's figures as JSON."""
+    return spark.read.text(path).select(F.from_json("value", "run_id string, provider string, seed long, configs map<string,string>").alias("d")).select("d.*")

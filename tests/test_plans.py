@@ -1,5 +1,6 @@
 """End-to-end plans, streaming and the driver entry."""
 
+import json
 import subprocess
 import sys
 
@@ -29,6 +30,11 @@ def test_build_evaluate_screen_and_gate(spark, folder, tmp_path):
     assert E.simulate(spark, out, 10**6, 2, 7).count() == 30 * 2 * 5
     metrics = {r.config: r for r in E.evaluate(spark, out, "run1", "baselines", s).collect()}
     assert set(metrics) == {"logit_baseline", "random_baseline"} and all(0 <= r.discriminator_auc <= 1 and r.n_decisions == 360 for r in metrics.values())
+    assert all(0 < r.latency_p50 <= r.latency_p95 and set(r.ks_marginals) == set(fidelity.MARGINALS) and r.brier_by_segment for r in metrics.values())
+    document = tables.read_metrics_document(spark, f"{out}/metrics_document/run1").first()
+    figures = json.loads(document.configs["random_baseline"])
+    assert (document.run_id, document.seed, set(document.configs)) == ("run1", 7, set(metrics)) and figures["n_decisions"] == 360 and figures["ks_marginals"]["purpose_mix"]["passed"] in (True, False)
+    assert abs(figures["discriminator_auc"] - metrics["random_baseline"].discriminator_auc) < 1e-12
     E.write_traces(spark, out, "run2", "llm", s)
     runs = [tuple(r) for r in tables.list_runs(spark, f"{out}/trace").collect()]  # a second run leaves the first one's traces
     assert len(runs) == 7 and {c for r, c in runs if r == "run1"} == set(metrics)
