@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
-_STAGED: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_STAGED: dict[tuple[str, str, str, str], tuple[str, DataFrame]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,9 +28,20 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/farelens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/farelens/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has staged, once no frame that reads them is used any more."""
+    delete(spark, _own_folder(spark))
+    for key in [k for k in _STAGED if k[0] == spark.sparkContext.applicationId]:
+        del _STAGED[key]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,13 +65,20 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def _state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what a folder holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return ";".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in system.listStatus(place)))
+
+
 def staged(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A step between two plans, as a table: built on first use for an input folder of this application.
+    """A step between two plans, as a table: built on first use for the files that an input folder holds, anew when they have changed.
 
     The panel, the personas and the trace are such steps; each is read by many statistics, and one plan
     through all of them would repeat its inputs at every use.
     """
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, _state(spark, folder), name)
     if key not in _STAGED:
         df = build()
         path = new_path(spark, name)

@@ -130,3 +130,28 @@ def test_panel_has_a_cluster_for_eight_riders(spark, folder, tmp_path, monkeypat
     with pytest.raises(Asked, match=f"^{k}$"):
         E.build_panel(spark, raw_trips(spark, folder), str(tmp_path), E.Settings(**{"n_riders": 400} | given))
     assert E.Settings().discriminator_trees == 100
+
+
+def test_staged_tables_follow_their_inputs_and_can_be_cleared(spark, tmp_path):
+    from farelens.sources import staging
+
+    built = []
+
+    def make(n):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/in/t{n}")
+        return staging.staged(spark, f"{tmp_path}/in", "step", lambda: built.append(n) or spark.range(n).toDF("id")).count()
+
+    assert make(3) == 3 and make(5) == 5 and built == [3, 5]
+    assert staging.staged(spark, f"{tmp_path}/in", "step", lambda: built.append(0)).count() == 5 and built == [3, 5]
+
+
+def test_an_applications_tables_are_in_one_folder(spark, monkeypatch, tmp_path):
+    from farelens.sources import staging
+
+    monkeypatch.setattr(staging, "shared_root", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(staging, "_STAGED", {})
+    staging.materialize(spark.range(3), "a"), staging.materialize(spark.range(3), "b")
+    (own,) = (tmp_path / "farelens").iterdir()
+    assert len(list(own.iterdir())) == 2
+    staging.clear(spark)
+    assert not own.exists()
