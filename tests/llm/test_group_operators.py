@@ -356,3 +356,10 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "language_id", "near_dedup", "decontamination", "packing"]
     assert pipeline.ORACLE_SQL is None
     assert pipeline.run(spark, folder).where("sequence IS NOT NULL").count() > 0
+
+
+def test_pipeline_on_empty_tables(spark, folder, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
