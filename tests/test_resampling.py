@@ -241,3 +241,49 @@ def test_bootstrap_work_follows_cells_and_not_rows(spark):
     assert 2.2 < spread[0] / spread[1] < 4.5
     cells = [df.groupBy("surge", "accepted").count().count() for df in (base, wide)]
     assert cells[0] == cells[1]
+
+
+# ---- bootstraps that draw every row
+
+
+def _drawn(seed, key, replicate):
+    """A row's own Poisson(1) count, by plain sums of its probabilities."""
+    digest = hashlib.sha256(f"{seed}:{(replicate - 1) // 8}:{key}".encode()).hexdigest()
+    at = 8 * ((replicate - 1) % 8)
+    return _poisson_count(1, (int(digest[at : at + 8], 16) + 0.5) / 2**32)
+
+
+def _slopes(rows, replicates, seed):
+    edges = np.quantile([s for s, _, _ in rows], [k / 8 for k in range(9)])
+    band = [max(1, min(8, int((edges < s).sum()))) for s, _, _ in rows]
+    out = {}
+    for rep in range(1, replicates + 1):
+        sums = {}
+        for b, (s, a, key) in zip(band, rows, strict=True):
+            w = _drawn(f"{seed}:boot", key, rep)
+            n, t, k = sums.get(b, (0, 0, 0))
+            sums[b] = (n + w, t + w * s, k + w * a)
+        points = [(math.log(t / n), math.log((k + 0.5) / (n + 1))) for n, t, k in sums.values() if n]
+        out[rep] = np.polyfit(*zip(*points, strict=True), 1)[0]
+    return out
+
+
+def _decisions():
+    """Few distinct decisions with many copies each, so that a draw of copies together would show."""
+    return [(1.0 + k % 16 / 8, int((k * 7919) % 100 < 80 - 3 * (k % 16)), f"o{k}") for k in range(900)]
+
+
+def test_elasticity_bootstrap_draws_every_decision(spark):
+    rows = _decisions()
+    trace = spark.createDataFrame(rows, "surge double, accepted long, offer_id string")
+    got = {r.replicate: r.slope for r in fidelity.elasticity_replicates(trace, 20, 3).collect()}
+    assert got == pytest.approx(_slopes(rows, 20, 3))
+
+
+def test_row_counts_have_no_cap(spark):
+    assert len(rand.poisson_edges()) == 12 and (rand.poisson_edges()[:2] / 2**32 == pytest.approx([math.exp(-1), 2 * math.exp(-1)]))
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.array(F.struct(F.lit("g").alias("g"), F.lit(2).alias("v"))).alias("_e"))
+    got = rand.replicate_sums(rows, 11, "t", "k", ("g",), ("v",)).collect()
+    want = {rep: sum(_drawn("t", k, rep) for k in range(3000)) for rep in range(1, 12)}
+    assert {r.replicate: r.n for r in got} == want and all(r.v == 2 * r.n for r in got)
+    assert {r.replicate: r.n for r in rand.replicate_sums(rows, 11, "t", "k", ("g",), ("v",), once=True).collect()} == {rep: sum(min(1, _drawn("t", k, rep)) for k in range(3000)) for rep in range(1, 12)}
