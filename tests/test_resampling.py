@@ -280,6 +280,12 @@ def test_elasticity_bootstrap_draws_every_decision(spark):
     assert got == pytest.approx(_slopes(rows, 20, 3))
 
 
+def test_elasticity_report_has_the_interval_of_drawn_decisions(spark):
+    rows = _decisions()
+    report = fidelity.elasticity_report(spark.createDataFrame(rows, "surge double, accepted long, offer_id string"), 20, 5).first()
+    assert (report.ci_low, report.ci_high) == pytest.approx(tuple(np.quantile(list(_slopes(rows, 20, 5).values()), [0.025, 0.975])))
+
+
 def test_row_counts_have_no_cap(spark):
     assert len(rand.poisson_edges()) == 12 and (rand.poisson_edges()[:2] / 2**32 == pytest.approx([math.exp(-1), 2 * math.exp(-1)]))
     rows = spark.range(3000).select(F.col("id").alias("k"), F.array(F.struct(F.lit("g").alias("g"), F.lit(2).alias("v"))).alias("_e"))
