@@ -286,6 +286,18 @@ def test_elasticity_report_has_the_interval_of_drawn_decisions(spark):
     assert (report.ci_low, report.ci_high) == pytest.approx(tuple(np.quantile(list(_slopes(rows, 20, 5).values()), [0.025, 0.975])))
 
 
+def test_rider_bootstrap_draws_every_rider_for_all_cells(spark):
+    rng = random.Random(8)
+    rows = [(c, k, m, float(rng.randint(0, 3)), None if k % 50 == 3 else 1.0) for k in range(150) for c in ("a", "b") for m in ("x", "y")]
+    got = screening.rider_bootstrap(spark.createDataFrame(rows, "cell string, rider_id long, metric string, delta double, covariate double"), 30, 2).collect()
+    assert len(got) == 4
+    for r in got:
+        mine = [(k, d) for c, k, m, d, v in rows if (c, m) == (r.cell, r.metric) and v is not None]
+        counts = [[_drawn("2:riders", k, rep) for k, _ in mine] for rep in range(1, 31)]
+        lifts = [np.average([d for _, d in mine], weights=w) for w in counts]
+        assert (r.se_rider_boot, r.lo, r.hi) == pytest.approx((np.std(lifts), *np.quantile(lifts, [0.025, 0.975])))
+
+
 def test_row_counts_have_no_cap(spark):
     assert len(rand.poisson_edges()) == 12 and (rand.poisson_edges()[:2] / 2**32 == pytest.approx([math.exp(-1), 2 * math.exp(-1)]))
     rows = spark.range(3000).select(F.col("id").alias("k"), F.array(F.struct(F.lit("g").alias("g"), F.lit(2).alias("v"))).alias("_e"))
