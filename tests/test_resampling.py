@@ -298,6 +298,18 @@ def test_rider_bootstrap_draws_every_rider_for_all_cells(spark):
         assert (r.se_rider_boot, r.lo, r.hi) == pytest.approx((np.std(lifts), *np.quantile(lifts, [0.025, 0.975])))
 
 
+@pytest.mark.parametrize("dedup", [False, True])
+def test_backtest_draws_every_rider(spark, dedup):
+    rng = random.Random(6)
+    rows = [(k, s, int(rng.random() < q)) for k in range(80) for s, q in ((1.1, 0.8), (2.5, 0.4), (1.6, 0.5))]
+    got = {r.replicate: r.log_ratio for r in screening.demand_replicates(spark.createDataFrame(rows, "rider_id long, surge double, accepted long"), 20, 4, dedup).collect()}
+    for rep in range(1, 21):
+        w = {k: min(_drawn("4:backtest", k, rep), 1 if dedup else 99) for k in range(80)}
+        n = sum(w.values())
+        high, low = (sum(w[k] * a for k, s, a in rows if s == at) for at in (2.5, 1.1))
+        assert got[rep] == pytest.approx(math.log((high + 0.5) / (n + 1)) - math.log((low + 0.5) / (n + 1)))
+
+
 def test_row_counts_have_no_cap(spark):
     assert len(rand.poisson_edges()) == 12 and (rand.poisson_edges()[:2] / 2**32 == pytest.approx([math.exp(-1), 2 * math.exp(-1)]))
     rows = spark.range(3000).select(F.col("id").alias("k"), F.array(F.struct(F.lit("g").alias("g"), F.lit(2).alias("v"))).alias("_e"))
