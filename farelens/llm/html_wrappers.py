@@ -7,10 +7,12 @@ names that come again around others make one repeated group of optional items. A
 of its own name continues the outer one's item, so a name also stands once on its path, at any depth of a page. Two
 lists are aligned by their longest common subsequence; what only one has becomes optional. Because
 names come from a fixed set, a wrapper has a bound whatever a host sends. A text slot counts its characters,
-those inside links, and on how many pages its texts occur (SLOT_TEXTS of them; a text beyond is no template).
+those inside links, and on how many pages each of its texts occurs.
 
 Each Arrow batch yields one partial wrapper per host, so a host with a third of all pages reaches the
-merge as one row per batch; partial wrappers are merged per host and salt, then per host.
+merge as one row per batch; partial wrappers are merged per host and salt, then per host. Texts have no bound, so they
+are no part of these: the same pass gives them as rows (host, a slot's place, 64-bit hashes of it and of the text), which are counted
+by text, then summed by slot. A finished wrapper takes from them its slots' sums and template texts, which are no more than a page has.
 
 The wrapper then says where the main text is. An item weighs as much as the text in its slots outside links,
 each text counted once however many pages repeat it. From the whole page the way goes down to the item with
@@ -42,6 +44,8 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -55,11 +59,11 @@ from farelens.llm.url_filters import url_host
 
 #: A text that this share of a host's pages have in one slot is template text.
 TEMPLATE_SHARE = 0.9
-#: Texts whose pages a slot counts: on one page the first and last half of them, of many pages the most frequent.
-SLOT_TEXTS = 48
+#: Texts that a task counts before it gives their counts away as rows; more rows of one text are added up later.
+COUNTED_TEXTS = 50_000
 #: Hashes of class names that tell elements of one tag apart.
 CLASS_BUCKETS = 16
-#: Wrappers are broadcast up to this many bytes in all; beyond, they are joined by host.
+#: Wrappers and hosts' numbers of pages are broadcast up to this many bytes in all; beyond, they are joined by host.
 BROADCAST_BYTES = 8 << 20
 MERGE_SALTS = 32
 
@@ -217,39 +221,65 @@ def parse(page: str) -> Element:
 
 
 # A wrapper is a list of items [name, repeated, optional, content]; the content of "#" (text) is [characters, those inside
-# links, {hash of a text: [pages, characters]}], that of an element or of a group "()" is a list of items.
+# links, {hash of a text: [pages, characters]}], that of an element or of a group "()" is a list of items. Where texts were counted
+# as rows, a slot has its template texts only, and behind them what ``_counted`` says of all.
 Item = list
 TEXT, GROUP = "#", "()"
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def _text_hash(text: str) -> str:
-    return format(crc32(text.encode()), "x")
+    return str(_hash(text))
+
+
+@lru_cache(4096)
+def _place_hash(place: str) -> int:
+    """A slot's place is the names on the way to it; each stands once there."""
+    return _hash(place)
 
 
-def _slot(text: str, linked: int) -> list:
+def _counted(slot: list) -> tuple[int, int, float]:
+    """Of a slot's texts: the characters of their pages but the first, the most that one has on all its pages, and the fewest pages of one."""
+    if len(slot) > 3:
+        return slot[3], slot[4], slot[5]
+    counts = slot[2].values()
+    return sum((pages - 1) * size for pages, size in counts), max((pages * size for pages, size in counts), default=0), min((pages for pages, _ in counts), default=float("inf"))
+
+
+def _slot(text: str, linked: int, told: bool = True) -> list:
     chars = len(text) - text.count(" ")
-    return [chars, linked, {_text_hash(text): [1, chars]}]
+    return [chars, linked, {_text_hash(text): [1, chars]} if told else {}]
+
 
+def page_items(root: Element, seen: dict[tuple[int, int], int] | None = None) -> list[Item]:
+    """The folded items of a page; elements that their tag sets aside are not looked into.
 
-def page_items(root: Element) -> list[Item]:
-    """The folded items of a page; elements that their tag sets aside are not looked into."""
+    With ``seen``, texts go there instead of into the slots: the hashes of place and text, with the text's characters.
+    """
     top: list[Item] = []
-    todo: list[tuple[Iterator, list[Item], Item | None]] = [(iter(root.children), top, None)]
+    todo: list[tuple[Iterator, list[Item], Item | None, str]] = [(iter(root.children), top, None, "")]
     path: dict[str, list[Item]] = {}
+    places: dict[str, str] = {}
     while todo:
-        children, raw, item = todo[-1]
+        children, raw, item, place = todo[-1]
         for c in children:
             if isinstance(c, tuple):
-                raw.append([TEXT, False, False, _slot(*c)])
+                slot = _slot(*c, seen is None)
+                if seen is not None:
+                    seen[_place_hash(place), _hash(c[0])] = slot[0]
+                raw.append([TEXT, False, False, slot])
             elif c.name in _DROPPED:
                 raw.append([c.label, False, False, []])
             elif c.label in path:  # continues the item of the element around it that has its name
-                todo.append((iter(c.children), path[c.label], None))
+                todo.append((iter(c.children), path[c.label], None, places[c.label]))
                 break
             else:
-                path[c.label] = []
+                path[c.label], places[c.label] = [], f"{place}/{c.label}"
                 raw.append([c.label, False, False, path[c.label]])
-                todo.append((iter(c.children), path[c.label], raw[-1]))
+                todo.append((iter(c.children), path[c.label], raw[-1], places[c.label]))
                 break
         else:
             todo.pop()
@@ -263,14 +293,10 @@ def _names(item: Item) -> list[str]:
 
 
 def _merged_slots(a: list, b: list, one_page: bool) -> list:
-    texts = dict(a[2])
+    texts = a[2] if one_page else dict(a[2])  # a page's slots grow where they are
     for h, (pages, chars) in b[2].items():
         have = texts.get(h)
         texts[h] = [pages, chars] if have is None else [1 if one_page else have[0] + pages, chars]
-    if len(texts) > 2 * SLOT_TEXTS:
-        listed = list(texts.items())
-        kept = [*listed[: SLOT_TEXTS // 2], *listed[-SLOT_TEXTS // 2 :]] if one_page else sorted(listed, key=lambda x: (-x[1][0], x[0]))[:SLOT_TEXTS]
-        texts = dict(kept)
     return [a[0] + b[0], a[1] + b[1], texts]
 
 
@@ -374,8 +400,7 @@ def _weight(items: list[Item], keep: frozenset[str], sides: bool = False) -> int
     total = 0
     for part, _ in _parts(items):
         if part[0] == TEXT:
-            chars, linked, texts = part[3]
-            total += max(0, chars - linked - sum((pages - 1) * size for pages, size in texts.values()))
+            total += max(0, part[3][0] - part[3][1] - _counted(part[3])[0])
         elif sides or not part[0].endswith("-") or part[0] in keep:
             total += _weight(part[3], keep, sides)
     return total
@@ -390,7 +415,7 @@ def _all_items(items: list[Item]) -> Iterator[Item]:
 
 def _titles(items: list[Item]) -> bool:
     """Whether a title that changes from page to page is below."""
-    return any(x[0] == "h1" and any(y[0] == TEXT and y[3][0] > max((p * c for p, c in y[3][2].values()), default=0) for y in _all_items(x[3])) for x in _all_items(items))
+    return any(x[0] == "h1" and any(y[0] == TEXT and y[3][0] > _counted(y[3])[1] for y in _all_items(x[3])) for x in _all_items(items))
 
 
 def _inner_main(items: list[Item], keep: frozenset[str], least: float, path: tuple[str, ...] = ()) -> tuple[str, ...] | None:
@@ -409,7 +434,7 @@ def _inner_main(items: list[Item], keep: frozenset[str], least: float, path: tup
 
 def main_region(items: list[Item], pages: int) -> tuple[tuple[str, ...], frozenset[str]] | None:
     """The way to the main region and the names that keep their place in spite of their role; None if no two pages differ."""
-    if not any(x[0] == TEXT and any(p < pages for p, _ in x[3][2].values()) for x in _all_items(items)):
+    if not any(x[0] == TEXT and _counted(x[3])[2] < pages for x in _all_items(items)):
         return None
     whole = _weight(items, frozenset(), True)
     keep = frozenset(x[0] for x in _all_items(items) if x[0].endswith("-") and 2 * _weight(x[3], frozenset(), True) > whole)
@@ -458,7 +483,7 @@ def closed(items: list[Item], pages: int) -> str:
     least = max(2.0, TEMPLATE_SHARE * pages)
     for x in _all_items(items):
         if x[0] == TEXT:
-            x[3][2] = {h: v for h, v in x[3][2].items() if v[0] >= least}
+            x[3][2:] = [{h: v for h, v in x[3][2].items() if v[0] >= least}]
     way, keep = region or (None, ())
     return json.dumps([items if region else [], way, sorted(keep)], separators=(",", ":"))
 
@@ -593,53 +618,104 @@ def _deep() -> None:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial wrappers of hosts, and rows with the pages of their slots' texts."""
     _deep()
     for batch in batches:
         found: dict[str, tuple[list[Item], int]] = {}
+        texts: dict[tuple[str, int, int], list[int]] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            items = page_items(parse(page.as_py() or ""))
+            seen: dict[tuple[int, int], int] = {}
+            items = page_items(parse(page.as_py() or ""), seen)
             have = found.get(host)
             found[host] = (items, 1) if have is None else (align(have[0], items), have[1] + 1)
-        yield _wrapper_batch([(h, w, n) for h, (w, n) in found.items()])
+            for (place, text), chars in seen.items():
+                texts.setdefault((host, place, text), [0, chars])[0] += 1
+            if len(texts) > COUNTED_TEXTS:
+                yield _text_batch(texts)
+                texts = {}
+        yield _text_batch(texts)
+        wrappers = _wrapper_batch([(h, w, n) for h, (w, n) in found.items()])
+        yield pa.RecordBatch.from_arrays([*wrappers.columns, *(pa.nulls(wrappers.num_rows, pa.int64()) for _ in range(3))], names=_PARTS_NAMES)
 
 
-def _wrapper_batch(rows: list[tuple[str, list[Item], int]], last: bool = False) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([closed(r[1], r[2]) if last else json.dumps(r[1], separators=(",", ":")) for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "wrapper", "n_pages"])
+def _text_batch(texts: dict[tuple[str, int, int], list[int]]) -> pa.RecordBatch:
+    hosts, places, hashes = zip(*texts, strict=True) if texts else ((), (), ())
+    pages, chars = zip(*texts.values(), strict=True) if texts else ((), ())
+    columns = (pages, places, hashes, chars)
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.nulls(len(hosts), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=_PARTS_NAMES)
 
 
-def _merge_sorted(last: bool):
-    """Merges wrappers of one host that follow each other, holding one at a time; the ``last`` merge closes them."""
+def _wrapper_batch(rows: list[tuple[str, list[Item], int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([json.dumps(r[1], separators=(",", ":")) for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "wrapper", "n_pages"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _deep()
-        now: tuple[str, list[Item], int] | None = None
-        for batch in batches:
-            done = []
-            for host, wrapper, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                items = json.loads(wrapper)
-                if now is not None and now[0] == host:
-                    now = (host, align(now[1], items), now[2] + n)
-                else:
-                    if now is not None:
-                        done.append(now)
-                    now = (host, items, n)
-            if done:
-                yield _wrapper_batch(done, last)
-        if now is not None:
-            yield _wrapper_batch([now], last)
 
-    return run
+def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges wrappers of one host that follow each other, holding one at a time."""
+    _deep()
+    now: tuple[str, list[Item], int] | None = None
+    for batch in batches:
+        done = []
+        for host, wrapper, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            items = json.loads(wrapper)
+            if now is not None and now[0] == host:
+                now = (host, align(now[1], items), now[2] + n)
+            else:
+                if now is not None:
+                    done.append(now)
+                now = (host, items, n)
+        if done:
+            yield _wrapper_batch(done)
+    if now is not None:
+        yield _wrapper_batch([now])
+
+
+def _tell(items: list[Item], slots: dict[int, dict], place: str = "") -> None:
+    """Gives the slots of a wrapper what was counted of their texts."""
+    for part, _ in _parts(items):
+        if part[0] != TEXT:
+            _tell(part[3], slots, f"{place}/{part[0]}")
+        elif (known := slots.get(_place_hash(place))) is not None:
+            part[3][2:] = [{str(t["text"]): [t["pages"], t["chars"]] for t in known["template"]}, known["again"], known["most"], known["fewest"]]
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _deep()
+    for batch in batches:
+        for k in range(batch.num_rows):  # one wrapper at a time
+            host, wrapper, n, slots = (c[k].as_py() for c in batch.columns)
+            items = json.loads(wrapper)
+            _tell(items, {s["place"]: s for s in slots or ()})
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([closed(items, n)], pa.string()), pa.array([n], pa.int64())], names=["host", "wrapper", "n_pages"])
 
 
 _WRAPPERS = "host string, wrapper string, n_pages long"
+_PARTS = f"{_WRAPPERS}, place long, text long, chars long"
+_PARTS_NAMES = ["host", "wrapper", "n_pages", "place", "text", "chars"]
+
+
+def counted_slots(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """``host, slots``: what all pages of a host say of each slot's texts, and the texts that are template there.
+
+    ``texts`` has rows of (host, place, text) with pages and characters, ``pages`` each host's number of pages.
+    """
+    each = texts.groupBy("host", "place", "text").agg(F.sum("n_pages").alias("pages"), F.max("chars").alias("chars"))
+    size = pages.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0)).alias("n")).first()["n"]
+    known = each.join(F.broadcast(pages) if size <= BROADCAST_BYTES else pages, "host")
+    template = F.when(F.col("pages") >= F.greatest(F.lit(2.0), F.col("of") * TEMPLATE_SHARE), F.struct("text", "pages", "chars"))
+    slots = known.groupBy("host", "place").agg(F.sum((F.col("pages") - 1) * F.col("chars")).alias("again"), F.max(F.col("pages") * F.col("chars")).alias("most"), F.min("pages").alias("fewest"), F.collect_list(template).alias("template"))
+    return slots.groupBy("host").agg(F.collect_list(F.struct("place", "again", "most", "fewest", "template")).alias("slots"))
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper, n_pages``: one wrapper per host over all its pages."""
     given = pages.select(url_host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    partial = given.mapInArrow(_partial, _WRAPPERS).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_SALTS)))
-    salted = partial.repartition("host", "salt").sortWithinPartitions("host", "wrapper").select("host", "wrapper", "n_pages").mapInArrow(_merge_sorted(False), _WRAPPERS)
-    return salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge_sorted(True), _WRAPPERS)
+    parts = materialize(given.mapInArrow(_partial, _PARTS), "wrapper-parts")
+    partial = parts.where("wrapper IS NOT NULL").select("host", "wrapper", "n_pages")
+    texts = parts.where("wrapper IS NULL").select("host", "place", "text", "n_pages", "chars")
+    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_SALTS))).repartition("host", "salt").sortWithinPartitions("host", "wrapper").select("host", "wrapper", "n_pages").mapInArrow(_merge_sorted, _WRAPPERS)
+    merged = salted.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge_sorted, _WRAPPERS)
+    slots = counted_slots(texts, partial.groupBy("host").agg(F.sum("n_pages").alias("of")))
+    return merged.join(slots, "host", "left").select("host", "wrapper", "n_pages", "slots").mapInArrow(_close, _WRAPPERS)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:

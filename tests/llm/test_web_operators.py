@@ -114,6 +114,33 @@ def test_slot_texts_count_their_pages():
     assert {x[0]: [n for n, _ in x[3][0][3][2].values()] for x in out} == {"p": [3], "h2": [2]}
 
 
+def _long_pages(n, own=150):
+    """Pages of a host without telling tags: one list of paragraphs, most of them a page's own, and two of all pages among them."""
+    body = lambda k: [f"Own paragraph {k} {j} of some length." for j in range(own)]
+    return [(k, [*body(k)[: own // 2], "Kept by the portal", *body(k)[own // 2 :], "Kept at the end"]) for k in range(n)]
+
+
+def test_template_text_among_any_number_of_texts(spark, monkeypatch):
+    """Neither a page's many texts nor a host's hide what nearly all pages have."""
+    told = _long_pages(12)
+    html = {k: "<html><body><div><h1>Title {}</h1>{}</div></body></html>".format(k, "".join(f"<p>{t}</p>" for t in texts)) for k, texts in told}
+    want = {k: [f"Title {k}", *(t for t in texts if not t.startswith("Kept"))] for k, texts in told}
+    w = wrapper_of(*html.values())
+    assert {k: H.main_text(t, w).split("\n") for k, t in html.items()} == want
+    given = [(k, "http://long.test/a", t) for k, t in html.items()]
+    for counted in (H.COUNTED_TEXTS, 100):
+        monkeypatch.setattr(H, "COUNTED_TEXTS", counted)
+        assert {r.page_id: r.text.split("\n") for r in H.extract(pages(spark, given).repartition(3)).collect()} == want
+
+
+def test_counted_texts_give_the_wrapper_of_texts_in_slots(spark):
+    """Texts counted as rows say what texts kept in the slots say."""
+    texts = [f"<html><body><div class=a><p>Menu {k % 2}</p><ul><li>x<ul><li>y{k}</ul></ul></div><div><h1>T {k}</h1><p>{'word ' * (k + 3)}</p><p>Rights</p></div></body></html>" for k in range(9)]
+    one = wrapper_of(*texts)
+    got = H.infer_wrappers(pages(spark, [(k, "http://a.test/", t) for k, t in enumerate(texts)]).coalesce(1)).first()
+    assert (json.loads(got.wrapper)[0], got.n_pages) == (one.items, 9)
+
+
 def test_role_names_are_hints_only():
     """The whole site stands in an element called banner; the wrapper keeps it. A small one goes."""
     body = "<html><body><div class='top-banner'>Buy {k}</div><div class='page banner'><h1>Title {k}</h1><p>{p}</p></div></body></html>"
