@@ -34,3 +34,19 @@ def test_redraws_are_added_up_in_tasks(spark):
     for r in want:
         assert all(getattr(got[r.cell, r.replicate], m) == pytest.approx(getattr(r, m), abs=1e-9) for m in screening.METRICS)
     assert "Generate" not in plan_of(screening.redraw_totals(split, 25, 5))
+
+
+def test_logit_is_at_its_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5)) * (1, 0.5, 4, 8, 0.3)
+    names = ("accept", "reject", "switch_mode", "wait_for_better")
+    y = [int(np.argmax(v @ rng.normal(size=(5, 4)) * 0.2 + rng.gumbel(size=4))) for v in x]
+    model = logit.fit(spark.createDataFrame([(names[k], *map(float, v)) for k, v in zip(y, x, strict=True)], "action string, " + ", ".join(f"{f} double" for f in logit.FEATURES)))
+    assert model.actions == names and abs(sum(model.intercepts)) < 1e-9
+    w = np.column_stack([model.intercepts, model.weights])
+    s = np.column_stack([np.ones(600), x]) @ w.T
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(600), y] -= 1
+    gradient = p.T @ np.column_stack([np.ones(600), x]) + np.column_stack([np.zeros(4), w[:, 1:]])
+    assert np.abs(gradient).max() < 1e-6
