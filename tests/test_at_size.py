@@ -52,6 +52,22 @@ def test_logit_is_at_its_optimum(spark):
     assert np.abs(gradient).max() < 1e-6
 
 
+def test_logit_reservation_fare_is_where_acceptance_is_one_half(spark, folder):
+    i = Inputs(spark, folder)
+    model = logit.LogitModel(("accept", "reject", "switch_mode", "wait_for_better"), (0.9, 1.4, 1.0, -3.0), ((-0.6, 0.3, -0.06, 0.09, 0.1), (1.0, -1.1, -0.06, 0.04, 0.2), (0.4, -2.9, 0.05, -0.3, -0.5), (-0.8, 1.0, 0.06, 0.18, 0.2)))
+    got = logit.logit_decisions(i.known, None, model, 7)
+    assert "ArrowEvalPython" in plan_of(got)  # a batch at a time, not a fold over every row's expression tree
+    medians = {r.rider_id: r.median_fare_paid for r in i.personas.collect()}
+    for r in got.where("action <> 'accept'").limit(200).collect():
+        rest = (min(max(r.surge, 1.0), 3.0), round(r.eta_min * 10 + 1e-9) / 10, r.transit_alt_minutes, float(r.origin_zone in (1, 132, 138) or r.dest_zone in (1, 132, 138)))
+        low, high = 0.0, max(r.quoted_fare * 10, 1.0)
+        for _ in range(40):
+            mid = (low + high) / 2
+            s = [b + w[0] * mid / medians[r.rider_id] + sum(a * v for a, v in zip(w[1:], rest, strict=True)) for b, w in zip(model.intercepts, model.weights, strict=True)]
+            low, high = (mid, high) if 1 / sum(math.exp(v - s[0]) for v in s) >= 0.5 else (low, mid)
+        assert r.reservation_fare == pytest.approx(low, abs=0.011)
+
+
 def test_slopes_of_many_riders_come_from_batches(spark):
     rng = np.random.default_rng(5)
     rows = [(r, float(s), int(rng.random() < 1 / (1 + math.exp(2 * math.log(s) - 0.5 - r % 3)))) for r in range(300) for s in np.round(rng.uniform(1, 4, 3 + r % 30), 2)] + [(7, None, 1), (8, 2.0, None)]
@@ -84,3 +100,25 @@ def test_runs_take_one_order_of_decisions(spark):
 
 def test_models_of_a_million_riders_grow_in_their_tasks():
     assert boosting.BoosterRules().partition_rows >= 1_800_000  # all riders, real and simulated, of 60 times sf0.1
+
+
+def test_offers_and_traces_are_not_staged(spark, folder):
+    i = Inputs(spark, folder)
+    assert i.full.count() == i.offers.count() and i.full.count() == decisions.rule_decisions(i.offers, i.personas).count()
+    assert not {"offers", "trace"} & {key[3] for key in registry.staged.__globals__["_STAGED"]}
+    assert "Exchange" not in plan_of(i.full) and "Join" not in plan_of(i.full)
+    both = [df.select(sorted(df.columns)).orderBy("offer_id").collect() for df in (i.full, decisions.rule_decisions(i.offers, i.personas))]
+    assert both[0] == both[1]
+
+
+def test_a_staged_tables_scratch_and_shuffle_files_are_gone(spark, folder, tmp_path):
+    from farelens.sources import staging
+
+    def build():
+        rest = staging.materialize(spark.range(100).repartition(3), "scratch")
+        return rest.groupBy((F.col("id") % 7).alias("k")).count(), rest
+
+    before = spark.conf.get(staging.SWEPT)
+    assert staging.staged(spark, folder, f"t-{tmp_path.name}", build).count() == 7 and spark.conf.get(staging.SWEPT) == before
+    own = staging._own_folder(spark).removeprefix("file://")
+    assert not [d for d in os.listdir(own) if d.startswith("scratch-")]
